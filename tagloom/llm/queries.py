@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tagloom.llm import exact_dedup
+from tagloom.llm import exact_dedup, quality_rules
 
-QUERIES = {"op3_exact_dedup": exact_dedup.query}
-ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {"op1_quality_rules": quality_rules.query, "op3_exact_dedup": exact_dedup.query}
+ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE}
