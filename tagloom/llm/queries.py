@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from tagloom.llm import exact_dedup, quality_rules
+from tagloom.llm import chat_rotation, exact_dedup, license_scan, quality_rules
 
-QUERIES = {"op1_quality_rules": quality_rules.query, "op3_exact_dedup": exact_dedup.query}
-ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {
+    "op1_quality_rules": quality_rules.query,
+    "op3_exact_dedup": exact_dedup.query,
+    "op4_license_scan": license_scan.query,
+    "op10_chat_rotation": chat_rotation.query,
+}
+ORACLES = {
+    "op1_quality_rules": quality_rules.ORACLE,
+    "op3_exact_dedup": exact_dedup.ORACLE,
+    "op4_license_scan": license_scan.ORACLE,
+    "op10_chat_rotation": chat_rotation.ORACLE,
+}
