@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tagloom.llm import chat_rotation, exact_dedup, license_scan, quality_rules
+from tagloom.llm import chat_rotation, exact_dedup, license_scan, packing, quality_rules, token_output
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op2_token_output": token_output.query,
     "op3_exact_dedup": exact_dedup.query,
     "op4_license_scan": license_scan.query,
+    "op6_packing": packing.query,
     "op10_chat_rotation": chat_rotation.query,
 }
 ORACLES = {
