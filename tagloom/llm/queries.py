@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tagloom.llm import chat_rotation, exact_dedup, license_scan, packing, quality_rules, token_output
+from tagloom.llm import bpe, chat_rotation, exact_dedup, license_scan, packing, quality_rules, token_output
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.query,
     "op4_license_scan": license_scan.query,
     "op6_packing": packing.query,
+    "op7_bpe": bpe.query,
     "op10_chat_rotation": chat_rotation.query,
 }
 ORACLES = {
