@@ -63,3 +63,16 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined with their class (one row per key; n: rows of that key). Keys with over a thousandth of all rows, of which
+    there are fewer than 1,000, are met by broadcast and never shuffled; the others by a shuffled join."""
+    least = max(1, total // 1000)
+    others = [c for c in classes.columns if c != key]
+    renamed = {c: f"__{c}" for c in others}
+    large = classes.where(F.col(n) > least).withColumnsRenamed(renamed)
+    hot = rows.join(F.broadcast(large), key, "left")
+    met = hot.where(F.col(f"__{n}").isNotNull()).withColumnsRenamed({v: k for k, v in renamed.items()})
+    rest = hot.where(F.col(f"__{n}").isNull()).drop(*renamed.values())
+    return met.unionByName(rest.join(classes.where(F.col(n) <= least), key))

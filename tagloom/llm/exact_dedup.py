@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import fresh_path, stored, without_blanks
+from tagloom.llm.common import fresh_path, join_classes, stored, without_blanks
 
 #: Rows of one memtable: about 0.4 GB of log.
 MEMTABLE_ROWS = 4_000_000
@@ -118,13 +118,7 @@ def exact_duplicates(docs: DataFrame, digest=sha256_hex, memtable_rows: int = ME
         apart = keyed.select("row", digest(F.col("norm")).alias("digest"), "norm").join(collided, "digest").select("row", F.concat("digest", F.lit(":"), "norm").alias("exact"))
         log = stored(log.join(apart, "row", "left").withColumn("digest", F.coalesce("exact", "digest")).drop("exact"), "digest-log")
         log, index = classes(log)
-    # A digest that holds over a thousandth of the rows is met by broadcast: there are under 1,000 of them.
-    least = max(1, log.count() // 1000)
-    large, small = index.where(F.col("n") > least), index.where(F.col("n") <= least)
-    joined = log.join(F.broadcast(large.select("digest", F.col("best").alias("best1"), F.col("n").alias("n1"))), "digest", "left")
-    alone = joined.where("n1 is null").drop("best1", "n1").join(small, "digest")
-    met = joined.where("n1 is not null").withColumnsRenamed({"best1": "best", "n1": "n"})
-    both = alone.unionByName(met)
+    both = join_classes(log, index, "digest", "n", log.count())
     return both.select("row", "doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
 
 

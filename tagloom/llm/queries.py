@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tagloom.llm import bpe, chat_rotation, exact_dedup, license_scan, packing, quality_rules, token_output
+from tagloom.llm import bpe, chat_rotation, exact_dedup, license_scan, packing, quality_rules, simhash, token_output
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_license_scan": license_scan.query,
     "op6_packing": packing.query,
     "op7_bpe": bpe.query,
+    "op8_simhash": simhash.query,
     "op10_chat_rotation": chat_rotation.query,
 }
 ORACLES = {
