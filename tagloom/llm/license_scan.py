@@ -1,6 +1,6 @@
 """License scans by canonical digests.
 
-A text is normalised (case, copyright lines, punctuation, equivalent spellings) and its SHA-256 is joined, by hash, with
+A text is normalised (lower case, no copyright lines, no punctuation or blanks, equivalent spellings) and its SHA-256 is joined, by hash, with
 the digests of known licence texts. Two units are looked up: the entire text, and each entire line (for the one-line
 notices that documents carry). The catalogue is a DataFrame (license_id, text) of at most MAX_KNOWN rows, which bounds
 what the join broadcasts.
@@ -21,51 +21,29 @@ from tagloom.llm.common import stored
 #: Most rows of a catalogue; a row is under 200 bytes once digested, so at most 2 MB are broadcast.
 MAX_KNOWN = 10_000
 
-# Spellings that licence matching treats as equal, after punctuation has become spaces.
+# Spellings that licence matching treats as equal, as rules on letters. They merge more spellings than English
+# has, in texts and catalogue alike, which is harmless: no two licences differ by them alone.
 SPELLINGS = {
-    "acknowledgement": "acknowledgment",
-    "analogue": "analog",
-    "analyse": "analyze",
-    "artefact": "artifact",
-    "authorisation": "authorization",
-    "authorised": "authorized",
-    "calibre": "caliber",
-    "cancelled": "canceled",
-    "capitalisation": "capitalization",
-    "catalogue": "catalog",
-    "categorise": "categorize",
-    "centre": "center",
-    "copyright owner": "copyright holder",
-    "emphasise": "emphasize",
-    "favour": "favor",
-    "fulfilment": "fulfillment",
-    "initialise": "initialize",
-    "judgement": "judgment",
-    "labelling": "labeling",
-    "labour": "labor",
-    "licence": "license",
-    "maximise": "maximize",
-    "modelled": "modeled",
-    "modelling": "modeling",
-    "noncommercial": "non commercial",
-    "offence": "offense",
-    "optimise": "optimize",
-    "organisation": "organization",
-    "organise": "organize",
-    "per cent": "percent",
-    "practise": "practice",
+    "copyrightowner": "copyrightholder",
+    "ence": "ense",
+    "gement": "gment",
+    "https": "http",
+    "ise": "ize",
+    "isa": "iza",
+    "lled": "led",
+    "lling": "ling",
+    "logue": "log",
+    "ilful": "illful",
+    "our": "or",
     "programme": "program",
-    "realise": "realize",
-    "recognise": "recognize",
-    "signalling": "signaling",
-    "sub license": "sublicense",
-    "utilisation": "utilization",
     "whilst": "while",
-    "wilful": "willful",
-    "http ": "https ",
+    "yse": "yze",
 }
 
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|c\)|all rights reserved)[^\n]*$"
+#: All that isn't a letter, a digit or a line break, in lower-cased text.
+PUNCTUATION = r"[\x{0}-\x{9}\x{B}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{A9}\x{AB}-\x{B4}\x{B6}-\x{B9}\x{BB}-\x{BF}\x{2000}-\x{206F}\x{3000}-\x{3003}\x{FEFF}]+"
+#: After punctuation and blanks are gone: a line of a holder and a year.
+COPYRIGHT_LINE = r"\n(copyright[^\n]*[0-9]{4}|allrightsreserved)[^\n]*"
 
 # Public licence texts and one-line notices.
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -110,12 +88,14 @@ KNOWN = [
 ]
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, one space for all that isn't a letter or digit, one spelling."""
-    text = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
-    text = F.concat(F.lit(" "), F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    text = reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS.items(), text)
-    return F.trim(F.regexp_replace(text, " +", " "))
+def letters(text: Column) -> Column:
+    """A line break, then the text's lines in lower case, letters and digits only, without copyright lines."""
+    text = F.replace(F.replace(F.lower(text), F.lit("©"), F.lit("copyright")), F.lit("(c)"), F.lit("copyright"))
+    return F.regexp_replace(F.concat(F.lit("\n"), F.regexp_replace(text, PUNCTUATION, "")), COPYRIGHT_LINE, "")
+
+
+def one_spelling(text: Column) -> Column:
+    return reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS.items(), text)
 
 
 def digest(text: Column) -> Column:
@@ -123,6 +103,10 @@ def digest(text: Column) -> Column:
     return F.when(text != "", F.sha2(text, 256))
 
 
+def text_digest(lines: Column) -> Column:
+    return digest(one_spelling(F.replace(lines, F.lit("\n"), F.lit(""))))
+
+
 def catalogue(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
     return spark.createDataFrame(known, "license_id string, text string")
 
@@ -130,44 +114,51 @@ def catalogue(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> Data
 def known_digests(known: DataFrame) -> DataFrame:
     if known.limit(MAX_KNOWN + 1).count() > MAX_KNOWN:
         raise ValueError(f"a licence catalogue has at most {MAX_KNOWN} rows")
-    return known.select("license_id", digest(canonical(F.col("text"))).alias("digest")).where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    return known.select("license_id", text_digest(letters(F.col("text"))).alias("digest")).where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, canonical_sha256, license_id (of the entire text), n_notices and notice_ids (of its lines)."""
     table = stored(known_digests(known), "license-digests")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lines = rows.select("row", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") > 0)
-    notices = (
-        lines.select("row", digest(canonical(F.col("line"))).alias("digest"))
-        .join(F.broadcast(table), "digest")
-        .groupBy("row")
-        .agg(F.count("*").alias("n_notices"), F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("notice_ids"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", letters(F.coalesce("text", F.lit(""))).alias("lines"))
+    lines = F.filter(F.split(one_spelling(F.col("lines")), "\n"), lambda x: x != "")
+    unit = lambda entire, d: F.struct(F.lit(entire).alias("entire"), d.alias("digest"))
+    units = F.concat(F.array(unit(True, text_digest(F.col("lines")))), F.transform(lines, lambda x: unit(False, digest(x))))
+    found = (
+        rows.select("row", "doc_id", F.explode(units).alias("u"))
+        .select("row", "doc_id", "u.entire", "u.digest")
+        .join(F.broadcast(table), "digest", "left")
+        .where("entire or license_id is not null")
+    )
+    of_text, of_line = (lambda c: F.when(F.col("entire"), c)), (lambda c: F.when(~F.col("entire"), c))
+    return (
+        found.groupBy("row")
+        .agg(
+            F.max("doc_id").alias("doc_id"),
+            F.max(of_text(F.col("digest"))).alias("canonical_sha256"),
+            F.max(of_text(F.col("license_id"))).alias("license_id"),
+            F.count(of_line(F.lit(1))).alias("n_notices"),
+            F.array_join(F.sort_array(F.collect_set(of_line(F.col("license_id")))), ",").alias("notice_ids"),
+        )
+        .drop("row")
     )
-    entire = rows.select("row", "doc_id", digest(canonical(F.col("text"))).alias("canonical_sha256"))
-    found = entire.join(F.broadcast(table), F.col("canonical_sha256") == F.col("digest"), "left")
-    return found.join(notices, "row", "left").select("doc_id", "canonical_sha256", "license_id", F.coalesce("n_notices", F.lit(0).cast("long")).alias("n_notices"), F.coalesce("notice_ids", F.lit("")).alias("notice_ids"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), catalogue(spark))
 
 
-def canonical_sql(text: str) -> str:
-    text = rf"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', '', 'g')"
-    text = rf"' ' || regexp_replace({text}, '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' '"
-    text = reduce(lambda t, pair: f"replace({t}, '{pair[0]}', '{pair[1]}')", SPELLINGS.items(), text)
-    return f"trim(regexp_replace({text}, ' +', ' ', 'g'))"
-
-
 def _oracle() -> str:
     rows = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in KNOWN)
+    letters = lambda t: f"regexp_replace(chr(10) || regexp_replace(replace(replace(lower({t}), '©', 'copyright'), '(c)', 'copyright'), '{PUNCTUATION}', '', 'g'), '{COPYRIGHT_LINE}', '', 'g')"
+    spelled = lambda t: reduce(lambda x, pair: f"replace({x}, '{pair[0]}', '{pair[1]}')", SPELLINGS.items(), t)
     return f"""
-WITH k AS (SELECT sha256({canonical_sql("t")}) AS digest, min(i) AS license_id FROM (VALUES {rows}) AS v(i, t) GROUP BY 1),
-d AS (SELECT doc_id, text, {canonical_sql("coalesce(text, '')")} AS c FROM documents),
-x AS (SELECT doc_id, CASE WHEN c <> '' THEN sha256(c) END AS canonical_sha256 FROM d),
+WITH k AS (SELECT sha256({spelled(f"replace({letters('t')}, chr(10), '')")}) AS digest, min(i) AS license_id FROM (VALUES {rows}) AS v(i, t) GROUP BY 1),
+d AS (SELECT doc_id, {letters("coalesce(text, '')")} AS lines FROM documents),
+c AS (SELECT doc_id, {spelled("replace(lines, chr(10), '')")} AS c FROM d),
+x AS (SELECT doc_id, CASE WHEN c <> '' THEN sha256(c) END AS canonical_sha256 FROM c),
 n AS (SELECT doc_id, count(*) AS n_notices, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notice_ids
-      FROM (SELECT doc_id, {canonical_sql("line")} AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)) l
+      FROM (SELECT doc_id, unnest(string_split({spelled("lines")}, chr(10))) AS c FROM d) l
       JOIN k ON c <> '' AND k.digest = sha256(c) GROUP BY doc_id)
 SELECT x.doc_id, canonical_sha256, license_id, coalesce(n_notices, 0) AS n_notices, coalesce(notice_ids, '') AS notice_ids
 FROM x LEFT JOIN k ON k.digest = canonical_sha256 LEFT JOIN n ON n.doc_id = x.doc_id
