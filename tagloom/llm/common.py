@@ -33,6 +33,17 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
+def split_words(text: str | None) -> list[str]:
+    """Python's twin of words_of: words between the six ASCII blanks only."""
+    if not text:
+        return []
+    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return text.split()
+    for c in BLANKS[1:]:
+        text = text.replace(c, " ")
+    return [w for w in text.split(" ") if w]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tagloom.llm import bpe, chat_rotation, exact_dedup, license_scan, packing, quality_rules, simhash, token_output
+from tagloom.llm import bpe, chat_rotation, exact_dedup, license_scan, packing, quality_rules, simhash, substring_dedup, token_output
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -12,11 +12,13 @@ QUERIES = {
     "op6_packing": packing.query,
     "op7_bpe": bpe.query,
     "op8_simhash": simhash.query,
+    "op9_substring_dedup": substring_dedup.query,
     "op10_chat_rotation": chat_rotation.query,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op4_license_scan": license_scan.ORACLE,
+    "op9_substring_dedup": substring_dedup.ORACLE,
     "op10_chat_rotation": chat_rotation.ORACLE,
 }

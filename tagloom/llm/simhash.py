@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import BLANKS, join_classes, stored
+from tagloom.llm.common import join_classes, split_words, stored
 from tagloom.llm.components import components
 
 RADIUS = 3
@@ -35,22 +35,10 @@ TILE = 16_384
 #: Words of 64 pairs in a stretch that is abandoned as one.
 STRETCH = 64
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-TO_SPACE = str.maketrans(dict.fromkeys(BLANKS, " "))
-
-
-def words(text: str | None) -> list[str]:
-    """Words between the six ASCII blanks only."""
-    if not text:
-        return []
-    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return text.split()
-    for c in BLANKS[1:]:
-        text = text.replace(c, " ")
-    return [w for w in text.split(" ") if w]
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    w = words((text or "").lower() if (text or "").isascii() else (text or "").translate(LOWER))
+    w = split_words((text or "").lower() if (text or "").isascii() else (text or "").translate(LOWER))
     if not w:
         return 0
     joined = [" ".join(w)] if len(w) < shingle else map(" ".join, zip(*(w[k:] for k in range(shingle))))  # noqa: B905
