@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from tagloom.llm import bpe, chat_rotation, exact_dedup, license_scan, packing, quality_rules, simhash, substring_dedup, token_output
+import corpus_pipeline
+from tagloom.llm import bpe, chat_rotation, exact_dedup, license_scan, mil_classifier, packing, quality_rules, simhash, substring_dedup, token_output
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_token_output": token_output.query,
     "op3_exact_dedup": exact_dedup.query,
     "op4_license_scan": license_scan.query,
+    "op5_mil_classifier": mil_classifier.query,
     "op6_packing": packing.query,
     "op7_bpe": bpe.query,
     "op8_simhash": simhash.query,
     "op9_substring_dedup": substring_dedup.query,
     "op10_chat_rotation": chat_rotation.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,

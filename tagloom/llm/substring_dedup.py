@@ -330,17 +330,19 @@ def kept_words(batches):
 KEPT = "row long, doc_id long, n_words long, n_removed long, kept string"
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text, spans of each row of docs."""
-    spark = docs.sparkSession
-    ranges = max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+def repeat_spans(texts: DataFrame) -> DataFrame:
+    """row, spans of the texts(row, doc_id, text) that repeat in part."""
+    ranges = max(RANGES, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     anchors = texts.mapInArrow(send_anchors(ranges), ANCHORS)
     hits = anchors.repartitionById(ranges, "bucket").mapInArrow(hit_blocks, "row long, block int").groupBy("row").agg(F.collect_list("block").alias("hits"))
     windows = texts.join(hits, "row").select("row", "doc_id", "text", "hits").mapInArrow(send_windows(ranges), WINDOWS)
     found = windows.repartitionById(ranges, "bucket").mapInArrow(repeated_windows, "chunk long, rows binary, places binary")
-    spans = found.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(spans_of, "row long, spans array<int>")
-    return texts.join(spans, "row", "left").select("row", "doc_id", "text", "spans")
+    return found.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(spans_of, "row long, spans array<int>")
+
+
+def _with_spans(docs: DataFrame) -> DataFrame:
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return texts.join(repeat_spans(texts), "row", "left").select("row", "doc_id", "text", "spans")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -350,11 +352,28 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """docs with texts less their repeats (n_chars, if there, follows); texts without repeats stay as they are."""
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    changed = without_repeats(docs).where("n_removed > 0").select(F.col("row").alias("__row"), F.col("kept").alias("__kept"))
-    text = F.coalesce("__kept", "text")
-    joined = numbered.join(changed, "__row", "left").withColumn("text", text).drop("__row", "__kept")
-    return joined.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else joined.select(docs.columns)
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    spans = repeat_spans(texts).withColumnsRenamed({"row": "__row", "spans": "__spans"})
+    joined = docs.withColumn("__row", F.monotonically_increasing_id()).join(spans, "__row", "left").select(*docs.columns, "__spans")
+    names = docs.columns
+    at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches):
+        for batch in batches:
+            columns = list(batch.columns)
+            texts = columns[at].to_pylist()
+            for k, spans in enumerate(columns.pop().to_pylist()):
+                if spans:
+                    words = split_words(texts[k])
+                    for lo, hi in zip(spans[-2::-2], spans[::-2], strict=True):
+                        del words[lo:hi]
+                    texts[k] = " ".join(words)
+            columns[at] = pa.array(texts, pa.string())
+            if chars is not None:
+                columns[chars] = pa.array([None if t is None else len(t) for t in texts], columns[chars].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.mapInArrow(run, docs.schema)
 
 
 def with_digest(batches):
