@@ -1 +1 @@
-
+"""Readers and writers of the tables and graphs."""
