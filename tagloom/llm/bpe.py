@@ -28,9 +28,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm.tokens import Memo, load, part_rule, parts_of, tokenizer_path
+from tagloom.llm.tokens import MARKS, Memo, byte_names, load, part_rule, tokenizer_path
 
-PLAIN_MARKS = ".,;:!?%#$&*"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 UNBOUNDED = 1 << 60
 
@@ -178,7 +177,7 @@ class StreamingBpe:
         lower = part.lower() if self.rule == "words" and part.isascii() else part
         if lower != part:
             return self.memo[lower]
-        word = part.rstrip(PLAIN_MARKS)
+        word = part.rstrip(MARKS)
         if word and word != part and word.isascii() and word.isalpha():
             (a, x), (b, y) = self.memo[word], self.memo[part[len(word) :]]
             return a + b, x + b" " + y
@@ -192,7 +191,8 @@ class StreamingBpe:
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of their bytes and of the decoded text."""
         # only a decoder that puts a space between tokens has decoded parts that can be joined
-        parts = None if self.byte_level else parts_of(text, self.rule, list(self.specials))
+        cut = self.rule == "words" and not self.byte_level and not any(x in text for x in ("\x1c", "\x1d", "\x1e", "\x1f", *self.specials))
+        parts = text.split() if cut else None
         if parts is None:
             ids = self.ids(text)
             data, decoded = array("I", ids).tobytes(), self.decode(ids).encode()
@@ -220,13 +220,6 @@ class SpacedDecoder:
         return ""
 
 
-def byte_names() -> dict[str, int]:
-    """The character by which byte-level files name each byte: itself if it prints, else one from U+0100 on."""
-    printing = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    hidden = [b for b in range(256) if b not in printing]
-    return {chr(b): b for b in printing} | {chr(0x100 + k): b for k, b in enumerate(hidden)}
-
-
 class ByteDecoder:
     """Bytes of tokens to text: holds only the bytes of a character that isn't complete yet."""
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm.tokens import encoder, tokenizer_path
+from tagloom.llm.tokens import encoder, sliced, tokenizer_path
 
 CAPACITY = 1024
 END_ID = 0
@@ -86,14 +86,15 @@ def pack_rows(path: str, end_id: int, capacity: int, pool_tokens: int):
         encode, first = encoder(path), TaskContext.get().partitionId() << 32
         docs, ids, held = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                docs.append(doc_id)
-                ids.append(encode(text.as_py()) + end)
-                held += len(ids[-1]) // 4
-                if held >= pool_tokens:
-                    out, first = packed(docs, ids, first)
-                    yield out
-                    docs, ids, held = [], [], 0
+            for lo, texts in sliced(batch.column(1)):
+                for doc_id, x in zip(batch.column(0).slice(lo, len(texts)).to_pylist(), encode.many(texts), strict=True):
+                    docs.append(doc_id)
+                    ids.append(x + end)
+                    held += len(ids[-1]) // 4
+                    if held >= pool_tokens:
+                        out, first = packed(docs, ids, first)
+                        yield out
+                        docs, ids, held = [], [], 0
         if docs:
             yield packed(docs, ids, first)[0]
 

@@ -13,14 +13,24 @@ import os
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Parts in each of the memo's two generations; about 60 MB each.
 MEMO_PARTS = 300_000
 #: Longer parts are not remembered.
 LONGEST_PART = 64
-#: A word of Latin letters with punctuation behind it: both sides are tokens' borders in either tokenizer.
-PLAIN = re.compile("([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%#$&*]+)")
-RARE_BLANKS = re.compile("[\x85\xa0  -     　]")
-ASCII_RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+#: Marks and letters between which either tokenizer has a border.
+MARKS = ".,;:!?%#$&*"
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+LATIN = re.compile(f" ?[{LETTERS}]+")
+SPLIT = rf"^(?P<lead>\n?)(?P<letters> ?[{LETTERS}]+)(?P<marks>[{MARKS}]*)$"
+#: Blanks besides space and line break, as regular expression classes.
+RARE_BLANKS = r"\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+OTHER_BLANKS = r"\t\r\x{0b}\x{0c}"
+#: Text bytes that are cut into parts at once.
+SLICE_BYTES = 8 << 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -72,44 +82,104 @@ def part_rule(spec: dict) -> str:
     return ""
 
 
-def parts_of(text: str, rule: str, specials: list[str]) -> list[str] | None:
-    """The parts of a text, or None if it has to be taken whole."""
-    if not rule or any(s in text for s in specials):
-        return None
+def byte_names() -> dict[str, int]:
+    """The character by which byte-level files name each byte: itself if it prints, else one from U+0100 on."""
+    printing = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in printing]
+    return {chr(b): b for b in printing} | {chr(0x100 + k): b for k, b in enumerate(hidden)}
+
+
+def odd_pattern(rule: str, specials: list[str]) -> str:
+    """Matches the texts that have to be taken whole: where the cut isn't certain."""
+    found = [re.escape(s) for s in specials] + [f"[{RARE_BLANKS}]"]
+    if rule == "spaced":
+        found += [f"[{OTHER_BLANKS}]", r"[ \n][ \n]", r"[ \n]\z"]
+    return "|".join(found)
+
+
+def parts_of(texts: pa.Array, rule: str) -> pa.ListArray:
+    """The parts of each text: words (some may be empty), or words with the blank before them."""
     if rule == "words":
-        return None if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:] in ("\n", " ") or any(c in text for c in ASCII_RARE):
-        return None
-    if not text.isascii() and RARE_BLANKS.search(text):
-        return None
-    return text.replace(" ", "\x1f ").replace("\n", "\x1f\n").split("\x1f") if text else []
+        for c in "\n\t\r\x0b\x0c":
+            texts = pc.replace_substring(texts, c, " ")
+        return pc.split_pattern(texts, " ")
+    for c in " \n":
+        texts = pc.replace_substring(texts, c, f"\x1f{c}")
+    return pc.split_pattern(texts, "\x1f")
+
+
+def sliced(texts: pa.Array, most: int = SLICE_BYTES):
+    """(first, texts) of consecutive slices of about so many bytes; nulls become empty texts."""
+    texts = pc.fill_null(texts, "")
+    place = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // most
+    cuts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(texts)]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if lo < hi:
+            yield lo, texts.slice(lo, hi - lo)
 
 
 class Encoder:
-    """text -> id bytes. One per Python worker and file; see encoder()."""
+    """Texts -> id bytes. One per Python worker and file; see encoder()."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.rule, self.specials = part_rule(spec), [t["content"] for t in spec.get("added_tokens", [])]
+        self.rule = part_rule(spec)
+        self.odd = odd_pattern(self.rule, [t["content"] for t in spec.get("added_tokens", [])])
         self.tokenizer = load(path)
+        self.model = self.tokenizer.model
+        names = {b: c for c, b in byte_names().items()}
+        self.names = {k: "".join(names[b] for b in chr(k).encode()) for k in [32, *range(0xC0, 0x100)]}
         self.memo = Memo(self._part)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _part(self, part: str) -> bytes:
-        if m := PLAIN.fullmatch(part):
-            lead, word, marks = m.groups()
-            memo = self.memo
-            return (memo["\n"] + memo[word] if lead == "\n" else memo[lead + word]) + memo[marks]
-        if self.rule == "words" and part.isascii() and part != (lower := part.lower()):
-            return self.memo[lower]
-        return self._whole(part)
+        if not LATIN.fullmatch(part):
+            return self._whole(part)
+        if part[0] == " " or not part.isascii():
+            part = part.translate(self.names)
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+
+    def _ids(self, words: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
+        """Number of ids, and the ids, of each of the different words. A word of letters and marks is looked up as such, so that its
+        other forms find it."""
+        split = pc.extract_regex(words, SPLIT)
+        lead, letters, marks = (split.field(k) for k in range(3))
+        if self.rule == "words":
+            letters = pc.utf8_lower(letters)
+        found = split.is_valid()
+        parts = pa.concat_arrays([pc.if_else(found, lead, ""), pc.if_else(found, letters, words), pc.if_else(found, marks, "")]).dictionary_encode()
+        ids = list(map(self.memo.__getitem__, parts.dictionary.to_pylist()))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.uint32)))
+        at = parts.indices.to_numpy().reshape(3, -1)
+        sizes = size[at].sum(0)
+        flat = lists.take(pa.array(at.T.ravel())).flatten()
+        return sizes, pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), flat)
 
     def __call__(self, text: str | None) -> bytes:
-        parts = parts_of(text or "", self.rule, self.specials)
-        return self._whole(text) if parts is None else b"".join(map(self.memo.__getitem__, parts))
+        return self.many(pa.array([text], pa.string()))[0]
+
+    def many(self, texts: pa.Array) -> list[bytes]:
+        """Id bytes of each text. Of the parts, each different one is looked up once."""
+        out: list[bytes] = []
+        for _, some in sliced(texts):
+            odd = pc.match_substring_regex(some, self.odd) if self.rule else pa.array([True] * len(some))
+            parts = parts_of(pc.if_else(odd, "", some), self.rule)
+            words = parts.flatten().dictionary_encode()
+            size, lists = self._ids(words.dictionary)
+            chosen = words.indices.to_numpy()
+            data = memoryview(lists.take(words.indices).flatten().to_numpy()).cast("B")
+            ends = np.concatenate(([0], np.cumsum(size[chosen] if len(chosen) else size[:0])))
+            offsets = parts.offsets.to_numpy()
+            cut = (4 * ends[offsets - offsets[0]]).tolist()
+            found = [bytes(data[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+            for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+                found[k] = self._whole(some[k].as_py())
+            out += found
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
