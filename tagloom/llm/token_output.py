@@ -19,7 +19,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -29,6 +29,8 @@ from tagloom.llm.tokens import encoder, tokenizer_path
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 128 << 10
 END_ID = 1
+#: Borders between partitions that an expression may hold; with more, whole rows are sampled.
+MOST_BORDERS = 2000
 SCHEMA = "shard int, pos long, doc_id long, n_tokens long, tokens array<int>"
 FORMAT = {
     "parquet.writer.version": "PARQUET_2_0",
@@ -39,6 +41,7 @@ FORMAT = {
     "parquet.page.size": str(PAGE_BYTES),
     "parquet.page.row.count.limit": "1000",
     "compression": "zstd",
+    "parquet.compression.codec.zstd.level": "1",
 }
 
 
@@ -51,7 +54,7 @@ def encode_rows(path: str, end_id: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                ids = [encode(t) + end for t in part.column(1).to_pylist()]
+                ids = [x + end for x in encode.many(part.column(1))]
                 n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays(
@@ -63,11 +66,31 @@ def encode_rows(path: str, end_id: int):
     return run
 
 
+def by_doc_id(docs: DataFrame, n: int) -> DataFrame:
+    """docs in n partitions that follow each other by doc_id, nulls first. The borders come from doc_id alone; partitioning by
+    range would read the texts once more to sample whole rows."""
+    if n > MOST_BORDERS:
+        return docs.repartitionByRange(n, "doc_id")
+    borders = docs.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else []
+    borders = sorted({*(borders or [])})
+    place = F.when(F.col("doc_id").isNull(), 0).otherwise(_place(F.col("doc_id"), borders))
+    return docs.repartitionById(len(borders) + 1, place)
+
+
+def _place(x: Column, borders: list[int]) -> Column:
+    """How many borders lie at or below x, by halving."""
+    if not borders:
+        return F.lit(0)
+    mid = len(borders) // 2
+    low, high = _place(x, borders[:mid]), _place(x, borders[mid + 1 :])
+    return F.when(x < borders[mid], low).otherwise(high + (mid + 1))
+
+
 def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int = END_ID, partitions: int | None = None) -> None:
     """Encode docs(doc_id, text) and write the dataset."""
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = by_doc_id(docs.select("doc_id", "text"), n).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(encode_rows(tokenizer, end_id), SCHEMA).write.options(**FORMAT).parquet(f"{to}/tokens")
     shards = read_tokens(spark, to).groupBy("shard").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # one row per file
