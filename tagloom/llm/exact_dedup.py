@@ -55,6 +55,7 @@ class DigestIndex:
         writer = writer.option("parquet.bloom.filter.enabled#digest", "true")
         (writer.partitionBy(*by) if by else writer).parquet(path)
         self.runs.append(path)
+        self.schema = entries.select("digest", "best", "n").schema
 
     def append(self, log: DataFrame, rows: int) -> None:
         """Flush log(digest, best, row) through as many memtables as its rows fill."""
@@ -65,13 +66,16 @@ class DigestIndex:
 
     def compact(self) -> DataFrame:
         """Merge all runs into one."""
-        runs = [self.spark.read.parquet(path).select("digest", "best", "n") for path in self.runs]
+        runs = [self._read(path) for path in self.runs]
         entries = runs[0]
         for run in runs[1:]:
             entries = entries.unionByName(run)
         self.runs = []
         self._flush(self._merged(entries), "level1", [])
-        return self.spark.read.parquet(self.runs[0])
+        return self._read(self.runs[0])
+
+    def _read(self, path: str) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(path).select("digest", "best", "n")
 
 
 def _bit(digest: Column) -> Column:
