@@ -1 +1 @@
-
+"""Votes that arrive over time; everything else of the library is batch."""
