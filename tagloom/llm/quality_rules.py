@@ -26,8 +26,8 @@ REPEAT_PERCENT = 20
 MIN_GROUP = 100
 #: Fences lie so many quartile distances beyond the quartiles.
 REACH = 3
-#: Metric: (least quartile distance, has a lower fence). Lengths are in hundredths of a character, shares per mille.
-METRICS = {"word_len": (100, True), "symbol_share": (30, False), "dup_line_share": (100, False), "repeat_share": (50, False)}
+#: Metric: (least quartile distance, has a lower fence); one repeated line in a short text stays within. Lengths are in hundredths of a character, shares per mille.
+METRICS = {"word_len": (150, True), "symbol_share": (30, False), "dup_line_share": (150, False), "repeat_share": (70, False)}
 #: Exact buckets below this value, then 256 to 511 buckets for each doubling.
 EXACT = 512
 #: Shares of a hot (lang, source) in the join with its thresholds.
