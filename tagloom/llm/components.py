@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tagloom.llm.common import stored
 
 
+#: Edges that one task of a round takes.
+ROWS_PER_TASK = 250_000
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's greater neighbours move to its least neighbour (or itself)."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -23,17 +27,29 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
 
 
+def _narrow(edges: DataFrame, rows: int) -> DataFrame:
+    """As many tasks as the rows need: a small remainder isn't spread over thousands of files."""
+    return edges.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
+
+
+def _state(edges: DataFrame) -> tuple[int, int]:
+    """Number of edges and a sum over them that changes with any of them."""
+    n, total = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    return n, int(total or 0)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node of the component, for every node of edges(a, b); a < b need not hold.
 
-    Rounds go on until the edges are stars, in a logarithmic number of them; each one is a stored table, so a lost
-    executor costs one round. A hub's edges are joined by its id; Spark splits that partition if it is large.
+    Rounds go on until a round changes no edge, which is when they are stars: a logarithmic number of them. Each one is a stored
+    table, so a lost executor costs one round. A hub's edges are joined by its id; Spark splits that partition if it is large.
     """
     now = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    while True:
-        # a forest of stars: no root is a leaf, no leaf has two roots
-        leaves = now.groupBy("b").agg(F.count("*").alias("n"))
-        bad = leaves.where("n > 1").select("b").limit(1).unionByName(now.join(now.select(F.col("a").alias("r")).distinct(), F.col("b") == F.col("r"), "left_semi").select("b").limit(1))
-        if bad.isEmpty():
-            return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-        now = stored(_small_star(_large_star(now)), "edges")
+    before = _state(now)
+    while before[0]:
+        now = stored(_narrow(_small_star(_large_star(now)), before[0]), "edges")
+        after = _state(now)
+        if after == before:
+            break
+        before = after
+    return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
