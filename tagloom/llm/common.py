@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -44,16 +45,19 @@ def split_words(text: str | None) -> list[str]:
     return [w for w in text.split(" ") if w]
 
 
+@functools.cache
+def _own_dir(app: str) -> str:
+    return tempfile.mkdtemp(prefix="tagloom-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    found = tempfile.mkdtemp(prefix="tagloom-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    return _own_dir(spark.sparkContext.applicationId)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
