@@ -91,3 +91,14 @@ def join_classes(rows: DataFrame, classes: DataFrame, key: str, n: str, total: i
     met = hot.where(F.col(f"__{n}").isNotNull()).withColumnsRenamed({v: k for k, v in renamed.items()})
     rest = hot.where(F.col(f"__{n}").isNull()).drop(*renamed.values())
     return met.unionByName(rest.join(classes.where(F.col(n) <= least), key))
+
+
+def positional(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1, ...: mapInArrow can't resolve names that hold points."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
+def only_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of docs whose number (by monotonically_increasing_id, so docs must be a stored table) is in rows(row)."""
+    name = free_name(docs, "row")
+    return docs.withColumn(name, F.monotonically_increasing_id()).join(rows.select(F.col("row").alias(name)), name, "left_semi").drop(name)

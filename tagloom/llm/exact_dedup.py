@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import fresh_path, join_classes, stored, without_blanks
+from tagloom.llm.common import fresh_path, join_classes, only_rows, stored, without_blanks
 
 #: Rows of one memtable: about 0.4 GB of log.
 MEMTABLE_ROWS = 4_000_000
@@ -128,8 +128,7 @@ def exact_duplicates(docs: DataFrame, digest=sha256_hex, memtable_rows: int = ME
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """docs less all but one row of each group of equal texts. Its input must be a stored table (rows are numbered by it)."""
-    kept = exact_duplicates(docs).where("kept").select(F.col("row").alias("__kept_row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, F.col("__row") == F.col("__kept_row"), "left_semi").drop("__row")
+    return only_rows(docs, exact_duplicates(docs).where("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm.common import free_name
+from tagloom.llm.common import free_name, positional
 
 #: Most labelled rows that training sees (about 3 KB each: 12 MB of texts reach the driver).
 MAX_TRAINING = 4000
@@ -201,7 +201,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 columns = [*part.columns, pa.array(scores_of(model, texts), pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return positional(docs).mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,4 +214,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs whose score reaches the threshold, with the columns of docs."""
     out = scored(docs, train(docs, labels))
-    return out.where(F.col(out.columns[-1]) >= THRESHOLD).select(docs.columns)
+    return out.where(F.col(out.columns[-1]) >= THRESHOLD).drop(out.columns[-1])

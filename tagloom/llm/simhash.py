@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import join_classes, split_words, stored
+from tagloom.llm.common import join_classes, only_rows, split_words, stored
 from tagloom.llm.components import components
 
 RADIUS = 3
@@ -270,8 +270,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: the least doc_id's (of repeated rows the first). Its input must be a stored table."""
     found = near_duplicates(docs)
-    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("__kept_row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept.select("__kept_row"), F.col("__row") == F.col("__kept_row"), "left_semi").drop("__row")
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row"))
+    return only_rows(docs, kept)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

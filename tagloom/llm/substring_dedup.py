@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import split_words
+from tagloom.llm.common import free_name, positional, split_words
 
 WINDOW = 35
 #: The longest block of which one lies whole in any window, wherever that starts.
@@ -353,8 +353,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """docs with texts less their repeats (n_chars, if there, follows); texts without repeats stay as they are."""
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    spans = repeat_spans(texts).withColumnsRenamed({"row": "__row", "spans": "__spans"})
-    joined = docs.withColumn("__row", F.monotonically_increasing_id()).join(spans, "__row", "left").select(*docs.columns, "__spans")
+    row, span = free_name(docs, "row"), free_name(docs, "spans")
+    spans = repeat_spans(texts).withColumnsRenamed({"row": row, "spans": span})
+    joined = docs.withColumn(row, F.monotonically_increasing_id()).join(spans, row, "left").drop(row)
     names = docs.columns
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
@@ -373,7 +374,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                 columns[chars] = pa.array([None if t is None else len(t) for t in texts], columns[chars].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return positional(joined).mapInArrow(run, docs.schema)
 
 
 def with_digest(batches):

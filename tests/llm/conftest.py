@@ -19,8 +19,8 @@ AWKWARD = [
 
 @pytest.fixture(scope="session")
 def awkward(spark):
-    rows = [(*r, "x", 1) for r in AWKWARD]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, row string, n long").coalesce(2)
+    rows = [(*r, "x", 1, "y") for r in AWKWARD]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, row string, n long, `a.b` string").coalesce(2)
 
 
 @pytest.fixture(scope="session")

@@ -45,3 +45,20 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, D).columns == docs.columns
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_on_awkward_rows(spark, awkward, tmp_path):
+    """Nulls, clashing and dotted names, repeated rows; every stage gives rows with the columns it got."""
+    awkward.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, D)
+        assert out.columns == docs.columns and 0 < out.count() <= docs.count()
+    kept = mil_classifier.drop_low_quality(docs, spark.read.parquet(f"{D}/labels.parquet"))
+    assert kept.columns == docs.columns and kept.count() <= docs.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, D).count() >= docs.count()
+
+
+def test_stages_on_no_rows(spark, nothing):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, D).count() == 0
