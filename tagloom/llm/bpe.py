@@ -25,13 +25,18 @@ import json
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm.tokens import MARKS, Memo, byte_names, load, part_rule, tokenizer_path
+from tagloom.llm.tokens import LATIN, Memo, byte_names, gathered, latin_names, load, odd_pattern, part_rule, parts_of, sliced, text_bytes, tokenizer_path, word_parts
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 UNBOUNDED = 1 << 60
+TOKEN_BITS = 24
+TOKEN_MASK = (1 << TOKEN_BITS) - 1
+NO_RULE = 1 << 62
 
 
 class MergeList:
@@ -39,7 +44,7 @@ class MergeList:
 
     def __init__(self, vocab: dict[str, int], merges: list, suffix: str = ""):
         self.vocab, self.suffix = vocab, suffix
-        self.rules: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rules: dict[tuple[int, int], int] = {}  # rank and product in one number
         self.left: dict[int, int] = {}  # product -> its left side
         self.length: dict[int, int] = {}
         order, proper = [], True
@@ -47,7 +52,7 @@ class MergeList:
             u, v = pair if not isinstance(pair, str) else pair.split(" ")
             a, b, w = vocab[u], vocab[v], vocab[u + v]
             proper &= w not in self.left and w not in (a, b)
-            self.rules[a, b] = rank, w
+            self.rules[a, b] = rank << TOKEN_BITS | w
             self.left[w] = a
             order.append((a, b, w))
         products, made = {w for _, _, w in order}, set()
@@ -55,6 +60,7 @@ class MergeList:
             proper &= (a not in products or a in made) and (b not in products or b in made)
             made.add(w)
             self.length[w] = self.length.setdefault(a, 1) + self.length.setdefault(b, 1)
+        self.proper = proper
         self.lookahead = self._lookahead(order) if proper else UNBOUNDED
 
     def _lookahead(self, order: list[tuple[int, int, int]]) -> int:
@@ -71,23 +77,21 @@ class MergeList:
             most = max(most, now)
         return most + 1
 
-    def merge(self, ids: list[int]) -> list[int]:
-        """Apply all merges: lowest rank first, equal ones from the left."""
-        rules = self.rules
-        while len(ids) > 1:
-            found = [rules.get(pair) for pair in zip(ids, ids[1:])]  # noqa: B905
-            best = min((x for x in found if x), default=None)
-            if best is None:
-                break
-            out, k, end = [], 0, len(ids)
-            while k < end:
-                if k + 1 < end and found[k] == best:
-                    out.append(best[1])
-                    k += 2
-                else:
-                    out.append(ids[k])
-                    k += 1
-            ids = out
+    def merge(self, symbols: list[int]) -> list[int]:
+        """Apply all merges: lowest rank first, equal ones from the left. Only the neighbours of a merge are looked up again."""
+        rules, ids = self.rules, list(symbols)
+        now = [rules.get(pair, NO_RULE) for pair in zip(ids, ids[1:])]  # noqa: B905
+        while now and (best := min(now)) != NO_RULE:
+            k = now.index(best)
+            while k >= 0:
+                ids[k : k + 2] = (best & TOKEN_MASK,)
+                del now[k]
+                if k:
+                    now[k - 1] = rules.get((ids[k - 1], ids[k]), NO_RULE)
+                if k < len(now):
+                    now[k] = rules.get((ids[k], ids[k + 1]), NO_RULE)
+                # in a proper list no merge makes way for an earlier one, so the other places of this rule are next
+                k = now.index(best, k) if self.proper and best in now[k:] else -1
         return ids
 
 
@@ -134,10 +138,12 @@ class StreamingBpe:
         self.suffix = model.get("end_of_word_suffix") or ""
         self.merges = MergeList(model["vocab"], model["merges"], self.suffix)
         self.specials = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self.byte_text = latin_names()
+        self.odd = odd_pattern(self.rule, list(self.specials))
         self.vocab = model["vocab"]
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.specials.items()}
         self.byte_level = (spec.get("decoder") or {}).get("type") == "ByteLevel"
-        self.memo, self.words = Memo(self._part), Memo(self._remembered)
+        self.memo, self.words = Memo(self._part), Memo(self._remembered, 50_000)
 
     def _symbols(self, word: str) -> Iterator[int]:
         """One symbol a character; the last one carries the mark of the word's end."""
@@ -172,17 +178,11 @@ class StreamingBpe:
     def ids(self, text: str) -> list[int]:
         return [i for piece in self.pieces(text) for i in piece]
 
-    def _part(self, part: str) -> tuple[bytes, bytes]:
-        """Id bytes and decoded bytes of a part of a text; whole texts are joined from them."""
-        lower = part.lower() if self.rule == "words" and part.isascii() else part
-        if lower != part:
-            return self.memo[lower]
-        word = part.rstrip(MARKS)
-        if word and word != part and word.isascii() and word.isalpha():
-            (a, x), (b, y) = self.memo[word], self.memo[part[len(word) :]]
-            return a + b, x + b" " + y
-        ids = self._plain(part)
-        return array("I", ids).tobytes(), self.decode(ids).encode()
+    def _part(self, part: str) -> tuple[bytes, str]:
+        """Id bytes of a part of a word, and its decoded text after a space; a text's are joined from them."""
+        # letters alone are one word, and normalised: word_parts has them in lower case
+        ids = self.word(part.translate(self.byte_text)) if LATIN.fullmatch(part) else self._plain(part)
+        return array("I", ids).tobytes(), f" {self.decode(ids)}" if ids else ""
 
     def decode(self, ids: Iterable[int]) -> str:
         machine = ByteDecoder(self) if self.byte_level else SpacedDecoder(self)
@@ -190,17 +190,31 @@ class StreamingBpe:
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of their bytes and of the decoded text."""
-        # only a decoder that puts a space between tokens has decoded parts that can be joined
-        cut = self.rule == "words" and not self.byte_level and not any(x in text for x in ("\x1c", "\x1d", "\x1e", "\x1f", *self.specials))
-        parts = text.split() if cut else None
-        if parts is None:
-            ids = self.ids(text)
-            data, decoded = array("I", ids).tobytes(), self.decode(ids).encode()
-        else:
-            pairs = list(map(self.memo.__getitem__, parts))
-            data = b"".join([a for a, _ in pairs])
-            decoded = b" ".join([b for a, b in pairs if a])
-        return len(data) // 4, hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        ids = self.ids(text)
+        return len(ids), hashlib.sha256(array("I", ids).tobytes()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()
+
+    def all_digests(self, texts: pa.Array) -> list[tuple[int, str, str]]:
+        """digests of each text. Where words stand for themselves, each different part of them is encoded and decoded once."""
+        if self.rule != "words" or self.byte_level:  # decoded parts can be joined only if a space stands between tokens
+            return [self.digests(t or "") for t in texts.to_pylist()]
+        out = []
+        for _, some in sliced(texts):
+            odd = pc.match_substring_regex(some, self.odd)
+            cut = parts_of(pc.if_else(odd, "", some), self.rule)
+            words = cut.flatten().dictionary_encode()
+            offsets = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+            names, at = word_parts(words.dictionary, self.rule)
+            pairs = list(map(self.memo.__getitem__, names))
+            size, lists = gathered([a for a, _ in pairs], at)
+            ids = text_bytes(offsets, words.indices, size, lists)
+            piece = pa.array([b for _, b in pairs], pa.string())  # a space, then the decoded text
+            word = pc.binary_join_element_wise(*(piece.take(pa.array(k)) for k in at), "")
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), word.take(words.indices)), "")
+            found = [(len(a) // 4, hashlib.sha256(a).hexdigest(), hashlib.sha256(memoryview(b.as_buffer())[1:]).hexdigest()) for a, b in zip(ids, joined, strict=True)]
+            for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+                found[k] = self.digests(some[k].as_py())
+            out += found
+        return out
 
 
 class SpacedDecoder:
@@ -253,12 +267,7 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         bpe = transducer_of(tokenizer)
         for batch in batches:
-            n, ids, decoded = [], [], []
-            for text in batch.column(1):
-                a, b, c = bpe.digests(text.as_py() or "")
-                n.append(a)
-                ids.append(b)
-                decoded.append(c)
+            n, ids, decoded = zip(*bpe.all_digests(batch.column(1)), strict=True) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

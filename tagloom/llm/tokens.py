@@ -89,6 +89,12 @@ def byte_names() -> dict[str, int]:
     return {chr(b): b for b in printing} | {chr(0x100 + k): b for k, b in enumerate(hidden)}
 
 
+def latin_names() -> dict[int, str]:
+    """For str.translate: the bytes of a space and of Latin letters beyond ASCII, by their names."""
+    names = {b: c for c, b in byte_names().items()}
+    return {k: "".join(names[b] for b in chr(k).encode()) for k in [32, *range(0xC0, 0x100)]}
+
+
 def odd_pattern(rule: str, specials: list[str]) -> str:
     """Matches the texts that have to be taken whole: where the cut isn't certain."""
     found = [re.escape(s) for s in specials] + [f"[{RARE_BLANKS}]"]
@@ -118,6 +124,36 @@ def sliced(texts: pa.Array, most: int = SLICE_BYTES):
             yield lo, texts.slice(lo, hi - lo)
 
 
+def word_parts(words: pa.Array, rule: str) -> tuple[list[str], np.ndarray]:
+    """Different parts of words, and the three of each word (3 x words). A word of letters and marks is taken apart, so that its
+    other forms find its letters."""
+    split = pc.extract_regex(words, SPLIT)
+    lead, letters, marks = (split.field(k) for k in range(3))
+    if rule == "words":
+        letters = pc.utf8_lower(letters)
+    found = split.is_valid()
+    parts = pa.concat_arrays([pc.if_else(found, lead, ""), pc.if_else(found, letters, words), pc.if_else(found, marks, "")]).dictionary_encode()
+    return parts.dictionary.to_pylist(), parts.indices.to_numpy().reshape(3, -1)
+
+
+def gathered(ids: list[bytes], at: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """Number of ids and the ids themselves, for columns of places in a list of id bytes."""
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.uint32)))
+    sizes = size[at].sum(0)
+    flat = lists.take(pa.array(at.T.ravel())).flatten()
+    return sizes, pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), flat)
+
+
+def text_bytes(offsets: np.ndarray, indices: pa.Array, size: np.ndarray, lists: pa.ListArray) -> list[bytes]:
+    """Id bytes of each text, from its words' places among the different words."""
+    data = memoryview(lists.take(indices).flatten().to_numpy()).cast("B")
+    chosen = indices.to_numpy()
+    ends = np.concatenate(([0], np.cumsum(size[chosen] if len(chosen) else size[:0])))
+    cut = (4 * ends[offsets - offsets[0]]).tolist()
+    return [bytes(data[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+
+
 class Encoder:
     """Texts -> id bytes. One per Python worker and file; see encoder()."""
 
@@ -128,8 +164,7 @@ class Encoder:
         self.odd = odd_pattern(self.rule, [t["content"] for t in spec.get("added_tokens", [])])
         self.tokenizer = load(path)
         self.model = self.tokenizer.model
-        names = {b: c for c, b in byte_names().items()}
-        self.names = {k: "".join(names[b] for b in chr(k).encode()) for k in [32, *range(0xC0, 0x100)]}
+        self.names = latin_names()
         self.memo = Memo(self._part)
 
     def _whole(self, text: str) -> bytes:
@@ -143,21 +178,9 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
 
     def _ids(self, words: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
-        """Number of ids, and the ids, of each of the different words. A word of letters and marks is looked up as such, so that its
-        other forms find it."""
-        split = pc.extract_regex(words, SPLIT)
-        lead, letters, marks = (split.field(k) for k in range(3))
-        if self.rule == "words":
-            letters = pc.utf8_lower(letters)
-        found = split.is_valid()
-        parts = pa.concat_arrays([pc.if_else(found, lead, ""), pc.if_else(found, letters, words), pc.if_else(found, marks, "")]).dictionary_encode()
-        ids = list(map(self.memo.__getitem__, parts.dictionary.to_pylist()))
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.uint32)))
-        at = parts.indices.to_numpy().reshape(3, -1)
-        sizes = size[at].sum(0)
-        flat = lists.take(pa.array(at.T.ravel())).flatten()
-        return sizes, pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), flat)
+        """Number of ids, and the ids, of each of the different words."""
+        parts, at = word_parts(words, self.rule)
+        return gathered(list(map(self.memo.__getitem__, parts)), at)
 
     def __call__(self, text: str | None) -> bytes:
         return self.many(pa.array([text], pa.string()))[0]
@@ -170,12 +193,7 @@ class Encoder:
             parts = parts_of(pc.if_else(odd, "", some), self.rule)
             words = parts.flatten().dictionary_encode()
             size, lists = self._ids(words.dictionary)
-            chosen = words.indices.to_numpy()
-            data = memoryview(lists.take(words.indices).flatten().to_numpy()).cast("B")
-            ends = np.concatenate(([0], np.cumsum(size[chosen] if len(chosen) else size[:0])))
-            offsets = parts.offsets.to_numpy()
-            cut = (4 * ends[offsets - offsets[0]]).tolist()
-            found = [bytes(data[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+            found = text_bytes(parts.offsets.to_numpy(), words.indices, size, lists)
             for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
                 found[k] = self._whole(some[k].as_py())
             out += found

@@ -2,6 +2,7 @@ import hashlib
 import random
 from array import array
 
+import pyarrow as pa
 import pytest
 
 from tagloom.llm import bpe, tokens
@@ -30,6 +31,7 @@ def test_equals_the_library(both, tiny):
         decoded = library.decode(found.ids, skip_special_tokens=False)
         assert own.ids(text) == found.ids
         assert own.decode(found.ids) == decoded
+        assert own.all_digests(pa.array([text, None])) == [own.digests(text), own.digests("")]
         assert own.digests(text) == (len(found.ids), sha(array("I", found.ids).tobytes()), sha(decoded.encode()))
 
 
