@@ -5,6 +5,7 @@ Nested tag sets are array<struct<tag_name, tag_count>>; null and empty both mean
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -159,3 +160,23 @@ def from_origin(df: DataFrame, countries: DataFrame, continents: DataFrame, rule
     found = df.withColumn("part", last).join(whole, "origin", "left").join(part, "part", "left")
     named = found.withColumn("country", F.coalesce("c1", "c2", ruled, "part")).drop("part", "c1", "c2")
     return named.join(continents, "country", "left")
+
+
+def matching(df: DataFrame, pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The kept columns, then those whose name matches a pattern."""
+    return df.select(*keep, *(c for c in df.columns if c not in keep and re.search(pattern, c)))
+
+
+def prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """All columns but the kept ones renamed with a prefix."""
+    return df.withColumnsRenamed({c: f"{prefix}{c}" for c in df.columns if c not in keep})
+
+
+def moved_first(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*columns, *(c for c in df.columns if c not in columns))
+
+
+def long_scores(df: DataFrame, keys: list[str], columns: list[str], prefix: str = "") -> DataFrame:
+    """Score columns as rows (tag_name, tag_count), names less their prefix; unknown scores go."""
+    long = df.select(*keys, *columns).unpivot(keys, columns, "tag_name", "tag_count")
+    return long.withColumn("tag_name", F.regexp_replace("tag_name", f"^{re.escape(prefix)}", "")).where("tag_count is not null")

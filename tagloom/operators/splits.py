@@ -94,3 +94,48 @@ def distribution(rows: DataFrame, cat: str = "cat") -> DataFrame:
 def summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean, sample deviation, least, most and count per group."""
     return rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("least"), F.max(value).alias("most"), F.count(value).alias("n"))
+
+
+def split_by_artist(tracks: DataFrame, train_fraction: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Strata by popularity and year, a split of the artists within them, and the tracks of both sides."""
+    return split_tracks(tracks, stratified_split(artist_strata(tracks), train_fraction, seed))
+
+
+def restricted(external: DataFrame, first: DataFrame, second: DataFrame, least: int = 10) -> DataFrame:
+    """Rows of an external long table whose tag is common to its own rows in two sets of tracks."""
+    part = lambda tracks: external.join(tracks.select("track").distinct(), "track", "left_semi")
+    return external.join(common_tags(part(first), part(second), least), "tag_name", "left_semi")
+
+
+def proportional_sample(rows: DataFrame, by: str, key: str, n: int, least: int = 1, seed: int = 42) -> DataFrame:
+    """About n rows, as many of each group as its share (at least `least`), lowest hashes first: a sampling operator."""
+    sizes = rows.groupBy(by).agg(F.count("*").alias("__n"))
+    total = rows.agg(F.count("*").alias("__total"))  # one row
+    quota = sizes.crossJoin(total).select(F.col(by).alias("__by"), F.greatest(F.lit(least), F.round(F.col("__n") * n / F.col("__total"))).alias("__quota"))
+    place = F.row_number().over(W.partitionBy(by).orderBy(portable_hash(F.col(key), seed), key))
+    return rows.withColumn("__place", place).join(quota, F.col(by).eqNullSafe(F.col("__by"))).where("__place <= __quota").select(rows.columns)
+
+
+def constant_columns(rows: DataFrame, columns: list[str]) -> list[str]:
+    """Columns with fewer than two different values; one pass over all of them."""
+    found = rows.agg(*(F.min(c).alias(f"{k}_a") for k, c in enumerate(columns)), *(F.max(c).alias(f"{k}_b") for k, c in enumerate(columns))).first()
+    return [c for k, c in enumerate(columns) if found[f"{k}_a"] == found[f"{k}_b"]]
+
+
+def without_constants(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.drop(*constant_columns(rows, columns))
+
+
+def repeated_folds(rows: DataFrame, folds: int, repeats: int, most: int, seed: int = 42) -> DataFrame:
+    """capped_folds for several seeds, with the repeat's number."""
+    out = None
+    for k in range(repeats):
+        one = capped_folds(rows, folds, most, seed + k).withColumn("repeat", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def split_table(folds: DataFrame, cat: str = "cat") -> DataFrame:
+    """split_type, split_id, cat of folds(track, artist, fold, cat): each fold's own rows are its test part, all others its training part."""
+    ids = folds.select(F.col("fold").alias("split_id")).distinct()
+    return folds.crossJoin(F.broadcast(ids)).select(F.when(F.col("fold") == F.col("split_id"), "test").otherwise("train").alias("split_type"), "split_id", F.col(cat).alias("cat"))
