@@ -40,7 +40,8 @@ def co_occurrence(p: DataFrame) -> DataFrame:
     first = track.select("v", F.posexplode("v").alias("i", "x"))
     pair = first.select("x", F.explode(F.slice("v", F.col("i") + 2, F.size("v"))).alias("y"))
     half = pair.groupBy(F.col("x.tag").alias("a"), F.col("y.tag").alias("b")).agg(F.sum(F.col("x.p") * F.col("y.p")).alias("s"))
-    return half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
+    both = F.explode(F.array(F.struct("a", "b", "s"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "s")))
+    return half.select(both.alias("x")).select("x.*")
 
 
 def joint(p: DataFrame) -> DataFrame:
