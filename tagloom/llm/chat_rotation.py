@@ -4,11 +4,12 @@ In a rotation the chosen speaker is the assistant, every other speaker is a name
 turns. A row is one turn of one rotation: the rendered segment, its character offset in the rotation's whole text, and
 the span that the loss mask selects (the assistant's text and its end mark). Concatenating the segments by position gives
 the dialogue; no dialogue is ever gathered in one row, so a conversation may hold any share of the table.
-Offsets are prefix sums in two levels: blocks of BLOCK turn numbers, then within each block.
+Offsets are prefix sums in two levels: blocks of BLOCK turn numbers, then within each block; they need lengths only, so
+the texts move once, when they meet their places.
 
 Defined cases: a null role speaks as "unknown"; null text is empty; null turns come first; equal turns are ordered by role
-and text; repeated rows are repeated turns; a conversation of system turns only has one rotation without assistant turns,
-whose perspective is null; null conv_ids form one conversation.
+and a hash of the text; repeated rows are repeated turns; a conversation of system turns only has one rotation without assistant turns,
+whose perspective is null; null conv_ids form one conversation. The input must be a stored table: its rows are numbered by it.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ BLOCK = 1024
 def rotations(turns: DataFrame) -> DataFrame:
     """conv_id, perspective, turn, position, role, segment, start, mask_start, mask_length (0: nothing learned)."""
     speaker = F.coalesce("role", F.lit("unknown"))
-    clean = turns.select(
-        "conv_id", "turn", speaker.alias("speaker"), F.coalesce("text", F.lit("")).alias("text"),
+    text = F.coalesce("text", F.lit(""))
+    numbered = turns.select(F.monotonically_increasing_id().alias("row"), "conv_id", "turn", speaker.alias("speaker"), text.alias("text"))
+    clean = numbered.select(
+        "row", "conv_id", "turn", "speaker", F.char_length("text").alias("chars"), F.xxhash64("text").alias("tie"),
         F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK).alias("block"),
     )
     # one row per conversation and participant; conversations without any keep one row with a null perspective
@@ -40,26 +43,27 @@ def rotations(turns: DataFrame) -> DataFrame:
     header = F.when(F.col("speaker") == SYSTEM, F.lit(f"{START}system\n")).when(own, F.lit(f"{START}assistant\n")).otherwise(F.concat(F.lit(f"{START}user name="), "speaker", F.lit("\n")))
     rows = (
         clean.join(views, F.col("conv_id").eqNullSafe(F.col("v_conv")))
-        .select("conv_id", "perspective", "turn", "block", "speaker", "text", header.alias("header"), own.alias("own"))
-        .select("*", (F.char_length("header") + F.char_length("text") + len(END)).cast("long").alias("length"))
+        .select("row", "conv_id", "perspective", "turn", "block", "speaker", "chars", "tie", header.alias("header"), own.alias("own"))
+        .select("*", (F.char_length("header") + F.col("chars") + len(END)).cast("long").alias("length"))
     )
     group = ["conv_id", "perspective"]
-    sums = rows.groupBy(*group, "block").agg(F.sum("length").alias("chars"), F.count("*").alias("n"))
+    sums = rows.groupBy(*group, "block").agg(F.sum("length").alias("total"), F.count("*").alias("n"))
     before = W.partitionBy(*group).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     base = sums.select(
         *(F.col(c).alias(f"b_{c}") for c in [*group, "block"]),
-        F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("chars_before"),
+        F.coalesce(F.sum("total").over(before), F.lit(0)).alias("chars_before"),
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"),
     )
     same = F.col("block") == F.col("b_block")
     for c in group:
         same &= F.col(c).eqNullSafe(F.col(f"b_{c}"))
-    order = W.partitionBy(*group, "block").orderBy("turn", "speaker", "text")
+    order = W.partitionBy(*group, "block").orderBy("turn", "speaker", "tie", "row")
     inside = order.rowsBetween(W.unboundedPreceding, -1)
     start = F.col("chars_before") + F.coalesce(F.sum("length").over(inside), F.lit(0))
     placed = rows.join(base, same).select("*", start.alias("start"), (F.col("n_before") + F.row_number().over(order)).alias("position"))
-    learned = F.char_length("text") + len(END) - 1
-    return placed.select(
+    texts = numbered.select(F.col("row").alias("t_row"), "text")
+    learned = F.col("chars") + len(END) - 1
+    return placed.join(texts, F.col("row") == F.col("t_row")).select(
         "conv_id", "perspective", "turn", "position", F.col("speaker").alias("role"), F.concat("header", "text", F.lit(END)).alias("segment"), "start",
         (F.col("start") + F.char_length("header")).alias("mask_start"),
         F.when(F.col("own"), learned).otherwise(0).cast("long").alias("mask_length"),
