@@ -195,9 +195,18 @@ def paths_mapping(parents: DataFrame, tags: DataFrame, folded: list[str]) -> Dat
     """The mapping of a folded set by following parents until a category that isn't folded; for small graphs.
 
     As many joins as there are folded tags are enough, since no path visits one twice."""
+    step = parents.where(F.col("child").isin(folded)).toDF("child", "parent", "share")
     now = tags.select("tag", F.col("tag").alias("cat"), F.lit(1.0).alias("w"))
     for _ in folded:
-        stay = now.where(~F.col("cat").isin(folded))
-        on = now.where(F.col("cat").isin(folded)).join(parents.toDF("child", "parent", "share"), F.col("cat") == F.col("child")).select("tag", F.col("parent").alias("cat"), (F.col("w") * F.col("share")).alias("w"))
-        now = stay.unionByName(on).groupBy("tag", "cat").agg(F.sum("w").alias("w"))
+        on = now.join(step, F.col("cat") == F.col("child"), "left")
+        moved = on.select("tag", F.coalesce("parent", "cat").alias("cat"), (F.col("w") * F.coalesce("share", F.lit(1.0))).alias("w"))
+        now = moved.groupBy("tag", "cat").agg(F.sum("w").alias("w"))
     return now
+
+
+def local(df: DataFrame, most: int = MOST_TAGS) -> DataFrame:
+    """A small table brought to the driver and back, so that what it comes from runs once."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return df.sparkSession.createDataFrame(rows, df.schema)

@@ -302,7 +302,8 @@ def _folded(spark: SparkSession, d: str, places: tuple[int, ...]) -> list[str]:
 
 def _mapping(spark: SparkSession, d: str, places: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
     p, graph = _types(spark, d)
-    return fold.paths_mapping(dag.parent_weights(graph), p.select("tag").distinct(), _folded(spark, d, places))
+    parents = fold.local(dag.parent_weights(graph))  # pairs of six tags
+    return fold.local(fold.paths_mapping(parents, p.select("tag").distinct(), _folded(spark, d, places)))
 
 
 def _fold(spark: SparkSession, d: str, part: str, tag: str = "p_type") -> DataFrame:
