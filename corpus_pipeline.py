@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import exact_dedup, mil_classifier, packing, simhash, substring_dedup
+from tagloom.llm import exact_dedup, mil_classifier, packing, similar, substring_dedup
 from tagloom.llm.common import fresh_path
 from tagloom.llm.tokens import tokenizer_path
 
@@ -23,8 +23,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component of near-duplicates."""
-    return simhash.drop_near_duplicates(docs)
+    """Keep one document of each component of near-duplicates: 5-word shingles, a similarity of 0.8 or more."""
+    return similar.drop_near_duplicates(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
