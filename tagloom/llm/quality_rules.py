@@ -48,7 +48,7 @@ def repeated_words(words: str) -> Column:
 def base_metrics(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the metrics of the whole texts."""
     text = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("t")).withColumn("w", words_of(F.col("t")))
-    lines = F.expr("filter(split(t, '\\n', -1), l -> length(trim(' \\t\\u000B\\f\\r', l)) > 0)")
+    lines = F.expr("filter(split(t, '\\n', -1), l -> length(trim(' \\t\\u000B\\u000C\\r', l)) > 0)")
     counted = text.select(
         "doc_id", "lang", "source",
         F.size("w").cast("long").alias("n_words"),

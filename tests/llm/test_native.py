@@ -56,6 +56,13 @@ def test_metrics(request, table):
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.kept and r.base_failed)
 
 
+def test_lines_of_f_and_of_form_feeds(spark):
+    """The letter f is a word; a form feed is a blank."""
+    docs = spark.createDataFrame([(1, "f\nf\nff\nff\nx", "en", "a"), (2, "x\n\f\n\f\n \f\ny", "en", "a"), (3, "\f", "en", "a")], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.n_dup_lines, r.n_lines) for r in quality_rules.base_metrics(docs).collect()}
+    assert got == {1: (2, 5), 2: (0, 2), 3: (0, 0)}
+
+
 def test_thresholds_follow_source_and_language(spark):
     """A symbol-heavy source isn't dropped for what is usual in it; the same text is in another one."""
     clean = " ".join(f"word{k}" for k in range(40))
