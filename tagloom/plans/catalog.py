@@ -125,6 +125,21 @@ def nested_artist_union(spark, d):
     return ingest.unpack_tags(ingest.combine_artist_tags(tracks_, artists)).select("track", "tag_name", "tag_count")
 
 
+@query("""
+WITH s AS (SELECT DISTINCT l_orderkey AS track, l_suppkey AS id FROM lineitem),
+a AS (SELECT s_suppkey AS id, 'nation ' || s_nationkey AS g FROM supplier WHERE s_acctbal >= 0 UNION ALL SELECT s_suppkey, CASE WHEN s_acctbal < 5000 THEN 'low' ELSE 'high' END FROM supplier WHERE s_acctbal >= 0)
+SELECT track, g AS tag_name, CAST(count(*) AS DOUBLE) AS tag_count FROM s JOIN a USING (id) GROUP BY 1, 2
+""")
+def nested_artist_union_all(spark, d):
+    """As nested_artist_union, over every order; suppliers in debt are the unknown artists."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("track"), "l_suppkey").distinct()
+    tracks_ = lines.groupBy("track").agg(F.collect_list(F.struct(F.col("l_suppkey").alias("id"))).alias("artists"))
+    genre = lambda x: F.struct(x.alias("genre"))
+    level = F.when(F.col("s_acctbal") < 5000, "low").otherwise("high")
+    artists = table(spark, d, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("artist_id"), F.array(genre(level), genre(F.concat(F.lit("nation "), "s_nationkey"))).alias("genres"))
+    return ingest.unpack_tags(ingest.combine_artist_tags(tracks_, artists)).select("track", "tag_name", "tag_count")
+
+
 @query("""
 WITH x AS (SELECT o_orderkey AS track, list(l_suppkey ORDER BY l_linenumber, l_suppkey) AS ids FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
 SELECT track, o_totalprice AS ab_price, array_to_string(ids, ';') AS track_artist_ids, CAST(len(ids) AS INT) AS n_track_artists, o_orderpriority || '; ' || o_orderstatus AS album_style_text,
