@@ -64,13 +64,16 @@ def root_of(edges: DataFrame) -> str:
 
 
 def levels(edges: DataFrame, root: str, most: int = 1000) -> DataFrame:
-    """tag_name, hierarchy_level: fewest edges to the root, which has 0; breadth first, one small job a level."""
+    """tag_name, hierarchy_level: fewest edges to the root, which has 0; breadth first, one small job a level.
+    A vertex at most or more edges away is an error."""
     spark = edges.sparkSession
     seen = frontier = spark.createDataFrame([(root, 0)], "tag_name string, hierarchy_level int")
-    for level in range(1, most):
+    for level in range(1, most + 1):
         frontier = edges.join(frontier.select(F.col("tag_name").alias("to_tag")), "to_tag", "left_semi").select(F.col("from_tag").alias("tag_name"), F.lit(level).alias("hierarchy_level")).distinct().join(seen, "tag_name", "left_anti").persist()
         if frontier.isEmpty():
             break
+        if level == most:
+            raise ValueError(f"vertices at {most} or more edges from {root}")
         seen = seen.unionByName(frontier)
     return seen
 

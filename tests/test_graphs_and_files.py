@@ -189,3 +189,10 @@ def test_local_minimum_and_suggestion(spark):
     assert tree_fold.suggested(found, 3, 5).first().n_metagenres == 4
     assert tree_fold.suggested(found, 7, 9).first().n_metagenres == 4
     assert tree_fold.suggested(found, 1, 2).count() == 0
+
+
+def test_levels_beyond_the_bound_are_an_error(spark):
+    chain = spark.createDataFrame([(str(k + 1), str(k), 1.0) for k in range(4)], "from_tag string, to_tag string, weight double")
+    with pytest.raises(ValueError):
+        graphs.levels(chain, "0", most=4)
+    assert {r.tag_name: r.hierarchy_level for r in graphs.levels(chain, "0", most=5).collect()} == {str(k): k for k in range(5)}
