@@ -10,8 +10,9 @@ their own, since no merge crosses a border between final tokens.)
 This holds for a merge list in which every product is new and made of earlier products, which is checked; for another list the
 lookahead is unbounded and words are held whole.
 
-Normalisation and the split into words are the tokenizer file's own, through the library; words recur, so finished ones are
-remembered in a memo of bounded size.
+Normalisation and the split into words are the tokenizer file's own, through the library. A text is read in pieces that end at a
+blank between two letters, where every such rule has a border, so they too hold a bounded part of it. Words recur, so ids of
+finished ones are remembered in a memo of bounded size; each document's ids are decoded as they come.
 
 Defined cases: null is the empty text, whose ids and decoded text are empty; special tokens in a text give their ids; bytes that
 don't form a character decode to U+FFFD as the library has it; repeated rows each give a row.
@@ -22,6 +23,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -30,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from tagloom.llm.common import releasing
 from tagloom.llm.tokens import LATIN, Memo, byte_names, gathered, latin_names, load, odd_pattern, part_rule, parts_of, sliced, text_bytes, tokenizer_path, word_parts
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -37,6 +40,18 @@ UNBOUNDED = 1 << 60
 TOKEN_BITS = 24
 TOKEN_MASK = (1 << TOKEN_BITS) - 1
 NO_RULE = 1 << 62
+#: Characters of a piece of a text, up to the next place where it may end: before a blank between two letters.
+PIECE = 1 << 18
+PIECE_END = re.compile(r"(?<=[A-Za-z])[ \n](?=[A-Za-z])")
+
+
+def pieces_of(text: str, most: int = PIECE) -> Iterator[str]:
+    """The text in pieces of about `most` characters whose ids, joined, are its own. One without a blank stays whole."""
+    at = 0
+    while len(text) - at > most and (end := PIECE_END.search(text, at + most)):
+        yield text[at : end.start()]
+        at = end.start()
+    yield text[at:]
 
 
 class MergeList:
@@ -143,6 +158,8 @@ class StreamingBpe:
         self.vocab = model["vocab"]
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.specials.items()}
         self.byte_level = (spec.get("decoder") or {}).get("type") == "ByteLevel"
+        if any(re.search(r"\s", s) for s in self.specials):
+            raise ValueError("special tokens with blanks are not read")
         self.memo, self.words = Memo(self._part), Memo(self._remembered, 50_000)
 
     def _symbols(self, word: str) -> Iterator[int]:
@@ -178,74 +195,118 @@ class StreamingBpe:
     def ids(self, text: str) -> list[int]:
         return [i for piece in self.pieces(text) for i in piece]
 
-    def _part(self, part: str) -> tuple[bytes, str]:
-        """Id bytes of a part of a word, and its decoded text after a space; a text's are joined from them."""
+    def _part(self, part: str) -> bytes:
+        """Id bytes of a part of a word; a text's are joined from them."""
         # letters alone are one word, and normalised: word_parts has them in lower case
-        ids = self.word(part.translate(self.byte_text)) if LATIN.fullmatch(part) else self._plain(part)
-        return array("I", ids).tobytes(), f" {self.decode(ids)}" if ids else ""
+        return array("I", self.word(part.translate(self.byte_text)) if LATIN.fullmatch(part) else self._plain(part)).tobytes()
+
+    def decoder(self) -> ByteDecoder | SpacedDecoder:
+        return ByteDecoder(self) if self.byte_level else SpacedDecoder(self)
 
     def decode(self, ids: Iterable[int]) -> str:
-        machine = ByteDecoder(self) if self.byte_level else SpacedDecoder(self)
-        return "".join([*map(machine.step, ids), machine.close()])
+        machine = self.decoder()
+        return machine.feed(ids) + machine.close()
 
-    def digests(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of their bytes and of the decoded text."""
-        ids = self.ids(text)
-        return len(ids), hashlib.sha256(array("I", ids).tobytes()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()
+    def digests(self, pieces: Iterable[str]) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of their bytes and of the decoded text, of one text in pieces."""
+        state = Digests(self)
+        for piece in pieces:
+            for ids in self.pieces(piece):
+                state.feed(array("I", ids).tobytes())
+        return state.close()
 
     def all_digests(self, texts: pa.Array) -> list[tuple[int, str, str]]:
-        """digests of each text. Where words stand for themselves, each different part of them is encoded and decoded once."""
-        if self.rule != "words" or self.byte_level:  # decoded parts can be joined only if a space stands between tokens
-            return [self.digests(t or "") for t in texts.to_pylist()]
-        out = []
-        for _, some in sliced(texts):
-            odd = pc.match_substring_regex(some, self.odd)
-            cut = parts_of(pc.if_else(odd, "", some), self.rule)
+        """digests of each text. Where words stand for themselves, each different part of them is encoded once a slice."""
+        if self.rule != "words":
+            return [self.digests(pieces_of(t or "")) for t in texts.to_pylist()]
+        states: list[Digests | None] = [None] * len(texts)
+        out: list[tuple[int, str, str]] = [(0, "", "")] * len(texts)
+
+        def feed(of: int, last: bool, ids: bytes) -> None:
+            state = states[of] = states[of] or Digests(self)
+            state.feed(ids)
+            if last:
+                out[of], states[of] = state.close(), None
+
+        for of, last, pieces in self._pieces(pc.fill_null(texts, "")):
+            odd = pc.match_substring_regex(pieces, self.odd)
+            cut = parts_of(pc.if_else(odd, "", pieces), self.rule)
             words = cut.flatten().dictionary_encode()
             offsets = cut.offsets.to_numpy() - cut.offsets[0].as_py()
             names, at = word_parts(words.dictionary, self.rule)
-            pairs = list(map(self.memo.__getitem__, names))
-            size, lists = gathered([a for a, _ in pairs], at)
+            size, lists = gathered(list(map(self.memo.__getitem__, names)), at)
             ids = text_bytes(offsets, words.indices, size, lists)
-            piece = pa.array([b for _, b in pairs], pa.string())  # a space, then the decoded text
-            word = pc.binary_join_element_wise(*(piece.take(pa.array(k)) for k in at), "")
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), word.take(words.indices)), "")
-            found = [(len(a) // 4, hashlib.sha256(a).hexdigest(), hashlib.sha256(memoryview(b.as_buffer())[1:]).hexdigest()) for a, b in zip(ids, joined, strict=True)]
             for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
-                found[k] = self.digests(some[k].as_py())
-            out += found
+                ids[k] = array("I", self.ids(pieces[k].as_py())).tobytes()
+            for k, x in enumerate(ids):
+                feed(of[k], last[k], x)
         return out
 
+    @staticmethod
+    def _pieces(texts: pa.Array) -> Iterator[tuple[list[int], list[bool], pa.Array]]:
+        """Slices of pieces of the texts in order: each one's text, whether it is that text's last, and the pieces."""
+        for lo, some in sliced(texts):
+            long = pc.greater(pc.utf8_length(some), PIECE).to_numpy(zero_copy_only=False)
+            at = 0
+            for k in [*np.flatnonzero(long).tolist(), len(some)]:
+                if k > at:
+                    yield list(range(lo + at, lo + k)), [True] * (k - at), some.slice(at, k - at)
+                if k < len(some):
+                    text = None
+                    for piece in pieces_of(some[k].as_py(), PIECE):
+                        if text is not None:
+                            yield [lo + k], [False], pa.array([text], some.type)
+                        text = piece
+                    yield [lo + k], [True], pa.array([text], some.type)
+                at = k + 1
+
+
+class Digests:
+    """Of one text: ids in, their number and digest and that of the decoded text out. Holds neither ids nor text."""
+
+    def __init__(self, bpe: StreamingBpe):
+        self.n, self.ids, self.text, self.machine = 0, hashlib.sha256(), hashlib.sha256(), bpe.decoder()
+
+    def feed(self, ids: bytes) -> None:
+        self.n += len(ids) // 4
+        self.ids.update(ids)
+        self.text.update(self.machine.feed(array("I", ids)).encode())
+
+    def close(self) -> tuple[int, str, str]:
+        self.text.update(self.machine.close().encode())
+        return self.n, self.ids.hexdigest(), self.text.hexdigest()
+
 
 class SpacedDecoder:
-    """For files without a decoder: tokens' own names, a space between two."""
+    """For files without a decoder: tokens' own names, a space between two. Its state is whether there was one before."""
 
     def __init__(self, bpe: StreamingBpe):
         self.names, self.begun = bpe.names, False
 
-    def step(self, token: int) -> str:
-        text = self.names[token]
-        if self.begun:
-            return f" {text}"
-        self.begun = True
-        return text
+    def feed(self, ids: Iterable[int]) -> str:
+        text = " ".join(map(self.names.__getitem__, ids))
+        if not text:  # no token has an empty name
+            return ""
+        lead, self.begun = " " if self.begun else "", True
+        return lead + text
 
     def close(self) -> str:
         return ""
 
 
 class ByteDecoder:
-    """Bytes of tokens to text: holds only the bytes of a character that isn't complete yet."""
+    """Bytes of tokens to text. Its state is the bytes of a character that isn't complete yet."""
 
     def __init__(self, bpe: StreamingBpe):
         self.names, self.bytes = bpe.names, byte_names()
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def step(self, token: int) -> str:
+    def _bytes(self, token: int) -> bytes:
         name = self.names[token]
-        if all(c in self.bytes for c in name):
-            return self.utf8.decode(bytes(self.bytes[c] for c in name))
-        return self.utf8.decode(name.encode())
+        return bytes(self.bytes[c] for c in name) if all(c in self.bytes for c in name) else name.encode()
+
+    def feed(self, ids: Iterable[int]) -> str:
+        return self.utf8.decode(b"".join(map(self._bytes, ids)))
 
     def close(self) -> str:
         return self.utf8.decode(b"", True)
@@ -270,7 +331,7 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
             n, ids, decoded = zip(*bpe.all_digests(batch.column(1)), strict=True) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

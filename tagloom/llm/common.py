@@ -1,11 +1,15 @@
-"""What the operators of this subpackage share: white space, shared tables, row keys."""
+"""What the operators of this subpackage share: white space, shared tables, row numbers, filters."""
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import json
 import tempfile
 import uuid
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,8 +64,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir(spark.sparkContext.applicationId)
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+@functools.cache
+def _folder(app: str, shared: str) -> str:
+    """This application's folder, which goes when the application ends."""
+    path, spark = f"{shared}/tagloom-{app}", SparkSession.active()
+    fs, at = _file_system(spark, path)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_folder(spark.sparkContext.applicationId, shared_dir(spark))}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -69,7 +88,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove what stored() wrote, once nothing reads it any more."""
+    for df in tables:
+        fs, at = _file_system(df.sparkSession, df.stored_at)
+        fs.delete(at, True)
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -80,6 +113,92 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Files whose row counts one broadcast holds: 16 bytes each.
+MOST_FILES = 1 << 20
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether df is one scan of files, at most projected: then a file's name and a place in it name a row."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
+def numbered(docs: DataFrame, most_files: int = MOST_FILES) -> tuple[DataFrame, str]:
+    """docs with a last column of row numbers, from 0 without gaps, and that column's name.
+
+    A number is the row's place in its file after the rows of the files before (by a hash of their names), so every scan of the
+    result gives a row the same number, however the scan is split. What isn't a scan of Parquet files, or is one of more than
+    most_files, is written once, and the rows of that table are numbered.
+    """
+    name = free_name(docs, "row")
+    if is_scan(docs):
+        meta = docs.metadataColumn("_metadata")
+        file, place = F.xxhash64(meta["file_path"]), meta["row_index"]
+        try:
+            of_file = docs.groupBy(file.alias("file"), meta["file_path"].alias("path")).agg((F.max(place) + 1).alias("n"))
+        except AnalysisException:  # no Parquet table
+            of_file = None
+        rows = of_file.select("file", "n").limit(most_files + 1).collect() if of_file is not None else None
+        if rows is not None and len(rows) <= most_files and len({r.file for r in rows}) == len(rows):
+            bases, at = [], 0
+            for r in sorted(rows, key=lambda r: r.file):
+                bases.append({"file": r.file, "base": at})
+                at += r.n
+            # at most most_files rows of 16 bytes; a literal, so that no executor runs Python for it
+            table = docs.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(bases)), "array<struct<file:long,base:long>>")).alias("x"))
+            of, index = free_name(docs, "__file"), free_name(docs, "__index")
+            base = table.select(F.col("x.file").alias(of), F.col("x.base").alias("__base"))
+            placed = docs.select("*", file.alias(of), place.alias(index)).join(F.broadcast(base), of)
+            return placed.select(*(F.col(quoted(c)) for c in docs.columns), (F.col("__base") + F.col(index)).alias(name)), name
+    return numbered(stored(docs.coalesce(max(1, most_files // 2)) if is_scan(docs) else docs, "rows"), most_files)
+
+
+def only_rows(docs: DataFrame, name: str, rows: DataFrame) -> DataFrame:
+    """docs, numbered in the column `name`, less that column and all rows whose number isn't in rows(row)."""
+    return docs.join(rows.select(F.col("row").alias(name)), name, "left_semi").drop(name)
+
+
+#: Bytes of the largest filter that is broadcast.
+MOST_FILTER_BYTES = 64 << 20
+#: Bits that one row of a filter holds (fixed by bitmap_construct_agg).
+BITMAP_BITS = 32768
+
+
+def filter_bits(n: int) -> int:
+    """Bits of a filter of n keys: 16 to 31 for each, a power of two."""
+    return max(BITMAP_BITS, 1 << (16 * max(n, 1)).bit_length())
+
+
+def key_filter(keys: DataFrame, key: str, n: int) -> DataFrame:
+    """bucket, bits: one bit for the hash of each of the n keys."""
+    bit = F.xxhash64(key).bitwiseAND(F.lit(filter_bits(n) - 1))
+    return keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(BITMAP_BITS - 1))).alias("bits"))
+
+
+def flagged(rows: DataFrame, key: str, bitmaps: DataFrame, n: int, flag: str) -> DataFrame:
+    """rows with a boolean column: whether the key's bit is set in a filter of n keys. Nearly all other keys' bits aren't."""
+    bit, bucket, bits = "__bit", "__bucket", "__bits"
+    small = filter_bits(n) // 8 <= MOST_FILTER_BYTES
+    maps = bitmaps.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits))
+    met = rows.withColumn(bit, F.xxhash64(key).bitwiseAND(F.lit(filter_bits(n) - 1))).withColumn(bucket, F.shiftright(bit, 15)).join(F.broadcast(maps) if small else maps, bucket, "left")
+    at = F.col(bit).bitwiseAND(F.lit(BITMAP_BITS - 1))
+    octet = F.conv(F.hex(F.substring(bits, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = octet.bitwiseAND(F.expr(f"shiftleft(1, cast({bit} % 8 as int))")) != 0
+    return met.withColumn(flag, F.coalesce(is_set, F.lit(False))).drop(bit, bucket, bits)
+
+
+def parted(rows: DataFrame, key: str, keys: DataFrame, n: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows whose key may be among the n keys of keys(key), the other rows), so that the others needn't be shuffled to meet them.
+    Where the filter would be too large to broadcast, all rows are in the first part and the second is None."""
+    if filter_bits(n) // 8 > MOST_FILTER_BYTES:
+        return rows, None
+    flag = free_name(rows, "__flag")
+    both = flagged(rows, key, key_filter(keys, keys.columns[0], n), n, flag)
+    return both.where(F.col(flag)).drop(flag), both.where(~F.col(flag)).drop(flag)
+
+
 def join_classes(rows: DataFrame, classes: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """rows joined with their class (one row per key; n: rows of that key). Keys with over a thousandth of all rows, of which
     there are fewer than 1,000, are met by broadcast and never shuffled; the others by a shuffled join."""
@@ -98,7 +217,19 @@ def positional(df: DataFrame) -> DataFrame:
     return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
 
 
-def only_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows of docs whose number (by monotonically_increasing_id, so docs must be a stored table) is in rows(row)."""
-    name = free_name(docs, "row")
-    return docs.withColumn(name, F.monotonically_increasing_id()).join(rows.select(F.col("row").alias(name)), name, "left_semi").drop(name)
+@functools.cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def releasing(run):
+    """run, a function for mapInArrow, that gives its free memory back to the system at its end: workers live on after a task."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return wrapped

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 from array import array
 
 import pyarrow as pa
@@ -31,8 +32,8 @@ def test_equals_the_library(both, tiny):
         decoded = library.decode(found.ids, skip_special_tokens=False)
         assert own.ids(text) == found.ids
         assert own.decode(found.ids) == decoded
-        assert own.all_digests(pa.array([text, None])) == [own.digests(text), own.digests("")]
-        assert own.digests(text) == (len(found.ids), sha(array("I", found.ids).tobytes()), sha(decoded.encode()))
+        assert own.all_digests(pa.array([text, None])) == [own.digests([text]), own.digests([])]
+        assert own.digests([text]) == (len(found.ids), sha(array("I", found.ids).tobytes()), sha(decoded.encode()))
 
 
 def test_decoder_holds_back_incomplete_characters(both):
@@ -55,6 +56,44 @@ def test_memory_is_constant(both):
     assert out + transducer.close() == own.merges.merge(symbols)
 
 
+def test_long_texts_in_pieces(both, monkeypatch):
+    """A text of many pieces has the digests of the whole, whatever stands beside it in the batch."""
+    own, library = both
+    monkeypatch.setattr(bpe, "PIECE", 700)
+    pick = random.Random(2)
+    words = ["Foo", "bar's", "e.g.", "naïve", "x" * 40, "他们", "<|endoftext|>", "ß", "12", "end.\n\nNew", "a\tb"]
+    texts = ["short one", " ".join(pick.choice(words) for _ in range(3000)), None, "e" * 5000, " ".join(pick.choice(words[:2]) for _ in range(900))]
+    assert len(list(bpe.pieces_of(texts[1], 700))) > 3 and "".join(bpe.pieces_of(texts[1], 700)) == texts[1]
+    for text, got in zip(texts, own.all_digests(pa.array(texts)), strict=True):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        want = len(ids), sha(array("I", ids).tobytes()), sha(library.decode(ids, skip_special_tokens=False).encode())
+        assert got == want == own.digests(bpe.pieces_of(text or "", 700))
+
+
+def test_memory_does_not_grow_with_the_text(both):
+    own, _ = both
+    pick = random.Random(9)
+    words = [" " + "".join(pick.choice("abcdeinrst") for _ in range(pick.randrange(2, 9))) for _ in range(500)]
+
+    def peak(pieces):
+        tracemalloc.start()
+        n = own.digests("".join(pick.choice(words) for _ in range(3000)) for _ in range(pieces))[0]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return n, most
+
+    peak(2)  # words are remembered
+    (few, low), (many, high) = peak(3), peak(24)
+    assert many > 6 * few and high < 1.3 * low
+
+
+def test_decoding_in_steps(both):
+    own, library = both
+    ids = library.encode("Naïve 他们 <|endoftext|> 🙂 it's done.", add_special_tokens=False).ids
+    machine = own.decoder()
+    assert "".join([*(machine.feed([i]) for i in ids), machine.close()]) == library.decode(ids, skip_special_tokens=False)
+
+
 def small(merges):
     vocab = {c: k for k, c in enumerate("abcd")}
     for u, v in merges:
