@@ -1,21 +1,26 @@
 """Quality classifier by attention-based multiple-instance learning.
 
 A document is a bag of passages of about PASSAGE_BYTES bytes; only the bag has a label. Every passage is encoded (byte and byte-pair
-frequencies, hashed word shares and a few ratios, then a hidden layer); gated attention weights, learnt from the document labels,
-say how much each passage counts; the score is a logistic function of the weighted passage representation.
+frequencies, a few ratios, and how much its document repeats; then a hidden layer); gated attention weights, learnt from the
+document labels, say how much each passage counts; the score is a logistic function of the weighted passage representation.
 
-Training takes at most MAX_TRAINING labelled rows (those whose doc_id hashes least, so the choice is one and the same on every
-run) out of the rows that aren't held out; it runs on the driver with numpy. Scoring reads every whole text in Arrow batches,
-a bounded number of passages at a time: attention sums are accumulated over parts of a long document.
+Training is a bounded sample: at most MAX_TRAINING labelled rows (those whose doc_id hashes least, so the choice is one and the same
+on every run) out of the rows that aren't held out, of any length, each a bag of at most MAX_BAG passages, spread evenly over the
+whole text. It runs on the driver with numpy, on at most MAX_TRAINING * MAX_BAG * PASSAGE_BYTES bytes (77 MB).
+
+Scoring reads every passage of every whole text in Arrow batches, PASSAGES_HELD at a time: attention sums are accumulated over the
+parts of a long document, and of the word triples that tell how much it repeats the TRIPLES least hashes are kept, which
+counts them exactly up to that number and within a few percent beyond.
 
 Defined cases: null and empty texts are one empty passage and get a score like any other; a row without a label, or with a label
 other than 0 and 1, teaches nothing; repeated labels of one doc_id count by their mean, rounded down; null doc_ids are
-never held out and never learnt from; without labelled rows, or with one class only, the score is that share for all.
+never held out and never learnt from; rows that repeat a doc_id each teach, within the bound; without labelled rows, or with one
+class only, the score is that share for all.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,39 +28,82 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm.common import free_name, positional
+from tagloom.llm.common import free_name, positional, releasing
 
-#: Most labelled rows that training sees (about 3 KB each: 12 MB of texts reach the driver).
-MAX_TRAINING = 4000
-#: Most bytes of one training text; longer texts are left out of training (never out of scoring).
-MAX_TRAINING_BYTES = 20_000
+#: Most labelled rows that training sees, and passages of one of them.
+MAX_TRAINING, MAX_BAG = 4000, 32
 PASSAGE_BYTES = 600
 THRESHOLD = 0.3
 FOLDS = 5
 PAIR_BUCKETS = 256
 HIDDEN, GATE = 24, 12
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.01, 1e-4
-#: Passages whose features are held at once.
-PASSAGES_HELD = 4096
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: Passages whose features are held at once, and hashes of word triples of one document.
+PASSAGES_HELD, TRIPLES = 1024, 1 << 14
+#: Documents under so many bytes have too few words to tell how much they repeat.
+LEAST_BYTES = 64
 N_RATIOS = 8
 N_FEATURES = 128 + PAIR_BUCKETS + N_RATIOS
+_pick = np.random.default_rng(3)
+#: Factors of a word's bytes, by place, and of a triple's words.
+BYTE_FACTORS, WORD_FACTORS = (_pick.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1) for n in (64, 3))
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def passages(data: bytes) -> np.ndarray:
+def passages(n_bytes: int) -> np.ndarray:
     """Borders of the passages of a text: equal parts of about PASSAGE_BYTES."""
-    n = max(1, round(len(data) / PASSAGE_BYTES))
-    return np.linspace(0, len(data), n + 1).astype(np.int64)
-
-
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages of all texts, and the text of each passage."""
-    borders = [passages(t) for t in texts]
-    count = np.array([len(b) - 1 for b in borders])
-    of = np.repeat(np.arange(len(texts)), count)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    size = np.concatenate([np.diff(b) for b in borders])
-    n, total = len(of), len(data)
+    n = max(1, round(n_bytes / PASSAGE_BYTES))
+    return np.linspace(0, n_bytes, n + 1).astype(np.int64)
+
+
+def triples(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of three words of texts that stand one after the other, and the text of each."""
+    where = np.flatnonzero(~BLANK[data])
+    if not len(where):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    of = np.searchsorted(starts, where, "right") - 1
+    first = np.flatnonzero(np.concatenate(([True], (where[1:] != where[:-1] + 1) | (of[1:] != of[:-1]))))
+    place = np.arange(len(where)) - np.repeat(first, np.diff(np.append(first, len(where))))
+    word = np.add.reduceat((data[where].astype(np.uint64) + np.uint64(1)) * BYTE_FACTORS[place % 64], first)
+    text, n = of[first], max(0, len(first) - 2)
+    x = word[:n] * WORD_FACTORS[0] + word[1 : n + 1] * WORD_FACTORS[1] + word[2:] * WORD_FACTORS[2]
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0x9FB21C651E98DF25)
+    x ^= x >> np.uint64(29)
+    same = text[:n] == text[2:]
+    return x[same], text[:n][same]
+
+
+def repeat_share(data: np.ndarray) -> float:
+    """How many of a document's word triples are repeats, from the TRIPLES least different hashes."""
+    if len(data) < LEAST_BYTES:
+        return 0.0
+    least, total, at = np.empty(0, np.uint64), 0, 0
+    while at < len(data):
+        end = min(len(data), at + PASSAGES_HELD * PASSAGE_BYTES)
+        x, _ = triples(data[at:end], np.zeros(1, np.int64))
+        total += len(x)
+        least = np.unique(np.concatenate([least, x]))[: TRIPLES + 1]
+        at = end
+    # beyond TRIPLES, their number follows from how close together the least ones lie
+    different = len(least) if len(least) <= TRIPLES else TRIPLES * 2.0**64 / float(least[TRIPLES])
+    return 1 - min(different, total) / max(1, total)
+
+
+def repeat_shares(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """repeat_share of documents of few words that stand one after the other."""
+    x, of = triples(data, starts)
+    order = np.lexsort((x, of))
+    x, of = x[order], of[order]
+    new = np.concatenate(([True], (x[1:] != x[:-1]) | (of[1:] != of[:-1]))) if len(x) else np.empty(0, bool)
+    different, total = np.bincount(of[new], minlength=len(starts)), np.bincount(of, minlength=len(starts))
+    return np.where(sizes < LEAST_BYTES, 0.0, 1 - different / np.maximum(total, 1))
+
+
+def features(data: np.ndarray, size: np.ndarray, repeat: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Features of passages of `size` bytes each, one after the other in data; of each one's document, its repeat_share and
+    number of passages."""
+    n, total = len(size), len(data)
     where = np.repeat(np.arange(n), size)
     low = np.minimum(data, 127)  # all bytes beyond ASCII are one
     single = np.bincount(where * 128 + low, minlength=n * 128).reshape(n, 128).astype(np.float32)
@@ -66,17 +114,27 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     blank = single[:, [9, 10, 11, 12, 13, 32]].sum(1, keepdims=True)
     upper, lower = single[:, 65:91].sum(1, keepdims=True), single[:, 97:123].sum(1, keepdims=True) + single[:, 127:]
     digit, mark = single[:, 48:58].sum(1, keepdims=True), single[:, 33:48].sum(1, keepdims=True) + single[:, 58:65].sum(1, keepdims=True)
-    # how much of a passage repeats: different 8-byte strings at every 4th place against all of them, per document
-    repeat = np.zeros((n, 1), np.float32)
-    start = np.concatenate(([0], np.cumsum(size)))
-    doc_start = np.concatenate(([0], np.cumsum(count)))
-    for d in range(len(texts)):
-        lo, hi = start[doc_start[d]], start[doc_start[d + 1]]
-        if hi - lo >= 64:
-            words = WORD.findall(texts[d])
-            repeat[doc_start[d] : doc_start[d + 1]] = 1 - len({*zip(words, words[1:], words[2:])}) / max(1, len(words) - 2)  # noqa: B905
-    ratios = np.concatenate([upper / (upper + lower + 1), digit * per, mark * per * 4, blank * per * 2, np.log1p(size)[:, None] / 8, repeat, np.log1p(count[of])[:, None] / 4, (size == 0)[:, None]], 1)
-    return np.concatenate([np.sqrt(single * per) * 2, np.sqrt(double * per) * 2, ratios.astype(np.float32)], 1).astype(np.float32), of
+    ratios = np.concatenate([upper / (upper + lower + 1), digit * per, mark * per * 4, blank * per * 2, np.log1p(size)[:, None] / 8, repeat[:, None], np.log1p(count)[:, None] / 4, (size == 0)[:, None]], 1)
+    return np.concatenate([np.sqrt(single * per) * 2, np.sqrt(double * per) * 2, ratios.astype(np.float32)], 1).astype(np.float32)
+
+
+def features_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all passages of documents of few words, and the document of each passage."""
+    data, sizes = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64)
+    borders = [passages(n) for n in sizes.tolist()]
+    count = np.array([len(b) - 1 for b in borders])
+    of = np.repeat(np.arange(len(texts)), count)
+    repeat = repeat_shares(data, np.cumsum(sizes) - sizes, sizes)
+    return features(data, np.concatenate([np.diff(b) for b in borders]), repeat[of], count[of]), of
+
+
+def parts_of(text: bytes, repeat: float) -> Iterator[np.ndarray]:
+    """Features of the passages of one document, PASSAGES_HELD of them at a time."""
+    data, borders = np.frombuffer(text, np.uint8), passages(len(text))
+    n = len(borders) - 1
+    for lo in range(0, n, PASSAGES_HELD):
+        own = borders[lo : min(n, lo + PASSAGES_HELD) + 1]
+        yield features(data[own[0] : own[-1]], np.diff(own), np.full(len(own) - 1, repeat), np.full(len(own) - 1, n))
 
 
 class Model:
@@ -95,15 +153,30 @@ class Model:
         t, s = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
         return h, t, s, (t * s @ p["w"])[:, 0]
 
-    def score(self, x: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-        """Scores of n documents whose passages are x. Logits of attention are bounded by the gate, so sums need no shift."""
-        if self.constant is not None:
-            return np.full(n, self.constant)
+    def sums(self, x: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Attention weights and weighted codes, summed over the passages x of each of n documents. Logits of attention are
+        bounded by the gate, so the sums need no shift, and those of a document's parts add up."""
         h, _, _, a = self.encode(x)
         weight = np.exp(a)
-        total = np.bincount(of, weight, n)
-        z = np.stack([np.bincount(of, weight * h[:, k], n) for k in range(HIDDEN)], 1) / total[:, None]
-        return 1 / (1 + np.exp(-(z @ self.p["o"] + self.p["b"])[:, 0].astype(np.float64)))
+        return np.bincount(of, weight, n), np.stack([np.bincount(of, weight * h[:, k], n) for k in range(HIDDEN)], 1)
+
+    def outcome(self, total: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Scores from such sums."""
+        return 1 / (1 + np.exp(-(z / total[:, None] @ self.p["o"] + self.p["b"])[:, 0].astype(np.float64)))
+
+    def score(self, x: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        """Scores of n documents whose passages are x."""
+        return np.full(n, self.constant) if self.constant is not None else self.outcome(*self.sums(x, of, n))
+
+    def score_long(self, text: bytes) -> float:
+        """Score of one document, of any length."""
+        if self.constant is not None:
+            return self.constant
+        total, z = np.zeros(1), np.zeros((1, HIDDEN))
+        for x in parts_of(text, repeat_share(np.frombuffer(text, np.uint8))):
+            t, w = self.sums(x, np.zeros(len(x), np.int64), 1)
+            total, z = total + t, z + w
+        return float(self.outcome(total, z)[0])
 
     def gradients(self, x: np.ndarray, of: np.ndarray, n: int, y: np.ndarray, weight_of: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
@@ -122,13 +195,14 @@ class Model:
         d_h = (share * d_z + d_t @ p["V"].T + d_s @ p["U"].T) * (1 - h * h)
         return {"E": ((x - self.mean) / self.scale).T @ d_h, "e": d_h.sum(0), "V": h.T @ d_t, "U": h.T @ d_s, "w": (t * s).T @ d_a, "o": z.T @ d_out, "b": d_out.sum(0)}
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
-        if len(labels) == 0 or labels.min() == labels.max():
-            self.constant = float(labels.mean()) if len(labels) else 0.5
+    def fit(self, x: np.ndarray, of: np.ndarray, labels: np.ndarray, seed: int = 7) -> Model:
+        """Learn from documents with labels, whose passages are x."""
+        n = len(labels)
+        if n == 0 or labels.min() == labels.max():
+            self.constant = float(labels.mean()) if n else 0.5
             return self
-        x, of = features(texts)
         self.mean, self.scale = x.mean(0), x.std(0) + 0.02
-        first = np.searchsorted(of, np.arange(len(texts) + 1))
+        first = np.searchsorted(of, np.arange(n + 1))
         share = labels.mean()
         # the rarer class counts for as much as a quarter of the other: good documents are to be kept
         weight = np.where(labels == 0, max(1.0, 0.25 * share / (1 - share)), max(1.0, 0.25 * (1 - share) / share))
@@ -137,7 +211,7 @@ class Model:
         v = {k: np.zeros_like(a) for k, a in self.p.items()}
         step = 0
         for epoch in range(EPOCHS):
-            order = pick.permutation(len(texts))
+            order = pick.permutation(n)
             for lo in range(0, len(order), BATCH):
                 docs = order[lo : lo + BATCH]
                 rows = np.concatenate([np.arange(first[d], first[d + 1]) for d in docs])
@@ -158,33 +232,66 @@ def bucket(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
+BAGS = "doc_id long, tie long, label int, repeat double, count long, passages binary, sizes binary"
+
+
+def bags(batches):
+    """For mapInArrow: (doc_id, tie, label, text) -> BAGS, with at most MAX_BAG passages of each text, spread evenly over it."""
+    for batch in batches:
+        out = []
+        for text in batch.column(3).to_pylist():
+            data = (text or "").encode()
+            borders = passages(len(data))
+            n = len(borders) - 1
+            chosen = np.unique(np.linspace(0, n - 1, min(n, MAX_BAG)).round().astype(np.int64))
+            sizes = (borders[chosen + 1] - borders[chosen]).astype("<i8")
+            out.append((repeat_share(np.frombuffer(data, np.uint8)), n, b"".join(data[borders[k] : borders[k + 1]] for k in chosen.tolist()), sizes.tobytes()))
+        repeat, count, parts, sizes = zip(*out, strict=True) if out else ((), (), (), ())
+        arrays = [*batch.columns[:3], pa.array(repeat, pa.float64()), pa.array(count, pa.int64()), pa.array(parts, pa.binary()), pa.array(sizes, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=[x.split(" ")[0] for x in BAGS.split(", ")])
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> DataFrame:
-    """text, label of at most `most` labelled rows outside the held-out fold."""
+    """BAGS of at most `most` labelled rows outside the held-out fold."""
     label = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.floor(F.avg("quality")).cast("int").alias("label"))
     some = label.where(bucket(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    # at most MAX_TRAINING ids of 12 bytes are broadcast
-    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_TRAINING_BYTES)
-    return texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    # at most MAX_TRAINING ids of 12 bytes are broadcast; a doc_id that many rows repeat is cut off by the limit
+    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", F.xxhash64("text").alias("tie"), "label", "text")
+    return texts.mapInArrow(releasing(bags), BAGS).orderBy(F.xxhash64("doc_id"), "doc_id", "tie").limit(most)
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> Model:
-    found = training_rows(docs, labels, most).toArrow()
-    rows = sorted(zip(found.column("doc_id").to_pylist(), found.column("text").to_pylist(), found.column("label").to_pylist(), strict=True))[: 2 * most]
-    return Model().fit([t.encode() for _, t, _ in rows], np.array([y for _, _, y in rows], np.float64))
+    rows = training_rows(docs, labels, most).toArrow().sort_by([("doc_id", "ascending"), ("tie", "ascending")]).to_pylist()
+    sizes = [np.frombuffer(r["sizes"], "<i8") for r in rows]
+    of = np.repeat(np.arange(len(rows)), [len(x) for x in sizes])
+    if not rows:
+        return Model().fit(np.empty((0, N_FEATURES), np.float32), of, np.empty(0))
+    data = np.frombuffer(b"".join(r["passages"] for r in rows), np.uint8)
+    x = features(data, np.concatenate(sizes), np.array([r["repeat"] for r in rows])[of], np.array([r["count"] for r in rows])[of])
+    return Model().fit(x, of, np.array([r["label"] for r in rows], np.float64))
 
 
 def scores_of(model: Model, texts: list[bytes]) -> np.ndarray:
-    """Scores of texts, a bounded number of passages at a time; the features of one text are held whole."""
-    out, held, n = [], [], 0
-    for text in texts:
-        held.append(text)
-        n += max(1, round(len(text) / PASSAGE_BYTES))
-        if n >= PASSAGES_HELD:
-            out.append(model.score(*features(held), len(held)))
+    """Scores of texts, a bounded number of passages at a time."""
+    out = np.empty(len(texts))
+    held, n = [], 0
+
+    def score() -> None:
+        if held:
+            out[held] = model.score(*features_of([texts[k] for k in held]), len(held))
+
+    for k, text in enumerate(texts):
+        size = max(1, round(len(text) / PASSAGE_BYTES))
+        if size > PASSAGES_HELD // 4:
+            out[k] = model.score_long(text)
+            continue
+        if n + size > PASSAGES_HELD:
+            score()
             held, n = [], 0
-    if held:
-        out.append(model.score(*features(held), len(held)))
-    return np.concatenate(out) if out else np.empty(0)
+        held.append(k)
+        n += size
+    score()
+    return out
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -201,7 +308,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 columns = [*part.columns, pa.array(scores_of(model, texts), pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return positional(docs).mapInArrow(run, schema)
+    return positional(docs).mapInArrow(releasing(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
