@@ -2,16 +2,24 @@
 
 Every text gives integer metrics. Their distribution per (lang, source) is kept as a log-linear histogram: a quantile
 sketch whose buckets are counts, so partial sketches merge by addition, in any order and with one result. Quantiles have
-a relative error under 1/256. A fence beyond the quartiles (Tukey's outer fence, with a least spread) replaces the
-fixed cutoff of each metric; small groups take the merged sketch of their language, or of the whole table.
-Rows that fail the base rules stay out of the sketches.
+a relative error under 1/256. Two sets of quantiles make a fence in place of each metric's fixed cutoff: where the bulk ends (the
+90th percentile of all rows; the 10th for a lower fence) and how far the tail spreads (the quartile distance of the
+rows above zero, since most texts have no symbols or repeats at all). A fence lies so many quarters of the spread beyond the bulk,
+fewer where the bulk is zero and any amount is unusual; no other constant enters it.
+
+A group's bulk is its own from MIN_GROUP rows on, and its spread from MIN_TAIL rows above zero on; below, the merged sketch of the
+language stands in, then that of the table. A metric without either, even there, has no fence. Rows that fail the base
+rules stay out of the sketches.
 
 Defined cases: null and empty texts have no words and fail the base rules; null lang or source is a group of its own;
-repeated rows count as often as they occur; with no row past the base rules there are no fences and nothing else fails.
+repeated rows count as often as they occur; with fewer than MIN_GROUP rows past the base rules there are no fences and
+nothing else fails.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -22,12 +30,13 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
-#: Rows that a (lang, source) group needs for thresholds of its own.
-MIN_GROUP = 100
-#: Fences lie so many quartile distances beyond the quartiles.
-REACH = 3
-#: Metric: (least quartile distance, has a lower fence); one repeated line in a short text stays within. Lengths are in hundredths of a character, shares per mille.
-METRICS = {"word_len": (150, True), "symbol_share": (30, False), "dup_line_share": (150, False), "repeat_share": (70, False)}
+#: Rows that a group needs for a bulk of its own, and rows above zero for a spread of its own.
+MIN_GROUP, MIN_TAIL = 100, 12
+#: Tenths of the rows below the lower and the upper end of the bulk.
+BULK = (1, 9)
+#: Metric: (reach in quarters of the spread, that beyond a bulk of zero, has a lower fence). Lengths are in hundredths of a character,
+#: shares per mille. Where there are none as a rule, symbols count at once, repeats only far out: short texts repeat a line by chance.
+METRICS = {"word_len": (16, 16, True), "symbol_share": (16, 1, False), "dup_line_share": (16, 10, False), "repeat_share": (16, 16, False)}
 #: Exact buckets below this value, then 256 to 511 buckets for each doubling.
 EXACT = 512
 #: Shares of a hot (lang, source) in the join with its thresholds.
@@ -36,12 +45,15 @@ SALTS = 64
 
 def repeated_words(words: str) -> Column:
     """Words of the array column that lie in a 5-word window found twice or more."""
-    hashes = f"transform(sequence(0, size({words}) - {WINDOW}), i -> xxhash64({', '.join(f'{words}[i + {k}]' for k in range(WINDOW))}))"
-    hashes = f"if(size({words}) < {WINDOW}, array(), {hashes})"
-    # Only a text with a repeat is sorted: equal hashes then stand side by side, and their places are merged.
-    places = "array_sort(transform(filter(s, (x, i) -> (i > 0 and s[i - 1].h = x.h) or (i < size(s) - 1 and s[i + 1].h = x.h)), x -> x.i))"
+    window = ", ".join(f"{words}[i + {k}]" for k in range(WINDOW))
+    hashes = f"if(size({words}) < {WINDOW}, array(), transform(sequence(0, size({words}) - {WINDOW}), i -> xxhash64({window})))"
+    # Only a text whose hashes repeat is sorted: equal ones then stand side by side. Their windows are sorted once more as texts
+    # (words hold no blanks), so that none counts by its hash alone, and the places that are left are merged.
+    twins = lambda s: f"filter({s}, (x, k) -> (k > 0 and {s}[k - 1].h = x.h) or (k < size({s}) - 1 and {s}[k + 1].h = x.h))"
+    texts = f"array_sort(transform(transform({twins('s')}, x -> x.i), i -> struct(concat_ws(' ', {window}) as h, i)))"
+    places = f"array_sort(transform({twins('t')}, x -> x.i))"
     covered = f"aggregate({places}, struct(0L as n, {-WINDOW} as last), (a, p) -> struct(a.n + least({WINDOW}, p - a.last) as n, p as last), a -> a.n)"
-    by_sort = f"transform(array(array_sort(transform(hs, (h, i) -> struct(h, i)))), s -> {covered})[0]"
+    by_sort = f"transform(transform(array(array_sort(transform(hs, (h, i) -> struct(h, i)))), s -> {texts}), t -> {covered})[0]"
     return F.expr(f"transform(array({hashes}), hs -> if(size(array_distinct(hs)) = size(hs), 0L, {by_sort}))[0]")
 
 
@@ -98,48 +110,59 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """level, lang, source, n_rows and low_/high_ of each metric, from the quartiles of the sketches."""
+    """level, lang, source, n_rows, and per metric m: low_m and high_m (ends of the bulk), tail_m (rows above zero), spread_m."""
     group = ["level", "lang", "source", "metric"]
     by = W.partitionBy(*group)
-    upto = sketch.withColumn("upto", F.sum("n").over(by.orderBy("bucket"))).withColumn("all", F.sum("n").over(by))
-    at = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("all"), F.col("bucket")))
-    quartiles = upto.groupBy(*group).agg(at(1).alias("q1"), at(3).alias("q3"), F.max("all").alias("n_rows"))
-    spread = F.greatest(F.col("q3") - F.col("q1"), F.create_map(*(F.lit(x) for m, (s, _) in METRICS.items() for x in (m, s)))[F.col("metric")])
-    fenced = quartiles.select(*group, "n_rows", (F.col("q1") - REACH * spread).alias("low"), (F.col("q3") + REACH * spread).alias("high"))
-    return fenced.groupBy("level", "lang", "source").agg(
+    upto = sketch.select(
+        "*",
+        F.sum("n").over(by.orderBy("bucket")).alias("upto"),
+        F.sum("n").over(by).alias("all"),
+        F.sum(F.when(F.col("bucket") == 0, F.col("n")).otherwise(0)).over(by).alias("zeros"),
+    )
+    bulk = lambda tenths: F.min(F.when(10 * F.col("upto") >= tenths * F.col("all"), F.col("bucket")))
+    tail = lambda q: F.min(F.when((F.col("bucket") > 0) & (4 * (F.col("upto") - F.col("zeros")) >= q * (F.col("all") - F.col("zeros"))), F.col("bucket")))
+    of_metric = upto.groupBy(*group).agg(
+        bulk(BULK[0]).alias("low"), bulk(BULK[1]).alias("high"), (tail(3) - tail(1)).alias("spread"),
+        F.max("all").alias("n_rows"), F.max(F.col("all") - F.col("zeros")).alias("tail"),
+    )
+    return of_metric.groupBy("level", "lang", "source").agg(
         F.max("n_rows").alias("n_rows"),
-        *(F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{side}_{m}") for m in METRICS for side in ("low", "high")),
+        *(F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{c}_{m}") for m in METRICS for c in ("low", "high", "tail", "spread")),
     )
 
 
+def _bounds(levels: list[str]) -> list[Column]:
+    """low_m and high_m of each metric, from structs of fences(): own, language's, table's. Null where there is none."""
+    bulk = lambda c: F.coalesce(*(F.when(F.col(f"{x}.n_rows") >= MIN_GROUP, F.col(f"{x}.{c}")) for x in levels))
+    spread = lambda m: F.coalesce(*(F.when(F.col(f"{x}.tail_{m}") >= MIN_TAIL, F.col(f"{x}.spread_{m}")) for x in levels))
+    found = []
+    for m, (reach, from_zero, _) in METRICS.items():
+        far = F.when(bulk(f"high_{m}") == 0, from_zero).otherwise(reach)
+        found += [(bulk(f"low_{m}") - reach * spread(m) / 4.0).alias(f"low_{m}"), (bulk(f"high_{m}") + far * spread(m) / 4.0).alias(f"high_{m}")]
+    return found
+
+
+def thresholds(found: DataFrame) -> DataFrame:
+    """lang, source, threshold_level (of the bulk: 0 source, 1 language, 2 table; null: no fences), low_m and high_m of every group of fences()."""
+    values = [c for c in found.columns if c not in ("level", "lang", "source")]
+    own = found.where(F.col("level") == 0).select("lang", "source", F.struct(*values).alias("f0"))
+    by_lang = found.where(F.col("level") == 1).select(F.col("lang").alias("lang1"), F.struct(*values).alias("f1"))
+    overall = found.where(F.col("level") == 2).select(F.struct(*values).alias("f2"))  # one row
+    three = own.join(by_lang, F.col("lang").eqNullSafe(F.col("lang1"))).join(F.broadcast(overall))
+    level = F.coalesce(*(F.when(F.col(f"f{k}.n_rows") >= MIN_GROUP, k) for k in range(3)))
+    return three.select("lang", "source", level.alias("threshold_level"), *_bounds(["f0", "f1", "f2"]))
+
+
 def adaptive_rules(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, lang, source, the metrics, base_failed, kept, threshold_level (0 source, 1 language, 2 all)."""
+    """One row per row of docs: doc_id, lang, source, the metrics, base_failed, kept, threshold_level."""
     rows = stored(with_rules(base_metrics(docs)), "quality-metrics")
     found = stored(fences(sketches(rows.where("not base_failed"))), "quality-fences")
-    bounds = [f"{side}_{m}" for m in METRICS for side in ("low", "high")]
-    own = found.where(F.col("level") == 0)
-    by_lang = found.where(F.col("level") == 1).select("lang", F.col("n_rows").alias("n1"), F.struct(*bounds).alias("b1"))
-    overall = found.where(F.col("level") == 2).select(F.struct(*bounds).alias("b2"))  # one row
-    small = F.col("n_rows") < MIN_GROUP
-    chosen = (
-        own.select("lang", "source", "n_rows", F.struct(*bounds).alias("b0"))
-        .join(by_lang.withColumnRenamed("lang", "lang1"), F.col("lang").eqNullSafe(F.col("lang1")), "left")
-        .join(F.broadcast(overall))
-        .select(
-            F.col("lang").alias("g_lang"), F.col("source").alias("g_source"),
-            F.when(~small, 0).when(F.col("n1") >= MIN_GROUP, 1).otherwise(2).alias("threshold_level"),
-            F.when(~small, F.col("b0")).when(F.col("n1") >= MIN_GROUP, F.col("b1")).otherwise(F.col("b2")).alias("b"),
-            F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("g_salt"),
-        )
-    )
+    chosen = thresholds(found).withColumnsRenamed({"lang": "g_lang", "source": "g_source"}).withColumn("g_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
     joined = salted.join(chosen, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")) & (F.col("salt") == F.col("g_salt")), "left")
-    inside = [F.col(m) <= F.col(f"b.high_{m}") for m in METRICS] + [F.col(m) >= F.col(f"b.low_{m}") for m, (_, lower) in METRICS.items() if lower]
-    ok = inside[0]
-    for x in inside[1:]:
-        ok &= x
-    kept = ~F.col("base_failed") & F.coalesce(ok, F.lit(True))
-    return joined.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "threshold_level")
+    inside = [F.col(m) <= F.col(f"high_{m}") for m in METRICS] + [F.col(m) >= F.col(f"low_{m}") for m, (*_, lower) in METRICS.items() if lower]
+    ok = reduce(lambda a, b: a & b, (F.coalesce(x, F.lit(True)) for x in inside))
+    return joined.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ok).alias("kept"), "threshold_level")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,10 +171,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    fails = " OR ".join([f"{m} > high_{m}" for m in METRICS] + [f"{m} < low_{m}" for m, (_, lower) in METRICS.items() if lower])
+    fails = " OR ".join([f"coalesce({m} > high_{m}, false)" for m in METRICS] + [f"coalesce({m} < low_{m}, false)" for m, (*_, lower) in METRICS.items() if lower])
     levels = "SELECT 0 AS level, lang, source, * EXCLUDE (lang, source) FROM v UNION ALL SELECT 1, lang, NULL, * EXCLUDE (lang, source) FROM v UNION ALL SELECT 2, NULL, NULL, * EXCLUDE (lang, source) FROM v"
-    quartile = lambda m, q: f"list_sort(list({bucket_sql(m)}))[CAST(ceil({q} * count(*) / 4.0) AS BIGINT)]"
-    bounds = ", ".join(f"{quartile(m, 1)} - {REACH} * greatest({s}, {quartile(m, 3)} - {quartile(m, 1)}) AS low_{m}, {quartile(m, 3)} + {REACH} * greatest({s}, {quartile(m, 3)} - {quartile(m, 1)}) AS high_{m}" for m, (s, _) in METRICS.items())
+    bulk = lambda m, q: f"list_sort(list({bucket_sql(m)}))[CAST(ceil({q} * count(*) / 10.0) AS BIGINT)]"
+    tail = lambda m, q: f"list_sort(list({bucket_sql(m)}) FILTER ({m} > 0))[CAST(ceil({q} * count(*) FILTER ({m} > 0) / 4.0) AS BIGINT)]"
+    quantiles = ", ".join(f"{bulk(m, BULK[0])} AS low_{m}, {bulk(m, BULK[1])} AS high_{m}, count(*) FILTER ({m} > 0) AS tail_{m}, {tail(m, 3)} - {tail(m, 1)} AS spread_{m}" for m in METRICS)
+    first = lambda n, least, c: "coalesce(" + ", ".join(f"CASE WHEN {x}.{n} >= {least} THEN {x}.{c} END" for x in "okt") + ")"
+    bulk_of = lambda m, c: first("n_rows", MIN_GROUP, f"{c}_{m}")
+    spread = lambda m: first(f"tail_{m}", MIN_TAIL, f"spread_{m}")
+    bounds = ", ".join(
+        f"{bulk_of(m, 'low')} - {reach} * {spread(m)} / 4.0 AS low_{m}, {bulk_of(m, 'high')} + CASE WHEN {bulk_of(m, 'high')} = 0 THEN {from_zero} ELSE {reach} END * {spread(m)} / 4.0 AS high_{m}"
+        for m, (reach, from_zero, _) in METRICS.items()
+    )
     return rf"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
@@ -171,14 +202,12 @@ m AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT}
              1000 * n_dup_lines // greatest(1, n_lines) AS dup_line_share, 1000 * n_repeat_words // greatest(1, n_words) AS repeat_share FROM b),
 v AS (SELECT * FROM m WHERE NOT base_failed),
 l AS ({levels}),
-q AS (SELECT level, lang, source, count(*) AS n_rows, {bounds} FROM l GROUP BY level, lang, source),
-g AS (SELECT o.lang AS lang, o.source AS source, CASE WHEN o.n_rows >= {MIN_GROUP} THEN 0 WHEN k.n_rows >= {MIN_GROUP} THEN 1 ELSE 2 END AS level
-      FROM q o LEFT JOIN q k ON k.level = 1 AND k.lang = o.lang WHERE o.level = 0),
-h AS (SELECT g.lang AS g_lang, g.source AS g_source, q.* EXCLUDE (lang, source, level, n_rows) FROM g JOIN q ON q.level = g.level
-      AND (q.level = 2 OR q.lang = g.lang) AND (q.level > 0 OR q.source = g.source))
+q AS (SELECT level, lang, source, count(*) AS n_rows, {quantiles} FROM l GROUP BY level, lang, source),
+h AS (SELECT o.lang AS g_lang, o.source AS g_source, {bounds}
+      FROM q o JOIN q k ON k.level = 1 AND k.lang IS NOT DISTINCT FROM o.lang JOIN q t ON t.level = 2 WHERE o.level = 0)
 SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT coalesce({fails}, false) AS kept
-FROM m LEFT JOIN h ON g_lang = lang AND g_source = source
+       NOT base_failed AND NOT ({fails}) AS kept
+FROM m LEFT JOIN h ON g_lang IS NOT DISTINCT FROM lang AND g_source IS NOT DISTINCT FROM source
 """
 
 
