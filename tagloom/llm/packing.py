@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from tagloom.llm.common import releasing
 from tagloom.llm.tokens import encoder, sliced, tokenizer_path
 
 CAPACITY = 1024
@@ -103,7 +104,7 @@ def pack_rows(path: str, end_id: int, capacity: int, pool_tokens: int):
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, pool_tokens: int = POOL_TOKENS) -> DataFrame:
     """Pieces of all docs(doc_id, text), as SCHEMA has them."""
-    return docs.select("doc_id", "text").mapInArrow(pack_rows(tokenizer, end_id, capacity, pool_tokens), SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(releasing(pack_rows(tokenizer, end_id, capacity, pool_tokens)), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

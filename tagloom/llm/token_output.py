@@ -2,10 +2,11 @@
 
 Layout of a dataset at a path: `tokens/` holds one row per document in ascending doc_id order over the files, with columns
 shard, pos, doc_id, n_tokens (delta-encoded) and tokens (a list column, dictionary-encoded while the dictionary fits a
-page); `index/` holds one row per shard: its doc_id range, number of documents and tokens, and the number of ids before
-it. Row groups and pages are small and carry column and page indexes, so a reader fetches the pages of a doc_id range,
-or the metadata columns without the ids. Documents are range-partitioned and sorted before they are encoded, so no id is
-ever shuffled.
+page); `index/` holds one row per shard: its file, its doc_id range, number of documents and tokens, and the number of ids
+before it. Row groups and pages are small and carry column and page indexes: `read_range` opens the files that the index has for a
+range of doc_ids and reads their pages of that range, and of the columns asked for only. Documents are range-partitioned
+and sorted before they are encoded, so no id is ever shuffled. There is a shard for each SHARD_BYTES of the input's files, or as
+many as the session has shuffle partitions; a doc_id (or null) with more than a shard's rows is dealt over several.
 
 Defined cases: null and empty texts hold the end id only; null doc_ids come first; rows with equal doc_id are repeated and
 keep one order in the files; an empty table gives an empty dataset. Further columns of the input are ignored.
@@ -23,12 +24,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tagloom.llm.common import fresh_path
+from tagloom.llm.common import fresh_path, is_scan, releasing
 from tagloom.llm.tokens import encoder, tokenizer_path
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 128 << 10
 END_ID = 1
+#: Bytes of the input's files for each shard.
+SHARD_BYTES = 128 << 20
 #: Borders between partitions that an expression may hold; with more, whole rows are sampled.
 MOST_BORDERS = 2000
 SCHEMA = "shard int, pos long, doc_id long, n_tokens long, tokens array<int>"
@@ -69,30 +72,46 @@ def encode_rows(path: str, end_id: int):
 def by_doc_id(docs: DataFrame, n: int) -> DataFrame:
     """docs in n partitions that follow each other by doc_id, nulls first. The borders come from doc_id alone; partitioning by
     range would read the texts once more to sample whole rows."""
+    tie = F.xxhash64("text")
     if n > MOST_BORDERS:
-        return docs.repartitionByRange(n, "doc_id")
-    borders = docs.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else []
-    borders = sorted({*(borders or [])})
-    place = F.when(F.col("doc_id").isNull(), 0).otherwise(_place(F.col("doc_id"), borders))
-    return docs.repartitionById(len(borders) + 1, place)
+        return docs.repartitionByRange(n, "doc_id", tie)
+    total, some, borders = docs.select(F.count("*"), F.count("doc_id"), F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10_000)).first()
+    first = -(-n * (total - some) // max(1, total))  # partitions of the nulls
+    borders = sorted((borders or [])[:: max(1, -(-(n - 1) // max(1, n - 1 - first)))]) if n - 1 > first else []
+    place = F.when(F.col("doc_id").isNull(), F.pmod(tie, F.lit(max(1, first)))).otherwise(first + _place(F.col("doc_id"), tie, borders))
+    return docs.repartitionById(first + len(borders) + 1, place.cast("int"))
 
 
-def _place(x: Column, borders: list[int]) -> Column:
-    """How many borders lie at or below x, by halving."""
-    if not borders:
-        return F.lit(0)
-    mid = len(borders) // 2
-    low, high = _place(x, borders[:mid]), _place(x, borders[mid + 1 :])
-    return F.when(x < borders[mid], low).otherwise(high + (mid + 1))
+def _place(x: Column, tie: Column, borders: list[int]) -> Column:
+    """How many of the sorted borders lie at or below x, by halving. An x that is itself k borders is dealt over k partitions."""
+    different = sorted({*borders})
+    below = [sum(b < x for b in borders) for x in different] + [len(borders)]
+
+    def of(lo: int, hi: int) -> Column:  # x is at or above different[lo - 1] and below different[hi]
+        if lo == hi:
+            times = below[lo] - below[lo - 1] if lo else 1
+            last = F.lit(below[lo])
+            return last if times == 1 else F.when(x == different[lo - 1], below[lo - 1] + 1 + F.pmod(tie, F.lit(times))).otherwise(last)
+        mid = (lo + hi) // 2
+        return F.when(x < different[mid], of(lo, mid)).otherwise(of(mid + 1, hi))
+
+    return of(0, len(different))
+
+
+def shards_of(docs: DataFrame) -> int:
+    """Shards for the input's size, as its files tell it."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(n, docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() // SHARD_BYTES) if is_scan(docs) else n
 
 
 def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int = END_ID, partitions: int | None = None) -> None:
     """Encode docs(doc_id, text) and write the dataset."""
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = by_doc_id(docs.select("doc_id", "text"), n).sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode_rows(tokenizer, end_id), SCHEMA).write.options(**FORMAT).parquet(f"{to}/tokens")
-    shards = read_tokens(spark, to).groupBy("shard").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    ordered = by_doc_id(docs.select("doc_id", "text"), partitions or shards_of(docs)).sortWithinPartitions("doc_id", "text")
+    ordered.mapInArrow(releasing(encode_rows(tokenizer, end_id)), SCHEMA).write.options(**FORMAT).parquet(f"{to}/tokens")
+    written = spark.read.schema(SCHEMA).parquet(f"{to}/tokens")
+    rows = written.select("shard", "doc_id", "n_tokens", written.metadataColumn("_metadata")["file_path"].alias("file"))
+    shards = rows.groupBy("shard", "file").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # one row per file
     shards.withColumn("ids_before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long"))).write.parquet(f"{to}/index")
 
@@ -102,7 +121,14 @@ def read_tokens(spark: SparkSession, at: str) -> DataFrame:
 
 
 def read_index(spark: SparkSession, at: str) -> DataFrame:
-    return spark.read.schema("shard int, first_doc long, last_doc long, n_docs long, n_tokens long, ids_before long").parquet(f"{at}/index")
+    return spark.read.schema("shard int, file string, first_doc long, last_doc long, n_docs long, n_tokens long, ids_before long").parquet(f"{at}/index")
+
+
+def read_range(spark: SparkSession, at: str, first: int, last: int, columns: tuple[str, ...] = ("doc_id", "tokens")) -> DataFrame:
+    """These columns of the documents with ids from first to last: from their shards' files, and of those the pages of that range."""
+    files = [r.file for r in read_index(spark, at).where((F.col("first_doc") <= last) & (F.col("last_doc") >= first)).select("file").collect()]
+    rows = spark.read.schema(SCHEMA).parquet(*files) if files else read_tokens(spark, at)
+    return rows.where(F.col("doc_id").between(first, last)).select(*columns)
 
 
 def with_crc(batches):
@@ -115,10 +141,10 @@ def with_crc(batches):
 
 def documents_of(spark: SparkSession, at: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document of a dataset, from its files."""
-    rows = read_tokens(spark, at).mapInArrow(with_crc, "shard int, pos long, doc_id long, n_tokens long, ids_crc32 long")
+    rows = read_tokens(spark, at).mapInArrow(releasing(with_crc), "shard int, pos long, doc_id long, n_tokens long, ids_crc32 long")
     within = W.partitionBy("shard").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    joined = placed.join(F.broadcast(read_index(spark, at).select("shard", "ids_before")), "shard")  # one row per file
+    joined = placed.join(read_index(spark, at).select("shard", "ids_before"), "shard")  # one row per file; broadcast if small
     return joined.select("doc_id", (F.col("ids_before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -1,8 +1,11 @@
+import functools
+import random
 import zlib
 from array import array
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tagloom.llm import packing, token_output, tokens
 from tagloom.llm.common import fresh_path
@@ -10,8 +13,11 @@ from tagloom.llm.common import fresh_path
 WORD, BYTE = tokens.tokenizer_path("word_bpe_49k.json"), tokens.tokenizer_path("byte_bpe_50k.json")
 
 
+loaded = functools.cache(tokens.load)
+
+
 def ids_of(path, text, end):
-    return [*tokens.load(path).encode(text or "", add_special_tokens=False).ids, end]
+    return [*loaded(path).encode(text or "", add_special_tokens=False).ids, end]
 
 
 def crc(ids):
@@ -50,6 +56,43 @@ def test_file_format(spark, tiny, tmp_path):
     assert [r.ids_before for r in index] == [sum(x.n_tokens for x in index[:k]) for k in range(len(index))]
 
 
+def scanned(df):
+    """Rows that a query's scan gave on, once the page indexes had their say."""
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_range_reads_few_files_and_pages(spark, tmp_path):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    to = str(tmp_path / "d")
+    token_output.write_tokens(docs, to, WORD, partitions=2)
+    some = token_output.read_range(spark, to, 7000, 7009)
+    library = tokens.load(WORD)
+    rows = some.collect()
+    assert sorted((r.doc_id, list(r.tokens)) for r in rows) == [(k, [*library.encode(f"text {k}", add_special_tokens=False).ids, 1]) for k in range(7000, 7010)]
+    assert len(some.inputFiles()) == 1 and scanned(some) <= 2000
+    everything = token_output.read_tokens(spark, to)
+    everything.collect()
+    assert scanned(everything) == 20_000
+    light = token_output.read_range(spark, to, 0, 10**6, ("doc_id", "n_tokens"))
+    assert light.count() == 20_000 and "tokens:" not in light._jdf.queryExecution().executedPlan().toString().replace("n_tokens:", "")
+    assert token_output.read_range(spark, to, 30_000, 40_000).count() == 0
+
+
+def test_hot_ids_are_dealt(spark, tmp_path):
+    """An id and null with a third of the rows each: several shards, one order, all rows."""
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"t{k}") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    to = str(tmp_path / "d")
+    token_output.write_tokens(docs, to, WORD, partitions=9)
+    sizes = [(r.first_doc, r.last_doc, r.n_docs) for r in token_output.read_index(spark, to).orderBy("shard").collect()]
+    assert max(n for _, _, n in sizes) < 1000 and sum(n for *_, n in sizes) == 3000
+    found = token_output.documents_of(spark, to).orderBy("start").collect()
+    ids = [r.doc_id for r in found]
+    assert ids == sorted(ids, key=lambda d: (d is not None, d or 0)) and len(found) == 3000
+    assert [r.start for r in found] == [sum(r.n_tokens for r in found[:k]) for k in range(3000)]
+    assert sorted(r.ids_crc32 for r in found) == sorted(crc(ids_of(WORD, t, 1)) for _, t in rows)
+
+
 def test_empty(spark, nothing):
     to = fresh_path(spark, "tokens")
     token_output.write_tokens(nothing, to, WORD)
@@ -82,6 +125,31 @@ def test_packing_holds_each_id_once(spark, request, table, pool):
         assert sum(p.length for p in own) == copies * len(ids)
 
 
+def plain_balance(lengths, capacity):
+    """The least-cost rule by looking at every sequence for each document."""
+    room = packing.capacities(sum(lengths), capacity)
+    size, cost, pieces = list(room), [0.0] * len(room), []
+    queue = [(n, d, 0) for d, n in enumerate(lengths) if n]
+    while queue:
+        n, d, start = queue.pop(min(range(len(queue)), key=lambda k: (-queue[k][0], queue[k][1], queue[k][2])))
+        fit = [s for s in range(len(room)) if room[s] >= n]
+        s = min(fit, key=lambda s: (cost[s], s)) if fit else min((s for s in range(len(room)) if room[s]), key=lambda s: (-room[s], cost[s], s))
+        take = min(n, room[s])
+        pieces.append((d, start, take, s, size[s] - room[s]))
+        room[s] -= take
+        cost[s] += packing.LINEAR * take + packing.QUADRATIC * take * take
+        if take < n:
+            queue.append((n - take, d, start + take))
+    return pieces
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_balance_equals_the_plain_rule(seed):
+    pick = random.Random(seed)
+    lengths = [pick.choice((0, 1, pick.randrange(20), pick.randrange(200), pick.randrange(900))) for _ in range(120)]
+    assert sorted(packing.balanced(lengths, 128)) == sorted(plain_balance(lengths, 128))
+
+
 def test_balanced_costs():
     pieces = packing.balanced([900, 700, 500, 300, 124, 100, 24, 24] * 16)
     cost = {}
@@ -94,8 +162,6 @@ def test_balanced_costs():
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_memo_equals_the_library(path):
-    import random
-
     encode, library, pick = tokens.Encoder(path), tokens.load(path), random.Random(5)
     encode.memo.most = 50
     odd = ["", "a  b", "It's don't  x\n\ny <|endoftext|> z", "\tfoo\r\nbar", "İ ΣΑΣ ΟΔΟΣ x", "é x́.", "foo... bar!? 'tis", "a\xa0b c　d", "a\n", "\na b", " ", "w\x1cx", "a ́b", "ß, ẞ. DŽ dž"]
