@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import stored
+from tagloom.llm.common import discard, stored
 
 
 #: Edges that one task of a round takes.
@@ -47,7 +47,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     before = _state(now)
     while before[0]:
-        now = stored(_narrow(_small_star(_large_star(now)), before[0]), "edges")
+        last, now = now, stored(_narrow(_small_star(_large_star(now)), before[0]), "edges")
+        discard(last)
         after = _state(now)
         if after == before:
             break

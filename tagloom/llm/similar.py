@@ -1,14 +1,15 @@
-"""Near-duplicates by the Jaccard similarity of their word shingles: the pipeline's stage.
+"""SimHash near-duplicates in the wide: texts whose word shingles have a Jaccard similarity of 0.8 or more.
 
-Texts at a similarity of 0.8 differ in about 10 of 64 SimHash bits, with a spread of 3, so a radius that finds them has no selective keys. Candidates come from
-banded minimum hashes instead, and every link is an exact check.
+The bit-sliced comparison of `simhash`, with a radius for this similarity and an exact check of what lies within it; the pipeline's stage.
+Texts at a similarity of 0.8 differ in about 10 of 64 bits, with a spread of 3. A radius that finds them has no selective
+keys of its own, so the blocks in which fingerprints are compared come from banded minimum hashes.
 
 1. Each text gives the set of its shingles' XXH64 and BANDS keys of ROWS minimum hashes. Equal sets become one node.
 2. Nodes that share a key are candidates; of each key's nodes the least is linked to the others, and components of these links
-   bound what may be compared. At the least similarity a pair shares no key with a chance of (1 - 0.8**4)**24 = 3e-6, and
-   less above it.
-3. The sets of one component meet in a task; pairs that share a key and aren't linked yet are compared in full. A large
-   component is cut into slices, and each pair of slices is a task of its own.
+   are the blocks. At the least similarity a pair shares no key with a chance of (1 - 0.8**4)**24 = 3e-6, and less above it.
+3. The sets of a block meet in a task. The fingerprints of the sets (each shingle once) are compared bit-sliced, many blocks
+   at a time; pairs within RADIUS (five spreads beyond the expected 10 bits) that aren't in one tree yet are compared in full.
+   A large block is cut into slices, and each pair of slices is a task of its own.
 4. Components of the links that pass are the near-duplicates.
 
 Defined cases: null and blank texts have the empty set and are alike; fewer words than a shingle form one shingle; the rest as
@@ -17,23 +18,23 @@ in simhash.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import join_classes, only_rows, split_words, stored
+from tagloom.llm import simhash
+from tagloom.llm.common import discard, join_classes, numbered, only_rows, parted, releasing, stored
 from tagloom.llm.components import components
-from tagloom.llm.exact_dedup import _filtered
-from tagloom.llm.simhash import LOWER, SEED, Forest
+from tagloom.llm.simhash import SEED
 
 SHINGLE = 5
 #: Least similarity of a link, in percent.
 PERCENT = 80
 BANDS, ROWS = 24, 4
+#: Bits within which two fingerprints are compared in full.
+RADIUS = 24
 #: Sets of one component that one task compares, and their bytes.
 TILE, TILE_BYTES = 4096, 64 << 20
 #: Shingles whose minimum hashes are formed at once.
@@ -45,12 +46,7 @@ TERMS = _pick.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the shingles."""
-    w = split_words((text or "").lower() if (text or "").isascii() else (text or "").translate(LOWER))
-    if not w:
-        return np.empty(0, "<u8")
-    joined = [" ".join(w)] if len(w) < shingle else map(" ".join, zip(*(w[k:] for k in range(shingle))))  # noqa: B905
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(s, SEED) for s in joined], "<u8"))
+    return np.unique(simhash.shingle_hashes(text, shingle))
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
@@ -70,8 +66,8 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (small + large - both)
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """row, doc_id, node (hash of the set), size (of the set) and keys of each row."""
+def described(docs: DataFrame, row: str) -> DataFrame:
+    """row, doc_id, node (hash of the set), size (of the set) and keys of each row of docs, numbered in the column `row`."""
 
     def run(batches):
         for batch in batches:
@@ -84,9 +80,8 @@ def described(docs: DataFrame) -> DataFrame:
             flat = np.concatenate(keys) if keys else np.empty(0, "<i8")
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), lists], names=["row", "doc_id", "node", "size", "keys"])
-        pa.default_memory_pool().release_unused()
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, "row long, doc_id long, node long, size long, keys array<long>")
+    return docs.select(F.col(row).alias("row"), "doc_id", "text").mapInArrow(releasing(run), "row long, doc_id long, node long, size long, keys array<long>")
 
 
 def candidates(rows: DataFrame) -> DataFrame:
@@ -98,77 +93,65 @@ def candidates(rows: DataFrame) -> DataFrame:
     return met.where("least <> node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def links_of(nodes: list[int], sides: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links of one tile that span its components; with sides 0 and 1, of pairs across only."""
-    forest, found, refused, buckets = Forest(len(nodes)), [], set(), defaultdict(list)
-    for k, s in enumerate(sets):
-        for key in band_keys(s).tolist():
-            buckets[key].append(k)
-    for members in buckets.values():
-        for at, a in enumerate(members):
-            if len({forest.root(x) for x in members}) == 1:
-                break
-            for b in members[at + 1 :]:
-                if (sides[a] >= 0 and sides[a] == sides[b]) or (a, b) in refused or forest.root(a) == forest.root(b):
-                    continue
-                if alike(sets[a], sets[b]):
-                    forest.join(a, b)
-                    found.append((nodes[a], nodes[b]))
-                else:
-                    refused.add((a, b))
-    return found
-
-
 def compare(batches):
-    """For mapInArrow: rows (tile, side, node, text), each tile's together -> links (a, b). Holds one tile."""
+    """For mapInArrow: rows (tile, side, node, text), each tile's together -> links (a, b). Holds TILE sets or TILE_BYTES of them, and one tile."""
 
     def out():
-        found = np.array(links_of(nodes, sides, sets), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+        prints = np.array([simhash.majority(s) for s in sets], np.uint64)
+        of = np.array(nodes, np.int64)
+        a, b = simhash.links_of(np.array(tiles, np.int64), np.array(sides, np.int64), prints, RADIUS, lambda i, j: alike(sets[i], sets[j]))
+        return pa.RecordBatch.from_arrays([pa.array(of[a]), pa.array(of[b])], names=["a", "b"])
 
-    now, nodes, sides, sets = None, [], [], []
+    tiles, sides, nodes, sets, held = [], [], [], [], 0
     for batch in batches:
         for tile, side, node, text in zip(*(batch.column(k) for k in range(4)), strict=True):
-            if tile.as_py() != now:
-                if nodes:
-                    yield out()
-                now, nodes, sides, sets = tile.as_py(), [], [], []
-            nodes.append(node.as_py())
+            if tiles and tile.as_py() != tiles[-1] and (len(sets) >= TILE or held >= TILE_BYTES):
+                yield out()
+                tiles, sides, nodes, sets, held = [], [], [], [], 0
+            tiles.append(tile.as_py())
             sides.append(side.as_py())
+            nodes.append(node.as_py())
             sets.append(shingle_set(text.as_py()))
-    if nodes:
+            held += sets[-1].nbytes
+    if tiles:
         yield out()
-    pa.default_memory_pool().release_unused()
 
 
-def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
+def links(docs: DataFrame, row: str, rows: DataFrame, nodes: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """a, b: nodes(node, row, size) of docs, described by rows, whose components are those of all pairs that are alike."""
     member = stored(components(candidates(rows)).join(nodes.select("node", "row", "size"), "node"), "similar-members")
     size = member.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / (tile // 2)), F.ceil(8 * F.sum("size") / (tile_bytes // 2))).alias("slices"), F.count("*").alias("n"), F.sum("size").alias("all"))
     whole = (F.col("n") <= tile) & (8 * F.col("all") <= tile_bytes)
-    dealt = join_classes(member, size, "root", "n", member.count()).withColumn("slices", F.when(whole, 1).otherwise(F.col("slices")))
+    n = member.count()
+    dealt = join_classes(member, size, "root", "n", n).withColumn("slices", F.when(whole, 1).otherwise(F.col("slices")))
     # slice i of a large component meets each slice j: rows of a slice go to as many tiles as there are slices
     cut = dealt.withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
     tiles = cut.select(
         "row", "node", F.xxhash64("root", F.least("slice", "o"), F.greatest("slice", "o")).alias("tile"),
         F.when(F.col("slice") == F.col("o"), -1).when(F.col("slice") < F.col("o"), 0).otherwise(1).alias("side"),
     )
-    texts = docs.select(F.monotonically_increasing_id().alias("digest"), "text")
-    few = _filtered(texts, member.select(F.col("row").alias("digest"))).withColumnRenamed("digest", "row")
+    few, _ = parted(docs.select(F.col(row).alias("row"), "text"), "row", member.select("row"), n)
     met = few.join(tiles, "row").select("tile", "side", "node", "text")
-    return met.repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(compare, "a long, b long")
+    return met.repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(releasing(compare), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
-    """row, doc_id and component (its least node) of each row of docs, which must be a stored table."""
-    rows = stored(described(docs), "similar")
+def _classes(docs: DataFrame, row: str, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """row, doc_id and component (its least node) of each row of docs, numbered in the column `row`."""
+    rows = stored(described(docs, row), "similar")
     nodes = stored(rows.groupBy("node").agg(F.min("row").alias("row"), F.min("size").alias("size"), F.count("*").alias("n")), "similar-nodes")
-    found = components(links(docs, rows, nodes, tile, tile_bytes)).withColumnRenamed("node", "of")
+    found = components(links(docs, row, rows, nodes, tile, tile_bytes)).withColumnRenamed("node", "of")
     classes = stored(nodes.join(found, F.col("node") == F.col("of"), "left").select("node", "n", F.coalesce("root", "node").alias("component")), "similar-classes")
+    discard(nodes)
     return join_classes(rows.select("row", "doc_id", "node"), classes, "node", "n", rows.count()).select("row", "doc_id", "component")
 
 
+def near_duplicates(docs: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """doc_id and component of each row of docs."""
+    return _classes(*numbered(docs.select("doc_id", "text")), tile, tile_bytes).drop("row")
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: the least doc_id's (of repeated rows the first). Its input must be a stored table."""
-    kept = near_duplicates(docs).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row"))
-    return only_rows(docs, kept)
+    """docs with one row of each component: the least doc_id's (of repeated rows the first)."""
+    rows, name = numbered(docs)
+    kept = _classes(rows, name).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row"))
+    return only_rows(rows, name, kept)

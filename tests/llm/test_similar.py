@@ -2,17 +2,12 @@
 
 import random
 import re
-import zlib
-from array import array
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from tagloom.llm import mil_classifier, similar, tokens
-from tests.llm.test_native import BLANK
-from tests.llm.test_substring_dedup import brute
-
-D = "/root/testdata/sf0.001"
+from tagloom.llm import similar, simhash
 
 
 def plain_set(text):
@@ -73,24 +68,14 @@ def test_links_at_the_least_similarity(spark, tile, tmp_path):
     assert set(first.values()) == {rows[k][0] for k in kept} and 30 < len(kept) < 120
 
 
-def test_rows_of_the_whole_run(spark):
-    docs, labels = (spark.read.parquet(f"{D}/{t}.parquet") for t in ("documents", "labels"))
-    model = mil_classifier.train(docs, labels)
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    scores = mil_classifier.scores_of(model, [t.encode() for _, t in rows])
-    rows = [r for r, s in zip(rows, scores, strict=True) if s >= mil_classifier.THRESHOLD]
-    best = {}
-    for d, t in rows:
-        best.setdefault(BLANK.sub("", t), []).append((-len(t), d))
-    rows = [(d, t) for d, t in rows if min(best[BLANK.sub("", t)])[1] == d]
-    kept = plain_kept(rows)
-    assert len(kept) < len(rows)
-    rows = [r for k, r in enumerate(rows) if k in kept]
-    library = tokens.load(tokens.tokenizer_path("byte_bpe_50k.json"))
-    texts = [t if not gone else left for (_, t), (_, gone, left) in zip(rows, brute([t for _, t in rows]), strict=True)]
-    want = {d: [*library.encode(t, add_special_tokens=False).ids, 0] for (d, _), t in zip(rows, texts, strict=True)}
-    pieces = corpus_pipeline.run(spark, D).collect()
-    assert {p.doc_id for p in pieces} == set(want)
-    for p in pieces:
-        assert p.ids_crc32 == zlib.crc32(array("I", want[p.doc_id][p.start : p.start + p.length]).tobytes())
-    assert sum(p.length for p in pieces) == sum(map(len, want.values()))
+def test_radius_holds_alike_sets():
+    """Sets at 0.8 and above, small and large: their fingerprints lie within the radius."""
+    pick, most = np.random.default_rng(6), 0
+    for n in (4, 9, 18, 45, 90, 450, 3000):
+        for _ in range(400):
+            same, own = pick.integers(0, 1 << 63, n, np.uint64), pick.integers(0, 1 << 63, n // 4, np.uint64)
+            cut = int(pick.integers(0, len(own) + 1))
+            a, b = np.concatenate([same, own[:cut]]), np.concatenate([same, own[cut:]])
+            assert similar.alike(np.sort(a), np.sort(b))
+            most = max(most, (simhash.majority(a) ^ simhash.majority(b)).bit_count())
+    assert 10 < most <= similar.RADIUS
