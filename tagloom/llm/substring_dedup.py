@@ -3,18 +3,25 @@
 A window of WINDOW words that starts anywhere in a document holds exactly one whole block of ANCHOR words that starts at a
 multiple of ANCHOR. These non-overlapping blocks are the index; every rolling window of ANCHOR words probes it.
 
-1. Each task hashes the blocks and all rolling windows of its texts and sends them, by hash range and as sorted, packed arrays
-   (about two bytes a window): a key of any frequency is sent once a task.
-2. Each hash range tells which blocks start at least twice among the probes; such a block is a hit for its document.
-3. Hits are extended to exact repeats: the windows of WINDOW words around a hit are compared by 96 bits of two independent
-   hashes, again by range. A chain of such windows is a maximal repeat; spans of it go back to the documents.
-
-Texts are moved once, to meet their hits and spans. No pair of documents is ever formed. The chance that any two different
-windows pass as equal is under 1e-9 for 10**10 compared windows.
+1. Each task cuts its texts into chunks, hashes a chunk's blocks and all its rolling windows and sends them, by hash range and as
+   sorted, packed arrays (about two bytes a window): a key of any frequency once a chunk. A block that starts again in its
+   own chunk is a hit there and then, so a passage that most documents share never meets in one place.
+2. Each hash range tells which of the other blocks start in other chunks as well; these are hits for their documents.
+3. Around the hits of a document, the windows of WINDOW words are grouped in its chunk by two hashes (96 bits) and compared
+   word by word with the first of their group; windows that occur twice in a chunk are repeats. For the others, ranges of hashes
+   find an occurrence in another chunk, the partner.
+4. Hits are extended: windows whose partners follow each other in one document make a stretch, which is compared, word by word, with
+   the partner's own words. A chain of proven windows is a maximal repeat, and its words go.
+
+Only texts with hits move to meet them, once for the windows and once for the removal. No pair of documents is ever formed,
+and nothing is removed by its hash alone: two different windows of one hash, of which there are under 1e-9 in 10**10, end
+the job with an error that asks for another seed.
+
+Ranges are as many as the words need (WORDS_PER_RANGE, of which a task holds about 12 bytes each), up to one for every 32 words of
+a chunk; beyond about 10**11 words larger chunks (4 GB of memory for each worker at 100 TB) keep messages that long.
 
 Defined cases: null and blank texts have no words; a document shorter than WINDOW words keeps all; a repeated row is another
 document and repeats all of the first; null doc_ids are kept as they are; overlapping windows of one document count as two.
-The input must be a stored table: its rows are numbered by it.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import free_name, positional, split_words
+from tagloom.llm.common import discard, numbered, parted, positional, quoted, releasing, split_words, stored
 
 WINDOW = 35
 #: The longest block of which one lies whole in any window, wherever that starts.
@@ -38,12 +45,20 @@ ANCHOR = (WINDOW + 1) // 2
 CHUNK_WORDS = 1_500_000
 #: Different words that a task remembers.
 WORDS_HELD = 400_000
-#: Hash ranges, or as many as the session has shuffle partitions if that is more.
-RANGES = 64
-BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
+#: Hash ranges: at least so many, and one for so many words.
+RANGES, WORDS_PER_RANGE = 64, 4_000_000
+#: Stretches that ask for the words of one document in one task.
+ASKED = 4096
+SEED = 0
 _codec = pa.Codec("zstd", 1)
 
 
+def base(seed: int, k: int) -> np.uint64:
+    """One of two odd multipliers of a rolling hash, for each seed others."""
+    fixed = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)[k]
+    return np.uint64((fixed + 2 * seed * 0xA0761D6478BD642F) % (1 << 64))
+
+
 def squeezed(values: np.ndarray) -> bytes:
     """Packed: byte k of all values stands together, so the bytes that hardly differ take no room."""
     data = np.ascontiguousarray(values)
@@ -62,18 +77,19 @@ def unsqueezed(data: bytes, dtype) -> np.ndarray:
 class WordHashes:
     """Two hashes of each word; words are numbered as they come, and forgotten together."""
 
-    def __init__(self):
+    def __init__(self, seed: int = SEED):
+        self.seed = seed
         self.number: dict[str, int] = {}
         self.hashes = (array("Q"), array("Q"))
 
     def trim(self) -> None:
         if len(self.number) > WORDS_HELD:
-            self.__init__()
+            self.__init__(self.seed)
 
     def numbers(self, words: list[str]) -> np.ndarray:
         number = self.number
         for w in {*words}.difference(number):
-            digest = xxhash.xxh3_128_intdigest(w)
+            digest = xxhash.xxh3_128_intdigest(w, self.seed)
             number[w] = len(number)
             self.hashes[0].append(digest & 0xFFFFFFFFFFFFFFFF)
             self.hashes[1].append(digest >> 64)
@@ -108,8 +124,8 @@ def rolled(words: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
 class Chunk:
     """Words of consecutive texts, one after the other."""
 
-    def __init__(self):
-        self.words = WordHashes()
+    def __init__(self, seed: int = SEED):
+        self.words = WordHashes(seed)
         self.clear()
 
     def clear(self) -> None:
@@ -128,87 +144,125 @@ class Chunk:
         return np.concatenate(self.parts), np.cumsum(length) - length, length
 
 
+def chunked(batches, pack, chunk_words: int, seed: int):
+    """Packs texts (row, text and what else there is) by chunks: pack(chunk, its name, its number)."""
+    context = TaskContext.get()
+    chunk, name, n = Chunk(seed), (context.partitionId() if context else 0) << 32, 0
+    for batch in batches:
+        extra = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+        for row, text, more in zip(batch.column(0).to_pylist(), batch.column(1), extra, strict=True):
+            chunk.add(row, text.as_py(), more)
+            if chunk.n >= chunk_words:
+                yield pack(chunk, name + n, (name >> 32) + n)
+                n += 1
+                chunk.clear()
+    if chunk.n:
+        yield pack(chunk, name + n, (name >> 32) + n)
+
+
 def by_range(keys: np.ndarray, ranges: int) -> np.ndarray:
     return (keys >> np.uint64(32)) % np.uint64(ranges)
 
 
-def send_anchors(ranges: int):
-    """For mapInArrow: (row, doc_id, text) -> packed probes and blocks of each hash range."""
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    """Schema of "name type, ..." with the types that are used here."""
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    return pa.schema([(name, types[kind]) for name, kind in (x.split(" ") for x in ddl.split(", "))])
+
 
-    def packed(chunk: Chunk):
+ANCHORS = "bucket int, probes binary, often binary, blocks binary, rows binary, numbers binary"
+
+
+def send_anchors(ranges: int, chunk_words: int = CHUNK_WORDS, seed: int = SEED):
+    """For mapInArrow: (row, text) -> packed probes and blocks of each hash range, and hits (rows and numbers only) for any range."""
+
+    def pack(chunk: Chunk, _name: int, n: int):
         numbers, start, length = chunk.laid_out()
-        hashes = rolled(chunk.words.of(numbers, 0), ANCHOR, BASES[0])
+        hashes = rolled(chunk.words.of(numbers, 0), ANCHOR, base(seed, 0))
         text = np.repeat(np.arange(len(length)), length)[: len(hashes)]
         at = np.arange(len(hashes)) - start[text]
         whole = at + ANCHOR <= length[text]
+        keys = by_range(hashes, ranges) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)
+        probes, count = np.unique(keys[whole], return_counts=True)
         blocks = np.flatnonzero(whole & (at % ANCHOR == 0))
-        mixed = lambda h: by_range(h, ranges) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
-        probes, count = np.unique(mixed(hashes[whole]), return_counts=True)
-        keys = mixed(hashes[blocks])
-        order = np.argsort(keys)
-        keys, blocks = keys[order], blocks[order]
-        rows = np.array(chunk.rows, np.int64)[text[blocks]]
-        numbers_of = (at[blocks] // ANCHOR).astype(np.uint32)
+        probe = np.searchsorted(probes, keys[blocks])  # a block is a window too
+        rows, block = np.array(chunk.rows, np.int64)[text[blocks]], (at[blocks] // ANCHOR).astype(np.uint32)
+        again = count[probe] > 1
+        alone = np.flatnonzero(~again)
+        alone = alone[np.argsort(probe[alone])]
+        sent = probes[probe[alone]]
         edges = np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32)
-        cut, cut_blocks = np.searchsorted(probes, edges), np.searchsorted(keys, edges)
+        cut, cut_sent = np.searchsorted(probes, edges), np.searchsorted(sent, edges)
         low = lambda x: np.diff(x.astype(np.uint32), prepend=np.uint32(0))
-        out: list[list] = [[], [], [], [], [], []]
-        for r in range(ranges):
-            p, b = slice(cut[r], cut[r + 1]), slice(cut_blocks[r], cut_blocks[r + 1])
-            if p.start < p.stop:
-                found = (r, squeezed(low(probes[p])), np.packbits(count[p] > 1).tobytes(), squeezed(low(keys[b])), squeezed(rows[b]), squeezed(numbers_of[b]))
-                for column, x in zip(out, found, strict=True):
-                    column.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["bucket", "probes", "often", "blocks", "rows", "numbers"])
+        out = []
+        for r in np.flatnonzero(np.diff(cut)).tolist():
+            p, b = slice(cut[r], cut[r + 1]), slice(cut_sent[r], cut_sent[r + 1])
+            out.append((r, squeezed(low(probes[p])), np.packbits(count[p] > 1).tobytes(), squeezed(low(sent[b])), squeezed(rows[alone[b]]), squeezed(block[alone[b]])))
+        if again.any():
+            out.append((n % ranges, b"", b"", b"", squeezed(rows[again]), squeezed(block[again])))
+        return _batch(out, _arrow(ANCHORS))
 
     def run(batches):
-        chunk = Chunk()
-        for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-                chunk.add(row, text.as_py())
-                if chunk.n >= CHUNK_WORDS:
-                    yield packed(chunk)
-                    chunk.clear()
-        if chunk.n:
-            yield packed(chunk)
+        yield from chunked(batches, pack, chunk_words, seed)
 
     return run
 
 
-ANCHORS = "bucket int, probes binary, often binary, blocks binary, rows binary, numbers binary"
+HITS = "row long, block int"
 
 
 def hit_blocks(batches):
     """For mapInArrow, a partition being a hash range: blocks that start at least twice -> (row, block)."""
     probes, often, blocks, rows, numbers = [], [], [], [], []
     undo = lambda x: np.cumsum(unsqueezed(x, np.uint32), dtype=np.uint32)
+    out = lambda rows, numbers: pa.RecordBatch.from_arrays([pa.array(rows), pa.array(numbers.astype(np.int32))], schema=_arrow(HITS))
     for batch in batches:
         for r in batch.to_pylist():
+            if not r["probes"]:
+                yield out(unsqueezed(r["rows"], np.int64), unsqueezed(r["numbers"], np.uint32))
+                continue
             probes.append(undo(r["probes"]))
             often.append(np.unpackbits(np.frombuffer(r["often"], np.uint8), count=len(probes[-1])).astype(bool))
             blocks.append(undo(r["blocks"]))
-            rows.append(unsqueezed(r["rows"], np.int64))
-            numbers.append(unsqueezed(r["numbers"], np.uint32))
+            rows.append(r["rows"])
+            numbers.append(r["numbers"])
     if not probes:
         return
     again = [p[o] for p, o in zip(probes, often, strict=True)]
     all_ = np.sort(np.concatenate(probes))
+    del probes, often
     repeated = np.unique(np.concatenate([all_[1:][all_[1:] == all_[:-1]], *again]))
-    found = np.concatenate(blocks)
-    hit = np.isin(found, repeated)
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)[hit]), pa.array(np.concatenate(numbers)[hit].astype(np.int32))], names=["row", "block"])
+    del all_
+    for b, r, n in zip(blocks, rows, numbers, strict=True):
+        at = np.searchsorted(repeated, b)
+        hit = np.flatnonzero(at < len(repeated))
+        hit = hit[repeated[at[hit]] == b[hit]]
+        if len(hit):
+            yield out(unsqueezed(r, np.int64)[hit], unsqueezed(n, np.uint32)[hit])
+
+
+WINDOWS = "bucket int, chunk long, a binary, b binary, alone binary, rows binary, places binary"
 
 
-def send_windows(ranges: int):
-    """For mapInArrow: (row, doc_id, text, hits) -> packed windows around the hits, by hash range."""
+def _different() -> ValueError:
+    return ValueError("two different windows share their hashes: give another seed")
 
-    def packed(chunk: Chunk, name: int):
+
+def send_windows(ranges: int, chunk_words: int = CHUNK_WORDS, seed: int = SEED):
+    """For mapInArrow: (row, text, hits) -> packed windows around the hits, by hash range, one of each kind; and all windows that
+    occur twice in the chunk (rows and places only) for any range."""
+
+    def pack(chunk: Chunk, name: int, n: int):
         numbers, start, length = chunk.laid_out()
-        n = len(numbers)
-        first, second = (rolled(chunk.words.of(numbers, k), WINDOW, BASES[k]) for k in (0, 1))
+        first, second = (rolled(chunk.words.of(numbers, k), WINDOW, base(seed, k)) for k in (0, 1))
         # a window is looked at if its one whole block is a hit: it starts at most WINDOW - ANCHOR words before that
         hits = np.concatenate([s + np.asarray(h, np.int64) * ANCHOR for s, h in zip(start, chunk.extra, strict=True)])
-        marks = np.zeros(n + 1, np.int64)
+        marks = np.zeros(len(numbers) + 1, np.int64)
         own = np.searchsorted(start, hits, "right") - 1
         np.add.at(marks, np.maximum(start[own], hits - (WINDOW - ANCHOR)), 1)
         np.add.at(marks, hits + 1, -1)
@@ -223,169 +277,236 @@ def send_windows(ranges: int):
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.empty(0, bool)
         heads = np.flatnonzero(new)
         times = np.diff(np.append(heads, len(a)))
-        where = at - start[text]
-        rows = np.array(chunk.rows, np.int64)[text]
-        cut = np.searchsorted(bucket, np.arange(ranges + 1, dtype=np.uint64))
-        out: list[list] = [[], [], [], [], [], [], []]
-        for r in range(ranges):
-            lo, hi = cut[r], cut[r + 1]
-            if lo == hi:
-                continue
-            h = heads[np.searchsorted(heads, lo) : np.searchsorted(heads, hi)]
-            t = times[np.searchsorted(heads, lo) : np.searchsorted(heads, hi)]
-            found = (r, name, squeezed(a[h]), squeezed(b[h]), squeezed(t.astype(np.uint32)), squeezed(rows[lo:hi]), squeezed(where[lo:hi].astype(np.uint32)))
-            for column, x in zip(out, found, strict=True):
-                column.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), *(pa.array(x, pa.binary()) for x in out[2:])], names=WINDOWS_NAMES)
+        rows, where = np.array(chunk.rows, np.int64)[text], (at - start[text]).astype(np.uint32)
+        twice = np.flatnonzero(np.repeat(times, times) > 1)
+        mine, model = at[twice], at[np.repeat(heads, times)[twice]]
+        for k in range(WINDOW):  # word by word; numbers stand for words
+            if (numbers[mine + k] != numbers[model + k]).any():
+                raise _different()
+        cut = np.searchsorted(bucket[heads], np.arange(ranges + 1, dtype=np.uint64))
+        out = []
+        for r in np.flatnonzero(np.diff(cut)).tolist():
+            h = heads[cut[r] : cut[r + 1]]
+            out.append((r, name, squeezed(a[h]), squeezed(b[h]), np.packbits(times[cut[r] : cut[r + 1]] == 1).tobytes(), squeezed(rows[h]), squeezed(where[h])))
+        if len(twice):
+            out.append((n % ranges, name, b"", b"", b"", squeezed(rows[twice]), squeezed(where[twice])))
+        return _batch(out, _arrow(WINDOWS))
 
     def run(batches):
-        chunk, name = Chunk(), TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for row, text, hits in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                chunk.add(row, text.as_py(), hits)
-                if chunk.n >= CHUNK_WORDS:
-                    yield packed(chunk, name)
-                    name += 1
-                    chunk.clear()
-        if chunk.n:
-            yield packed(chunk, name)
+        yield from chunked(batches, pack, chunk_words, seed)
 
     return run
 
 
-WINDOWS = "bucket int, chunk long, a binary, b binary, times binary, rows binary, places binary"
-WINDOWS_NAMES = ["bucket", "chunk", "a", "b", "times", "rows", "places"]
+PARTNERS = "chunk long, rows binary, places binary, p_rows binary, p_places binary"
 
 
-def repeated_windows(batches):
-    """For mapInArrow, a partition being a hash range: windows that start at least twice -> (chunk, rows, places) packed."""
-    held = [r for batch in batches for r in batch.to_pylist()]
+def partners(batches):
+    """For mapInArrow, a partition being a hash range: of the windows that are alone in their chunk, those that occur in another
+    one as well, with an occurrence there; the windows that occur twice in their chunk pass through, without a partner."""
+    held = []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["a"]:
+                held.append(r)
+            else:
+                yield _batch([(r["chunk"], r["rows"], r["places"], b"", b"")], _arrow(PARTNERS))
     if not held:
         return
-    a = [unsqueezed(r.pop("a"), np.uint64) for r in held]
-    b = [unsqueezed(r.pop("b"), np.uint32) for r in held]
-    times = [unsqueezed(r.pop("times"), np.uint32) for r in held]
-    size = np.array([len(x) for x in a])
-    key_a, key_b, count = np.concatenate(a), np.concatenate(b), np.concatenate(times).astype(np.int64)
-    del a, b
-    order = np.lexsort((key_b, key_a))
-    new = np.concatenate(([True], (key_a[order][1:] != key_a[order][:-1]) | (key_b[order][1:] != key_b[order][:-1])))
-    group = np.cumsum(new) - 1
-    total = np.bincount(group, weights=count[order])
-    repeated = np.empty(len(order), bool)
-    repeated[order] = total[group] > 1
-    at = 0
-    for r, n, t in zip(held, size, times, strict=True):
-        hit = np.repeat(repeated[at : at + n], t)
-        at += n
-        if hit.any():
-            rows, places = unsqueezed(r["rows"], np.int64)[hit], unsqueezed(r["places"], np.uint32)[hit]
-            order = np.lexsort((places, rows))
-            yield pa.RecordBatch.from_arrays([pa.array([r["chunk"]], pa.int64()), pa.array([squeezed(rows[order])], pa.binary()), pa.array([squeezed(places[order])], pa.binary())], names=["chunk", "rows", "places"])
-
-
-def spans_of(batches):
-    """For mapInArrow, a chunk's records together: (chunk, rows, places) -> (row, spans): starts and ends of maximal repeats."""
-
-    def merged(rows, places):
-        rows, places = np.concatenate(rows), np.concatenate(places).astype(np.int64)
+    a = np.concatenate([unsqueezed(r.pop("a"), np.uint64) for r in held])
+    parts = [unsqueezed(r.pop("b"), np.uint32) for r in held]
+    size, b = [len(x) for x in parts], np.concatenate(parts)
+    alone = np.concatenate([np.unpackbits(np.frombuffer(r.pop("alone"), np.uint8), count=n) for r, n in zip(held, size, strict=True)]).astype(bool)
+    rows = np.concatenate([unsqueezed(r.pop("rows"), np.int64) for r in held])
+    places = np.concatenate([unsqueezed(r.pop("places"), np.uint32) for r in held])
+    # the first occurrence of a kind is the partner of all others, the second that of the first: neighbours share a document
+    order = np.lexsort((places, rows, b, a))
+    new = np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))
+    del a, b, parts
+    heads = np.flatnonzero(new)
+    times = np.diff(np.append(heads, len(order)))
+    first = np.repeat(heads, times)
+    partner = np.where(new, np.minimum(first + 1, len(order) - 1), first)
+    met = np.empty(len(order), np.int64)
+    met[order] = np.where(np.repeat(times, times) > 1, order[partner], -1)
+    lo = 0
+    for r, n in zip(held, size, strict=True):
+        hit = lo + np.flatnonzero(alone[lo : lo + n] & (met[lo : lo + n] >= 0))
+        lo += n
+        if len(hit):
+            hit = hit[np.lexsort((places[hit], rows[hit]))]
+            other = met[hit]
+            yield _batch([(r["chunk"], squeezed(rows[hit]), squeezed(places[hit]), squeezed(rows[other]), squeezed(places[other]))], _arrow(PARTNERS))
+
+
+MARKS = "row long, spans array<int>, stretches array<long>"
+
+
+def marks_of(batches):
+    """For mapInArrow, a chunk's records together -> MARKS: starts and ends of proven repeats, and stretches (start, windows, partner's
+    row and start) that are yet to be compared."""
+
+    def ragged(rows: np.ndarray, of: np.ndarray, values: np.ndarray) -> pa.ListArray:
+        """Of each of rows, the values (some for each entry of `of`, which is sorted)."""
+        ends = np.searchsorted(of, rows, "right") * values.shape[1]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(values.ravel()))
+
+    def made(proven: list, single: list) -> pa.RecordBatch:
+        rows, places = (np.concatenate([x[k] for x in proven]) if proven else np.empty(0, np.int64) for k in (0, 1))
         order = np.lexsort((places, rows))
         rows, places = rows[order], places[order]
-        begins = np.concatenate(([True], (rows[1:] != rows[:-1]) | (places[1:] > places[:-1] + WINDOW)))
-        first = np.flatnonzero(begins)
-        last = np.append(first[1:], len(rows)) - 1
-        pairs = np.stack([places[first], places[last] + WINDOW], 1).astype(np.int32)
-        of = rows[first]
-        cut = np.concatenate(([0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]))
-        lists = pa.ListArray.from_arrays(pa.array((2 * cut).astype(np.int32)), pa.array(pairs.ravel()))
-        return pa.RecordBatch.from_arrays([pa.array(of[cut[:-1]]), lists], names=["row", "spans"])
-
-    chunk, rows, places = None, [], []
+        begins = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (places[1:] > places[:-1] + WINDOW)))) if len(rows) else np.empty(0, np.int64)
+        last = np.append(begins[1:], len(rows))[: len(begins)] - 1
+        spans = np.stack([places[begins], places[last] + WINDOW], 1).astype(np.int32)
+        r, p, pr, pp = (np.concatenate([x[k] for x in single]) if single else np.empty(0, np.int64) for k in range(4))
+        order = np.lexsort((p, r))
+        r, p, pr, pp = r[order], p[order], pr[order], pp[order]
+        starts = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1) | (pr[1:] != pr[:-1]) | (pp[1:] != pp[:-1] + 1)))) if len(r) else np.empty(0, np.int64)
+        n = np.diff(np.append(starts, len(r)))
+        stretches = np.stack([p[starts], n, pr[starts], pp[starts]], 1)
+        every = np.union1d(rows[begins], r[starts])
+        return pa.RecordBatch.from_arrays([pa.array(every), ragged(every, rows[begins], spans), ragged(every, r[starts], stretches)], names=["row", "spans", "stretches"])
+
+    chunk, proven, single = None, [], []
     for batch in batches:
-        for r in batch.to_pylist():
-            if r["chunk"] != chunk and rows:
-                yield merged(rows, places)
-                rows, places = [], []
-            chunk = r["chunk"]
-            rows.append(unsqueezed(r["rows"], np.int64))
-            places.append(unsqueezed(r["places"], np.uint32))
-    if rows:
-        yield merged(rows, places)
+        for x in batch.to_pylist():
+            if x["chunk"] != chunk and (proven or single):
+                yield made(proven, single)
+                proven, single = [], []
+            chunk = x["chunk"]
+            own = unsqueezed(x["rows"], np.int64), unsqueezed(x["places"], np.uint32).astype(np.int64)
+            if x["p_rows"]:
+                single.append((*own, unsqueezed(x["p_rows"], np.int64), unsqueezed(x["p_places"], np.uint32).astype(np.int64)))
+            else:
+                proven.append(own)
+    if proven or single:
+        yield made(proven, single)
+
+
+ANSWERS = "row long, lo int, words string"
+
+
+def answers(batches):
+    """For mapInArrow: (text, asked) -> the words at each asked place, for the row that asks."""
+    for batch in batches:
+        out, held = [], 0
+        for text, asked in zip(batch.column(0), batch.column(1), strict=True):
+            words = split_words(text.as_py())
+            for x in asked.as_py():
+                out.append((x["row"], x["lo"], " ".join(words[x["p_lo"] : x["p_lo"] + x["n"] + WINDOW - 1])))
+                held += len(out[-1][2])
+                if held > 8 << 20:
+                    yield _batch(out, _arrow(ANSWERS))
+                    out, held = [], 0
+        if out:
+            yield _batch(out, _arrow(ANSWERS))
+
+
+def repeats(docs: DataFrame, row: str, chunk_words: int = CHUNK_WORDS, seed: int = SEED) -> tuple[DataFrame, DataFrame, int]:
+    """Of docs numbered in the column `row`: marks (a stored table MARKS of the rows that repeat in part), the partners' words (row,
+    answers) and the number of marks."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col(quoted(row)).alias("row"), "text")
+    words = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    ranges = max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")), min(words // WORDS_PER_RANGE, chunk_words // 32))
+    anchors = texts.mapInArrow(releasing(send_anchors(ranges, chunk_words, seed)), ANCHORS)
+    hits = anchors.repartitionById(ranges, "bucket").mapInArrow(releasing(hit_blocks), HITS).groupBy("row").agg(F.collect_list("block").alias("hits"))
+    hits = stored(hits, "repeat-hits")
+    few, _ = parted(texts, "row", hits.select("row"), hits.count())
+    windows = few.join(hits, "row").select("row", "text", "hits").mapInArrow(releasing(send_windows(ranges, chunk_words, seed)), WINDOWS)
+    found = windows.repartitionById(ranges, "bucket").mapInArrow(releasing(partners), PARTNERS)
+    marks = stored(found.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(releasing(marks_of), MARKS), "repeat-marks")
+    discard(hits)
+    n, n_asked = marks.agg(F.count("*"), F.coalesce(F.sum(F.expr("size(stretches) div 4")), F.lit(0))).first()
+    each = "transform(sequence(0, size(stretches) div 4 - 1), i -> struct(row, int(stretches[4 * i]) as lo, int(stretches[4 * i + 1]) as n, stretches[4 * i + 2] as p_row, int(stretches[4 * i + 3]) as p_lo))"
+    asked = marks.where("size(stretches) > 0").select(F.expr(f"explode({each})").alias("x")).select("x.*")
+    # a document that many ask is asked in several groups
+    load = asked.groupBy("p_row").agg(F.ceil(F.count("*") / ASKED).alias("groups"))
+    dealt = asked.join(load, "p_row").groupBy("p_row", F.pmod(F.xxhash64("row", "lo"), "groups").alias("group")).agg(F.collect_list(F.struct("row", "lo", "n", "p_lo")).alias("asked"))
+    sources, _ = parted(texts, "row", asked.select("p_row"), n_asked)
+    told = sources.join(dealt, F.col("row") == F.col("p_row")).select("text", "asked").mapInArrow(releasing(answers), ANSWERS)
+    return marks, told.groupBy("row").agg(F.collect_list(F.struct("lo", "words")).alias("answers")), n
+
+
+def marked(docs: DataFrame, chunk_words: int = CHUNK_WORDS, seed: int = SEED) -> DataFrame:
+    """docs with two last columns: spans and answers. Rows without either aren't shuffled."""
+    rows, row = numbered(docs)
+    marks, told, n = repeats(rows, row, chunk_words, seed)
+    found = marks.select("row", "spans").join(told, "row", "left").select(F.col("row").alias("__marked"), F.col("spans").alias("__spans"), F.col("answers").alias("__answers"))
+    passing, others = parted(rows, row, marks.select("row"), n)
+    out = passing.join(found, F.col(quoted(row)) == F.col("__marked"), "left").drop(row, "__marked")
+    if others is not None:
+        out = out.unionByName(others.drop(row).withColumns({"__spans": F.lit(None).cast("array<int>"), "__answers": F.lit(None).cast("array<struct<lo:int,words:string>>")}))
+    return out
+
+
+def left_over(words: list[str], spans: list[int] | None, told: list[dict] | None) -> list[str]:
+    """words less those of the spans and of the stretches, once these are what the partner has."""
+    gone = list(zip(spans[::2], spans[1::2], strict=True)) if spans else []
+    for x in told or ():
+        theirs = x["words"].split(" ")
+        if words[x["lo"] : x["lo"] + len(theirs)] != theirs:
+            raise _different()
+        gone.append((x["lo"], x["lo"] + len(theirs)))
+    kept, at = [], 0
+    for lo, hi in sorted(gone):
+        kept += words[at:lo] if lo > at else ()
+        at = max(at, hi)
+    return kept + words[at:] if gone else words
 
 
 def kept_words(batches):
-    """For mapInArrow: (row, doc_id, text, spans) -> doc_id, row, n_words, n_removed, kept text."""
+    """For mapInArrow: (doc_id, text, spans, answers) -> KEPT."""
     for batch in batches:
         n, removed, kept = [], [], []
-        for text, spans in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
+        for text, spans, told in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
             words = split_words(text.as_py())
+            left = left_over(words, spans.as_py(), told.as_py())
             n.append(len(words))
-            for lo, hi in zip(spans[-2::-2], spans[::-2], strict=True) if spans else ():
-                del words[lo:hi]
-            removed.append(n[-1] - len(words))
-            kept.append(" ".join(words))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["row", "doc_id", "n_words", "n_removed", "kept"])
-
-
-KEPT = "row long, doc_id long, n_words long, n_removed long, kept string"
-
-
-def repeat_spans(texts: DataFrame) -> DataFrame:
-    """row, spans of the texts(row, doc_id, text) that repeat in part."""
-    ranges = max(RANGES, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    anchors = texts.mapInArrow(send_anchors(ranges), ANCHORS)
-    hits = anchors.repartitionById(ranges, "bucket").mapInArrow(hit_blocks, "row long, block int").groupBy("row").agg(F.collect_list("block").alias("hits"))
-    windows = texts.join(hits, "row").select("row", "doc_id", "text", "hits").mapInArrow(send_windows(ranges), WINDOWS)
-    found = windows.repartitionById(ranges, "bucket").mapInArrow(repeated_windows, "chunk long, rows binary, places binary")
-    return found.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(spans_of, "row long, spans array<int>")
+            removed.append(len(words) - len(left))
+            kept.append(" ".join(left))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return texts.join(repeat_spans(texts), "row", "left").select("row", "doc_id", "text", "spans")
+KEPT = "doc_id long, n_words long, n_removed long, kept string"
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """row, doc_id, n_words, n_removed, kept (the words left, joined by one space) of each row of docs."""
-    return _with_spans(docs).mapInArrow(kept_words, KEPT)
+def without_repeats(docs: DataFrame, chunk_words: int = CHUNK_WORDS, seed: int = SEED) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the words left, joined by one space) of each row of docs."""
+    return marked(docs.select("doc_id", "text"), chunk_words, seed).mapInArrow(releasing(kept_words), KEPT)
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
+def drop_repeats(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """docs with texts less their repeats (n_chars, if there, follows); texts without repeats stay as they are."""
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    row, span = free_name(docs, "row"), free_name(docs, "spans")
-    spans = repeat_spans(texts).withColumnsRenamed({"row": row, "spans": span})
-    joined = docs.withColumn(row, F.monotonically_increasing_id()).join(spans, row, "left").drop(row)
     names = docs.columns
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
         for batch in batches:
-            columns = list(batch.columns)
-            texts = columns[at].to_pylist()
-            for k, spans in enumerate(columns.pop().to_pylist()):
-                if spans:
-                    words = split_words(texts[k])
-                    for lo, hi in zip(spans[-2::-2], spans[::-2], strict=True):
-                        del words[lo:hi]
-                    texts[k] = " ".join(words)
+            *columns, spans, told = batch.columns
+            texts, sizes = columns[at].to_pylist(), columns[chars].to_pylist() if chars is not None else None
+            for k, (s, t) in enumerate(zip(spans.to_pylist(), told.to_pylist(), strict=True)):
+                if s or t:
+                    texts[k] = " ".join(left_over(split_words(texts[k]), s, t))
+                    if sizes:
+                        sizes[k] = len(texts[k])
             columns[at] = pa.array(texts, pa.string())
-            if chars is not None:
-                columns[chars] = pa.array([None if t is None else len(t) for t in texts], columns[chars].type)
+            if sizes:
+                columns[chars] = pa.array(sizes, columns[chars].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return positional(joined).mapInArrow(run, docs.schema)
+    return positional(marked(docs, seed=seed)).mapInArrow(releasing(run), docs.schema)
 
 
 def with_digest(batches):
     for batch in kept_words(batches):
-        digests = [hashlib.sha256(t.as_py().encode()).hexdigest() for t in batch.column(4)]
-        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        digests = [hashlib.sha256(t.as_py().encode()).hexdigest() for t in batch.column(3)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return _with_spans(docs).mapInArrow(with_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return marked(docs.select("doc_id", "text")).mapInArrow(releasing(with_digest), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 ORACLE = rf"""

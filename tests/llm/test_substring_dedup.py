@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tagloom.llm import substring_dedup as sd
@@ -43,14 +44,52 @@ def test_against_brute_force(spark, seed):
     assert [got[k] for k in range(len(texts))] == brute(texts)
 
 
-def test_small_chunks(spark, monkeypatch):
+@pytest.mark.parametrize("chunk_words", [1, 50, 400])
+def test_small_chunks(spark, chunk_words):
+    """Repeats within a chunk and across chunks, down to one document a chunk."""
     texts = mixed(7)
-    monkeypatch.setattr(sd, "CHUNK_WORDS", 50)
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in sd.without_repeats(docs).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in sd.without_repeats(docs, chunk_words, seed=3).collect()}
     assert [got[k] for k in range(len(texts))] == brute(texts)
 
 
+def arrow(rows, schema):
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema, strict=True)], names=[f"c{k}" for k in range(len(schema))])
+
+
+def test_a_passage_of_most_documents_stays_in_its_chunks():
+    """A hash range gets a common block or window once a chunk, however many documents hold it."""
+    pick = random.Random(5)
+    shared = " ".join(f"s{k}" for k in range(60))
+    texts = [(k, f"{' '.join(f'w{pick.randrange(10**9)}' for _ in range(k % 18))} {shared} t{k}") for k in range(900)]
+    batch = arrow(texts, [pa.int64(), pa.string()])
+    sent = [r for b in sd.send_anchors(4, chunk_words=9000)([batch]) for r in b.to_pylist()]
+    chunks = -(-sum(len(t.split()) for _, t in texts) // 9000)
+    keys = Counter()
+    for r in sent:
+        if r["probes"]:
+            keys.update((r["bucket"], x) for x in np.cumsum(sd.unsqueezed(r["blocks"], np.uint32), dtype=np.uint32).tolist())
+    assert max(keys.values(), default=0) <= chunks and sum(keys.values()) < 1000
+    hits = Counter(row for b in sd.hit_blocks([arrow([tuple(r.values()) for r in sent], [pa.int32(), *[pa.binary()] * 5])]) for row in b.column(0).to_pylist())
+    assert set(hits) == set(range(900))
+    around = arrow([(k, t, list(range(4))) for k, t in texts], [pa.int64(), pa.string(), pa.list_(pa.int32())])
+    windows = [r for b in sd.send_windows(4, chunk_words=9000)([around]) for r in b.to_pylist()]
+    assert max(len(sd.unsqueezed(r["rows"], np.int64)) for r in windows if r["a"]) < 400
+    assert sum(len(sd.unsqueezed(r["rows"], np.int64)) for r in windows if not r["a"]) >= 900 * 26
+
+
+def test_hashes_alone_remove_nothing(monkeypatch):
+    """Where different windows have one hash, there is an error and no removal."""
+    monkeypatch.setattr(sd, "rolled", lambda words, n, base: np.zeros(max(0, len(words) - n + 1), np.uint64))
+    texts = arrow([(1, " ".join(f"a{k}" for k in range(40)), [0]), (2, " ".join(f"b{k}" for k in range(40)), [0])], [pa.int64(), pa.string(), pa.list_(pa.int32())])
+    with pytest.raises(ValueError, match="another seed"):
+        list(sd.send_windows(2)([texts]))
+    words = "a b c d".split()
+    assert sd.left_over(words, None, [{"lo": 1, "words": "b c"}]) == ["a", "d"]
+    with pytest.raises(ValueError, match="another seed"):
+        sd.left_over(words, None, [{"lo": 1, "words": "b x"}])
+
+
 def test_awkward_and_empty(spark, awkward, nothing):
     texts = [r.text for r in awkward.collect()]
     got = sorted((r.n_words, r.n_removed, r.kept) for r in sd.without_repeats(awkward).collect())
