@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tagloom.llm import exact_dedup, mil_classifier, packing, similar, substring_dedup
-from tagloom.llm.common import fresh_path
+from tagloom.llm.common import discard, stored
 from tagloom.llm.tokens import tokenizer_path
 
 
@@ -23,7 +23,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component of near-duplicates: 5-word shingles, a similarity of 0.8 or more."""
+    """Keep one document of each component of near-duplicates: bit-sliced SimHash comparison of 5-word shingles, checked for a
+    similarity of 0.8 or more."""
     return similar.drop_near_duplicates(docs)
 
 
@@ -50,9 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        path = fresh_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stored(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
