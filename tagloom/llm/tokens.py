@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Parts in each of the memo's two generations; about 60 MB each.
-MEMO_PARTS = 300_000
+#: Parts in each of the memo's two generations; about 30 MB each.
+MEMO_PARTS = 150_000
 #: Longer parts are not remembered.
 LONGEST_PART = 64
 #: Marks and letters between which either tokenizer has a border.
@@ -30,7 +30,7 @@ SPLIT = rf"^(?P<lead>\n?)(?P<letters> ?[{LETTERS}]+)(?P<marks>[{MARKS}]*)$"
 RARE_BLANKS = r"\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 OTHER_BLANKS = r"\t\r\x{0b}\x{0c}"
 #: Text bytes that are cut into parts at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def tokenizer_path(name: str) -> str:
