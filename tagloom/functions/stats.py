@@ -26,12 +26,15 @@ def gini(rows: DataFrame, value: str) -> DataFrame:
     return x.agg((F.try_divide(2 * F.sum(F.col("i") * F.col("x")), n * total) - F.try_divide(n + 1, n)).alias("g"), n.alias("n")).select((F.col("g") * F.try_divide(F.col("n"), F.col("n") - 1)).alias("gini"))
 
 
-def average_ranks(long: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """long with `rank`, the average rank of value within keys. Ranks come from counts of different values, so ties cost nothing."""
-    distinct = long.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(W.partitionBy(*keys).orderBy(value))
-    ranked = distinct.withColumn("rank", upto - (F.col("n") - 1) / 2.0).drop("n")
-    return long.join(ranked, [*keys, value])
+def average_ranks(long: DataFrame, keys: list[str], value: str, width: float = 1 / 256) -> DataFrame:
+    """long with `rank`, the average rank of value within keys. Ranks come from counts of different values, so ties cost nothing;
+    counts are summed up in two levels, over steps of `width` and within each, so no category's values meet in one task."""
+    distinct = long.groupBy(*keys, value).agg(F.count("*").alias("n")).withColumn("__step", F.floor(F.col(value) / width))
+    steps = distinct.groupBy(*keys, "__step").agg(F.sum("n").alias("__of_step"))
+    before = steps.select(*keys, "__step", (F.sum("__of_step").over(W.partitionBy(*keys).orderBy("__step")) - F.col("__of_step")).alias("__before"))
+    upto = F.sum("n").over(W.partitionBy(*keys, "__step").orderBy(value))
+    ranked = distinct.withColumn("__upto", upto).join(before, [*keys, "__step"])
+    return long.join(ranked.select(*keys, value, (F.col("__before") + F.col("__upto") - (F.col("n") - 1) / 2.0).alias("rank")), [*keys, value])
 
 
 def spearman_block(first: DataFrame, second: DataFrame) -> DataFrame:

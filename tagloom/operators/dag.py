@@ -9,9 +9,11 @@ from pyspark.sql import Window as W
 from tagloom.operators import votes
 
 
-def edges(p: DataFrame) -> DataFrame:
-    """from_tag, to_tag, weight: P(to given from) wherever `to` is strictly more general. Ties give no edge, so there is no cycle."""
-    w = votes.conditional(p)
+def edges(p: DataFrame, w: DataFrame | None = None) -> DataFrame:
+    """from_tag, to_tag, weight: P(to given from) wherever `to` is strictly more general. Ties give no edge, so there is no cycle.
+
+    w: the conditional probabilities, where they are at hand."""
+    w = votes.conditional(p) if w is None else w
     g = votes.generality(p, w).select("tag", F.round("generality", votes.DIGITS).alias("g"))
     low, high = g.toDF("a", "ga"), g.toDF("b", "gb")
     return w.join(low, "a").join(high, "b").where("ga < gb and w > 0").select(F.col("a").alias("from_tag"), F.col("b").alias("to_tag"), F.col("w").alias("weight"))

@@ -1,28 +1,34 @@
 """Greedy folding of tags into fewer categories.
 
-One step folds a category c into its parents by their weights w: the mapping's row of c is shared out by w and removed, the
-weights' row of c likewise, and every track's mass on c moves along. Next is the unfolded non-root with the fewest tracks
-(W2 sizes), of ties the first by name. What a fold leads to depends only on the set of folded tags, so a state
-is rebuilt from the order; only order, sizes and Gini are kept.
-
-Tracks with equal votes behave alike, so they are compressed to profiles with a count. If profiles times tags fit MOST_CELLS, the
-loop runs on the driver in numpy; else each step is one job over a stored table of (track, cat, p).
+One step folds a category c into its parents by their weights w: what the mapping gives to c is shared out by w, and every track's
+mass on c moves along. Next is the unfolded non-root with the fewest tracks (W2 sizes), of ties the first by name. What a
+fold leads to depends only on the set of folded tags, so a state is rebuilt from the order; only order, sizes and Gini are kept.
+
+Tracks with equal votes behave alike, so they are compressed once to profiles with a count, and no state of the tracks is ever
+written: a step derives the masses of the profiles it touches from their votes and the mapping, before and after, and the
+sizes change by the difference. If the profiles' entries fit MOST_ENTRIES they are kept on the driver; else each step is one
+pass over their stored table, without a shuffle of theirs. Both run the same code on the same numbers, in blocks of profiles.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions.stats import gini_of
 from tagloom.operators import assign, dag
+from tagloom.sources.shared import discard, stored
 
-MOST_CELLS = 20_000_000
-MOST_TAGS = 5_000
+#: Entries (tags of profiles) that the driver holds, about 30 bytes each, and those of one block.
+MOST_ENTRIES, BLOCK = 10_000_000, 1_000_000
+#: Edges of the graph, which the driver holds as it decides one step after the other.
+MOST_EDGES = 2_000_000
+#: Rows of a small table that local() brings to the driver.
+MOST_ROWS = 5_000
 
 
 @dataclass
@@ -31,7 +37,7 @@ class Folding:
 
     tags: list[str]
     roots: list[str]
-    weights: np.ndarray  # parent x child
+    weights: dict[str, dict[str, float]]  # child -> parent -> share
     order: list[str] = field(default_factory=list)
     sizes: list[dict[str, int]] = field(default_factory=list)
     ginis: list[float] = field(default_factory=list)
@@ -42,139 +48,195 @@ class Folding:
             raise ValueError(f"k must be from {len(self.roots)} to {len(self.tags)}")
         return self.order[: len(self.tags) - k]
 
+    def spread(self, folded: list[str]) -> dict[str, dict[str, float]]:
+        """Of each folded tag, the shares of the categories that are left: the paths over folded tags, parents first."""
+        gone, done = {*folded}, {}
+        for tag in folded:
+            todo = [tag]
+            while todo:
+                x = todo[-1]
+                wait = [] if x in done else [y for y in self.weights[x] if y in gone and y not in done]
+                todo += wait
+                if not wait:
+                    todo.pop()
+                if wait or x in done:
+                    continue
+                out: dict[str, float] = {}
+                for parent, w in self.weights[x].items():
+                    for cat, share in (done[parent] if parent in gone else {parent: 1.0}).items():
+                        out[cat] = out.get(cat, 0.0) + w * share
+                done[x] = out
+        return done
+
     def mapping(self, folded: list[str]) -> list[tuple[str, str, float]]:
-        """(tag, category, share) by the closed form: W[S,F] (I - W[F,F])^-1 for the folded F and the others S."""
-        at = {t: i for i, t in enumerate(self.tags)}
-        f = [at[t] for t in folded]
-        s = [i for i in range(len(self.tags)) if i not in set(f)]
-        inner = np.eye(len(f)) - self.weights[np.ix_(f, f)]
-        shares = self.weights[np.ix_(s, f)] @ np.linalg.inv(inner) if f else np.zeros((len(s), 0))
-        rows = [(self.tags[i], self.tags[i], 1.0) for i in s]
-        return rows + [(self.tags[f[j]], self.tags[s[i]], float(shares[i, j])) for j in range(len(f)) for i in range(len(s)) if shares[i, j] > 0]
+        """(tag, category, share)."""
+        gone = self.spread(folded)
+        return [(t, c, w) for t in self.tags for c, w in sorted(gone.get(t, {t: 1.0}).items())]
 
     def graph(self, folded: list[str]) -> list[tuple[str, str, float]]:
         """(child, parent, share) among the remaining categories after the folds."""
-        w = self.weights.copy()
-        gone = []
-        for tag in folded:
-            c = self.tags.index(tag)
-            w += np.outer(w[:, c], w[c, :])
-            w[c, :] = 0
-            w[:, c] = 0
-            gone.append(c)
-        left = [i for i in range(len(self.tags)) if i not in gone]
-        return [(self.tags[j], self.tags[i], float(w[i, j])) for j in left for i in left if w[i, j] > 0]
-
-
-def _start(p: DataFrame, graph: DataFrame) -> Folding:
-    tags = sorted(r.tag for r in p.select("tag").distinct().limit(MOST_TAGS + 1).collect())
-    if len(tags) > MOST_TAGS:
-        raise ValueError(f"at most {MOST_TAGS} tags can be folded")
+        gone, found = self.spread(folded), []
+        for child in self.tags:
+            out: dict[str, float] = {}
+            for parent, w in self.weights.get(child, {}).items() if child not in gone else ():
+                for cat, share in gone.get(parent, {parent: 1.0}).items():
+                    out[cat] = out.get(cat, 0.0) + w * share
+            found += [(child, parent, w) for parent, w in sorted(out.items())]
+        return found
+
+
+def start(p: DataFrame, graph: DataFrame) -> Folding:
+    tags = sorted(r.tag for r in p.select("tag").distinct().collect())  # the vocabulary
+    rows = dag.parent_weights(graph).select("child", "parent", "w").limit(MOST_EDGES + 1).toArrow().to_pydict()
+    if len(rows["w"]) > MOST_EDGES:
+        raise ValueError(f"the graph has over {MOST_EDGES} edges: raise the least number of artists of a tag")
+    weights: dict[str, dict[str, float]] = {}
+    for child, parent, w in sorted(zip(rows["child"], rows["parent"], rows["w"], strict=True)):
+        weights.setdefault(child, {})[parent] = w
+    return Folding(tags, [t for t in tags if t not in weights], weights)
+
+
+def profiles_of(p: DataFrame, tags: list[str]) -> DataFrame:
+    """v, n: different votes (t: a tag's place in tags, p) of tracks and how many tracks have them."""
+    places = p.sparkSession.createDataFrame(list(enumerate(tags)), "t int, tag string")
+    vector = F.array_sort(F.collect_list(F.struct("t", "p")))
+    return p.join(F.broadcast(places), "tag").where("p > 0").groupBy("track").agg(vector.alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+
+
+def _arrays(batch) -> tuple[np.ndarray, ...]:
+    """Tag, share and profile of every entry of a block (v, n), and the profiles' counts."""
+    v = batch.column(0)
+    size = np.diff(v.offsets.to_numpy())
+    flat = v.flatten()
+    return flat.field(0).to_numpy(), flat.field(1).to_numpy(), np.repeat(np.arange(len(size)), size), batch.column(1).to_numpy()
+
+
+class Mapping:
+    """Categories and shares of every tag, as one long array of each."""
+
+    def __init__(self, of: list[tuple[np.ndarray, np.ndarray]]):
+        self.length = np.array([len(c) for c, _ in of], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.cats, self.shares = (np.concatenate([x[k] for x in of]) for k in (0, 1))
+
+
+def winners(tag: np.ndarray, p: np.ndarray, row: np.ndarray, mapping: Mapping, rank: np.ndarray) -> np.ndarray:
+    """The category of most mass of each row (they ascend), of ties the one of least rank."""
+    n = mapping.length[tag]
+    entry = np.repeat(np.arange(len(tag)), n)
+    at = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n) + mapping.start[tag][entry]
+    key, inverse = np.unique(row[entry] * len(rank) + mapping.cats[at], return_inverse=True)
+    mass = np.bincount(inverse, p[entry] * mapping.shares[at])
+    row, cat = key // len(rank), key % len(rank)
+    order = np.lexsort((rank[cat], -np.round(mass, assign.DIGITS), row))
+    return cat[order][np.concatenate(([True], row[order][1:] != row[order][:-1]))] if len(order) else cat
+
+
+def moved(block: tuple[np.ndarray, ...], touched: np.ndarray, before: Mapping | None, after: Mapping, rank: np.ndarray) -> np.ndarray:
+    """How the sizes change, over the profiles of a block that hold a touched tag; before: None if nothing was counted yet."""
+    tag, p, row, n = block
+    own = np.zeros(len(n), bool)
+    own[row[touched[tag]]] = True
+    entry = own[row]
+    tag, p, row, n = tag[entry], p[entry], np.cumsum(own)[row[entry]] - 1, n[own]
+    out = np.zeros(len(rank), np.int64)
+    np.add.at(out, winners(tag, p, row, after, rank), n)
+    if before is not None:
+        np.subtract.at(out, winners(tag, p, row, before, rank), n)
+    return out
+
+
+def _greedy(state: Folding, order: list[str] | None, rare: dict[str, int], change) -> Folding:
+    """The loop; change(touched, before, after, rank) gives the change of the sizes over all profiles."""
+    tags = state.tags
     at = {t: i for i, t in enumerate(tags)}
-    w = np.zeros((len(tags), len(tags)))
-    for r in dag.parent_weights(graph).collect():  # at most one row per pair of tags
-        w[at[r.parent], at[r.child]] = r.w
-    return Folding(tags, [t for t in tags if not w[:, at[t]].any()], w)
-
-
-def _steps(state: Folding, order: list[str] | None, move, size_of) -> Folding:
-    """The greedy loop over any representation of the tracks."""
-    at = {t: i for i, t in enumerate(state.tags)}
-    w = state.weights.copy()
-    left = [t for t in state.tags if t not in state.roots]
-    given = None if order is None else [t for t in order if t not in state.roots]
-    unfolded = list(state.tags)
+    rank = np.empty(len(tags), np.int64)
+    rank[sorted(range(len(tags)), key=lambda i: (rare.get(tags[i], 0), tags[i]))] = np.arange(len(tags))
+    of = [(np.array([i]), np.ones(1)) for i in range(len(tags))]
+    holders = [{i} for i in range(len(tags))]  # of each category, the tags that give to it
+    left = [t for t in tags if t in state.weights]
+    given = None if order is None else [t for t in order if t in state.weights]
+    unfolded, now = list(tags), Mapping(of) if tags else None
+    sizes = change(np.ones(len(tags), bool), None, now, rank) if tags else np.empty(0, np.int64)
 
     def note() -> None:
-        sizes = size_of()
-        state.sizes.append({t: int(sizes[at[t]]) for t in state.tags})
+        state.sizes.append({t: int(sizes[at[t]]) for t in tags})
         state.ginis.append(gini_of([int(sizes[at[t]]) for t in unfolded]))
 
     note()
     while left:
-        tag = given[len(state.order)] if given else min(left, key=lambda t: (state.sizes[-1][t], t))
+        tag = given[len(state.order)] if given else min(left, key=lambda t: (sizes[at[t]], t))
         c = at[tag]
-        share = w[:, c].copy()
-        w += np.outer(share, w[c, :])
-        w[c, :] = 0
+        parts: dict[int, float] = {}
+        for parent, w in state.weights[tag].items():
+            for cat, share in zip(*of[at[parent]], strict=True):
+                parts[int(cat)] = parts.get(int(cat), 0.0) + w * float(share)
+        touched = np.zeros(len(tags), bool)
+        for t in holders[c]:
+            touched[t] = True
+            shares = dict(zip(of[t][0].tolist(), of[t][1].tolist(), strict=True))
+            mass = shares.pop(c)
+            for cat, share in parts.items():
+                shares[cat] = shares.get(cat, 0.0) + mass * share
+                holders[cat].add(t)
+            of[t] = np.array(sorted(shares)), np.array([shares[k] for k in sorted(shares)])
+        before, now = now, Mapping(of)
+        sizes = sizes + change(touched, before, now, rank)
         left.remove(tag)
         unfolded.remove(tag)
         state.order.append(tag)
-        move(c, share)
         note()
     return state
 
 
-def fold_profiles(p: DataFrame, graph: DataFrame, order: list[str] | None = None, profiles: DataFrame | None = None) -> Folding:
-    """The fold on the driver, over profiles (v: sorted array of (tag, p); n: tracks)."""
-    state = _start(p, graph)
-    rows = (profiles_of(p) if profiles is None else profiles).collect()
-    at = {t: i for i, t in enumerate(state.tags)}
-    mass, count = np.zeros((len(rows), len(state.tags))), np.array([r.n for r in rows], np.int64)
-    for k, r in enumerate(rows):
-        for x in r.v:
-            mass[k, at[x.tag]] = x.p
-    rare = ((mass > 0) * count[:, None]).sum(0)
-    by_rarity = np.lexsort((np.arange(len(state.tags)), rare))
-
-    def move(c: int, share: np.ndarray) -> None:
-        touched = np.flatnonzero(mass[:, c])
-        mass[touched] += np.outer(mass[touched, c], share)
-        mass[touched, c] = 0
-
-    def size_of() -> np.ndarray:
-        best = by_rarity[np.argmax(np.round(mass[:, by_rarity], assign.DIGITS), 1)] if len(mass) else np.empty(0, np.int64)
-        return np.bincount(best, count, len(state.tags)).astype(np.int64)
-
-    return _steps(state, order, move, size_of)
-
-
-def fold_distributed(p: DataFrame, graph: DataFrame, order: list[str] | None = None) -> Folding:
-    """The same fold with the tracks' masses as a stored table, one job a step."""
-    spark = p.sparkSession
-    state = _start(p, graph)
-    rarities = assign.rarity(p).select("tag", "n_tracks").persist()
-    cats = spark.createDataFrame([(t,) for t in state.tags], "cat string")
-    now = [_stored(p.select("track", F.col("tag").alias("cat"), "p"))]
-
-    def move(c: int, share: np.ndarray) -> None:
-        to = spark.createDataFrame([(state.tags[i], float(x)) for i, x in enumerate(share) if x > 0], "to string, w double")
-        tag = state.tags[c]
-        moved = now[0].where(F.col("cat") == tag).crossJoin(F.broadcast(to)).select("track", F.col("to").alias("cat"), (F.col("p") * F.col("w")).alias("p"))
-        now[0] = _stored(now[0].where(F.col("cat") != tag).unionByName(moved).groupBy("track", "cat").agg(F.sum("p").alias("p")))
-
-    def size_of() -> np.ndarray:
-        n = {r.cat: r.n for r in assign.hard_sizes(now[0], rarities, cats).collect()}
-        return np.array([n[t] for t in state.tags], np.int64)
+def _rarities(p: DataFrame) -> dict[str, int]:
+    return {r.tag: r.n for r in p.where("p > 0").groupBy("tag").agg(F.count("*").alias("n")).collect()}
 
-    try:
-        return _steps(state, order, move, size_of)
-    finally:
-        rarities.unpersist()
 
+def fold_profiles(p: DataFrame, graph: DataFrame, order: list[str] | None = None, profiles: DataFrame | None = None, state: Folding | None = None) -> Folding:
+    """The fold with all profiles on the driver."""
+    state = state or start(p, graph)
+    table = (profiles_of(p, state.tags) if profiles is None else profiles).select("v", "n").toArrow().combine_chunks()
+    size = np.diff(table.column(0).combine_chunks().offsets.to_numpy()) if table.num_rows else np.empty(0, np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // BLOCK, prepend=0)).tolist()
+    blocks = [_arrays(table.slice(a, b - a).combine_chunks().to_batches()[0]) for a, b in zip([0, *cuts], [*cuts, table.num_rows], strict=True) if a < b]
 
-def _stored(df: DataFrame) -> DataFrame:
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
-    path = f"{folder}/fold-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    def change(*step) -> np.ndarray:
+        return sum((moved(block, *step[:3], step[3]) for block in blocks), np.zeros(len(state.tags), np.int64))
 
+    return _greedy(state, order, _rarities(p), change)
 
-def profiles_of(p: DataFrame) -> DataFrame:
-    """v, n: different votes of tracks and how many tracks have them."""
-    vector = F.array_sort(F.collect_list(F.struct("tag", F.round("p", assign.DIGITS).alias("p"))))
-    return p.groupBy("track").agg(vector.alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+
+def fold_distributed(p: DataFrame, graph: DataFrame, order: list[str] | None = None, profiles: DataFrame | None = None, state: Folding | None = None) -> Folding:
+    """The same fold with the profiles as a stored table, one pass over it a step."""
+    state = state or start(p, graph)
+    table = stored(profiles_of(p, state.tags), "fold-profiles") if profiles is None else profiles
+
+    def change(touched, before, after, rank) -> np.ndarray:
+        def run(batches):
+            for batch in batches:
+                delta = moved(_arrays(batch), touched, before, after, rank) if batch.num_rows else np.zeros(len(rank), np.int64)
+                cats = np.flatnonzero(delta)
+                yield pa.RecordBatch.from_arrays([pa.array(cats, pa.int64()), pa.array(delta[cats], pa.int64())], names=["cat", "n"])
+
+        holds = F.exists("v", lambda x: x["t"].isin(np.flatnonzero(touched).tolist()))
+        found = table.where(holds).select("v", "n").mapInArrow(run, "cat long, n long").groupBy("cat").agg(F.sum("n").alias("n")).collect()
+        out = np.zeros(len(rank), np.int64)
+        out[[r.cat for r in found]] = [r.n for r in found]
+        return out
+
+    return _greedy(state, order, _rarities(p), change)
 
 
 def fold(p: DataFrame, graph: DataFrame, order: list[str] | None = None) -> Folding:
-    """By profiles if they fit the driver, else distributed."""
-    most = MOST_CELLS // max(1, p.select("tag").distinct().count())
-    profiles = profiles_of(p)
-    if profiles.limit(most + 1).count() <= most:
-        return fold_profiles(p, graph, order, profiles)
-    return fold_distributed(p, graph, order)
+    """On the driver if the profiles fit, else distributed."""
+    state = start(p, graph)
+    profiles = stored(profiles_of(p, state.tags), "fold-profiles")
+    entries = profiles.agg(F.sum(F.size("v"))).first()[0] or 0
+    try:
+        return (fold_profiles if entries <= MOST_ENTRIES else fold_distributed)(p, graph, order, profiles, state)
+    finally:
+        discard(profiles)
 
 
 def tables(spark: SparkSession, state: Folding) -> dict[str, DataFrame]:
@@ -191,6 +253,11 @@ def mapping_table(spark: SparkSession, state: Folding, k: int) -> DataFrame:
     return spark.createDataFrame(state.mapping(state.folded(k)), "tag string, cat string, w double")
 
 
+def graph_table(spark: SparkSession, state: Folding, k: int) -> DataFrame:
+    """from_tag, to_tag, weight among the k categories."""
+    return spark.createDataFrame(state.graph(state.folded(k)), "from_tag string, to_tag string, weight double")
+
+
 def paths_mapping(parents: DataFrame, tags: DataFrame, folded: list[str]) -> DataFrame:
     """The mapping of a folded set by following parents until a category that isn't folded; for small graphs.
 
@@ -199,12 +266,12 @@ def paths_mapping(parents: DataFrame, tags: DataFrame, folded: list[str]) -> Dat
     now = tags.select("tag", F.col("tag").alias("cat"), F.lit(1.0).alias("w"))
     for _ in folded:
         on = now.join(step, F.col("cat") == F.col("child"), "left")
-        moved = on.select("tag", F.coalesce("parent", "cat").alias("cat"), (F.col("w") * F.coalesce("share", F.lit(1.0))).alias("w"))
-        now = moved.groupBy("tag", "cat").agg(F.sum("w").alias("w"))
+        moved_on = on.select("tag", F.coalesce("parent", "cat").alias("cat"), (F.col("w") * F.coalesce("share", F.lit(1.0))).alias("w"))
+        now = moved_on.groupBy("tag", "cat").agg(F.sum("w").alias("w"))
     return now
 
 
-def local(df: DataFrame, most: int = MOST_TAGS) -> DataFrame:
+def local(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     """A small table brought to the driver and back, so that what it comes from runs once."""
     rows = df.limit(most + 1).collect()
     if len(rows) > most:

@@ -9,6 +9,10 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.sources.shared import discard, stored
+
+#: Edges that the driver follows: about 200 bytes each.
+MOST_EDGES = 1_000_000
 GREY, BLACK = "#808080", "#000000"
 ROOT = "ROOT"
 ROOT_SIZE = 0.001
@@ -63,19 +67,32 @@ def root_of(edges: DataFrame) -> str:
     return found[0].to_tag
 
 
-def levels(edges: DataFrame, root: str, most: int = 1000) -> DataFrame:
-    """tag_name, hierarchy_level: fewest edges to the root, which has 0; breadth first, one small job a level.
-    A vertex at most or more edges away is an error."""
+def levels(edges: DataFrame, root: str, most_edges: int = MOST_EDGES) -> DataFrame:
+    """tag_name, hierarchy_level: fewest edges to the root, which has 0; breadth first, to any depth. Up to most_edges edges are
+    followed on the driver; with more, each level is one job over stored tables."""
     spark = edges.sparkSession
-    seen = frontier = spark.createDataFrame([(root, 0)], "tag_name string, hierarchy_level int")
-    for level in range(1, most + 1):
-        frontier = edges.join(frontier.select(F.col("tag_name").alias("to_tag")), "to_tag", "left_semi").select(F.col("from_tag").alias("tag_name"), F.lit(level).alias("hierarchy_level")).distinct().join(seen, "tag_name", "left_anti").persist()
-        if frontier.isEmpty():
-            break
-        if level == most:
-            raise ValueError(f"vertices at {most} or more edges from {root}")
-        seen = seen.unionByName(frontier)
-    return seen
+    pairs = edges.select("from_tag", "to_tag").distinct()
+    rows = pairs.limit(most_edges + 1).toArrow().to_pydict()
+    schema = "tag_name string, hierarchy_level int"
+    if len(rows["to_tag"]) <= most_edges:
+        children: dict[str, list[str]] = {}
+        for child, parent in zip(rows["from_tag"], rows["to_tag"], strict=True):
+            children.setdefault(parent, []).append(child)
+        seen, frontier = {root: 0}, [root]
+        while frontier:
+            level = seen[frontier[0]] + 1
+            frontier = [c for c in dict.fromkeys(c for x in frontier for c in children.get(x, ())) if c not in seen]
+            seen |= dict.fromkeys(frontier, level)
+        return spark.createDataFrame(list(seen.items()), schema)
+    pairs, paths, level = stored(pairs, "levels-edges"), [], 0
+    frontier = stored(spark.createDataFrame([(root, 0)], schema), "levels")
+    while not frontier.isEmpty():
+        paths, level = [*paths, frontier.stored_at], level + 1
+        below = pairs.join(frontier.select(F.col("tag_name").alias("to_tag")), "to_tag", "left_semi").select(F.col("from_tag").alias("tag_name")).distinct()
+        new = below.join(spark.read.schema(schema).parquet(*paths), "tag_name", "left_anti")
+        frontier = stored(new.select("tag_name", F.lit(level).alias("hierarchy_level")), "levels")
+    discard(pairs, frontier)
+    return spark.read.schema(schema).parquet(*paths)
 
 
 def descendants(edges: DataFrame, node: str) -> DataFrame:

@@ -42,11 +42,17 @@ def portable_hash(key: Column, seed: int = 42) -> Column:
 
 
 def stratified_split(strata: DataFrame, train_fraction: float = 0.8, seed: int = 42) -> DataFrame:
-    """artist, stratum, is_train: of each stratum, the artists that hash lowest, floor(fraction * n) of them."""
-    by = W.partitionBy("stratum")
-    place = F.row_number().over(by.orderBy(portable_hash(F.col("artist"), seed), "artist"))
-    n = F.count("*").over(by)
-    return strata.select("artist", "stratum", (place <= F.floor(n * train_fraction)).alias("is_train"))
+    """artist, stratum, is_train: of each stratum, the artists that hash lowest, floor(fraction * n) of them.
+
+    An artist's place is the number of lower hashes, from counts, and its place among the artists of its own hash, so that no
+    stratum is sorted whole."""
+    hashed = strata.select("artist", "stratum", portable_hash(F.col("artist"), seed).alias("h"))
+    counts = hashed.groupBy("stratum", "h").agg(F.count("*").alias("n"))
+    by = W.partitionBy("stratum")  # at most 1,000 rows a stratum
+    lower = counts.select(F.col("stratum").alias("s"), F.col("h").alias("k"), (F.sum("n").over(by.orderBy("h")) - F.col("n")).alias("lower"), F.sum("n").over(by).alias("all"))
+    place = F.row_number().over(W.partitionBy("stratum", "h").orderBy("artist"))
+    placed = hashed.withColumn("place", place).join(lower, (F.col("stratum") == F.col("s")) & F.col("h").eqNullSafe(F.col("k")))
+    return placed.select("artist", "stratum", (F.col("lower") + F.col("place") <= F.floor(F.col("all") * train_fraction)).alias("is_train"))
 
 
 def split_tracks(tracks: DataFrame, artists: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -136,6 +142,7 @@ def repeated_folds(rows: DataFrame, folds: int, repeats: int, most: int, seed: i
 
 
 def split_table(folds: DataFrame, cat: str = "cat") -> DataFrame:
-    """split_type, split_id, cat of folds(track, artist, fold, cat): each fold's own rows are its test part, all others its training part."""
+    """split_type, split_id, cat of folds(track, artist, fold, cat): each fold's own rows are its test part, all others its training
+    part. As its users only count, `distribution` of it is a small aggregate, which Spark forms before any shuffle."""
     ids = folds.select(F.col("fold").alias("split_id")).distinct()
     return folds.crossJoin(F.broadcast(ids)).select(F.when(F.col("fold") == F.col("split_id"), "test").otherwise("train").alias("split_type"), "split_id", F.col(cat).alias("cat"))

@@ -118,3 +118,8 @@ def suggested(candidates: DataFrame, low: int, high: int) -> DataFrame:
 
 def grid_table(spark: SparkSession, found: list[tuple[int, int, float, dict[str, str]]]) -> DataFrame:
     return spark.createDataFrame([(a, b, c) for a, b, c, _ in found], "min_n int, n_metagenres int, weighted_gini double")
+
+
+def solutions_table(spark: SparkSession, found: list[tuple[int, int, float, dict[str, str]]]) -> DataFrame:
+    """min_n, tag, cat: the mapping of every grid point."""
+    return spark.createDataFrame([(least, t, c) for least, _, _, mapping in found for t, c in sorted(mapping.items())], "min_n int, tag string, cat string")

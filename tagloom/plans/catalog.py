@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions import stats, text
 from tagloom.operators import assign, compare, dag, fold, graphs, ingest, inspect, metagenres, splits, tree_fold, votes
-from tagloom.plans.inputs import LEAST, OTHER, long_named, map_sql, nested, p_sql, shares, table, tag_votes, tracks, v_sql, votes_long, w_sql
+from tagloom.plans.inputs import LEAST, OTHER, fold_sql, fold_states, long_named, map_sql, nested, p_sql, shares, table, tag_votes, tracks, v_sql, votes_long, w_sql
 from tagloom.sources import files
+from tagloom.sources.shared import fresh_path, stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -110,28 +108,13 @@ def unique_tags(spark, d):
     return ingest.unique_tags(nested(spark, d), ("track_tags", "album_tags"))
 
 
-@query("""
-WITH s AS (SELECT DISTINCT l_orderkey AS track, l_suppkey AS id FROM lineitem WHERE l_orderkey % 3 = 0),
-a AS (SELECT s_suppkey AS id, 'nation ' || s_nationkey AS g, 1 AS pos FROM supplier WHERE s_suppkey % 5 > 0 UNION ALL SELECT s_suppkey, CASE WHEN s_acctbal < 5000 THEN 'low' ELSE 'high' END, 0 FROM supplier WHERE s_suppkey % 5 > 0),
-k AS (SELECT track, count(*) AS n FROM s GROUP BY track)
-SELECT track, g AS tag_name, CAST(count(*) AS DOUBLE) AS tag_count FROM s JOIN k USING (track) JOIN a USING (id) GROUP BY 1, 2
-""")
-def nested_artist_union(spark, d):
-    lines = table(spark, d, "lineitem").where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("track"), "l_suppkey").distinct()
-    tracks_ = lines.groupBy("track").agg(F.collect_list(F.struct(F.col("l_suppkey").alias("id"))).alias("artists"))
-    genre = lambda x: F.struct(x.alias("genre"))
-    level = F.when(F.col("s_acctbal") < 5000, "low").otherwise("high")
-    artists = table(spark, d, "supplier").where("s_suppkey % 5 > 0").select(F.col("s_suppkey").alias("artist_id"), F.array(genre(level), genre(F.concat(F.lit("nation "), "s_nationkey"))).alias("genres"))
-    return ingest.unpack_tags(ingest.combine_artist_tags(tracks_, artists)).select("track", "tag_name", "tag_count")
-
-
 @query("""
 WITH s AS (SELECT DISTINCT l_orderkey AS track, l_suppkey AS id FROM lineitem),
 a AS (SELECT s_suppkey AS id, 'nation ' || s_nationkey AS g FROM supplier WHERE s_acctbal >= 0 UNION ALL SELECT s_suppkey, CASE WHEN s_acctbal < 5000 THEN 'low' ELSE 'high' END FROM supplier WHERE s_acctbal >= 0)
 SELECT track, g AS tag_name, CAST(count(*) AS DOUBLE) AS tag_count FROM s JOIN a USING (id) GROUP BY 1, 2
 """)
-def nested_artist_union_all(spark, d):
-    """As nested_artist_union, over every order; suppliers in debt are the unknown artists."""
+def nested_artist_union(spark, d):
+    """Suppliers in debt are the unknown artists."""
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("track"), "l_suppkey").distinct()
     tracks_ = lines.groupBy("track").agg(F.collect_list(F.struct(F.col("l_suppkey").alias("id"))).alias("artists"))
     genre = lambda x: F.struct(x.alias("genre"))
@@ -164,9 +147,24 @@ def split_rows(spark, d):
     return ingest.split_rows(c, "tag_name")
 
 
-@query("SELECT l_orderkey, l_linenumber, name, value FROM (SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem) UNPIVOT (value FOR name IN (l_discount, l_tax))")
+@query("SELECT l_orderkey, l_linenumber, replace(name, 'l_', '') AS tag_name, value AS tag_count FROM (SELECT l_orderkey, l_linenumber, l_discount, nullif(l_tax, 0) AS l_tax FROM lineitem) UNPIVOT (value FOR name IN (l_discount, l_tax))")
 def unpivot_scores(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax").unpivot(["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"], "name", "value")
+    lines = table(spark, d, "lineitem").withColumn("l_tax", F.nullif("l_tax", F.lit(0.0)))
+    return ingest.long_scores(lines, ["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"], "l_")
+
+
+@query("SELECT o_orderpriority AS x_o_orderpriority, o_orderkey, o_orderstatus AS x_o_orderstatus FROM orders")
+def named_columns(spark, d):
+    """Columns by a pattern, renamed by a prefix, one moved to the front."""
+    chosen = ingest.matching(table(spark, d, "orders"), "^o_order(status|priority)$", ("o_orderkey",))
+    return ingest.moved_first(ingest.prefixed(chosen, "x_", ("o_orderkey",)), ["x_o_orderpriority"])
+
+
+@query("SELECT p_type AS tag_name FROM part UNION SELECT lower(p_type) FROM part UNION SELECT c_mktsegment FROM customer")
+def tags_of_two_tables(spark, d):
+    types = table(spark, d, "part").select(F.array(F.struct(F.col("p_type").alias("tag_name")), F.struct(F.lower("p_type").alias("tag_name"))).alias("a"))
+    segments = table(spark, d, "customer").select(F.array(F.struct(F.col("c_mktsegment").alias("tag_name"))).alias("a"))
+    return ingest.unique_tags(types.unionByName(segments), ("a",))
 
 
 @query("SELECT c_custkey AS id, c_mktsegment AS segment, NULL::DOUBLE AS balance FROM customer UNION ALL SELECT s_suppkey, NULL, s_acctbal FROM supplier")
@@ -189,13 +187,16 @@ def string_projection(spark, d):
     )
 
 
-@query("SELECT n_nationkey, 'Town, ' || n_name AS origin, n_name AS country, r_name AS continent FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 'Port of ' || n_name || ' Bay' ELSE 'Town, ' || n_name END AS origin,
+ CASE WHEN n_nationkey % 4 = 0 THEN 'HARBOURS' ELSE n_name END AS country, CASE WHEN n_nationkey % 4 > 0 THEN r_name END AS continent FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def classify_region(spark, d):
+    """By the last part of a name where that is known, else by the first rule that matches."""
     nation, region = table(spark, d, "nation"), table(spark, d, "region")
     countries = nation.select(F.col("n_name").alias("original"), F.col("n_name").alias("country"))
     continents = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("country"), F.col("r_name").alias("continent"))
-    origins = nation.select("n_nationkey", F.concat(F.lit("Town, "), "n_name").alias("origin"))
-    return ingest.from_origin(origins, countries, continents).select("n_nationkey", "origin", "country", "continent")
+    bay = F.concat(F.lit("Port of "), "n_name", F.lit(" Bay"))
+    origins = nation.select("n_nationkey", F.when(F.col("n_nationkey") % 4 == 0, bay).otherwise(F.concat(F.lit("Town, "), "n_name")).alias("origin"))
+    return ingest.from_origin(origins, countries, continents, [("^Port of ", "HARBOURS"), ("Bay$", "BAYS")]).select("n_nationkey", "origin", "country", "continent")
 
 
 # Splits
@@ -233,6 +234,15 @@ def common_tags(spark, d):
     return splits.common_tags(long.where("track % 2 = 0"), long.where("track % 2 = 1"), 650)
 
 
+@query(f"""WITH {v_sql()}, e AS (SELECT track, artist, tag AS tag_name FROM v), c AS (SELECT tag_name, track % 2 AS half FROM e GROUP BY 1, 2 HAVING count(DISTINCT artist) >= 650)
+SELECT track, tag_name FROM e WHERE tag_name IN (SELECT tag_name FROM c GROUP BY 1 HAVING count(*) = 2)""")
+def external_restricted(spark, d):
+    """Rows of a long table whose tag is common among its artists in either set of tracks."""
+    long = long_named(spark, d)
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("track"))
+    return splits.restricted(long, orders.where("track % 2 = 0"), orders.where("track % 2 = 1"), 650).select("track", "tag_name")
+
+
 # Votes and the graph
 
 
@@ -304,83 +314,106 @@ def always_alone_tags(spark, d):
 # The fold
 
 
-def _types(spark: SparkSession, d: str):
-    p = shares(spark, d, "p_type")
-    return p, dag.edges(p)
+class _Types:
+    """Votes on types, stored once, and the graph of the six types, formed once."""
+
+    def __init__(self, spark: SparkSession, d: str, tag: str = "p_type"):
+        self.p = stored(shares(spark, d, tag), "shares")
+        w = fold.local(votes.conditional(self.p))  # pairs of tags
+        self.edges = fold.local(dag.edges(self.p, w))
+        self.generality = votes.generality(self.p, w)
+        self.tags = fold.local(self.p.select("tag").distinct())
+        self._order: list[str] | None = None
 
+    def folded(self, places: tuple[int, ...] = (0, 1, 2)) -> list[str]:
+        """Tags by their place in order of generality."""
+        if self._order is None:
+            self._order = [r.tag for r in self.generality.orderBy("generality", "tag").collect()]
+        return [self._order[i] for i in places if i < len(self._order)]
 
-def _folded(spark: SparkSession, d: str, places: tuple[int, ...]) -> list[str]:
-    """Tags by their place in order of generality; six rows."""
-    order = [r.tag for r in votes.generality(shares(spark, d, "p_type")).orderBy("generality", "tag").collect()]
-    return [order[i] for i in places if i < len(order)]
+    def mapping(self, places: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
+        return fold.local(fold.paths_mapping(dag.parent_weights(self.edges), self.tags, self.folded(places)))
 
+    def probabilities(self, places: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
+        return assign.probabilities(self.p, F.broadcast(self.mapping(places)))  # six tags
 
-def _mapping(spark: SparkSession, d: str, places: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
-    p, graph = _types(spark, d)
-    parents = fold.local(dag.parent_weights(graph))  # pairs of six tags
-    return fold.local(fold.paths_mapping(parents, p.select("tag").distinct(), _folded(spark, d, places)))
+    def state(self) -> fold.Folding:
+        return fold.fold(self.p, self.edges)
 
 
 def _fold(spark: SparkSession, d: str, part: str, tag: str = "p_type") -> DataFrame:
-    p = shares(spark, d, tag)
-    return fold.tables(spark, fold.fold(p, dag.edges(p)))[part]
+    return fold.tables(spark, _Types(spark, d, tag).state())[part]
 
 
-@query()
+FOLD = f"{w_sql('p_type')}, {fold_sql(5)}"
+ORDER = " UNION ALL ".join("SELECT {i} AS step, tag FROM c{i}".replace("{i}", str(i)) for i in range(1, 6))
+GINI = "SELECT {i} AS step, (2 * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1.0) / count(*)) * count(*) / (count(*) - 1) AS gini, count(*) AS k FROM (SELECT n, row_number() OVER (ORDER BY n) AS i FROM s{i} WHERE tag NOT IN ({f})) x"
+
+
+@query(f"WITH {FOLD} SELECT CAST(step AS INT) AS step, tag FROM ({ORDER}) o")
 def fold_order(spark, d):
     return _fold(spark, d, "order")
 
 
-@query()
+@query(f"WITH {FOLD} SELECT CAST(step AS INT) AS step, tag, n FROM ({fold_states(5, 'SELECT {i} AS step, tag, n FROM s{i}')}) o")
 def fold_sizes(spark, d):
     return _fold(spark, d, "sizes")
 
 
-@query()
+@query(f"WITH {FOLD} SELECT CAST(k AS INT) AS k, round(gini, 6) AS gini FROM ({fold_states(5, f'SELECT * FROM ({GINI}) g')}) o WHERE k > 1")
 def fold_ginis(spark, d):
-    return inspect.gini_series(_fold(spark, d, "ginis"))
+    return rounded(inspect.gini_series(_fold(spark, d, "ginis")), "gini")
 
 
-@query()
+@query(f"WITH {w_sql()}, {fold_sql(24)} SELECT CAST(step AS INT) AS step, tag FROM ({' UNION ALL '.join(f'SELECT {i} AS step, tag FROM c{i}' for i in range(1, 25))}) o")
 def fold_order_brands(spark, d):
     return _fold(spark, d, "order", "p_brand")
 
 
+@query(f"WITH {FOLD} SELECT 'size' AS part, tag AS a, NULL AS b, CAST(n AS DOUBLE) AS value FROM s3 WHERE n > 0 UNION ALL SELECT 'edge', child, parent, round(w, 6) FROM u3 WHERE round(w, 6) >= 0.3")
+def k_categories(spark, d):
+    """The state after three folds: categories that hold tracks, and the graph's edges from a threshold on."""
+    state = _Types(spark, d).state()
+    sizes = spark.createDataFrame([(t, n) for t, n in state.sizes[3].items()], "cat string, n long")
+    graph = rounded(fold.graph_table(spark, state, len(state.tags) - 3), "weight")
+    some, edges = inspect.solution(sizes, graph)
+    text = lambda c: F.col(c).alias(c)
+    return some.select(F.lit("size").alias("part"), F.col("cat").alias("a"), F.lit(None).cast("string").alias("b"), F.col("n").cast("double").alias("value")).unionByName(
+        edges.select(F.lit("edge").alias("part"), F.col("from_tag").alias("a"), F.col("to_tag").alias("b"), F.col("weight").alias("value")).select(*map(text, ("part", "a", "b", "value")))
+    )
+
+
 MAP = f"{w_sql('p_type')}, {map_sql(LEAST)}"
 
 
 @query(f"WITH RECURSIVE {MAP} SELECT tag, cat, round(w, 6) AS w FROM map")
 def fold_mapping_fixed_set(spark, d):
-    return rounded(_mapping(spark, d), "w")
+    return rounded(_Types(spark, d).mapping(), "w")
 
 
 @query(f"WITH RECURSIVE {MAP} SELECT tag, cat, round(w, 6) AS w FROM map")
 def fold_mapping_closed_form(spark, d):
-    p, graph = _types(spark, d)
-    state = fold._start(p, graph)
-    return rounded(spark.createDataFrame(state.mapping(_folded(spark, d, (0, 1, 2))), "tag string, cat string, w double"), "w")
+    types = _Types(spark, d)
+    state = fold.start(types.p, types.edges)
+    return rounded(spark.createDataFrame(state.mapping(types.folded()), "tag string, cat string, w double"), "w")
 
 
 PROBS = f"{MAP}, q AS (SELECT track, cat, sum(p * w) AS p FROM p JOIN map USING (tag) GROUP BY 1, 2), best AS (SELECT track, cat, p AS cat_prob FROM q QUALIFY row_number() OVER (PARTITION BY track ORDER BY round(p, 12) DESC, cat) = 1)"
 
 
-def _probabilities(spark: SparkSession, d: str, places: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
-    return assign.probabilities(shares(spark, d, "p_type"), F.broadcast(_mapping(spark, d, places)))
-
-
 @query(f"WITH RECURSIVE {PROBS} SELECT track, cat, round(p, 6) AS p FROM q")
 def track_probs(spark, d):
-    return rounded(_probabilities(spark, d), "p")
+    return rounded(_Types(spark, d).probabilities(), "p")
 
 
 @query(f"WITH RECURSIVE {PROBS} SELECT track, cat, round(cat_prob, 6) AS cat_prob FROM best")
 def track_label(spark, d):
-    return rounded(assign.labels(_probabilities(spark, d)), "cat_prob")
+    return rounded(assign.labels(_Types(spark, d).probabilities()), "cat_prob")
 
 
 @query(f"WITH RECURSIVE {PROBS} SELECT track, artist, tag, cat FROM v LEFT JOIN best USING (track)")
 def long_with_labels(spark, d):
-    return assign.add_to_long(votes_long(spark, d, "p_type"), assign.labels(_probabilities(spark, d))).select("track", "artist", "tag", "cat")
+    return assign.add_to_long(votes_long(spark, d, "p_type"), assign.labels(_Types(spark, d).probabilities())).select("track", "artist", "tag", "cat")
 
 
 SIZES = f"{p_sql()}, r AS (SELECT tag, count(*) AS n_tracks FROM p GROUP BY tag), x AS (SELECT tag FROM p JOIN r USING (tag) QUALIFY row_number() OVER (PARTITION BY track ORDER BY round(p, 12) DESC, n_tracks, tag) = 1), z AS (SELECT r.tag AS cat, count(x.tag) AS n FROM r LEFT JOIN x ON x.tag = r.tag GROUP BY 1)"
@@ -411,21 +444,34 @@ def tag_rarity(spark, d):
 TWO = f"{p_sql('p_type', 'v1', 'p1')}, {p_sql('p_brand', 'v2', 'p2')}"
 
 
-@query(f"""WITH {TWO}, t AS (SELECT DISTINCT track FROM p1),
+DENSE = """t AS (SELECT DISTINCT track FROM p1),
 d1 AS (SELECT t.track, c.tag, coalesce(p, 0) AS p FROM t CROSS JOIN (SELECT DISTINCT tag FROM p1) c LEFT JOIN p1 ON p1.track = t.track AND p1.tag = c.tag),
 d2 AS (SELECT t.track, c.tag, coalesce(p, 0) AS p FROM t CROSS JOIN (SELECT DISTINCT tag FROM p2) c LEFT JOIN p2 ON p2.track = t.track AND p2.tag = c.tag),
 r1 AS (SELECT track, tag, rank() OVER (PARTITION BY tag ORDER BY p) + (count(*) OVER (PARTITION BY tag, p) - 1) / 2.0 AS r FROM d1),
-r2 AS (SELECT track, tag, rank() OVER (PARTITION BY tag ORDER BY p) + (count(*) OVER (PARTITION BY tag, p) - 1) / 2.0 AS r FROM d2)
-SELECT r1.tag AS a, r2.tag AS b, round(corr(r1.r, r2.r), 6) AS corr FROM r1 JOIN r2 USING (track) GROUP BY 1, 2""")
+r2 AS (SELECT track, tag, rank() OVER (PARTITION BY tag ORDER BY p) + (count(*) OVER (PARTITION BY tag, p) - 1) / 2.0 AS r FROM d2),
+x AS (SELECT r1.tag AS a, r2.tag AS b, round(corr(r1.r, r2.r), 6) AS corr FROM r1 JOIN r2 USING (track) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {TWO}, {DENSE} SELECT a, b, corr FROM x")
 def spearman_block(spark, d):
     first, second = (shares(spark, d, t).withColumnRenamed("tag", "cat") for t in ("p_type", "p_brand"))
     return rounded(stats.spearman_block(first, second), "corr")
 
 
-@query()
+@query(f"WITH {p_sql('p_type', 'v1', 'p1')}, p2 AS (SELECT * FROM p1), {DENSE} SELECT a, b, corr FROM x")
+def posterior_correlation(spark, d):
+    q = stored(shares(spark, d, "p_type").withColumnRenamed("tag", "cat"), "shares")
+    return rounded(inspect.posterior(q, q.select("cat").distinct())["correlation"], "corr")
+
+
+@query(f"""WITH {TWO}, {DENSE},
+l1 AS (SELECT tag, count(*) AS n FROM (SELECT tag FROM p1 QUALIFY row_number() OVER (PARTITION BY track ORDER BY round(p, 12) DESC, tag) = 1) y GROUP BY 1),
+l2 AS (SELECT tag, count(*) AS n FROM (SELECT tag FROM p2 QUALIFY row_number() OVER (PARTITION BY track ORDER BY round(p, 12) DESC, tag) = 1) y GROUP BY 1)
+SELECT a, b, corr, round(coalesce(l1.n, 0) / (SELECT sum(n) FROM l1), 6) AS prev_a, round(coalesce(l2.n, 0) / (SELECT sum(n) FROM l2), 6) AS prev_b
+FROM x LEFT JOIN l1 ON l1.tag = a LEFT JOIN l2 ON l2.tag = b""")
 def correlation_table(spark, d):
-    first, second = (shares(spark, d, t).withColumnRenamed("tag", "cat") for t in ("p_type", "p_brand"))
-    return compare.correlation_table(first, second)["cells"]
+    first, second = (stored(shares(spark, d, t).withColumnRenamed("tag", "cat"), "shares") for t in ("p_type", "p_brand"))
+    return rounded(compare.correlation_table(first, second)["cells"], "corr", "prev_a", "prev_b")
 
 
 RAREST = f"{v_sql()}, c AS (SELECT tag, count(*) AS n FROM v GROUP BY tag), k AS (SELECT track, tag AS ext_cat FROM v JOIN c USING (tag) QUALIFY row_number() OVER (PARTITION BY track ORDER BY n, tag) = 1)"
@@ -454,7 +500,7 @@ def mean_prob_by_category(spark, d):
 @query(f"WITH RECURSIVE {PROBS}, c AS (SELECT g.tag AS cat, count(best.cat) AS n FROM g LEFT JOIN best ON best.cat = g.tag GROUP BY 1) SELECT cat, n, round(n / sum(n) OVER (), 6) AS share FROM c")
 def prevalences(spark, d):
     cats = shares(spark, d, "p_type").select(F.col("tag").alias("cat")).distinct()
-    return rounded(assign.prevalences(assign.labels(_probabilities(spark, d)), cats), "share")
+    return rounded(assign.prevalences(assign.labels(_Types(spark, d).probabilities()), cats), "share")
 
 
 PAIR = f"{w_sql('p_type')}, {map_sql(LEAST, 'm1', 'x1')}, {map_sql(OTHER, 'm2', 'x2')}"
@@ -463,23 +509,43 @@ CELLS = "c AS (SELECT coalesce(m1.tag, m2.tag) AS tag, coalesce(m1.cat, m2.cat)
 
 @query(f"WITH RECURSIVE {PAIR}, {CELLS} SELECT tag, round(sum(CASE WHEN x > 0 THEN x * log2(2 * x / (x + y)) ELSE 0 END + CASE WHEN y > 0 THEN y * log2(2 * y / (x + y)) ELSE 0 END) / 2, 6) AS jsd FROM c GROUP BY tag")
 def jsd_columns(spark, d):
-    return rounded(stats.jensen_shannon(_mapping(spark, d), _mapping(spark, d, (0, 1, 3))), "jsd")
+    types = _Types(spark, d)
+    return rounded(stats.jensen_shannon(types.mapping(), types.mapping((0, 1, 3))), "jsd")
 
 
 @query(f"WITH RECURSIVE {PAIR}, {CELLS} SELECT round(avg(x - y), 6) + 0.0 AS mean, round(avg(x - y) / (stddev_samp(x - y) / sqrt(count(*))), 4) + 0.0 AS t, count(*) - 1 AS df FROM c")
 def flatdiff_ttest_stat(spark, d):
-    found = stats.t_statistic(compare.mapping_differences(_mapping(spark, d), _mapping(spark, d, (0, 1, 3))), "d")
+    types = _Types(spark, d)
+    found = stats.t_statistic(compare.mapping_differences(types.mapping(), types.mapping((0, 1, 3))), "d")
     return found.select((F.round("mean", 6) + 0.0).alias("mean"), (F.round("t", 4) + 0.0).alias("t"), "df")
 
 
-@query(f"""WITH RECURSIVE {PAIR},
-l1 AS (SELECT track, cat FROM (SELECT track, cat, sum(p * w) AS p FROM p JOIN m1 USING (tag) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY track ORDER BY round(p, 12) DESC, cat) = 1),
+F1 = """l1 AS (SELECT track, cat FROM (SELECT track, cat, sum(p * w) AS p FROM p JOIN m1 USING (tag) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY track ORDER BY round(p, 12) DESC, cat) = 1),
 l2 AS (SELECT track, cat FROM (SELECT track, cat, sum(p * w) AS p FROM p JOIN m2 USING (tag) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY track ORDER BY round(p, 12) DESC, cat) = 1),
-b AS (SELECT l1.cat AS t, l2.cat AS g FROM l1 JOIN l2 USING (track)), f AS (SELECT t, 2.0 * count(*) FILTER (t = g) / (count(*) + (SELECT count(*) FROM b z WHERE z.g = b.t)) AS f FROM b GROUP BY t)
-SELECT round(avg(f), 6) AS macro_f1 FROM f""")
+b AS (SELECT l1.cat AS t, l2.cat AS g FROM l1 JOIN l2 USING (track)), f AS (SELECT t, 2.0 * count(*) FILTER (t = g) / (count(*) + (SELECT count(*) FROM b z WHERE z.g = b.t)) AS f FROM b GROUP BY t)"""
+
+
+@query(f"WITH RECURSIVE {PAIR}, {F1} SELECT round(avg(f), 6) AS macro_f1 FROM f")
 def macro_f1(spark, d):
-    label = lambda to, places: assign.labels(_probabilities(spark, d, places)).select("track", F.col("cat").alias(to))
-    return rounded(stats.macro_f1(label("truth", (0, 1, 2)).join(label("guess", (0, 1, 3)), "track")), "macro_f1")
+    types = _Types(spark, d)
+    return rounded(compare.robustness(types.p, types.mapping(), types.mapping((0, 1, 3)))["f1"], "macro_f1")
+
+
+@query(f"""WITH RECURSIVE {PAIR}, {CELLS}, {F1},
+jd AS (SELECT tag, sum(CASE WHEN x > 0 THEN x * log2(2 * x / (x + y)) ELSE 0 END + CASE WHEN y > 0 THEN y * log2(2 * y / (x + y)) ELSE 0 END) / 2 AS jsd FROM c GROUP BY tag)
+SELECT 'divergence' AS measure, tag AS of, round(jsd, 6) AS value FROM jd UNION ALL SELECT 'f1', '', round(avg(f), 6) FROM f
+UNION ALL SELECT 'mean', '', round(avg(x - y), 6) + 0.0 FROM c UNION ALL SELECT 'df', '', count(*) - 1.0 FROM c UNION ALL SELECT 't', '', round(avg(x - y) / (stddev_samp(x - y) / sqrt(count(*))), 4) + 0.0 FROM c""")
+def robustness_bundle(spark, d):
+    """All measures of how far two foldings agree, as rows."""
+    types = _Types(spark, d)
+    found = compare.robustness(types.p, types.mapping(), types.mapping((0, 1, 3)))
+    test = found["test"].select(F.posexplode(F.array(F.round("mean", 6) + 0.0, F.round("t", 4) + 0.0, F.col("df").cast("double"))).alias("i", "value"))
+    row = lambda df, measure, of, value: df.select(F.lit(measure).alias("measure") if isinstance(measure, str) else measure.alias("measure"), of.alias("of"), value.alias("value"))
+    return (
+        row(found["divergence"], "divergence", F.col("tag"), F.round("jsd", 6))
+        .unionByName(row(found["f1"], "f1", F.lit(""), F.round("macro_f1", 6)))
+        .unionByName(row(test, F.array(F.lit("mean"), F.lit("t"), F.lit("df"))[F.col("i")], F.lit(""), F.col("value")))
+    )
 
 
 @query(f"""WITH RECURSIVE {PROBS}, x AS (SELECT best.*, o_custkey AS artist, o_totalprice AS popularity FROM best JOIN orders ON o_orderkey = track),
@@ -487,7 +553,16 @@ y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY cat, artist ORDER
 SELECT cat, CAST(row_number() OVER w AS INT) AS place, track, artist, round(cat_prob, 6) AS cat_prob, popularity FROM y WINDOW w AS (PARTITION BY cat ORDER BY round(cat_prob, 12) DESC, popularity DESC, track) QUALIFY row_number() OVER w <= 2""")
 def example_tracks(spark, d):
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("track"), F.col("o_custkey").alias("artist"), F.col("o_totalprice").alias("popularity"))
-    return rounded(inspect.example_tracks(assign.labels(_probabilities(spark, d)).join(orders, "track")), "cat_prob")
+    return rounded(inspect.example_tracks(assign.labels(_Types(spark, d).probabilities()).join(orders, "track")), "cat_prob")
+
+
+@query(f"""WITH RECURSIVE {PROBS}, x AS (SELECT best.*, o_custkey AS artist, o_totalprice AS popularity FROM best JOIN orders ON o_orderkey = track WHERE cat_prob < 1),
+y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY cat, artist ORDER BY round(cat_prob, 12) DESC, popularity DESC, track) = 1)
+SELECT cat, CAST(row_number() OVER w AS INT) AS place, track, artist, round(cat_prob, 6) AS cat_prob, popularity FROM y WINDOW w AS (PARTITION BY cat ORDER BY round(cat_prob, 12) DESC, popularity DESC, track) QUALIFY row_number() OVER w <= 3""")
+def example_tracks_mixed(spark, d):
+    """As example_tracks, three of each, without tracks that lie in one category alone."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("track"), F.col("o_custkey").alias("artist"), F.col("o_totalprice").alias("popularity"))
+    return rounded(inspect.example_tracks(assign.labels(_Types(spark, d).probabilities()).join(orders, "track"), 3, mixed_only=True), "cat_prob")
 
 
 @query(f"WITH {p_sql('p_type')}, best AS (SELECT round(max(p), 9) AS m FROM p GROUP BY track) SELECT CAST(floor(m / 0.0625) AS BIGINT) AS bin, count(*) AS n FROM best GROUP BY 1")
@@ -571,13 +646,21 @@ def tag_fills(spark, d):
     return graphs.fills(table(spark, d, "part").select(F.col("p_type").alias("tag")).distinct(), "PROMO")
 
 
-@query()
-def tree_fold_grid(spark, d):
+def _tuned(spark: SparkSession, d: str) -> list:
     tree = _tree(spark, d)
     parents = {r.from_tag: r.to_tag for r in tree.collect()}  # six rows
     sizes = {r.tag: r.n for r in tag_votes(spark, d, "p_type").groupBy("tag").agg(F.countDistinct("track").alias("n")).collect()}
-    shape = tree_fold.Tree(parents, graphs.root_of(tree))
-    return tree_fold.grid_table(spark, tree_fold.tune(shape, sizes, tree_fold.search_grid(1, None, max(1, max(sizes.values()) // 20), sizes)))
+    return tree_fold.tune(tree_fold.Tree(parents, graphs.root_of(tree)), sizes, tree_fold.search_grid(1, None, max(1, max(sizes.values()) // 20), sizes))
+
+
+@query()
+def tree_fold_grid(spark, d):
+    return tree_fold.grid_table(spark, _tuned(spark, d))
+
+
+@query()
+def tree_fold_solutions(spark, d):
+    return tree_fold.solutions_table(spark, _tuned(spark, d))
 
 
 SERIES = "s AS (SELECT CAST(p_size AS INT) AS n_metagenres, CAST(count(*) AS DOUBLE) AS weighted_gini FROM part GROUP BY 1), x AS (SELECT *, lag(weighted_gini) OVER (ORDER BY n_metagenres) AS b, lead(weighted_gini) OVER (ORDER BY n_metagenres) AS a FROM s), c AS (SELECT n_metagenres, weighted_gini FROM x WHERE weighted_gini < b AND weighted_gini < a)"
@@ -660,27 +743,22 @@ def artist_cv_folds(spark, d):
 # Files
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/tagloom-{os.getpid()}"
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"WITH {v_sql('p_type')} SELECT CAST(track AS VARCHAR) AS track, CAST(artist AS VARCHAR) AS artist, tag AS tag_name, votes AS tag_count FROM v")
 def csv_round_trip(spark, d):
-    path = _folder(spark, "csv")
+    path = fresh_path(spark, "csv")
     files.write_csv(votes_long(spark, d, "p_type").select(F.col("track").cast("string"), F.col("artist").cast("string"), F.col("tag").alias("tag_name"), F.col("votes").alias("tag_count")), path)
     return files.read_csv(spark, path, files.LONG)
 
 
 @query("SELECT DISTINCT p_type AS intern, lower(p_type) AS print FROM part")
 def lookup_round_trip(spark, d):
-    path = _folder(spark, "lookup")
+    path = fresh_path(spark, "lookup")
     files.write_csv(table(spark, d, "part").select(F.col("p_type").alias("intern"), F.lower("p_type").alias("print")).distinct(), path, ";")
     return files.read_lookup(spark, path)
 
 
 @query(f"WITH {NESTED} SELECT track, CAST(len(tags) AS INT) AS n_tags FROM c")
 def nested_round_trip(spark, d):
-    path = _folder(spark, "nested")
+    path = fresh_path(spark, "nested")
     files.write_table(ingest.choose_tag_set(nested(spark, d)).select("track", "tags"), path)
     return files.read_table(spark, path).select("track", F.size("tags").alias("n_tags"))

@@ -89,3 +89,24 @@ SELECT {paths}.tag, u.parent, {paths}.w * u.w FROM {paths} JOIN u ON u.child = {
 #: Three least general tags, and another set of three.
 LEAST = "SELECT tag FROM g ORDER BY generality, tag LIMIT 3"
 OTHER = "SELECT tag FROM (SELECT tag, row_number() OVER (ORDER BY generality, tag) AS i FROM g) x WHERE i IN (1, 2, 4)"
+
+
+def fold_sql(steps: int) -> str:
+    """The greedy fold, step by step, after w_sql: u{i} (weights), q{i} (masses), s{i} (sizes) of state i and c{i}, the tag that step i
+    folds. Steps beyond the last fold change nothing, so any number of at least the tags less one will do."""
+    sizes = lambda i: f"""s{i} AS MATERIALIZED (SELECT r.tag, count(b.tag) AS n FROM r LEFT JOIN (SELECT q{i}.tag FROM q{i} JOIN r USING (tag) WHERE p > 0
+  QUALIFY row_number() OVER (PARTITION BY track ORDER BY round(p, 12) DESC, n_tracks, q{i}.tag) = 1) b ON b.tag = r.tag GROUP BY r.tag)"""
+    parts = ["r AS MATERIALIZED (SELECT tag, count(*) FILTER (p > 0) AS n_tracks FROM p GROUP BY tag), u0 AS MATERIALIZED (SELECT * FROM u), q0 AS MATERIALIZED (SELECT * FROM p)", sizes(0)]
+    for i in range(1, steps + 1):
+        j = i - 1
+        parts.append(f"""c{i} AS MATERIALIZED (SELECT tag FROM s{j} WHERE tag IN (SELECT child FROM u{j}) ORDER BY n, tag LIMIT 1),
+q{i} AS MATERIALIZED (SELECT track, coalesce(parent, q{j}.tag) AS tag, sum(p * coalesce(w, 1)) AS p FROM q{j} LEFT JOIN (SELECT * FROM u{j} WHERE child IN (SELECT tag FROM c{i})) x ON x.child = q{j}.tag GROUP BY 1, 2),
+u{i} AS MATERIALIZED (SELECT a.child, coalesce(b.parent, a.parent) AS parent, sum(a.w * coalesce(b.w, 1)) AS w FROM u{j} a LEFT JOIN (SELECT * FROM u{j} WHERE child IN (SELECT tag FROM c{i})) b ON b.child = a.parent
+  WHERE a.child NOT IN (SELECT tag FROM c{i}) GROUP BY 1, 2), {sizes(i)}""")
+    return ",\n".join(parts)
+
+
+def fold_states(steps: int, what: str) -> str:
+    """One select a state, from 0 on, of those that are reached. `what` may hold {i}, the state, and {f}, the tags folded by then."""
+    folded = lambda i: " UNION ALL ".join(f"SELECT tag FROM c{k}" for k in range(1, i + 1)) or "SELECT '' WHERE false"
+    return " UNION ALL ".join(f"({what.format(i=i, f=folded(i))}{f' WHERE EXISTS (SELECT * FROM c{i})' if i else ''})" for i in range(steps + 1))

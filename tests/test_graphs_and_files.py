@@ -29,13 +29,15 @@ def test_adjacency(spark):
 
 
 def test_net_direction(spark):
-    got = table(graphs.net_direction(cells(spark, [(0, 0.8, 0.2), (0.3, 0, 0.4), (0.1, 0.6, 0)])))
-    assert {k: v for k, v in got.items() if v} == {("A", "B"): 0.5, ("C", "B"): 0.2, ("A", "C"): 0.1}
+    got = table(graphs.net_direction(cells(spark, [(0, 0.25, 0.7), (0.75, 0, 0.45), (0.05, 0.45, 0)])))
+    # B gives A half more than it gets; A gives C 0.65 more; B and C are even
+    assert {k: v for k, v in got.items() if v} == {("B", "A"): 0.5, ("A", "C"): 0.65}
 
 
 def test_strongest_parent(spark):
-    got = table(graphs.strongest_parent(cells(spark, [(0, 0.8, 0.3), (0.2, 0, 0.9), (0.1, 0.4, 0)])))
-    assert got == {("A", "B"): 0.8, ("B", "C"): 0.9, ("C", "B"): 0.4}
+    got = table(graphs.strongest_parent(cells(spark, [(0, 0.15, 0.35), (0.6, 0, 0.6), (0, 0, 0)])))
+    # B's two are even, so the first by name; C has none
+    assert got == {("A", "C"): 0.35, ("B", "A"): 0.6}
 
 
 def test_root_levels_and_descendants(spark):
@@ -121,11 +123,11 @@ def test_capped_folds(spark):
 
 
 def test_rare_levels(spark):
-    train = ["g1"] * 600 + ["g2"] + ["g3"] * 300
-    rows = [(g, "train") for g in train] + [("g1", "test")] * 100
-    got = splits.remap_rare(spark.createDataFrame(rows, "grp string, part string"), "grp", "part", 2)
-    # g2 and g3 become other; other is still absent from the test part, so the smallest level left joins it
-    assert {(r.grp, r.part): r["count"] for r in got.groupBy("grp", "part").count().collect()} == {("other", "train"): 901, ("other", "test"): 100}
+    rows = [("oak", "a")] * 40 + [("oak", "b")] * 30 + [("elm", "a")] * 12 + [("elm", "b")] * 9 + [("yew", "a")] * 3 + [("ash", "b")] * 25
+    count = lambda least: {(r.grp, r.part): r["count"] for r in splits.remap_rare(spark.createDataFrame(rows, "grp string, part string"), "grp", "part", least).groupBy("grp", "part").count().collect()}
+    # yew and ash are absent from a part; together they have 3 rows in a, which is enough for 2 but not for 4: then elm joins them
+    assert count(2) == {("oak", "a"): 40, ("oak", "b"): 30, ("elm", "a"): 12, ("elm", "b"): 9, ("other", "a"): 3, ("other", "b"): 25}
+    assert count(4) == {("oak", "a"): 40, ("oak", "b"): 30, ("other", "a"): 15, ("other", "b"): 34}
 
 
 def test_distribution(spark):
@@ -138,14 +140,14 @@ def test_distribution(spark):
 
 
 def test_metagenres(spark):
-    long = spark.createDataFrame([(1, "rock", 10.0), (1, "classical", 5.0), (2, "classical", 3.0), (3, "rock", 16.0), (3, "jazz & co", 15.0)], "track int, metagenre string, votes double")
+    long = spark.createDataFrame([(4, "wood", 6.0), (4, "stone & clay", 2.0), (5, "iron", 7.0), (6, "wood", 1.0), (6, "iron", 3.0)], "track int, metagenre string, votes double")
     got = {(r.track, r.metagenre): r.p for r in metagenres.prevalences(long).collect()}
-    assert got[1, "rock"] == pytest.approx(10 / 15) and got[2, "classical"] == 1 and got[3, "rock"] == pytest.approx(16 / 31)
-    names = ["rock", "classical", "jazz & co"]
+    assert got == {(4, "wood"): 0.75, (4, "stone & clay"): 0.25, (5, "iron"): 1.0, (6, "wood"): 0.25, (6, "iron"): 0.75}
+    names = ["wood", "iron", "stone & clay"]
     mapping = spark.createDataFrame([(n, n) for n in names], "tag string, metagenre string")
     wide = {r.track: r for r in metagenres.mapped(long.withColumnRenamed("metagenre", "tag"), mapping, names).collect()}
-    assert [wide[t].metagenre for t in (1, 2, 3)] == ["rock", "classical", "rock"]
-    assert wide[2].p_rock == 0 and wide[3].p_jazzco == pytest.approx(15 / 31) and wide[3].n_max == 16
+    assert [wide[t].metagenre for t in (4, 5, 6)] == ["wood", "iron", "iron"]
+    assert wide[5].p_wood == 0 and wide[4].p_stoneclay == 0.25 and wide[6].n_max == 3
 
 
 def test_hard_class_of_a_tie_is_the_smaller(spark):
@@ -191,8 +193,9 @@ def test_local_minimum_and_suggestion(spark):
     assert tree_fold.suggested(found, 1, 2).count() == 0
 
 
-def test_levels_beyond_the_bound_are_an_error(spark):
-    chain = spark.createDataFrame([(str(k + 1), str(k), 1.0) for k in range(4)], "from_tag string, to_tag string, weight double")
-    with pytest.raises(ValueError):
-        graphs.levels(chain, "0", most=4)
-    assert {r.tag_name: r.hierarchy_level for r in graphs.levels(chain, "0", most=5).collect()} == {str(k): k for k in range(5)}
+@pytest.mark.parametrize("depth,most", [(1500, graphs.MOST_EDGES), (6, 0)])
+def test_levels_of_any_depth(spark, depth, most):
+    """A chain, with a short cut: on the driver, and over stored tables."""
+    rows = [(f"v{k + 1}", f"v{k}", 1.0) for k in range(depth)] + [("v4", "v0", 1.0), ("w", "v2", 1.0), ("w", "v4", 1.0)]
+    got = {r.tag_name: r.hierarchy_level for r in graphs.levels(edges(spark, rows), "v0", most).collect()}
+    assert got == {f"v{k}": k if k < 4 else k - 3 if k != 3 else 3 for k in range(depth + 1)} | {"w": 2}

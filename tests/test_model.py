@@ -114,6 +114,21 @@ def test_both_ways_of_folding_agree(spark):
     assert given.order == one.order[::-1]
 
 
+def test_ties_fold_alike_on_the_driver_and_over_tables(spark):
+    """Thirds and sixths, whose sums tie with other shares: one order, whichever way."""
+    pick = random.Random(5)
+    rows = [(t, f"g{g}", v) for t in range(60) for g, v in zip(pick.sample(range(7), 3), pick.choice([(1, 1, 1), (2, 2, 2), (3, 2, 1), (1, 1, 2)]), strict=True)]
+    p = votes.normalized(table(spark, rows)).cache()
+    graph = dag.edges(p)
+    one, two = fold.fold_profiles(p, graph), fold.fold_distributed(p, graph)
+    assert (one.order, one.sizes) == (two.order, two.sizes) and len(one.order) > 3
+    # and each state as its own definition has it
+    for k in range(len(one.order) + 1):
+        q = assign.probabilities(p, spark.createDataFrame(one.mapping(one.order[:k]), "tag string, cat string, w double"))
+        sizes = as_dict(assign.hard_sizes(q, assign.rarity(p), spark.createDataFrame([(t,) for t in one.tags], "cat string")), "cat", "n")
+        assert {c: n for (c,), n in sizes.items()} == one.sizes[k]
+
+
 def test_the_graph_has_no_cycle(spark):
     p = votes.normalized(table(spark, random_votes(random.Random(4), 12, 80))).where("p > 0")
     g = as_dict(votes.generality(p), "tag", "generality")
