@@ -5,14 +5,16 @@ from __future__ import annotations
 import ctypes
 import functools
 import json
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.sources.shared import discard, fresh_path, stored
+
+__all__ = ["discard", "fresh_path", "stored"]
+
 #: The characters that separate words: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 #: The same as a regular expression class.
@@ -49,57 +51,6 @@ def split_words(text: str | None) -> list[str]:
     return [w for w in text.split(" ") if w]
 
 
-@functools.cache
-def _own_dir(app: str) -> str:
-    return tempfile.mkdtemp(prefix="tagloom-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return _own_dir(spark.sparkContext.applicationId)
-
-
-def _file_system(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
-
-
-@functools.cache
-def _folder(app: str, shared: str) -> str:
-    """This application's folder, which goes when the application ends."""
-    path, spark = f"{shared}/tagloom-{app}", SparkSession.active()
-    fs, at = _file_system(spark, path)
-    fs.mkdirs(at)
-    fs.deleteOnExit(at)
-    return path
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{_folder(spark.sparkContext.applicationId, shared_dir(spark))}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Remove what stored() wrote, once nothing reads it any more."""
-    for df in tables:
-        fs, at = _file_system(df.sparkSession, df.stored_at)
-        fs.delete(at, True)
-
-
 def quoted(name: str) -> str:
     """A column's name as an expression, whatever characters it has."""
     return "`" + name.replace("`", "``") + "`"
