@@ -70,7 +70,7 @@ def test_a_passage_of_most_documents_stays_in_its_chunks():
         if r["probes"]:
             keys.update((r["bucket"], x) for x in np.cumsum(sd.unsqueezed(r["blocks"], np.uint32), dtype=np.uint32).tolist())
     assert max(keys.values(), default=0) <= chunks and sum(keys.values()) < 1000
-    hits = Counter(row for b in sd.hit_blocks([arrow([tuple(r.values()) for r in sent], [pa.int32(), *[pa.binary()] * 5])]) for row in b.column(0).to_pylist())
+    hits = Counter(row for b in sd.hit_blocks([arrow([tuple(r.values()) for r in sent], [pa.int32(), *[pa.binary()] * 5]).rename_columns(list(sent[0]))]) for row in b.column(0).to_pylist())
     assert set(hits) == set(range(900))
     around = arrow([(k, t, list(range(4))) for k, t in texts], [pa.int64(), pa.string(), pa.list_(pa.int32())])
     windows = [r for b in sd.send_windows(4, chunk_words=9000)([around]) for r in b.to_pylist()]
