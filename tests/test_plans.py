@@ -71,7 +71,7 @@ def test_plan_has_no_cartesian_product(spark, tag):
 def test_artist_union_reaches_every_order(spark):
     from tagloom.plans import registry
 
-    union = registry.queries()["nested_artist_union_all"](spark, D)
+    union = registry.queries()["nested_artist_union"](spark, D)
     known = inputs.table(spark, D, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("l_suppkey"))
     want = inputs.table(spark, D, "lineitem").join(known, "l_suppkey", "left_semi").select(F.col("l_orderkey").alias("track")).distinct()
     assert union.select("track").distinct().exceptAll(want).isEmpty() and want.exceptAll(union.select("track").distinct()).isEmpty()
