@@ -2,12 +2,13 @@
 
 One step folds a category c into its parents by their weights w: what the mapping gives to c is shared out by w, and every track's
 mass on c moves along. Next is the unfolded non-root with the fewest tracks (W2 sizes), of ties the first by name. What a
-fold leads to depends only on the set of folded tags, so a state is rebuilt from the order; only order, sizes and Gini are kept.
+fold leads to depends only on the set of folded tags, so a state is rebuilt from the order; only the order, the changes of the sizes and Gini are kept.
 
 Tracks with equal votes behave alike, so they are compressed once to profiles with a count, and no state of the tracks is ever
 written: a step derives the masses of the profiles it touches from their votes and the mapping, before and after, and the
-sizes change by the difference. If the profiles' entries fit MOST_ENTRIES they are kept on the driver; else each step is one
-pass over their stored table, without a shuffle of theirs. Both run the same code on the same numbers, in blocks of profiles.
+sizes change by the difference. The profiles lie in an inverted index: one row for each tag of a profile, stored by groups of tags, the rows of
+a frequent tag dealt over several files. A step reads the groups of the touched tags only, counts a profile at the first of its
+touched tags, and sends the changes of the sizes to the driver. The driver holds what belongs to tags: edges and mapping.
 """
 
 from __future__ import annotations
@@ -18,30 +19,38 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tagloom.functions.stats import gini_of
 from tagloom.operators import assign, dag
 from tagloom.sources.shared import discard, stored
 
-#: Entries (tags of profiles) that the driver holds, about 30 bytes each, and those of one block.
-MOST_ENTRIES, BLOCK = 10_000_000, 1_000_000
-#: Edges of the graph, which the driver holds as it decides one step after the other.
-MOST_EDGES = 2_000_000
-#: Rows of a small table that local() brings to the driver.
-MOST_ROWS = 5_000
+#: Groups of tags of the index, each a folder, and rows of a tag in one file.
+GROUPS, FILE_ROWS = 512, 1_000_000
 
 
 @dataclass
 class Folding:
-    """tags (sorted), roots, order of the folds, sizes and ginis per state (state 0 first)."""
+    """tags (sorted), roots, order of the folds, changes of the sizes and ginis per state (state 0 first, with every size)."""
 
     tags: list[str]
     roots: list[str]
     weights: dict[str, dict[str, float]]  # child -> parent -> share
     order: list[str] = field(default_factory=list)
-    sizes: list[dict[str, int]] = field(default_factory=list)
+    changes: list[dict[str, int]] = field(default_factory=list)
     ginis: list[float] = field(default_factory=list)
 
+    def sizes_at(self, step: int) -> dict[str, int]:
+        """Every tag's size after so many folds, or after the last one."""
+        out: dict[str, int] = {}
+        for change in self.changes[: step + 1]:
+            out |= change
+        return out
+
+    @property
+    def sizes(self) -> list[dict[str, int]]:
+        return [self.sizes_at(i) for i in range(len(self.changes))]
+
     def folded(self, k: int) -> list[str]:
         """The tags that are folded where k categories are left."""
         if not len(self.roots) <= k <= len(self.tags):
@@ -87,28 +96,42 @@ class Folding:
 
 def start(p: DataFrame, graph: DataFrame) -> Folding:
     tags = sorted(r.tag for r in p.select("tag").distinct().collect())  # the vocabulary
-    rows = dag.parent_weights(graph).select("child", "parent", "w").limit(MOST_EDGES + 1).toArrow().to_pydict()
-    if len(rows["w"]) > MOST_EDGES:
-        raise ValueError(f"the graph has over {MOST_EDGES} edges: raise the least number of artists of a tag")
+    rows = dag.parent_weights(graph).select("child", "parent", "w").toArrow().to_pydict()  # pairs of tags at most
     weights: dict[str, dict[str, float]] = {}
     for child, parent, w in sorted(zip(rows["child"], rows["parent"], rows["w"], strict=True)):
         weights.setdefault(child, {})[parent] = w
     return Folding(tags, [t for t in tags if t not in weights], weights)
 
 
-def profiles_of(p: DataFrame, tags: list[str]) -> DataFrame:
-    """v, n: different votes (t: a tag's place in tags, p) of tracks and how many tracks have them."""
-    places = p.sparkSession.createDataFrame(list(enumerate(tags)), "t int, tag string")
+def profile_index(p: DataFrame, tags: list[str], rare: dict[str, int], groups: int = GROUPS) -> DataFrame:
+    """grp, t, v, n: for each tag (its place in tags) of each different vote vector v (t, p) the vector and the number of its tracks."""
+    spark = p.sparkSession
+    places = spark.createDataFrame([(i, t, 1 + rare.get(t, 0) // FILE_ROWS) for i, t in enumerate(tags)], "t int, tag string, files int").coalesce(1)
     vector = F.array_sort(F.collect_list(F.struct("t", "p")))
-    return p.join(F.broadcast(places), "tag").where("p > 0").groupBy("track").agg(vector.alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+    profiles = p.where("p > 0").join(places, "tag").groupBy("track").agg(vector.alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+    rows = profiles.select(F.explode("v.t").alias("t"), "v", "n").join(places.select("t", "files"), "t")
+    dealt = rows.withColumn("file", F.pmod(F.xxhash64("v"), F.col("files"))).repartition("t", "file")
+    return stored(dealt.select((F.col("t") % groups).alias("grp"), "t", "v", "n"), "fold-index", by=("grp",))
+
 
+def touched_rows(index: DataFrame, touched: list[int], groups: int = GROUPS) -> DataFrame:
+    """Rows of the index for the touched tags; of other groups of tags nothing is read."""
+    return index.where(F.col("grp").isin(sorted({t % groups for t in touched})) & F.col("t").isin(touched)).select("t", "v", "n")
 
-def _arrays(batch) -> tuple[np.ndarray, ...]:
-    """Tag, share and profile of every entry of a block (v, n), and the profiles' counts."""
-    v = batch.column(0)
+
+def _arrays(batch, touched: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Tag, share and row of every entry of the rows that stand at their first touched tag, and their counts."""
+    at, v = batch.column(0).to_numpy(), batch.column(1)
     size = np.diff(v.offsets.to_numpy())
     flat = v.flatten()
-    return flat.field(0).to_numpy(), flat.field(1).to_numpy(), np.repeat(np.arange(len(size)), size), batch.column(1).to_numpy()
+    tag, p = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.flatnonzero(touched[tag])
+    rows, first = np.unique(row[place], return_index=True)
+    own = np.zeros(len(size), bool)
+    own[rows[tag[place[first]] == at[rows]]] = True
+    mine = own[row]
+    return tag[mine], p[mine], np.cumsum(own)[row[mine]] - 1, batch.column(2).to_numpy()[own]
 
 
 class Mapping:
@@ -132,13 +155,9 @@ def winners(tag: np.ndarray, p: np.ndarray, row: np.ndarray, mapping: Mapping, r
     return cat[order][np.concatenate(([True], row[order][1:] != row[order][:-1]))] if len(order) else cat
 
 
-def moved(block: tuple[np.ndarray, ...], touched: np.ndarray, before: Mapping | None, after: Mapping, rank: np.ndarray) -> np.ndarray:
-    """How the sizes change, over the profiles of a block that hold a touched tag; before: None if nothing was counted yet."""
+def moved(block: tuple[np.ndarray, ...], before: Mapping | None, after: Mapping, rank: np.ndarray) -> np.ndarray:
+    """How the sizes change over the rows of a block; before: None if nothing was counted yet."""
     tag, p, row, n = block
-    own = np.zeros(len(n), bool)
-    own[row[touched[tag]]] = True
-    entry = own[row]
-    tag, p, row, n = tag[entry], p[entry], np.cumsum(own)[row[entry]] - 1, n[own]
     out = np.zeros(len(rank), np.int64)
     np.add.at(out, winners(tag, p, row, after, rank), n)
     if before is not None:
@@ -146,8 +165,26 @@ def moved(block: tuple[np.ndarray, ...], touched: np.ndarray, before: Mapping |
     return out
 
 
-def _greedy(state: Folding, order: list[str] | None, rare: dict[str, int], change) -> Folding:
-    """The loop; change(touched, before, after, rank) gives the change of the sizes over all profiles."""
+def change(index: DataFrame, touched: np.ndarray, before: Mapping | None, after: Mapping, rank: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """How the sizes change over all profiles that hold a touched tag."""
+
+    def run(batches):
+        delta = np.zeros(len(rank), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                delta += moved(_arrays(batch, touched), before, after, rank)
+        cats = np.flatnonzero(delta)
+        yield pa.RecordBatch.from_arrays([pa.array(cats, pa.int64()), pa.array(delta[cats], pa.int64())], names=["cat", "n"])
+
+    rows = touched_rows(index, np.flatnonzero(touched).tolist(), groups)
+    out = np.zeros(len(rank), np.int64)
+    for r in rows.mapInArrow(run, "cat long, n long").groupBy("cat").agg(F.sum("n").alias("n")).collect():
+        out[r.cat] = r.n
+    return out
+
+
+def _greedy(state: Folding, order: list[str] | None, rare: dict[str, int], step) -> Folding:
+    """The loop; step(touched, before, after, rank) gives the change of the sizes over all profiles."""
     tags = state.tags
     at = {t: i for i, t in enumerate(tags)}
     rank = np.empty(len(tags), np.int64)
@@ -157,13 +194,9 @@ def _greedy(state: Folding, order: list[str] | None, rare: dict[str, int], chang
     left = [t for t in tags if t in state.weights]
     given = None if order is None else [t for t in order if t in state.weights]
     unfolded, now = list(tags), Mapping(of) if tags else None
-    sizes = change(np.ones(len(tags), bool), None, now, rank) if tags else np.empty(0, np.int64)
-
-    def note() -> None:
-        state.sizes.append({t: int(sizes[at[t]]) for t in tags})
-        state.ginis.append(gini_of([int(sizes[at[t]]) for t in unfolded]))
-
-    note()
+    sizes = step(np.ones(len(tags), bool), None, now, rank) if tags else np.empty(0, np.int64)
+    state.changes.append({t: int(sizes[at[t]]) for t in tags})
+    state.ginis.append(gini_of(sizes.tolist()))
     while left:
         tag = given[len(state.order)] if given else min(left, key=lambda t: (sizes[at[t]], t))
         c = at[tag]
@@ -181,70 +214,37 @@ def _greedy(state: Folding, order: list[str] | None, rare: dict[str, int], chang
                 holders[cat].add(t)
             of[t] = np.array(sorted(shares)), np.array([shares[k] for k in sorted(shares)])
         before, now = now, Mapping(of)
-        sizes = sizes + change(touched, before, now, rank)
+        delta = step(touched, before, now, rank)
+        sizes = sizes + delta
         left.remove(tag)
         unfolded.remove(tag)
         state.order.append(tag)
-        note()
+        state.changes.append({tags[i]: int(sizes[i]) for i in np.flatnonzero(delta).tolist()})
+        state.ginis.append(gini_of([int(sizes[at[t]]) for t in unfolded]))
     return state
 
 
-def _rarities(p: DataFrame) -> dict[str, int]:
-    return {r.tag: r.n for r in p.where("p > 0").groupBy("tag").agg(F.count("*").alias("n")).collect()}
-
-
-def fold_profiles(p: DataFrame, graph: DataFrame, order: list[str] | None = None, profiles: DataFrame | None = None, state: Folding | None = None) -> Folding:
-    """The fold with all profiles on the driver."""
-    state = state or start(p, graph)
-    table = (profiles_of(p, state.tags) if profiles is None else profiles).select("v", "n").toArrow().combine_chunks()
-    size = np.diff(table.column(0).combine_chunks().offsets.to_numpy()) if table.num_rows else np.empty(0, np.int64)
-    cuts = np.flatnonzero(np.diff(np.cumsum(size) // BLOCK, prepend=0)).tolist()
-    blocks = [_arrays(table.slice(a, b - a).combine_chunks().to_batches()[0]) for a, b in zip([0, *cuts], [*cuts, table.num_rows], strict=True) if a < b]
-
-    def change(*step) -> np.ndarray:
-        return sum((moved(block, *step[:3], step[3]) for block in blocks), np.zeros(len(state.tags), np.int64))
-
-    return _greedy(state, order, _rarities(p), change)
-
-
-def fold_distributed(p: DataFrame, graph: DataFrame, order: list[str] | None = None, profiles: DataFrame | None = None, state: Folding | None = None) -> Folding:
-    """The same fold with the profiles as a stored table, one pass over it a step."""
-    state = state or start(p, graph)
-    table = stored(profiles_of(p, state.tags), "fold-profiles") if profiles is None else profiles
-
-    def change(touched, before, after, rank) -> np.ndarray:
-        def run(batches):
-            for batch in batches:
-                delta = moved(_arrays(batch), touched, before, after, rank) if batch.num_rows else np.zeros(len(rank), np.int64)
-                cats = np.flatnonzero(delta)
-                yield pa.RecordBatch.from_arrays([pa.array(cats, pa.int64()), pa.array(delta[cats], pa.int64())], names=["cat", "n"])
-
-        holds = F.exists("v", lambda x: x["t"].isin(np.flatnonzero(touched).tolist()))
-        found = table.where(holds).select("v", "n").mapInArrow(run, "cat long, n long").groupBy("cat").agg(F.sum("n").alias("n")).collect()
-        out = np.zeros(len(rank), np.int64)
-        out[[r.cat for r in found]] = [r.n for r in found]
-        return out
-
-    return _greedy(state, order, _rarities(p), change)
-
-
-def fold(p: DataFrame, graph: DataFrame, order: list[str] | None = None) -> Folding:
-    """On the driver if the profiles fit, else distributed."""
+def fold(p: DataFrame, graph: DataFrame, order: list[str] | None = None, groups: int = GROUPS) -> Folding:
+    """The fold of votes p along a graph, in the order given or the smallest first."""
     state = start(p, graph)
-    profiles = stored(profiles_of(p, state.tags), "fold-profiles")
-    entries = profiles.agg(F.sum(F.size("v"))).first()[0] or 0
+    if not state.tags:
+        return _greedy(state, order, {}, None)
+    rare = {r.tag: r.n for r in p.where("p > 0").groupBy("tag").agg(F.count("*").alias("n")).collect()}
+    index = profile_index(p, state.tags, rare, groups)
     try:
-        return (fold_profiles if entries <= MOST_ENTRIES else fold_distributed)(p, graph, order, profiles, state)
+        return _greedy(state, order, rare, lambda *step: change(index, *step, groups))
     finally:
-        discard(profiles)
+        discard(index)
 
 
 def tables(spark: SparkSession, state: Folding) -> dict[str, DataFrame]:
     """order(step, tag), sizes(step, tag, n), ginis(step, k, gini) of a folding."""
-    g = len(state.tags)
+    g, last = len(state.tags), len(state.changes) - 1
+    changes = spark.createDataFrame([(i, t, n) for i, s in enumerate(state.changes) for t, n in s.items()], "step int, tag string, n long")
+    upto = F.coalesce(F.lead("step").over(W.partitionBy("tag").orderBy("step")) - 1, F.lit(last))  # a size holds until it changes
     return {
         "order": spark.createDataFrame([(i + 1, t) for i, t in enumerate(state.order)], "step int, tag string"),
-        "sizes": spark.createDataFrame([(i, t, n) for i, s in enumerate(state.sizes) for t, n in s.items()], "step int, tag string, n long"),
+        "sizes": changes.withColumn("upto", upto).select(F.explode(F.sequence("step", "upto")).alias("step"), "tag", "n"),
         "ginis": spark.createDataFrame([(i, g - i, x) for i, x in enumerate(state.ginis)], "step int, k int, gini double"),
     }
 
@@ -269,11 +269,3 @@ def paths_mapping(parents: DataFrame, tags: DataFrame, folded: list[str]) -> Dat
         moved_on = on.select("tag", F.coalesce("parent", "cat").alias("cat"), (F.col("w") * F.coalesce("share", F.lit(1.0))).alias("w"))
         now = moved_on.groupBy("tag", "cat").agg(F.sum("w").alias("w"))
     return now
-
-
-def local(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
-    """A small table brought to the driver and back, so that what it comes from runs once."""
-    rows = df.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows")
-    return df.sparkSession.createDataFrame(rows, df.schema)

@@ -315,14 +315,14 @@ def always_alone_tags(spark, d):
 
 
 class _Types:
-    """Votes on types, stored once, and the graph of the six types, formed once."""
+    """Votes on types, their pairs and their graph, each stored once."""
 
     def __init__(self, spark: SparkSession, d: str, tag: str = "p_type"):
         self.p = stored(shares(spark, d, tag), "shares")
-        w = fold.local(votes.conditional(self.p))  # pairs of tags
-        self.edges = fold.local(dag.edges(self.p, w))
+        w = stored(votes.conditional(self.p), "pairs")
+        self.edges = stored(dag.edges(self.p, w), "edges")
         self.generality = votes.generality(self.p, w)
-        self.tags = fold.local(self.p.select("tag").distinct())
+        self.tags = stored(self.p.select("tag").distinct(), "tags")
         self._order: list[str] | None = None
 
     def folded(self, places: tuple[int, ...] = (0, 1, 2)) -> list[str]:
@@ -332,10 +332,10 @@ class _Types:
         return [self._order[i] for i in places if i < len(self._order)]
 
     def mapping(self, places: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
-        return fold.local(fold.paths_mapping(dag.parent_weights(self.edges), self.tags, self.folded(places)))
+        return stored(fold.paths_mapping(dag.parent_weights(self.edges), self.tags, self.folded(places)), "mapping")
 
     def probabilities(self, places: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
-        return assign.probabilities(self.p, F.broadcast(self.mapping(places)))  # six tags
+        return assign.probabilities(self.p, self.mapping(places))
 
     def state(self) -> fold.Folding:
         return fold.fold(self.p, self.edges)
@@ -374,8 +374,8 @@ def fold_order_brands(spark, d):
 def k_categories(spark, d):
     """The state after three folds: categories that hold tracks, and the graph's edges from a threshold on."""
     state = _Types(spark, d).state()
-    sizes = spark.createDataFrame([(t, n) for t, n in state.sizes[3].items()], "cat string, n long")
-    graph = rounded(fold.graph_table(spark, state, len(state.tags) - 3), "weight")
+    sizes = spark.createDataFrame([*state.sizes_at(3).items()], "cat string, n long")
+    graph = rounded(fold.graph_table(spark, state, max(len(state.roots), len(state.tags) - 3)), "weight")
     some, edges = inspect.solution(sizes, graph)
     text = lambda c: F.col(c).alias(c)
     return some.select(F.lit("size").alias("part"), F.col("cat").alias("a"), F.lit(None).cast("string").alias("b"), F.col("n").cast("double").alias("value")).unionByName(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tagloom.operators import assign, compare, dag, fold, ingest, splits, votes
 
@@ -24,7 +23,7 @@ class Model:
 
     def probabilities(self, k: int, p: DataFrame | None = None) -> DataFrame:
         p = self.p if p is None else p
-        return assign.probabilities(p, F.broadcast(fold.mapping_table(p.sparkSession, self.folding, k)))
+        return assign.probabilities(p, fold.mapping_table(p.sparkSession, self.folding, k))
 
 
 def long_votes(items: DataFrame, whitelist: DataFrame, excluded: DataFrame, least: float = 2) -> DataFrame:

@@ -6,6 +6,7 @@ from fractions import Fraction as Q
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tagloom.functions import stats
 from tagloom.operators import assign, compare, dag, fold, inspect, votes
@@ -85,7 +86,7 @@ def random_votes(pick, tags=9, tracks=60):
 def test_fold_invariants(spark, seed):
     p = votes.normalized(table(spark, random_votes(random.Random(seed)))).where("p > 0").cache()
     graph = dag.edges(p)
-    state = fold.fold_profiles(p, graph)
+    state = fold.fold(p, graph)
     assert sorted([*state.order, *state.roots]) == state.tags
     assert all(sum(s.values()) == p.select("track").distinct().count() for s in state.sizes)
     for k in range(len(state.roots), len(state.tags) + 1):
@@ -105,24 +106,59 @@ def test_fold_invariants(spark, seed):
     assert not {t for a, b, _ in left for t in (a, b)} & set(some) and shares == pytest.approx(dict.fromkeys(shares, 1.0))
 
 
-def test_both_ways_of_folding_agree(spark):
+def test_the_index_may_be_cut_in_any_way(spark, monkeypatch):
     p = votes.normalized(table(spark, random_votes(random.Random(8), 6, 40))).where("p > 0").cache()
     graph = dag.edges(p)
-    one, two = fold.fold_profiles(p, graph), fold.fold_distributed(p, graph)
+    one = fold.fold(p, graph)
+    monkeypatch.setattr(fold, "FILE_ROWS", 3)
+    two = fold.fold(p, graph, groups=2)
     assert (one.order, one.sizes) == (two.order, two.sizes)
-    given = fold.fold_profiles(p, graph, one.order[::-1])
+    given = fold.fold(p, graph, one.order[::-1])
     assert given.order == one.order[::-1]
 
 
-def test_ties_fold_alike_on_the_driver_and_over_tables(spark):
-    """Thirds and sixths, whose sums tie with other shares: one order, whichever way."""
+def test_a_step_reads_the_touched_tags_only(spark):
+    pick = random.Random(3)
+    rows = [(t, f"g{g:03d}", pick.randint(1, 4)) for t in range(300) for g in pick.sample(range(150), pick.randint(1, 4))]
+    p = votes.normalized(table(spark, rows)).cache()
+    tags = sorted({g for _, g, _ in rows})
+    index = fold.profile_index(p, tags, {}, groups=16)
+    vectors = {tuple((tags.index(g), v) for _, g, v in sorted(r for r in rows if r[0] == t)) for t in range(300)}
+    read = lambda some: fold.touched_rows(index, some, groups=16)
+    for some in ([5], [5, 21], [0, 77, 149]):
+        files = {r.p for r in read(some).select("_metadata.file_path").distinct().toDF("p").collect()}
+        assert {int(f.split("grp=")[1].split("/")[0]) for f in files} == {t % 16 for t in some}
+        found = read(some).collect()
+        # a row for each of the touched tags that a profile holds, and no other
+        assert sum(r.n for r in found) == len([g for _, g, _ in rows if tags.index(g) in some])
+        assert all(r.t in some for r in found) and len(found) <= len(vectors) * len(some)
+
+
+def test_tags_by_the_hundred(spark):
+    """150 tags that meet, more pairs than any small table."""
+    import shutil
+    import tempfile
+
+    from tagloom.plans import inputs, registry
+
+    d = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for name in ("lineitem", "orders"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", d)
+    part = inputs.table(spark, "/root/testdata/sf0.001", "part")
+    part.withColumn("p_type", F.concat(F.lit("t"), F.col("p_partkey") % 150)).write.parquet(f"{d}/part.parquet")
+    for name in ("track_label", "jsd_columns", "long_with_labels"):
+        assert registry.queries()[name](spark, d).count() > 0
+
+
+def test_ties_fold_by_the_definition_of_each_state(spark):
+    """Thirds and sixths, whose sums tie with other shares."""
     pick = random.Random(5)
     rows = [(t, f"g{g}", v) for t in range(60) for g, v in zip(pick.sample(range(7), 3), pick.choice([(1, 1, 1), (2, 2, 2), (3, 2, 1), (1, 1, 2)]), strict=True)]
     p = votes.normalized(table(spark, rows)).cache()
     graph = dag.edges(p)
-    one, two = fold.fold_profiles(p, graph), fold.fold_distributed(p, graph)
-    assert (one.order, one.sizes) == (two.order, two.sizes) and len(one.order) > 3
-    # and each state as its own definition has it
+    one = fold.fold(p, graph)
+    assert len(one.order) > 3
+    # each state as its own definition has it
     for k in range(len(one.order) + 1):
         q = assign.probabilities(p, spark.createDataFrame(one.mapping(one.order[:k]), "tag string, cat string, w double"))
         sizes = as_dict(assign.hard_sizes(q, assign.rarity(p), spark.createDataFrame([(t,) for t in one.tags], "cat string")), "cat", "n")
