@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tagloom.functions import stats
+from tagloom.functions.ranks import quantiles
 from tagloom.operators import assign
+from tagloom.sources.shared import stored
 
 
 def example_tracks(labelled: DataFrame, n: int = 2, *, mixed_only: bool = False) -> DataFrame:
@@ -31,13 +33,19 @@ def gini_series(ginis: DataFrame) -> DataFrame:
     return ginis.select("k", "gini").where(~F.isnan("gini"))
 
 
+def median_probability(best: DataFrame) -> DataFrame:
+    """One row, median_max_prob, of the tracks' labels: exact, by distributed selection."""
+    found = quantiles(best, "cat_prob", [0.5])
+    return best.sparkSession.createDataFrame([(found[0],)], "median_max_prob double")
+
+
 def posterior(q: DataFrame, cats: DataFrame) -> dict[str, DataFrame]:
     """Of the tracks' categories: histogram and median of the largest probability, correlation, label counts and their Gini."""
-    best = assign.labels(q)
+    best = stored(assign.labels(q), "labels")
     counts = assign.prevalences(best, cats)
     return {
         "histogram": stats.histogram(best, "cat_prob", 0.0, 0.01),
-        "median": best.agg(F.median("cat_prob").alias("median_max_prob")),
+        "median": median_probability(best),
         "correlation": stats.spearman_block(q, q),
         "counts": counts,
         "gini": stats.gini(counts, "n"),

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tagloom.functions.ranks import quantiles
 from tagloom.operators.ingest import keep_widespread
+from tagloom.sources.shared import stored
 
 BREAKS = (0.0, 0.33, 0.66, 1.0)
 
@@ -19,18 +21,17 @@ def binned(x: Column, breaks: Column) -> Column:
 def artist_strata(tracks: DataFrame, *, check: bool = True) -> DataFrame:
     """artist, popularity, year (medians), their bins by terciles over the artists, and stratum "p_y" (a null bin is NA).
 
-    Equal breaks can't make bins: with check, that is an error, at the price of one small job."""
-    artists = tracks.groupBy("artist").agg(F.median("popularity").alias("popularity"), F.median("year").alias("year"))
-    quantiles = lambda c: F.percentile(c, F.array(*map(F.lit, BREAKS)))
-    breaks = artists.agg(quantiles("popularity").alias("pb"), quantiles("year").alias("yb"))  # one row
-    if check:
-        for name, values in breaks.first().asDict().items():
-            if values is not None and len(set(values)) < len(values):
-                raise ValueError(f"breaks are not unique: {name} {values}")
-    bins = artists.join(F.broadcast(breaks)).select(
+    The breaks are exact and come from a distributed selection; equal breaks can't make bins: with check, that is an error."""
+    artists = stored(tracks.groupBy("artist").agg(F.median("popularity").alias("popularity"), F.median("year").alias("year")), "artists")
+    breaks = {name: quantiles(artists, name, [*BREAKS]) for name in ("popularity", "year")}
+    for name, values in breaks.items():
+        if check and values[0] is not None and len(set(values)) < len(values):
+            raise ValueError(f"breaks are not unique: {name} {values}")
+    fixed = lambda name: F.array(*(F.lit(x).cast("double") for x in breaks[name]))
+    bins = artists.select(
         "artist", "popularity", "year",
-        binned(F.col("popularity"), F.col("pb")).alias("popularity_bin"),
-        binned(F.col("year"), F.col("yb")).alias("year_bin"),
+        binned(F.col("popularity"), fixed("popularity")).alias("popularity_bin"),
+        binned(F.col("year"), fixed("year")).alias("year_bin"),
     )
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("NA"))
     return bins.withColumn("stratum", F.concat_ws("_", text("popularity_bin"), text("year_bin")))

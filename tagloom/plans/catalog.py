@@ -573,7 +573,7 @@ def prob_histogram(spark, d):
 
 @query(f"WITH {p_sql('p_type')}, best AS (SELECT max(p) AS m FROM p GROUP BY track) SELECT round(median(m), 6) AS median_max_prob FROM best")
 def median_max_prob(spark, d):
-    return rounded(inspect.posterior(shares(spark, d, "p_type").withColumnRenamed("tag", "cat"), shares(spark, d, "p_type").select(F.col("tag").alias("cat")).distinct())["median"], "median_max_prob")
+    return rounded(inspect.median_probability(stored(assign.labels(shares(spark, d, "p_type"), "tag"), "labels")), "median_max_prob")
 
 
 # Trees and small graphs
