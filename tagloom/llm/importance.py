@@ -29,8 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from tagloom.functions.ranks import placed
 from tagloom.llm.common import documents, releasing, stored
 from tagloom.llm.merkle import CRC_SQL, crc_sql
 
@@ -204,18 +204,6 @@ def weigher(gain, seed: int):
     return run
 
 
-def ranked(rows: DataFrame, order: list, name: str = "rank") -> DataFrame:
-    """rows with their places in an order, from 1. Equal rows are dealt out by a running number."""
-    same = F.monotonically_increasing_id().alias("__same")
-    ranged = rows.select("*", same).repartitionByRange(*order, "__same").sortWithinPartitions(*order, "__same").drop("__same")
-    placed = stored(ranged.withColumn("__id", F.monotonically_increasing_id()), "ranked")
-    part = F.shiftright("__id", 33)
-    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))  # one row a partition
-    before = counts.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
-    at = F.col("__before") + F.col("__id") - F.shiftleft(part, 33) + 1
-    return placed.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(name, at).drop("__part", "__id", "__before")
-
-
 def resample(docs: DataFrame, target: DataFrame, drawn: int = DRAWN, least_words: int = LEAST_WORDS, seed: int = SEED) -> DataFrame:
     """doc_id, n_words, n_features, weight, score and rank (null if not drawn) of each row of docs, drawn towards target(text)."""
     spark = docs.sparkSession
@@ -224,9 +212,9 @@ def resample(docs: DataFrame, target: DataFrame, drawn: int = DRAWN, least_words
     eligible = F.col("n_words") >= least_words
     some = rows.where(eligible)
     most = drawn * some.count() // 100
-    placed = ranked(some, [F.desc("score"), F.col("doc_id").asc_nulls_first()])
+    ranked = placed(some, [F.desc("score"), F.col("doc_id").asc_nulls_first()], "rank")
     rank = F.when(F.col("rank") <= most, F.col("rank"))
-    return placed.withColumn("rank", rank).unionByName(rows.where(~eligible).withColumn("rank", F.lit(None).cast("long")))
+    return ranked.withColumn("rank", rank).unionByName(rows.where(~eligible).withColumn("rank", F.lit(None).cast("long")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tagloom.functions.ranks import placed
 from tagloom.llm.common import documents, free_name, join_classes, numbered, stored, words_of
 
 WEIGHTS, EPOCHS, SEED = (5, 2, 1), 3, 42
@@ -46,15 +47,10 @@ def key_of(source: Column) -> Column:
 
 
 def weighed(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """sources(source, ...) with w: the weights in turn, by code point, null last. Places come from the counts of sorted partitions."""
-    ranged = sources.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
-    ids = stored(ranged.withColumn("id", F.monotonically_increasing_id()), "mix-sources")
-    part = F.shiftright("id", 33)
-    counts = ids.groupBy(part.alias("part")).agg(F.count("*").alias("here"))  # one row a partition
-    before = counts.select("part", (F.sum("here").over(W.orderBy("part")) - F.col("here")).alias("before"))
-    at = F.col("before") + F.col("id") - F.shiftleft(part, 33)
-    chosen = F.element_at(F.array(*map(F.lit, weights)), (at % len(weights) + 1).cast("int"))
-    return ids.withColumn("part", part).join(F.broadcast(before), "part").withColumn("w", chosen.cast("long")).drop("id", "part", "before")
+    """sources(source, ...) with w: the weights in turn, by code point, null last."""
+    ranked = placed(sources, [F.col("source").asc_nulls_last()])
+    chosen = F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
+    return ranked.withColumn("w", chosen.cast("long")).drop("place")
 
 
 def filled(sources: DataFrame, epochs: int = EPOCHS) -> DataFrame:
