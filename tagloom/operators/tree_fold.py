@@ -1,107 +1,130 @@
-"""Folding a single-parent tree from the leaves by a least size, and the search for that size. Small, on the driver."""
+"""Folding a single-parent tree from the leaves by a least size, and the search for that size, for all sizes at once on tables.
 
-from __future__ import annotations
+A tree becomes a tour: every tag has an interval of places that holds the places of all below it. A subtree's size is then a difference of two sums,
+a family moves by an interval, and the category of a tag is the outermost folded interval around its place.
+
+The rule: the deepest category under the least size goes to its parent with its siblings and all below them. What a tag holds
+when its turn comes is its subtree's size if one of its children was too small, else its own; so a level decides over the one above,
+for every least size at the same time.
+"""
 
-import math
-from dataclasses import dataclass
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tagloom.functions.ranks import placed, sums_before
+from tagloom.sources.shared import discard, stored
 
-@dataclass(frozen=True)
-class Tree:
-    """parent of each tag but the root."""
-
-    parent: dict[str, str]
-    root: str
-
-    def level(self, tag: str) -> int:
-        n = 0
-        while tag != self.root:
-            tag, n = self.parent[tag], n + 1
-            if n > len(self.parent):
-                raise ValueError("the tree holds a cycle")
-        return n
-
-    def children(self, tag: str) -> list[str]:
-        return sorted(c for c, p in self.parent.items() if p == tag)
-
-    def below(self, tag: str) -> set[str]:
-        out = {tag}
-        for c in self.children(tag):
-            out |= self.below(c)
-        return out
 
+def tour(edges: DataFrame, root: str) -> DataFrame:
+    """tag, parent, level, start, stop of the tree edges(from_tag, to_tag): start numbers the tags, a parent before its children and those
+    by name; the tags below a tag, itself included, have start in [start, stop).
 
-def search_grid(least: int, most: int | None, step: int, sizes: dict[str, int]) -> list[int]:
+    Paths to the root grow by doubling, in a logarithmic number of rounds; their order is that of the tour. Several parents, a cycle and a second root are errors."""
+    spark = edges.sparkSession
+    pairs = edges.where(F.col("from_tag") != root).select("from_tag", "to_tag").distinct()
+    first = spark.createDataFrame([(root, None, None, [root])], "tag string, parent string, up string, path array<string>")
+    now = stored(first.unionByName(pairs.select(F.col("from_tag").alias("tag"), F.col("to_tag").alias("parent"), F.col("to_tag").alias("up"), F.array("from_tag").alias("path"))), "tour")
+    n, tags = now.agg(F.count("*"), F.countDistinct("tag")).first()
+    if n > tags:
+        raise ValueError("a tag has several parents")
+    for _ in range(n.bit_length() + 1):
+        if now.where("up is not null").isEmpty():
+            break
+        ahead = now.select(F.col("tag").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"))
+        met = now.where("up is not null").join(ahead, "up")
+        moved = met.select("tag", "parent", F.col("next").alias("up"), F.concat("above", "path").alias("path"))
+        last, now = now, stored(now.where("up is null").unionByName(moved), "tour")
+        discard(last)
+    if not now.where("up is not null").isEmpty() or now.count() < n:
+        raise ValueError("the tree holds a cycle or a second root")
+    below = now.select(F.explode("path").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    at = placed(now.select("tag", "parent", "path"), ["path"], "start")
+    return stored(at.join(below, "tag").select("tag", "parent", (F.size("path") - 1).alias("level"), "start", (F.col("start") + F.col("n")).alias("stop")), "tour")
+
+
+def sized(tree: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The tour with n, the size of a tag by sizes(tag, n) (0 if it has none), and all, that of its subtree: a difference of sums before places."""
+    own = tree.join(sizes.select("tag", "n"), "tag", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    before = stored(sums_before(own, "start", "n"), "tour-sums")
+    total = before.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total"))  # one row
+    ends = before.select(F.col("start").alias("stop"), F.col("before").alias("upto"))
+    out = before.join(ends, "stop", "left").crossJoin(total).withColumn("all", F.coalesce("upto", "total") - F.col("before"))
+    return stored(out.drop("before", "upto", "total"), "tour-sized")
+
+
+def search_grid(least: int, most: int | None, step: int, largest: int) -> list[int]:
     """least, least + step, ...; without an upper bound up to the largest tag's size, which is included."""
-    top = max(sizes.values()) if most is None else most
+    top = largest if most is None else most
     grid = list(range(least, top + 1, step))
     return grid if most is not None or grid[-1:] == [top] else [*grid, top]
 
 
-def weighted_gini(sizes: dict[str, int], levels: dict[str, int]) -> float:
-    """Gini of category sizes, each weighted by its distance to the root plus one (decision: the weighting isn't known)."""
-    rows = sorted((n, levels.get(t, 0) + 1) for t, n in sizes.items())
-    total_w, total = sum(w for _, w in rows), sum(n * w for n, w in rows)
-    if len(rows) < 2 or total == 0:
-        return math.nan
-    at, area = 0.0, 0.0
-    for n, w in rows:
-        area += w * (2 * at + n * w)
-        at += n * w
-    return max(0.0, 1 - area / (total_w * total))
+def weighted_gini(rows: DataFrame, by: str) -> DataFrame:
+    """by, n_metagenres, weighted_gini of rows(by, n, level), one a category: Gini of the sizes, each weighted by its distance to
+    the root plus one (decision: the weighting isn't known); null for fewer than two categories or a zero sum."""
+    w = F.col("level") + 1
+    upto = F.coalesce(F.sum(F.col("n") * w).over(W.partitionBy(by).orderBy("n", "level").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    area = rows.withColumn("area", w * (2 * upto + F.col("n") * w))
+    sums = area.groupBy(by).agg(F.count("*").alias("n_metagenres"), F.sum("area").alias("a"), F.sum(w).alias("w"), F.sum(F.col("n") * w).alias("t"))
+    gini = F.when((F.col("n_metagenres") > 1) & (F.col("t") > 0), F.greatest(F.lit(0.0), 1 - F.col("a") / (F.col("w") * F.col("t"))))
+    return sums.select(by, F.col("n_metagenres").cast("int").alias("n_metagenres"), gini.alias("weighted_gini"))
 
 
-def current_genre(tree: Tree, sizes: dict[str, int], checked: set[str]) -> str | None:
-    """Deepest unchecked tag that has songs, of ties the first by name."""
-    open_ = [t for t, n in sizes.items() if n > 0 and t not in checked and (t in tree.parent or t == tree.root)]
-    return min(open_, key=lambda t: (-tree.level(t), t)) if open_ else None
+def current_genre(tree: DataFrame, checked: list[str]) -> DataFrame:
+    """The deepest unchecked tag of the sized tour that has songs, of ties the first by name: one row or none."""
+    return tree.where((F.col("n") > 0) & ~F.col("tag").isin(checked)).orderBy(F.desc("level"), "tag").limit(1)
 
 
-def parent_and_rest_are_large(tree: Tree, tag: str, sizes: dict[str, int], least: int) -> bool | None:
+def parent_and_rest_are_large(tree: DataFrame, tag: str, least: int) -> bool | None:
     """Would the parent, with what else lies under it, be a category of its own? None at the root."""
-    if tag == tree.root:
-        return None
-    rest = sum(sizes.get(t, 0) for t in tree.below(tree.parent[tag]) - tree.below(tag))
-    return rest >= least
-
-
-def fold_tree(tree: Tree, sizes: dict[str, int], least: int) -> dict[str, str]:
-    """tag -> category: from the deepest on, a tag under the least size goes to its parent with its siblings and their children."""
-    mapping = {t: t for t in sizes}
-    now, checked = dict(sizes), set()
-    while (tag := current_genre(tree, now, checked)) is not None:
-        if tag == tree.root or now[tag] >= least:
-            checked.add(tag)
-            continue
-        parent = tree.parent[tag]
-        moved = set().union(*(tree.below(c) for c in tree.children(parent)))
-        for t, category in mapping.items():
-            if category in moved:
-                mapping[t] = parent
-        now[parent] = now.get(parent, 0) + sum(now.get(t, 0) for t in moved)
-        for t in moved:
-            now[t] = 0
-        checked |= moved
-    return mapping
-
-
-def tune(tree: Tree, sizes: dict[str, int], grid: list[int]) -> list[tuple[int, int, float, dict[str, str]]]:
-    """(least, number of categories, weighted Gini, mapping) per grid point; ends at the first undefined Gini."""
-    out = []
-    for least in grid:
-        mapping = fold_tree(tree, sizes, least)
-        now: dict[str, int] = {}
-        for t, c in mapping.items():
-            now[c] = now.get(c, 0) + sizes[t]
-        gini = weighted_gini(now, {c: tree.level(c) for c in now})
-        if math.isnan(gini):
-            break
-        out.append((least, len(now), gini, mapping))
-    return out
+    own = tree.where(F.col("tag") == tag).select("parent", F.col("all").alias("mine"))
+    found = own.join(tree.select(F.col("tag").alias("parent"), "all"), "parent").select((F.col("all") - F.col("mine")).alias("rest")).first()
+    return None if found is None else found.rest >= least
+
+
+def integrated(mapping: DataFrame, tree: DataFrame, tag: str) -> DataFrame:
+    """mapping(tag, cat) after a tag, its siblings and all below them go to its parent: the categories in the parent's interval."""
+    up = tree.where(F.col("tag") == tag).select(F.col("parent").alias("tag")).join(tree.select("tag", "start", "stop"), "tag").select(F.col("tag").alias("up"), F.col("start").alias("lo"), F.col("stop").alias("hi"))
+    at = mapping.join(tree.select(F.col("tag").alias("cat"), "start"), "cat", "left").join(F.broadcast(up), (F.col("start") > F.col("lo")) & (F.col("start") < F.col("hi")), "left")  # one row
+    return at.select("tag", F.coalesce("up", "cat").alias("cat"))
+
+
+def fold_trees(tree: DataFrame, grid: list[int]) -> DataFrame:
+    """min_n, tag, cat, n, level: where each tag of the sized tour goes, for every least size of the grid (level: the category's)."""
+    spark = tree.sparkSession
+    sizes = F.array(*(F.lit(m).cast("long") for m in grid))
+    deepest = tree.agg(F.max("level")).first()[0]
+    # folded(tag, min_n): the tags that take in all below them
+    folded = None
+    for level in range(deepest or 0, 0, -1):
+        here = tree.where(F.col("level") == level).select("tag", "parent", "n", "all", F.explode(sizes).alias("min_n"))
+        if folded is not None:
+            here = here.join(folded.withColumn("takes", F.lit(True)), ["tag", "min_n"], "left")
+        held = F.when(F.col("takes"), F.col("all")).otherwise(F.col("n")) if folded is not None else F.col("n")
+        small = stored(here.where((held > 0) & (held < F.col("min_n"))).select(F.col("parent").alias("tag"), "min_n").distinct(), "folded")
+        folded = small if folded is None else folded.unionByName(small)
+    each = tree.select("tag", "n", "level", "start", "stop", F.explode(sizes).alias("min_n"))
+    none = spark.createDataFrame([], "tag string, min_n long")
+    marked = each.join((none if folded is None else folded).withColumn("takes", F.lit(True)), ["tag", "min_n"], "left")
+    order = W.partitionBy("min_n").orderBy("start")  # the vocabulary, for each least size
+    reach = F.max(F.when(F.col("takes"), F.col("stop"))).over(order.rowsBetween(W.unboundedPreceding, -1))
+    inside = marked.withColumn("inside", F.coalesce(reach > F.col("start"), F.lit(False)))
+    outer = F.last(F.when(F.col("takes") & ~F.col("inside"), F.struct("tag", "level")), True).over(order)
+    cat = F.when(F.col("inside"), outer).otherwise(F.struct("tag", "level"))
+    return inside.withColumn("to", cat).select("min_n", "tag", F.col("to.tag").alias("cat"), "n", F.col("to.level").alias("level"))
+
+
+def tune(tree: DataFrame, sizes: DataFrame, grid: list[int]) -> dict[str, DataFrame]:
+    """ginis(min_n, n_metagenres, weighted_gini) and solutions(min_n, tag, cat) of the tags of sizes(tag, n), up to the first undefined Gini."""
+    nodes = sized(tree, sizes)
+    mapped = stored(fold_trees(nodes, grid).join(sizes.select("tag"), "tag", "left_semi"), "tree-folds")
+    ginis = stored(weighted_gini(mapped.groupBy("min_n", "cat").agg(F.sum("n").alias("n"), F.first("level").alias("level")), "min_n"), "tree-ginis")
+    first = ginis.where("weighted_gini is null").agg(F.min("min_n").alias("first"))  # one row
+    good = ginis.crossJoin(first).where("first is null or min_n < first").drop("first")
+    return {"ginis": good, "solutions": mapped.select("min_n", "tag", "cat").join(good.select("min_n"), "min_n", "left_semi")}
 
 
 def local_minima(ginis: DataFrame) -> DataFrame:
@@ -114,12 +137,3 @@ def suggested(candidates: DataFrame, low: int, high: int) -> DataFrame:
     """The candidate within the range with the least Gini, else the one with the most categories below it."""
     inside = F.col("n_metagenres").between(low, high)
     return candidates.where(inside | (F.col("n_metagenres") < low)).orderBy(F.desc(inside), F.when(inside, F.col("weighted_gini")), F.desc("n_metagenres")).limit(1)
-
-
-def grid_table(spark: SparkSession, found: list[tuple[int, int, float, dict[str, str]]]) -> DataFrame:
-    return spark.createDataFrame([(a, b, c) for a, b, c, _ in found], "min_n int, n_metagenres int, weighted_gini double")
-
-
-def solutions_table(spark: SparkSession, found: list[tuple[int, int, float, dict[str, str]]]) -> DataFrame:
-    """min_n, tag, cat: the mapping of every grid point."""
-    return spark.createDataFrame([(least, t, c) for least, _, _, mapping in found for t, c in sorted(mapping.items())], "min_n int, tag string, cat string")

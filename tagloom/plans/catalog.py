@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tagloom.functions import stats, text
 from tagloom.operators import assign, compare, dag, fold, graphs, ingest, inspect, metagenres, splits, tree_fold, votes
@@ -607,7 +608,7 @@ def strongest_parent(spark, d):
 
 
 def _tree(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.build_tree(tag_votes(spark, d, "p_type")).persist()
+    return stored(graphs.build_tree(tag_votes(spark, d, "p_type")), "tree")
 
 
 LEVELS = f"{ADJ}, l(tag_name, hierarchy_level) AS (SELECT b, 0 FROM tree WHERE b NOT IN (SELECT a FROM tree) UNION SELECT tree.a, hierarchy_level + 1 FROM l JOIN tree ON tree.b = tag_name)"
@@ -646,21 +647,89 @@ def tag_fills(spark, d):
     return graphs.fills(table(spark, d, "part").select(F.col("p_type").alias("tag")).distinct(), "PROMO")
 
 
-def _tuned(spark: SparkSession, d: str) -> list:
+DEPTH = 6  # six types: a tree of at most five levels below its root
+
+
+def _deep_sql() -> str:
+    """The tree fold, level by level, after LEVELS: z (min_n, tag, cat) and y (min_n, n_metagenres, weighted_gini)."""
+    now = "CASE WHEN EXISTS (SELECT * FROM h{j} h WHERE h.min_n = g.min_n AND h.tag = x.tag) THEN x.s ELSE x.n END"
+    steps = [f"h{DEPTH} AS (SELECT 0 AS min_n, '' AS tag WHERE false)"]
+    for i in range(DEPTH - 1, -1, -1):
+        n = now.replace("{j}", str(i + 1))
+        steps.append(f"h{i} AS MATERIALIZED (SELECT * FROM h{i + 1} UNION ALL SELECT DISTINCT g.min_n, x.parent FROM x, grid g WHERE x.lvl = {i} AND x.parent IS NOT NULL AND {n} > 0 AND {n} < g.min_n)")
+    return f"""top AS (SELECT max(m) AS top FROM k), grid AS (SELECT DISTINCT CAST(unnest(list_append(range(1, top + 1, greatest(1, top // 20)), top)) AS BIGINT) AS min_n FROM top),
+up(tag, anc) AS (SELECT tag_name, tag_name FROM l UNION ALL SELECT up.tag, tree.b FROM up JOIN tree ON tree.a = up.anc),
+x AS MATERIALIZED (SELECT l.tag_name AS tag, tree.b AS parent, hierarchy_level AS lvl, coalesce(k.m, 0) AS n, (SELECT coalesce(sum(k2.m), 0) FROM up JOIN k k2 ON k2.tag = up.tag WHERE up.anc = l.tag_name) AS s FROM l LEFT JOIN tree ON tree.a = l.tag_name LEFT JOIN k ON k.tag = l.tag_name),
+{", ".join(steps)},
+z0 AS (SELECT g.min_n, x.tag, coalesce((SELECT arg_min(h.tag, a.lvl) FROM h0 h JOIN up ON up.tag = x.tag AND up.anc = h.tag JOIN x a ON a.tag = h.tag WHERE h.min_n = g.min_n), x.tag) AS cat FROM x, grid g WHERE x.tag IN (SELECT tag FROM k)),
+q AS (SELECT min_n, cat, sum(k.m) AS n, max(c.lvl) + 1 AS w FROM z0 JOIN k USING (tag) JOIN x c ON c.tag = z0.cat GROUP BY 1, 2),
+q2 AS (SELECT *, coalesce(sum(n * w) OVER (PARTITION BY min_n ORDER BY n, w, cat ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q),
+y0 AS (SELECT min_n, CAST(count(*) AS INT) AS n_metagenres, CASE WHEN count(*) > 1 THEN greatest(0, 1 - sum(w * (2 * before + n * w)) / (sum(w) * sum(n * w))) END AS weighted_gini FROM q2 GROUP BY 1),
+y AS (SELECT * FROM y0 WHERE min_n < (SELECT coalesce(min(min_n), 9223372036854775807) FROM y0 WHERE weighted_gini IS NULL)), z AS (SELECT * FROM z0 WHERE min_n IN (SELECT min_n FROM y))"""
+
+
+def _tuned(spark: SparkSession, d: str, part: str) -> DataFrame:
     tree = _tree(spark, d)
-    parents = {r.from_tag: r.to_tag for r in tree.collect()}  # six rows
-    sizes = {r.tag: r.n for r in tag_votes(spark, d, "p_type").groupBy("tag").agg(F.countDistinct("track").alias("n")).collect()}
-    return tree_fold.tune(tree_fold.Tree(parents, graphs.root_of(tree)), sizes, tree_fold.search_grid(1, None, max(1, max(sizes.values()) // 20), sizes))
+    sizes = stored(tag_votes(spark, d, "p_type").groupBy("tag").agg(F.countDistinct("track").alias("n")), "tag-sizes")
+    top = sizes.agg(F.max("n")).first()[0] or 0
+    grid = tree_fold.search_grid(1, None, max(1, top // 20), top)
+    return tree_fold.tune(tree_fold.tour(tree, graphs.root_of(tree)), sizes, grid)[part]
 
 
-@query()
+@query(f"WITH RECURSIVE {LEVELS}, {_deep_sql()} SELECT min_n, n_metagenres, round(weighted_gini, 6) AS weighted_gini FROM y")
 def tree_fold_grid(spark, d):
-    return tree_fold.grid_table(spark, _tuned(spark, d))
+    return rounded(_tuned(spark, d, "ginis"), "weighted_gini")
 
 
-@query()
+@query(f"WITH RECURSIVE {LEVELS}, {_deep_sql()} SELECT min_n, tag, cat FROM z")
 def tree_fold_solutions(spark, d):
-    return tree_fold.solutions_table(spark, _tuned(spark, d))
+    return _tuned(spark, d, "solutions")
+
+
+@query(f"""WITH RECURSIVE {LEVELS}, c0 AS (SELECT tag_name AS tag, '{{"name":"' || tag_name || '","size":' || k.m || ',"fill":"' || CASE WHEN hierarchy_level = 0 THEN '#000000' ELSE '#808080' END || '"' AS head, hierarchy_level AS lvl, tree.b AS parent FROM l JOIN k ON k.tag = tag_name LEFT JOIN tree ON tree.a = tag_name),
+j{DEPTH} AS (SELECT '' AS tag, '' AS parent, '' AS json WHERE false), {", ".join(f"""j{i} AS (SELECT tag, parent, head || coalesce(',"children":[' || (SELECT string_agg(json, ',' ORDER BY j.tag) FROM j{i + 1} j WHERE j.parent = c0.tag) || ']', '') || '}}' AS json FROM c0 WHERE lvl = {i})""" for i in range(DEPTH - 1, -1, -1))}
+SELECT tag AS root, json FROM j0""")
+def tag_hierarchy(spark, d):
+    """The tree of types as nested JSON, its root in black."""
+    tree = _tree(spark, d)
+    sizes = tag_votes(spark, d, "p_type").groupBy("tag").agg(F.countDistinct("track").alias("size"))
+    children = tree.select(F.col("from_tag").alias("tag"), F.lit(graphs.GREY).alias("fill"))
+    nodes = sizes.join(children, "tag", "left").select("tag", "size", F.coalesce("fill", F.lit(graphs.BLACK)).alias("fill"))
+    return graphs.hierarchies(tree, nodes)
+
+
+ROUNDS = 16  # more than the edges beyond a spanning tree of six vertices in both directions could make necessary
+#: Steps from one type to the next within an order, by priority: five graphs with several cycles each; an edge is what one direction has more.
+STEPS = """n0 AS (SELECT o_orderpriority || ':' || p_type AS tag, lead(o_orderpriority || ':' || p_type) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, p_type) AS then_tag FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey),
+n1 AS (SELECT tag AS a, then_tag AS b, count(*) AS w FROM n0 WHERE tag <> then_tag GROUP BY 1, 2), e AS MATERIALIZED (SELECT x.a, x.b, CAST(x.w - coalesce(y.w, 0) AS DOUBLE) AS w FROM n1 x LEFT JOIN n1 y ON y.a = x.b AND y.b = x.a WHERE x.w > coalesce(y.w, 0)),
+t AS MATERIALIZED (SELECT a, b FROM e WHERE substr(b, 1, 1) IN ('1', '3') QUALIFY row_number() OVER (PARTITION BY a ORDER BY a < b DESC, w DESC, b) = 1 AND a < b)"""
+
+
+def _cycles_sql() -> str:
+    parts = ["e0 AS (SELECT * FROM e)"]
+    for i in range(ROUNDS):
+        parts.append(f"""r{i}(a, b) AS (SELECT a, b FROM e{i} UNION SELECT r.a, e{i}.b FROM r{i} r JOIN e{i} ON e{i}.a = r.b),
+m{i} AS MATERIALIZED (SELECT x.a, min(x.b) AS part FROM r{i} x JOIN r{i} y ON y.a = x.b AND y.b = x.a GROUP BY 1),
+d{i} AS (SELECT f.a, f.b FROM e{i} f JOIN m{i} p ON p.a = f.a JOIN m{i} q ON q.a = f.b AND q.part = p.part WHERE NOT EXISTS (SELECT * FROM t WHERE t.a = f.a AND t.b = f.b) QUALIFY row_number() OVER (PARTITION BY p.part ORDER BY f.w, f.a, f.b) = 1),
+e{i + 1} AS MATERIALIZED (SELECT * FROM e{i} f WHERE NOT EXISTS (SELECT * FROM d{i} d WHERE d.a = f.a AND d.b = f.b))""")
+    return ", ".join(parts)
+
+
+def _steps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Edges of the graphs of steps, and trees in two of them: of each tag its heaviest edge to a later name."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(table(spark, d, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("tag", F.concat("o_orderpriority", F.lit(":"), "p_type"))
+    after = F.lead("tag").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "p_type"))
+    steps = rows.withColumn("b", after).where("tag <> b").groupBy(F.col("tag").alias("a"), "b").agg(F.count("*").cast("double").alias("w"))
+    edges = stored(graphs.net_direction(steps).where("w > 0").toDF("from_tag", "to_tag", "weight"), "steps")
+    some = edges.where("from_tag < to_tag and substr(to_tag, 1, 1) in ('1', '3')").withColumnsRenamed({"from_tag": "a", "to_tag": "b", "weight": "w"})
+    return edges, graphs.strongest_parent(some).select(F.col("a").alias("from_tag"), F.col("b").alias("to_tag"))
+
+
+@query(f"WITH RECURSIVE {STEPS}, {_cycles_sql()} SELECT a AS from_tag, b AS to_tag, w AS weight FROM e{ROUNDS}")
+def without_cycles(spark, d):
+    return graphs.without_cycles(*_steps(spark, d))
 
 
 SERIES = "s AS (SELECT CAST(p_size AS INT) AS n_metagenres, CAST(count(*) AS DOUBLE) AS weighted_gini FROM part GROUP BY 1), x AS (SELECT *, lag(weighted_gini) OVER (ORDER BY n_metagenres) AS b, lead(weighted_gini) OVER (ORDER BY n_metagenres) AS a FROM s), c AS (SELECT n_metagenres, weighted_gini FROM x WHERE weighted_gini < b AND weighted_gini < a)"

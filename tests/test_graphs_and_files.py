@@ -1,4 +1,5 @@
 import json
+import random
 import xml.etree.ElementTree as ET
 
 import pytest
@@ -22,8 +23,9 @@ def table(df):
 
 
 def test_adjacency(spark):
-    tags = spark.createDataFrame([(1, "rock", 10.0), (1, "pop", 5.0), (2, "rock", 8.0)], "track int, tag string, votes double")
-    assert table(graphs.adjacency(tags)) == {("rock", "pop"): 0.5, ("pop", "rock"): 1.0}
+    rows = [(3, "oak", 4.0), (3, "elm", 2.0), (4, "elm", 9.0), (4, "yew", 1.0), (5, "elm", 7.0), (6, "elm", 1.0), (6, "oak", 1.0)]
+    tags = spark.createDataFrame(rows, "track int, tag string, votes double")
+    assert table(graphs.adjacency(tags)) == {("oak", "elm"): 1.0, ("elm", "oak"): 0.5, ("elm", "yew"): 0.25, ("yew", "elm"): 1.0}
     weighted = table(graphs.vote_weighted(tags))
     assert all(0 < w <= table(graphs.adjacency(tags))[k] for k, w in weighted.items())
 
@@ -41,34 +43,81 @@ def test_strongest_parent(spark):
 
 
 def test_root_levels_and_descendants(spark):
-    g = edges(spark, [("metal", "rock", 1), ("rock", "music", 1), ("pop", "music", 1)])
-    assert graphs.root_of(g) == "music"
-    assert {r.tag_name: r.hierarchy_level for r in graphs.levels(g, "music").collect()} == {"music": 0, "rock": 1, "pop": 1, "metal": 2}
-    chain = edges(spark, [("A", "B", 1), ("B", "C", 1)])
-    assert {r.tag_name for r in graphs.descendants(chain, "B").collect()} == {"A", "B"}
+    g = edges(spark, [("twig", "bough", 1), ("leaf", "twig", 1), ("bough", "trunk", 1), ("nest", "bough", 1), ("root", "trunk", 1)])
+    assert graphs.root_of(g) == "trunk"
+    assert {r.tag_name: r.hierarchy_level for r in graphs.levels(g, "trunk").collect()} == {"trunk": 0, "bough": 1, "root": 1, "twig": 2, "nest": 2, "leaf": 3}
+    assert {r.tag_name for r in graphs.descendants(g, "bough").collect()} == {"bough", "twig", "nest", "leaf"}
     for wrong in ([("A", "B", 1), ("A", "C", 1)], [("A", "B", 1), ("B", "A", 1)]):
         with pytest.raises(ValueError):
             graphs.root_of(edges(spark, wrong))
 
 
 def test_family(spark):
-    g = edges(spark, [("rock", "ROOT", 0.8), ("metal", "rock", 0.6), ("pop", "ROOT", 0.7)])
-    got = {(r.relation, r.tag_name, r.weight) for r in graphs.family(g, "rock").collect()}
-    assert got == {("focus", "rock", None), ("parent", "ROOT", 0.8), ("child", "metal", 0.6)}
+    g = edges(spark, [("twig", "bough", 0.31), ("leaf", "twig", 0.11), ("bud", "twig", 0.17), ("nest", "bough", 0.05)])
+    got = {(r.relation, r.tag_name, r.weight) for r in graphs.family(g, "twig").collect()}
+    assert got == {("focus", "twig", None), ("parent", "bough", 0.31), ("child", "leaf", 0.11), ("child", "bud", 0.17)}
 
 
-def test_cycles_go_and_the_tree_stays():
-    tree = {("A", "B"), ("B", "C")}
-    assert graphs.without_cycles([("A", "B", 0.9), ("B", "C", 0.8), ("C", "A", 0.1)], tree) == [("A", "B", 0.9), ("B", "C", 0.8)]
-    clean = [("A", "B", 0.1), ("A", "C", 0.9)]
-    assert graphs.without_cycles(clean, set()) == clean
+def triples(df):
+    return sorted((r.from_tag, r.to_tag, r.weight) for r in df.collect())
 
 
-def test_hierarchy():
-    got = json.loads(graphs.hierarchy("r", [("a", "r"), ("b", "r"), ("c", "a")], {"c": 2.0}, {"r": graphs.BLACK}))
-    assert [c["name"] for c in got["children"]] == ["a", "b"] and got["children"][0]["children"][0]["size"] == 2.0 and got["fill"] == graphs.BLACK
+def test_cycles_go_and_the_tree_stays(spark):
+    # two cycles with a bridge, an edge of a vertex to itself, a cycle whose lightest edge is in the tree
+    rows = [("a", "b", 5), ("b", "c", 2), ("c", "a", 4), ("c", "p", 9), ("p", "q", 1), ("q", "r", 8), ("r", "p", 7), ("s", "s", 3), ("q", "t", 6)]
+    tree = edges(spark, [("p", "q", 1), ("b", "x", 1)])
+    got = triples(graphs.without_cycles(edges(spark, rows), tree))
+    assert got == sorted((a, b, float(w)) for a, b, w in rows if (a, b) not in {("b", "c"), ("r", "p"), ("s", "s")})
+    clean = edges(spark, [("A", "B", 0.1), ("A", "C", 0.9)])
+    assert triples(graphs.without_cycles(clean, clean.limit(0))) == triples(clean)
     with pytest.raises(ValueError):
-        graphs.hierarchy("r", [("r", "r")], {}, {})
+        graphs.without_cycles(edges(spark, [("a", "b", 1), ("b", "a", 1)]), edges(spark, [("a", "b", 1), ("b", "a", 1)]))
+
+
+def test_a_part_loses_edges_until_it_has_no_cycle(spark):
+    pick = random.Random(7)
+    rows = [(f"v{i}", f"v{j}", pick.randint(1, 30)) for i in range(4) for j in range(4) if i != j and pick.random() < 0.7]
+    got = triples(graphs.without_cycles(edges(spark, rows), edges(spark, [])))
+    left = {(a, b): w for a, b, w in rows}
+
+    def reach(a):
+        seen, todo = set(), [a]
+        while todo:
+            new = {y for x, y in left if x == todo[-1]} - seen
+            todo.pop()
+            seen |= new
+            todo += new
+        return seen
+
+    while True:  # the rule, one part after the other
+        parts = {frozenset(y for y in reach(x) if x in reach(y)) for x, _ in left} - {frozenset()}
+        cyclic = [p for p in parts if any(a in p and b in p for a, b in left)]
+        if not cyclic:
+            break
+        del left[min((e for e in left if e[0] in cyclic[0] and e[1] in cyclic[0]), key=lambda e: (left[e], e))]
+    assert got == sorted((a, b, float(w)) for (a, b), w in left.items())
+
+
+def test_parts(spark):
+    rows = [("b", "a", 1), ("a", "b", 1), ("b", "m", 1), ("m", "y", 1), ("y", "z", 1), ("z", "y", 1), ("0", "a", 1), ("z", "9", 1)]
+    assert {(r.tag, r.part) for r in graphs.strong_parts(edges(spark, rows)).collect()} == {("a", "a"), ("b", "a"), ("y", "y"), ("z", "y")}
+
+
+def test_hierarchy(spark):
+    g = edges(spark, [("b", "r", 1), ("a", "r", 1), ('c "x"', "a", 1), ("c2", "a", 1), ("c2", "b", 1)])
+    nodes = spark.createDataFrame([('c "x"', 2.5, "#111111"), ("r", 1.0, graphs.BLACK), ("alone", 0.5, None)], "tag string, size double, fill string")
+    got = {r.root: json.loads(r.json) for r in graphs.hierarchies(g, nodes).collect()}
+    leaf = {"name": "c2", "size": 0, "fill": graphs.GREY}
+    a = {"name": "a", "size": 0, "fill": graphs.GREY, "children": [{"name": 'c "x"', "size": 2.5, "fill": "#111111"}, leaf]}
+    assert got == {"r": {"name": "r", "size": 1.0, "fill": graphs.BLACK, "children": [a, {"name": "b", "size": 0, "fill": graphs.GREY, "children": [leaf]}]}, "alone": {"name": "alone", "size": 0.5, "fill": graphs.GREY}}
+    for wrong in ([("r", "r", 1)], [("a", "r", 1), ("r", "a", 1), ("a", "top", 1)]):
+        with pytest.raises(ValueError):
+            graphs.hierarchies(edges(spark, wrong), nodes)
+
+
+def test_empty_pairs(spark):
+    tags = spark.createDataFrame([("x",), ("y",), ("x",)], "tag string")
+    assert table(graphs.empty_pairs(tags)) == {(a, b): 0.0 for a in "xy" for b in "xy"}
 
 
 def test_sizes(spark):
@@ -155,47 +204,93 @@ def test_hard_class_of_a_tie_is_the_smaller(spark):
     assert {r.track: r.metagenre for r in metagenres.hard_classes(shares).collect()} == {1: "jazz", 2: "rock"}
 
 
-TREE = tree_fold.Tree({"a": "x", "b": "x", "x": "r", "y": "r"}, "r")
+BRANCHES = [("p", "m", 1), ("q", "m", 1), ("m", "top", 1), ("n", "top", 1), ("o", "n", 1)]
+SONGS = {"p": 4, "q": 6, "m": 2, "n": 11, "o": 1, "top": 3}
 
 
-def test_search_grid():
-    assert tree_fold.search_grid(1, None, 4, {"rock": 6, "pop": 1}) == [1, 5, 6]
-    assert tree_fold.search_grid(1, 9, 4, {}) == [1, 5, 9]
+def branches(spark):
+    sizes = spark.createDataFrame([*SONGS.items()], "tag string, n long")
+    return tree_fold.tour(edges(spark, BRANCHES), "top"), sizes
 
 
-def test_current_genre_and_parent():
-    sizes = {"a": 0, "b": 3, "x": 1, "y": 2, "r": 1}
-    assert tree_fold.current_genre(TREE, sizes, set()) == "b"
-    assert tree_fold.current_genre(TREE, sizes, set(sizes)) is None
-    assert tree_fold.parent_and_rest_are_large(TREE, "b", sizes, 1) is True
-    assert tree_fold.parent_and_rest_are_large(TREE, "b", sizes, 2) is False
-    assert tree_fold.parent_and_rest_are_large(TREE, "r", sizes, 1) is None
+def test_tour(spark):
+    tree, sizes = branches(spark)
+    assert {r.tag: (r.parent, r.level, r.start, r.stop) for r in tree.collect()} == {"top": (None, 0, 1, 7), "m": ("top", 1, 2, 5), "p": ("m", 2, 3, 4), "q": ("m", 2, 4, 5), "n": ("top", 1, 5, 7), "o": ("n", 2, 6, 7)}
+    assert {r.tag: r.all for r in tree_fold.sized(tree, sizes).collect()} == {"top": 27, "m": 12, "p": 4, "q": 6, "n": 12, "o": 1}
+    for wrong in ([("a", "top", 1), ("a", "b", 1), ("b", "top", 1)], [("a", "b", 1), ("b", "a", 1)], [("a", "other", 1)]):
+        with pytest.raises(ValueError):
+            tree_fold.tour(edges(spark, wrong), "top")
 
 
-def test_folding_a_tree():
-    mapping = tree_fold.fold_tree(TREE, {"a": 2, "b": 3, "x": 1, "y": 9, "r": 1}, 3)
-    assert mapping == {"a": "x", "b": "x", "x": "x", "y": "y", "r": "r"}
-    everything = tree_fold.fold_tree(TREE, {"a": 1, "b": 1, "x": 1, "y": 1, "r": 1}, 100)
-    assert set(everything.values()) == {"r"}
-    found = tree_fold.tune(TREE, {"a": 2, "b": 3, "x": 1, "y": 9, "r": 1}, [1, 3, 100])
-    assert [n for _, n, _, _ in found] == [5, 3] and all(0 <= g <= 1 for _, _, g, _ in found)
-    for _, _, _, m in found:  # the parent of a category is a category
-        assert all(TREE.parent[c] in m.values() for c in m.values() if c != "r")
+def test_search_grid():
+    assert tree_fold.search_grid(2, None, 5, 13) == [2, 7, 12, 13]
+    assert tree_fold.search_grid(3, 9, 3, 99) == [3, 6, 9]
+
+
+def test_current_genre_and_parent(spark):
+    nodes = tree_fold.sized(*branches(spark))
+    assert [r.tag for r in tree_fold.current_genre(nodes, ["o"]).collect()] == ["p"]
+    assert tree_fold.current_genre(nodes, [*SONGS]).collect() == []
+    # beside p, m and q hold 8
+    assert tree_fold.parent_and_rest_are_large(nodes, "p", 8) is True and tree_fold.parent_and_rest_are_large(nodes, "p", 9) is False
+    assert tree_fold.parent_and_rest_are_large(nodes, "top", 1) is None
+    own = spark.createDataFrame([(t, t) for t in [*SONGS, "elsewhere"]], "tag string, cat string")
+    assert {r.tag: r["cat"] for r in tree_fold.integrated(own, nodes, "m").collect()} == {t: "top" for t in SONGS} | {"elsewhere": "elsewhere"}
+    assert {r.tag: r["cat"] for r in tree_fold.integrated(own, nodes, "q").collect() if r.tag != r["cat"]} == {"p": "m", "q": "m"}
+
+
+def test_folding_a_tree(spark):
+    tree, sizes = branches(spark)
+    found = tree_fold.tune(tree, sizes, [1, 2, 5, 13, 100])
+    mapped = {}
+    for r in found["solutions"].collect():
+        mapped.setdefault(r.min_n, {})[r.tag] = r["cat"]
+    same = {t: t for t in SONGS}
+    # o is under 2 and goes up; p is under 5 and takes q along; under 13 all meet at the top, where no Gini is left
+    assert mapped == {1: same, 2: same | {"o": "n"}, 5: same | {"o": "n", "p": "m", "q": "m"}}
+    ginis = {r.min_n: (r.n_metagenres, r.weighted_gini) for r in found["ginis"].collect()}
+    assert {k: n for k, (n, _) in ginis.items()} == {1: 6, 2: 5, 5: 3} and all(0 <= g <= 1 for _, g in ginis.values())
+    # sizes 3, 12, 12 with weights 1, 2, 2
+    assert ginis[5][1] == pytest.approx(1 - (1 * 3 + 2 * (2 * 3 + 24) + 2 * (2 * 27 + 24)) / (5 * 51))
+    parent = {a: b for a, b, _ in BRANCHES}
+    for m in mapped.values():  # the parent of a category is a category
+        assert all(parent[c] in m.values() for c in m.values() if c != "top")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_folds_of_random_trees(spark, seed):
+    from tests.test_entry import plain_tree_fold
+
+    pick = random.Random(seed)
+    parent = {f"t{k:02d}": f"t{pick.randrange(k):02d}" for k in range(1, 24)}
+    sizes = {f"t{k:02d}": pick.choice([0, 0, 1, 2, 5, 9, 20]) for k in range(24)}
+    tree = tree_fold.tour(edges(spark, [(a, b, 1) for a, b in parent.items()]), "t00")
+    nodes = tree_fold.sized(tree, spark.createDataFrame([*sizes.items()], "tag string, n long"))
+    got = {}
+    for r in tree_fold.fold_trees(nodes, [1, 2, 4, 8, 16, 64]).collect():
+        got.setdefault(r.min_n, {})[r.tag] = r["cat"]
+    assert got == {m: plain_tree_fold(parent, sizes, m)[0] for m in (1, 2, 4, 8, 16, 64)}
 
 
 def test_local_minimum_and_suggestion(spark):
-    rows = list(zip(range(2, 7), (0.8, 0.6, 0.3, 0.5, 0.7), strict=True))
+    rows = list(zip((3, 5, 8, 9, 14, 20, 31), (0.71, 0.44, 0.52, 0.5, 0.2, 0.33, 0.32), strict=True))
     ginis = spark.createDataFrame(rows, "n_metagenres int, weighted_gini double")
     found = tree_fold.local_minima(ginis)
-    assert [r.n_metagenres for r in found.collect()] == [4]
-    assert tree_fold.suggested(found, 3, 5).first().n_metagenres == 4
-    assert tree_fold.suggested(found, 7, 9).first().n_metagenres == 4
+    assert sorted(r.n_metagenres for r in found.collect()) == [5, 14]
+    assert tree_fold.suggested(found, 4, 20).first().n_metagenres == 14
+    assert tree_fold.suggested(found, 15, 40).first().n_metagenres == 14
     assert tree_fold.suggested(found, 1, 2).count() == 0
 
 
-@pytest.mark.parametrize("depth,most", [(1500, graphs.MOST_EDGES), (6, 0)])
-def test_levels_of_any_depth(spark, depth, most):
-    """A chain, with a short cut: on the driver, and over stored tables."""
-    rows = [(f"v{k + 1}", f"v{k}", 1.0) for k in range(depth)] + [("v4", "v0", 1.0), ("w", "v2", 1.0), ("w", "v4", 1.0)]
-    got = {r.tag_name: r.hierarchy_level for r in graphs.levels(edges(spark, rows), "v0", most).collect()}
-    assert got == {f"v{k}": k if k < 4 else k - 3 if k != 3 else 3 for k in range(depth + 1)} | {"w": 2}
+def test_levels_of_any_depth(spark):
+    """A chain, with short cuts and a cycle beside it that never leads to the root."""
+    depth = 1500
+    rows = [(f"v{k + 1}", f"v{k}", 1.0) for k in range(depth)] + [("v4", "v0", 1.0), ("w", "v2", 1.0), ("w", "v4", 1.0), ("x", "y", 1.0), ("y", "x", 1.0), ("v0", "x", 1.0)]
+    got = {r.tag_name: r.hierarchy_level for r in graphs.levels(edges(spark, rows), "v0").collect()}
+    assert got == {f"v{k}": k if k < 4 else k - 3 for k in range(depth + 1)} | {"w": 2}
+
+
+def test_a_chain_takes_a_logarithmic_number_of_rounds(spark):
+    chain = spark.range(1, 1501).select(F.concat(F.lit("v"), "id").alias("tag"), F.concat(F.lit("v"), F.col("id") - 1).alias("up"), F.lit(1).cast("long").alias("hops"))
+    reach, rounds = graphs.jumped(chain, 20)
+    assert rounds <= 12 and {(r.up, r.hops == int(r.tag[1:])) for r in reach.collect()} == {("v0", True)}
