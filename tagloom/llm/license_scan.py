@@ -139,8 +139,10 @@ TITLES = [
     ("ISC", "ISC License"),
     ("ISC", "ISC License (ISC)"),
     ("ISC", "The ISC License"),
+    ("MIT", "Expat License"),
     ("MIT", "MIT License"),
     ("MIT", "MIT License (MIT)"),
+    ("MIT", "The Expat License"),
     ("MIT", "The MIT License"),
     ("MIT", "The MIT License (MIT)"),
     ("Zlib", "The zlib License"),
@@ -179,11 +181,17 @@ def spaced(text: Column) -> Column:
     text = F.replace(F.replace(F.lower(text), F.lit("©"), F.lit(" copyright copyright ")), F.lit("(c)"), F.lit(" copyright "))
     text = F.replace(F.concat(F.lit("\n"), text, F.lit("\n")), F.lit("\n"), F.lit(" \n "))
     text = F.regexp_replace(F.regexp_replace(text, PUNCTUATION, " "), COPYRIGHT_LINE, "\n ")
-    return spelled(text, SPELLINGS)
+    # with blanks doubled each word has two of its own, so that of neighbours both are met
+    return spelled(F.replace(text, F.lit(" "), F.lit("  ")), SPELLINGS)
+
+
+def doubled(pairs: dict[str, str]) -> list[tuple[str, str]]:
+    """Spellings as they stand in texts whose blanks are doubled."""
+    return [(f" {a.replace(' ', '  ')} ", f" {b.replace(' ', '  ')} ") for a, b in pairs.items()]
 
 
 def spelled(text: Column, pairs: dict[str, str]) -> Column:
-    return reduce(lambda t, pair: F.replace(t, F.lit(f" {pair[0]} "), F.lit(f" {pair[1]} ")), pairs.items(), text)
+    return reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), doubled(pairs), text)
 
 
 def digest(text: Column) -> Column:
@@ -193,7 +201,7 @@ def digest(text: Column) -> Column:
 
 def joined(lines: Column) -> Column:
     """The canonical form of a text of spaced(); a phrase may go over two lines."""
-    return F.replace(spelled(F.replace(lines, F.lit("\n "), F.lit("")), PHRASES), F.lit(" "), F.lit(""))
+    return F.replace(spelled(F.replace(lines, F.lit("\n  "), F.lit("")), PHRASES), F.lit(" "), F.lit(""))
 
 
 def catalogue(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -246,12 +254,12 @@ def canonical(text: str) -> str:
     text = text.lower().replace("©", " copyright copyright ").replace("(c)", " copyright ")
     text = f"\n{text}\n".replace("\n", " \n ")
     code_points = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: re.escape(chr(int(m[1], 16))), PUNCTUATION)
-    text = re.sub(COPYRIGHT_LINE, "\n ", re.sub(code_points, " ", text))
-    for a, b in SPELLINGS.items():
-        text = text.replace(f" {a} ", f" {b} ")
-    text = text.replace("\n ", "")
-    for a, b in PHRASES.items():
-        text = text.replace(f" {a} ", f" {b} ")
+    text = re.sub(COPYRIGHT_LINE, "\n ", re.sub(code_points, " ", text)).replace(" ", "  ")
+    for a, b in doubled(SPELLINGS):
+        text = text.replace(a, b)
+    text = text.replace("\n  ", "")
+    for a, b in doubled(PHRASES):
+        text = text.replace(a, b)
     return text.replace(" ", "")
 
 
@@ -260,9 +268,9 @@ def _oracle() -> str:
     lowered = lambda t: f"replace(replace(lower({t}), '©', ' copyright copyright '), '(c)', ' copyright ')"
     lined = lambda t: f"replace(chr(10) || {lowered(t)} || chr(10), chr(10), ' ' || chr(10) || ' ')"
     plain = lambda t: f"regexp_replace(regexp_replace({lined(t)}, '{PUNCTUATION}', ' ', 'g'), '{COPYRIGHT_LINE}', chr(10) || ' ', 'g')"
-    spelled = lambda t, pairs: reduce(lambda x, pair: f"replace({x}, ' {pair[0]} ', ' {pair[1]} ')", pairs.items(), t)
-    lines = lambda t: spelled(plain(t), SPELLINGS)
-    joined = lambda t: f"replace({spelled(f"replace({t}, chr(10) || ' ', '')", PHRASES)}, ' ', '')"
+    spelled = lambda t, pairs: reduce(lambda x, pair: f"replace({x}, '{pair[0]}', '{pair[1]}')", doubled(pairs), t)
+    lines = lambda t: spelled(f"replace({plain(t)}, ' ', '  ')", SPELLINGS)
+    joined = lambda t: f"replace({spelled(f"replace({t}, chr(10) || '  ', '')", PHRASES)}, ' ', '')"
     digests = [(i, hashlib.sha256(canonical(t).encode()).hexdigest()) for i, t in long_texts()]
     return f"""
 WITH b AS (SELECT * FROM (VALUES {rows(BODIES)}) AS v(i, t)), h AS (SELECT * FROM (VALUES {rows(TITLES)}) AS v(i, t)),
