@@ -2,14 +2,13 @@
 
 Every text gives integer metrics. Their distribution per (lang, source) is kept as a log-linear histogram: a quantile
 sketch whose buckets are counts, so partial sketches merge by addition, in any order and with one result. Quantiles have
-a relative error under 1/256. Two sets of quantiles make a fence in place of each metric's fixed cutoff: where the bulk ends (the
-90th percentile of all rows; the 10th for a lower fence) and how far the tail spreads (the quartile distance of the
-rows above zero, since most texts have no symbols or repeats at all). A fence lies so many quarters of the spread beyond the bulk,
-fewer where the bulk is zero and any amount is unusual; no other constant enters it.
+a relative error under 1/256. The quartiles make a fence in place of each metric's fixed cutoff: it lies REACH times their distance
+beyond them. Junk moves no quartile until it is a quarter of a group, however far out it lies. Where the quartiles are as good as equal, their distance
+counts as a least spread, so that a uniform group isn't cut by a hundredth of a character: a few steps for lengths, and for what most texts have none of
+(symbols, repeats) a part of the amount at which the tail begins, the lower quartile of the rows above zero.
 
-A group's bulk is its own from MIN_GROUP rows on, and its spread from MIN_TAIL rows above zero on; below, the merged sketch of the
-language stands in, then that of the table. A metric without either, even there, has no fence. Rows that fail the base
-rules stay out of the sketches.
+A group's quartiles are its own from MIN_GROUP rows on, and its tail from MIN_TAIL rows above zero on; below, the merged sketch of the language
+stands in, then that of the table. A group without quartiles, even there, has no fences. Rows that fail the base rules stay out of the sketches.
 
 Defined cases: null and empty texts have no words and fail the base rules; null lang or source is a group of its own;
 repeated rows count as often as they occur; with fewer than MIN_GROUP rows past the base rules there are no fences and
@@ -30,13 +29,12 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
-#: Rows that a group needs for a bulk of its own, and rows above zero for a spread of its own.
+#: Rows that a group needs for quartiles of its own, and rows above zero for a tail of its own.
 MIN_GROUP, MIN_TAIL = 100, 12
-#: Tenths of the rows below the lower and the upper end of the bulk.
-BULK = (1, 9)
-#: Metric: (reach in quarters of the spread, that beyond a bulk of zero, has a lower fence). Lengths are in hundredths of a character,
-#: shares per mille. Where there are none as a rule, symbols count at once, repeats only far out: short texts repeat a line by chance.
-METRICS = {"word_len": (16, 16, True), "symbol_share": (16, 1, False), "dup_line_share": (16, 10, False), "repeat_share": (16, 16, False)}
+#: Spreads by which a fence lies beyond the quartiles.
+REACH = 5
+#: Metric: (least spread, that as twentieths of the tail's lower quartile, has a lower fence). Lengths are in hundredths of a character, shares per mille.
+METRICS = {"word_len": (8, 0, True), "symbol_share": (0, 1, False), "dup_line_share": (0, 16, False), "repeat_share": (0, 60, False)}
 #: Exact buckets below this value, then 256 to 511 buckets for each doubling.
 EXACT = 512
 #: Shares of a hot (lang, source) in the join with its thresholds.
@@ -110,7 +108,7 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """level, lang, source, n_rows, and per metric m: low_m and high_m (ends of the bulk), tail_m (rows above zero), spread_m."""
+    """level, lang, source, n_rows, and per metric m: q1_m and q3_m (quartiles), some_m (rows above zero) and tail_m (their lower quartile)."""
     group = ["level", "lang", "source", "metric"]
     by = W.partitionBy(*group)
     upto = sketch.select(
@@ -119,31 +117,28 @@ def fences(sketch: DataFrame) -> DataFrame:
         F.sum("n").over(by).alias("all"),
         F.sum(F.when(F.col("bucket") == 0, F.col("n")).otherwise(0)).over(by).alias("zeros"),
     )
-    bulk = lambda tenths: F.min(F.when(10 * F.col("upto") >= tenths * F.col("all"), F.col("bucket")))
-    tail = lambda q: F.min(F.when((F.col("bucket") > 0) & (4 * (F.col("upto") - F.col("zeros")) >= q * (F.col("all") - F.col("zeros"))), F.col("bucket")))
-    of_metric = upto.groupBy(*group).agg(
-        bulk(BULK[0]).alias("low"), bulk(BULK[1]).alias("high"), (tail(3) - tail(1)).alias("spread"),
-        F.max("all").alias("n_rows"), F.max(F.col("all") - F.col("zeros")).alias("tail"),
-    )
+    quartile = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("all"), F.col("bucket")))
+    tail = F.min(F.when((F.col("bucket") > 0) & (4 * (F.col("upto") - F.col("zeros")) >= F.col("all") - F.col("zeros")), F.col("bucket")))
+    of_metric = upto.groupBy(*group).agg(quartile(1).alias("q1"), quartile(3).alias("q3"), tail.alias("tail"), F.max("all").alias("n_rows"), F.max(F.col("all") - F.col("zeros")).alias("some"))
     return of_metric.groupBy("level", "lang", "source").agg(
         F.max("n_rows").alias("n_rows"),
-        *(F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{c}_{m}") for m in METRICS for c in ("low", "high", "tail", "spread")),
+        *(F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{c}_{m}") for m in METRICS for c in ("q1", "q3", "some", "tail")),
     )
 
 
 def _bounds(levels: list[str]) -> list[Column]:
     """low_m and high_m of each metric, from structs of fences(): own, language's, table's. Null where there is none."""
-    bulk = lambda c: F.coalesce(*(F.when(F.col(f"{x}.n_rows") >= MIN_GROUP, F.col(f"{x}.{c}")) for x in levels))
-    spread = lambda m: F.coalesce(*(F.when(F.col(f"{x}.tail_{m}") >= MIN_TAIL, F.col(f"{x}.spread_{m}")) for x in levels))
     found = []
-    for m, (reach, from_zero, _) in METRICS.items():
-        far = F.when(bulk(f"high_{m}") == 0, from_zero).otherwise(reach)
-        found += [(bulk(f"low_{m}") - reach * spread(m) / 4.0).alias(f"low_{m}"), (bulk(f"high_{m}") + far * spread(m) / 4.0).alias(f"high_{m}")]
+    for m, (least, twentieths, _) in METRICS.items():
+        q1, q3 = (F.coalesce(*(F.when(F.col(f"{x}.n_rows") >= MIN_GROUP, F.col(f"{x}.{c}_{m}")) for x in levels)) for c in ("q1", "q3"))
+        tail = F.coalesce(*(F.when(F.col(f"{x}.some_{m}") >= MIN_TAIL, F.col(f"{x}.tail_{m}")) for x in levels), F.lit(0))
+        spread = REACH * F.greatest(20 * (q3 - q1), F.lit(20 * least), twentieths * tail) / 20.0
+        found += [(q1 - spread).alias(f"low_{m}"), F.when((q3 > 0) | (spread > 0), q3 + spread).alias(f"high_{m}")]
     return found
 
 
 def thresholds(found: DataFrame) -> DataFrame:
-    """lang, source, threshold_level (of the bulk: 0 source, 1 language, 2 table; null: no fences), low_m and high_m of every group of fences()."""
+    """lang, source, threshold_level (of the quartiles: 0 source, 1 language, 2 table; null: no fences), low_m and high_m of every group of fences()."""
     values = [c for c in found.columns if c not in ("level", "lang", "source")]
     own = found.where(F.col("level") == 0).select("lang", "source", F.struct(*values).alias("f0"))
     by_lang = found.where(F.col("level") == 1).select(F.col("lang").alias("lang1"), F.struct(*values).alias("f1"))
@@ -173,16 +168,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     fails = " OR ".join([f"coalesce({m} > high_{m}, false)" for m in METRICS] + [f"coalesce({m} < low_{m}, false)" for m, (*_, lower) in METRICS.items() if lower])
     levels = "SELECT 0 AS level, lang, source, * EXCLUDE (lang, source) FROM v UNION ALL SELECT 1, lang, NULL, * EXCLUDE (lang, source) FROM v UNION ALL SELECT 2, NULL, NULL, * EXCLUDE (lang, source) FROM v"
-    bulk = lambda m, q: f"list_sort(list({bucket_sql(m)}))[CAST(ceil({q} * count(*) / 10.0) AS BIGINT)]"
-    tail = lambda m, q: f"list_sort(list({bucket_sql(m)}) FILTER ({m} > 0))[CAST(ceil({q} * count(*) FILTER ({m} > 0) / 4.0) AS BIGINT)]"
-    quantiles = ", ".join(f"{bulk(m, BULK[0])} AS low_{m}, {bulk(m, BULK[1])} AS high_{m}, count(*) FILTER ({m} > 0) AS tail_{m}, {tail(m, 3)} - {tail(m, 1)} AS spread_{m}" for m in METRICS)
-    first = lambda n, least, c: "coalesce(" + ", ".join(f"CASE WHEN {x}.{n} >= {least} THEN {x}.{c} END" for x in "okt") + ")"
-    bulk_of = lambda m, c: first("n_rows", MIN_GROUP, f"{c}_{m}")
-    spread = lambda m: first(f"tail_{m}", MIN_TAIL, f"spread_{m}")
-    bounds = ", ".join(
-        f"{bulk_of(m, 'low')} - {reach} * {spread(m)} / 4.0 AS low_{m}, {bulk_of(m, 'high')} + CASE WHEN {bulk_of(m, 'high')} = 0 THEN {from_zero} ELSE {reach} END * {spread(m)} / 4.0 AS high_{m}"
-        for m, (reach, from_zero, _) in METRICS.items()
-    )
+    quartile = lambda m, q: f"list_sort(list({bucket_sql(m)}))[CAST(ceil({q} * count(*) / 4.0) AS BIGINT)]"
+    tail = lambda m: f"list_sort(list({bucket_sql(m)}) FILTER ({m} > 0))[CAST(ceil(count(*) FILTER ({m} > 0) / 4.0) AS BIGINT)]"
+    quartiles = ", ".join(f"{quartile(m, 1)} AS q1_{m}, {quartile(m, 3)} AS q3_{m}, count(*) FILTER ({m} > 0) AS some_{m}, {tail(m)} AS tail_{m}" for m in METRICS)
+    first = lambda n, least, c: ", ".join(f"CASE WHEN {x}.{n} >= {least} THEN {x}.{c} END" for x in "okt")
+    of = lambda m, q: f"coalesce({first('n_rows', MIN_GROUP, f'{q}_{m}')})"
+    spread = lambda m: f"{REACH} * greatest(20 * ({of(m, 'q3')} - {of(m, 'q1')}), {20 * METRICS[m][0]}, {METRICS[m][1]} * coalesce({first(f'some_{m}', MIN_TAIL, f'tail_{m}')}, 0)) / 20.0"
+    bounds = ", ".join(f"{of(m, 'q1')} - {spread(m)} AS low_{m}, CASE WHEN {of(m, 'q3')} > 0 OR {spread(m)} > 0 THEN {of(m, 'q3')} + {spread(m)} END AS high_{m}" for m in METRICS)
     return rf"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
@@ -202,7 +194,7 @@ m AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT}
              1000 * n_dup_lines // greatest(1, n_lines) AS dup_line_share, 1000 * n_repeat_words // greatest(1, n_words) AS repeat_share FROM b),
 v AS (SELECT * FROM m WHERE NOT base_failed),
 l AS ({levels}),
-q AS (SELECT level, lang, source, count(*) AS n_rows, {quantiles} FROM l GROUP BY level, lang, source),
+q AS (SELECT level, lang, source, count(*) AS n_rows, {quartiles} FROM l GROUP BY level, lang, source),
 h AS (SELECT o.lang AS g_lang, o.source AS g_source, {bounds}
       FROM q o JOIN q k ON k.level = 1 AND k.lang IS NOT DISTINCT FROM o.lang JOIN q t ON t.level = 2 WHERE o.level = 0)
 SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,

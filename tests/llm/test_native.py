@@ -162,6 +162,30 @@ def test_every_fence_follows_its_group(spark):
         assert not lower or met.where(F.col(m) < F.col(f"low_{m}")).count() > 0
 
 
+def kept_rows(spark, texts):
+    rows = [(k, t, "en", "s") for k, t in enumerate(texts)]
+    return {r.doc_id for r in quality_rules.adaptive_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("kept").collect()}
+
+
+def test_a_uniform_group_loses_nothing(spark):
+    line = "a few quiet words that stand in each of the many texts alike"
+    assert kept_rows(spark, [f"{line} a{k}" for k in range(1000)]) == set(range(1000))
+
+
+@pytest.mark.parametrize("percent", [5, 9, 11, 20])
+def test_junk_goes_however_much_there_is(spark, percent):
+    clean = "the gate stood open and nobody came along the narrow lane until the bells had rung"
+    junk = {
+        "symbols": "## $$ && the gate || stood ** open << and >> nobody %% came || along ## the lane $$",
+        "words": "x y z a b c d e f g h i j k l m n o p q r s t u v w",
+        "lines": "one of them\nand two\none of them\none of them\none of them\nthen three words\none of them\nin all",
+    }
+    for kind, text in junk.items():
+        n = 10 * percent
+        got = kept_rows(spark, [f"{text} {k}" if k < n else f"{clean} {'again ' * (k % 3)}{k}" for k in range(1000)])
+        assert got == set(range(n, 1000)), kind
+
+
 def test_repeated_words(spark):
     words = quality_rules.repeated_words("w")
     texts = ["a b c d e a b c d e", "a b c d e f g h", "x " * 7, "a b c d e q a b c d f"]
@@ -176,6 +200,15 @@ def test_sketches_merge(spark):
     assert all(0 <= v - spark.sql(f"select {quality_rules.bucket_sql(str(v))} b").first().b <= v / 256 for v in (511, 513, 9999, 10**9))
 
 
+def test_neighbouring_spellings_are_all_met(spark):
+    known = spark.createDataFrame([("X-1", "any licence licence licence holder may whilst whilst running")], "license_id string, text string")
+    docs = spark.createDataFrame([(1, "Any license license licence holder may while whilst running"), (2, "Any license holder may")], "doc_id long, text string")
+    assert {r.doc_id: r.license_id for r in license_scan.scan(docs, known).collect()} == {1: "X-1", 2: None}
+    text = "Per cent per cent copyright owner copyright owners"
+    got = spark.createDataFrame([(text,)], "t string").select(license_scan.joined(license_scan.spaced(F.col("t")))).first()[0]
+    assert got == license_scan.canonical(text) == "percentpercentcopyrightholdercopyrightholders"
+
+
 def test_no_rows_no_fences(spark, nothing):
     assert quality_rules.adaptive_rules(nothing).count() == 0
 
