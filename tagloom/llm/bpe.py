@@ -11,7 +11,8 @@ This holds for a merge list in which every product is new and made of earlier pr
 lookahead is unbounded and words are held whole.
 
 Normalisation and the split into words are the tokenizer file's own, through the library. A text is read in pieces that end at a
-blank between two letters, where every such rule has a border, so they too hold a bounded part of it. Words recur, so ids of
+blank between two letters or after a mark, where every such rule has a border, so they too hold a bounded part of it; a run of letters
+without either is normalised whole, and merged in constant memory. Words recur, so ids of
 finished ones are remembered in a memo of bounded size; each document's ids are decoded as they come.
 
 Defined cases: null is the empty text, whose ids and decoded text are empty; special tokens in a text give their ids; bytes that
@@ -40,13 +41,14 @@ UNBOUNDED = 1 << 60
 TOKEN_BITS = 24
 TOKEN_MASK = (1 << TOKEN_BITS) - 1
 NO_RULE = 1 << 62
-#: Characters of a piece of a text, up to the next place where it may end: before a blank between two letters.
+#: Characters of a piece of a text, up to the next place where it may end: before a blank between two letters of any script, or
+#: after a mark that a letter follows. Every rule has a border there, and no normal form joins what stands on either side.
 PIECE = 1 << 18
-PIECE_END = re.compile(r"(?<=[A-Za-z])[ \n](?=[A-Za-z])")
+PIECE_END = re.compile(r"(?<=[^\W\d_])[ \n](?=[^\W\d_])|(?<=[.,;:!?\u3001\u3002\uFF0C\uFF01\uFF1A\uFF1B\uFF1F])(?=[^\W\d_])")
 
 
 def pieces_of(text: str, most: int = PIECE) -> Iterator[str]:
-    """The text in pieces of about `most` characters whose ids, joined, are its own. One without a blank stays whole."""
+    """The text in pieces of about `most` characters whose ids, joined, are its own. What has no such place stays whole."""
     at = 0
     while len(text) - at > most and (end := PIECE_END.search(text, at + most)):
         yield text[at : end.start()]

@@ -134,3 +134,14 @@ def test_rows(spark, awkward, nothing):
         want.append((r.doc_id or 0, len(ids), sha(array("I", ids).tobytes()), sha(library.decode(ids, skip_special_tokens=False).encode())))
     assert rows == sorted(want)
     assert bpe.encoded(nothing, path).count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_pieces_of_any_script(name):
+    """Cyrillic and Chinese texts end pieces too, at blanks and after marks, and their ids are those of the whole."""
+    library = tokens.load(tokens.tokenizer_path(name))
+    for text in ("Съешь же ещё этих мягких французских булок, да выпей чаю. " * 40, "天地玄黄。宇宙洪荒，日月盈昃。" * 60, "λόγος καὶ ἔργον καὶ λόγος " * 50):
+        pieces = list(bpe.pieces_of(text, 100))
+        assert len(pieces) > 5 and "".join(pieces) == text and max(map(len, pieces)) < 200
+        ids = [i for p in pieces for i in library.encode(p, add_special_tokens=False).ids]
+        assert ids == library.encode(text, add_special_tokens=False).ids
