@@ -4,9 +4,9 @@ A document is a bag of passages of about PASSAGE_BYTES bytes; only the bag has a
 frequencies, a few ratios, and how much its document repeats; then a hidden layer); gated attention weights, learnt from the
 document labels, say how much each passage counts; the score is a logistic function of the weighted passage representation.
 
-Training is a bounded sample: at most MAX_TRAINING labelled rows (those whose doc_id hashes least, so the choice is one and the same
-on every run) out of the rows that aren't held out, of any length, each a bag of at most MAX_BAG passages, spread evenly over the
-whole text. It runs on the driver with numpy, on at most MAX_TRAINING * MAX_BAG * PASSAGE_BYTES bytes (77 MB).
+Training is a bounded sample: of the labelled rows that aren't held out, those whose doc_id hashes least (so the choice is one and the same on every
+run), at most MAX_TRAINING of them and MAX_PASSAGES passages together; a row whose passages no longer fit is passed over. Every passage of a
+chosen text teaches. It runs on the driver with numpy, on at most MAX_PASSAGES * PASSAGE_BYTES bytes (38 MB) and their features (100 MB).
 
 Scoring reads every passage of every whole text in Arrow batches, PASSAGES_HELD at a time: attention sums are accumulated over the
 parts of a long document, and of the word triples that tell how much it repeats the TRIPLES least hashes are kept, which
@@ -14,7 +14,7 @@ counts them exactly up to that number and within a few percent beyond.
 
 Defined cases: null and empty texts are one empty passage and get a score like any other; a row without a label, or with a label
 other than 0 and 1, teaches nothing; repeated labels of one doc_id count by their mean, rounded down; null doc_ids are
-never held out and never learnt from; rows that repeat a doc_id each teach, within the bound; without labelled rows, or with one
+never held out and never learnt from; rows of one doc_id with different texts each teach, equal ones once; without labelled rows, or with one
 class only, the score is that share for all.
 """
 
@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 
 from tagloom.llm.common import free_name, positional, releasing
 
-#: Most labelled rows that training sees, and passages of one of them.
-MAX_TRAINING, MAX_BAG = 4000, 32
+#: Most labelled rows that training sees, and passages of all of them.
+MAX_TRAINING, MAX_PASSAGES = 4000, 64_000
 PASSAGE_BYTES = 600
 THRESHOLD = 0.3
 FOLDS = 5
@@ -232,42 +232,44 @@ def bucket(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-BAGS = "doc_id long, tie long, label int, repeat double, count long, passages binary, sizes binary"
+BAGS = "doc_id long, tie long, label int, repeat double, passages binary"
 
 
 def bags(batches):
-    """For mapInArrow: (doc_id, tie, label, text) -> BAGS, with at most MAX_BAG passages of each text, spread evenly over it."""
+    """For mapInArrow: (doc_id, tie, label, text) -> BAGS, equal rows of a task once."""
+    seen = set()
     for batch in batches:
-        out = []
-        for text in batch.column(3).to_pylist():
-            data = (text or "").encode()
-            borders = passages(len(data))
-            n = len(borders) - 1
-            chosen = np.unique(np.linspace(0, n - 1, min(n, MAX_BAG)).round().astype(np.int64))
-            sizes = (borders[chosen + 1] - borders[chosen]).astype("<i8")
-            out.append((repeat_share(np.frombuffer(data, np.uint8)), n, b"".join(data[borders[k] : borders[k + 1]] for k in chosen.tolist()), sizes.tobytes()))
-        repeat, count, parts, sizes = zip(*out, strict=True) if out else ((), (), (), ())
-        arrays = [*batch.columns[:3], pa.array(repeat, pa.float64()), pa.array(count, pa.int64()), pa.array(parts, pa.binary()), pa.array(sizes, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, names=[x.split(" ")[0] for x in BAGS.split(", ")])
-
-
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> DataFrame:
-    """BAGS of at most `most` labelled rows outside the held-out fold."""
+        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        new = [k for k, key in enumerate(keys) if not (key in seen or seen.add(key))]
+        some = batch.take(pa.array(new, pa.int64()))
+        texts = [(t or "").encode() for t in some.column(3).to_pylist()]
+        repeat = [repeat_share(np.frombuffer(t, np.uint8)) for t in texts]
+        yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(repeat, pa.float64()), pa.array(texts, pa.binary())], names=[x.split(" ")[0] for x in BAGS.split(", ")])
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, most_passages: int = MAX_PASSAGES) -> DataFrame:
+    """BAGS of the labelled rows outside the held-out fold that are chosen."""
     label = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.floor(F.avg("quality")).cast("int").alias("label"))
     some = label.where(bucket(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    # at most MAX_TRAINING ids of 12 bytes are broadcast; a doc_id that many rows repeat is cut off by the limit
+    # at most MAX_TRAINING ids of 12 bytes are broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", F.xxhash64("text").alias("tie"), "label", "text")
-    return texts.mapInArrow(releasing(bags), BAGS).orderBy(F.xxhash64("doc_id"), "doc_id", "tie").limit(most)
+    n = F.greatest(F.lit(1), F.bround(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE_BYTES)).cast("long")
+    first = texts.select("doc_id", "tie", n.alias("n")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "tie").limit(most).collect()
+    chosen, left = [], most_passages
+    for r in first:
+        if r.n <= left:
+            chosen.append((r.doc_id, r.tie))
+            left -= r.n
+    keys = docs.sparkSession.createDataFrame(chosen, "doc_id long, tie long")  # at most MAX_TRAINING
+    met = texts.join(F.broadcast(keys), ["doc_id", "tie"], "left_semi").select("doc_id", "tie", "label", "text")
+    return met.mapInArrow(releasing(bags), BAGS).dropDuplicates(["doc_id", "tie"])
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> Model:
     rows = training_rows(docs, labels, most).toArrow().sort_by([("doc_id", "ascending"), ("tie", "ascending")]).to_pylist()
-    sizes = [np.frombuffer(r["sizes"], "<i8") for r in rows]
-    of = np.repeat(np.arange(len(rows)), [len(x) for x in sizes])
-    if not rows:
-        return Model().fit(np.empty((0, N_FEATURES), np.float32), of, np.empty(0))
-    data = np.frombuffer(b"".join(r["passages"] for r in rows), np.uint8)
-    x = features(data, np.concatenate(sizes), np.array([r["repeat"] for r in rows])[of], np.array([r["count"] for r in rows])[of])
+    parts = [list(parts_of(r["passages"], r["repeat"])) for r in rows]
+    of = np.repeat(np.arange(len(rows)), [sum(map(len, p)) for p in parts])
+    x = np.concatenate([x for p in parts for x in p]) if rows else np.empty((0, N_FEATURES), np.float32)
     return Model().fit(x, of, np.array([r["label"] for r in rows], np.float64))
 
 

@@ -113,8 +113,15 @@ def test_long_texts_teach_too(spark):
     docs = spark.createDataFrame([(k, f"word{k} " * (20_000 if k % 2 else 3)) for k in range(12)] + [(1, "again")] * 9, "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int")
     rows = mil.training_rows(docs, labels).collect()
-    assert max(r["count"] for r in rows) > 200 and max(len(r.sizes) // 8 for r in rows) == mil.MAX_BAG
+    texts = {(r.doc_id, bytes(r.passages).decode()) for r in rows}
+    # whole texts, equal rows once
+    assert texts == {(r.doc_id, r.text) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5} and len(rows) == len(texts)
     assert len(mil.training_rows(docs, labels, 5).collect()) == 5
+    size = lambda t: len(mil.passages(len(t))) - 1
+    long = max(size(t) for _, t in texts)
+    few = mil.training_rows(docs, labels, most_passages=2 * long + 10).collect()
+    assert long > 200 and sum(size(r.passages) for r in few) <= 2 * long + 10 and sum(size(r.passages) > 100 for r in few) >= 2
+    assert len([r for r in few if size(r.passages) == 1]) == len([t for _, t in texts if size(t) == 1])
 
 
 def test_awkward_and_empty(spark, awkward, nothing):
