@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -87,29 +87,33 @@ def t_statistic(rows: DataFrame, value: str) -> DataFrame:
     return rows.agg(mean.alias("mean"), F.try_divide(mean, sd / F.sqrt(n)).alias("t"), (n - 1).alias("df"))
 
 
-def t_p_value(t: float, df: int) -> float:
-    """Two-sided p of Student's t, by the continued fraction of the incomplete beta function."""
-    if df < 1 or math.isnan(t):
-        return math.nan
-    return _beta(df / 2, 0.5, df / (df + t * t))
-
-
-def _beta(a: float, b: float, x: float) -> float:
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _beta(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
-    h = d
-    for m in range(1, 500):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / (1 + num * d)
-            c = 1 + num / c
-            h *= c * d
-        if abs(c * d - 1) < 1e-14:
-            break
-    return front * h
+def log_gamma(x: str) -> str:
+    """SQL of the logarithm of the gamma function for x > 0: Stirling's series eight further, and the way back."""
+    y = f"({x} + 8)"
+    return f"(({y} - 0.5D) * ln({y}) - {y} + 0.918938533204672742D + 1 / (12 * {y}) - 1 / (360 * power({y}, 3)) + 1 / (1260 * power({y}, 5)) - 1 / (1680 * power({y}, 7)) - aggregate(sequence(0, 7), 0D, (s, k) -> s + ln({x} + k)))"
+
+
+#: Terms of the continued fraction; it needs about the square root of the degrees of freedom.
+TERMS = 400
+
+
+def _fraction(a: str, b: str, x: str) -> str:
+    """SQL of the incomplete beta function for x below (a + 1) / (a + b + 2): its continued fraction, term by term."""
+    even = f"m * ({b} - m) * {x} / (({a} + 2 * m - 1) * ({a} + 2 * m))"
+    odd = f"-({a} + m) * ({a} + {b} + m) * {x} / (({a} + 2 * m) * ({a} + 2 * m + 1))"
+    step = lambda s, n: f"named_struct('c', 1 + {n} / {s}.c, 'd', 1 / (1 + {n} * {s}.d), 'h', {s}.h * (1 + {n} / {s}.c) / (1 + {n} * {s}.d))"
+    both = f"transform(array({step('s', even)}), u -> {step('u', odd)})[0]"
+    start = f"transform(array(1 / (1 - ({a} + {b}) * {x} / ({a} + 1))), z -> named_struct('c', 1D, 'd', z, 'h', z))[0]"
+    tail = f"aggregate(sequence(1, {TERMS}), {start}, (s, k) -> transform(array(cast(k as double)), m -> {both})[0], s -> s.h)"
+    return f"exp({log_gamma(f'({a} + {b})')} - {log_gamma(a)} - {log_gamma(b)} + {a} * ln({x}) + {b} * ln(1 - {x})) / {a} * {tail}"
+
+
+def t_p_value(t: str, df: str) -> Column:
+    """Two-sided p of Student's t, from the names of the columns: the incomplete beta function at df / (df + t * t); null without degrees of freedom."""
+    x = f"({df} / ({df} + {t} * {t}))"
+    near = f"{x} <= ({df} / 2D + 1) / ({df} / 2D + 2.5D)"
+    p = f"CASE WHEN {t} = 0 THEN 1D WHEN {near} THEN {_fraction(f'({df} / 2D)', '0.5D', x)} ELSE 1 - {_fraction('0.5D', f'({df} / 2D)', f'({t} * {t} / ({df} + {t} * {t}))')} END"
+    return F.expr(f"CASE WHEN {df} >= 1 AND {t} IS NOT NULL THEN {p} END")
 
 
 def histogram(rows: DataFrame, value: str, lo: float, width: float) -> DataFrame:

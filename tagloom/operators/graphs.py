@@ -55,8 +55,10 @@ def build_tree(tags: DataFrame, *, weighted: bool = False) -> DataFrame:
     return strongest_parent(net_direction(w)).toDF("from_tag", "to_tag", "weight")
 
 
-def root_of(edges: DataFrame) -> str:
-    """The one vertex without a parent."""
+def root_of(edges: DataFrame) -> str | None:
+    """The one vertex without a parent; null where there are no edges."""
+    if edges.isEmpty():
+        return None
     found = edges.select("to_tag").subtract(edges.select(F.col("from_tag").alias("to_tag"))).limit(2).collect()
     if len(found) != 1:
         raise ValueError(f"{len(found) or 'no'} roots")
@@ -80,12 +82,14 @@ def jumped(pointers: DataFrame, most: int) -> tuple[DataFrame, int]:
     return now.where("not open").drop("open"), rounds
 
 
-def levels(edges: DataFrame, root: str) -> DataFrame:
-    """tag_name, hierarchy_level: fewest edges to the root, which has 0, of every vertex that leads to it.
+def levels(edges: DataFrame, root: str | None) -> DataFrame:
+    """tag_name, hierarchy_level: fewest edges to the root, which has 0, of every vertex that leads to it; no rows without a root.
 
     Vertices with one parent point to it and are followed by doubling up to the root or to a vertex with several parents; those, if there are any, are settled by rounds
     of least sums over the edges between them. A chain of any length takes a logarithmic number of rounds, and nothing reaches the driver."""
     spark = edges.sparkSession
+    if root is None:
+        return spark.createDataFrame([], "tag_name string, hierarchy_level int")
     pairs = stored(edges.where((F.col("from_tag") != root) & (F.col("from_tag") != F.col("to_tag"))).select("from_tag", "to_tag").distinct(), "levels-edges")
     parents = stored(pairs.groupBy(F.col("from_tag").alias("tag")).agg(F.min("to_tag").alias("up"), F.count("*").alias("n")), "levels-parents")
     single = parents.where("n = 1").select("tag", "up", F.lit(1).cast("long").alias("hops"))
@@ -110,9 +114,9 @@ def descendants(edges: DataFrame, node: str) -> DataFrame:
     return levels(edges, node).select("tag_name")
 
 
-def family(edges: DataFrame, node: str) -> DataFrame:
-    """relation (focus, parent, child), tag_name, weight around a node."""
-    focus = edges.sparkSession.createDataFrame([("focus", node, None)], "relation string, tag_name string, weight double")
+def family(edges: DataFrame, node: str | None) -> DataFrame:
+    """relation (focus, parent, child), tag_name, weight around a node; no rows around none."""
+    focus = edges.sparkSession.createDataFrame([("focus", node, None)] * (node is not None), "relation string, tag_name string, weight double")
     parents = edges.where(F.col("from_tag") == node).select(F.lit("parent").alias("relation"), F.col("to_tag").alias("tag_name"), "weight")
     children = edges.where(F.col("to_tag") == node).select(F.lit("child").alias("relation"), F.col("from_tag").alias("tag_name"), "weight")
     return focus.unionByName(parents).unionByName(children)

@@ -147,3 +147,40 @@ def split_table(folds: DataFrame, cat: str = "cat") -> DataFrame:
     part. As its users only count, `distribution` of it is a small aggregate, which Spark forms before any shuffle."""
     ids = folds.select(F.col("fold").alias("split_id")).distinct()
     return folds.crossJoin(F.broadcast(ids)).select(F.when(F.col("fold") == F.col("split_id"), "test").otherwise("train").alias("split_type"), "split_id", F.col(cat).alias("cat"))
+
+
+# Checks of a tree fold
+
+
+def fold_violations(mapping: DataFrame, tree: DataFrame, sizes: DataFrame, by: tuple[str, ...] = ("min_n",)) -> DataFrame:
+    """by, rule, tag of all that is wrong with mapping(by, tag, cat), whose `by` ends with the least size, on the sized tour `tree` and sizes(tag, n):
+
+    lost: a tag has no category; twice: it has several; stray: its category is neither the tag nor above it; parent: a category's parent has
+    songs and is no category; small: a category other than the root holds fewer than the least size. One pass over the mapping, one over its categories."""
+    folds = mapping.select(*by).distinct()
+    want = folds.crossJoin(F.broadcast(sizes.select("tag")))  # a vocabulary for each fold
+    n = mapping.groupBy(*by, "tag").agg(F.count("*").alias("n"))
+    counted = want.join(n, [*by, "tag"], "left").select(*by, F.when(F.col("n").isNull(), "lost").when(F.col("n") > 1, "twice").alias("rule"), "tag").where("rule is not null")
+    at = lambda c: tree.select(F.col("tag").alias(c), F.col("start").alias(f"{c}_start"), F.col("stop").alias(f"{c}_stop"))
+    placed_ = mapping.join(at("tag"), "tag", "left").join(at("cat"), "cat", "left")
+    above = (F.col("cat_start") <= F.col("tag_start")) & (F.col("tag_start") < F.col("cat_stop"))
+    stray = placed_.where(~F.coalesce(above, F.col("tag") == F.col("cat"))).select(*by, F.lit("stray").alias("rule"), "tag").distinct()
+    cats = mapping.join(sizes, "tag").groupBy(*by, "cat").agg(F.sum("n").alias("held"), F.count("*").alias("tags")).join(tree.select(F.col("tag").alias("cat"), "parent"), "cat")
+    up = cats.select(*by, F.col("cat").alias("parent"), F.lit(True).alias("known"))
+    orphan = cats.where("parent is not null").join(up, [*by, "parent"], "left").join(sizes.select(F.col("tag").alias("parent"), F.col("n").alias("own")), "parent").where("known is null and own > 0").select(*by, F.lit("parent").alias("rule"), F.col("cat").alias("tag"))
+    small = cats.where((F.col("parent").isNotNull()) & (F.col("held") < F.col(by[-1])) & (F.col("held") > 0)).select(*by, F.lit("small").alias("rule"), F.col("cat").alias("tag"))
+    return counted.unionByName(stray).unionByName(orphan).unionByName(small)
+
+
+def broken_folds(mapping: DataFrame, by: str = "min_n") -> DataFrame:
+    """Failing cases made of a good mapping(by, tag, cat), with the name of the case: without its first tag, with its first tag twice,
+    with its first tag in the category of the last one, and with every tag as its own category."""
+    ends = mapping.groupBy(by).agg(F.min("tag").alias("first"), F.max(F.struct("tag", "cat"))["cat"].alias("other"))
+    rows = mapping.select(by, "tag", "cat").join(ends, by)
+    first, named = F.col("tag") == F.col("first"), lambda df, name: df.select(F.lit(name).alias("case"), by, "tag", "cat")
+    return (
+        named(rows.where(~first), "lost")
+        .unionByName(named(rows.unionByName(rows.where(first)), "twice"))
+        .unionByName(named(rows.withColumn("cat", F.when(first, F.col("other")).otherwise(F.col("cat"))), "moved"))
+        .unionByName(named(rows.withColumn("cat", F.col("tag")), "unfolded"))
+    )

@@ -18,12 +18,14 @@ from tagloom.functions.ranks import placed, sums_before
 from tagloom.sources.shared import discard, stored
 
 
-def tour(edges: DataFrame, root: str) -> DataFrame:
+def tour(edges: DataFrame, root: str | None) -> DataFrame:
     """tag, parent, level, start, stop of the tree edges(from_tag, to_tag): start numbers the tags, a parent before its children and those
     by name; the tags below a tag, itself included, have start in [start, stop).
 
-    Paths to the root grow by doubling, in a logarithmic number of rounds; their order is that of the tour. Several parents, a cycle and a second root are errors."""
+    Paths to the root grow by doubling, in a logarithmic number of rounds; their order is that of the tour. Several parents, a cycle and a second root are errors; without a root there are no rows."""
     spark = edges.sparkSession
+    if root is None:
+        return spark.createDataFrame([], "tag string, parent string, level int, start long, stop long")
     pairs = edges.where(F.col("from_tag") != root).select("from_tag", "to_tag").distinct()
     first = spark.createDataFrame([(root, None, None, [root])], "tag string, parent string, up string, path array<string>")
     now = stored(first.unionByName(pairs.select(F.col("from_tag").alias("tag"), F.col("to_tag").alias("parent"), F.col("to_tag").alias("up"), F.array("from_tag").alias("path"))), "tour")

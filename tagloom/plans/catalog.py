@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from tagloom.functions import stats, text
 from tagloom.operators import assign, compare, dag, fold, graphs, ingest, inspect, metagenres, splits, tree_fold, votes
 from tagloom.plans.inputs import LEAST, OTHER, fold_sql, fold_states, long_named, map_sql, nested, p_sql, shares, table, tag_votes, tracks, v_sql, votes_long, w_sql
-from tagloom.sources import files
+from tagloom.sources import arrow_files, files, gexf
 from tagloom.sources.shared import fresh_path, stored
 
 QUERIES: dict = {}
@@ -465,6 +465,59 @@ def posterior_correlation(spark, d):
     return rounded(inspect.posterior(q, q.select("cat").distinct())["correlation"], "corr")
 
 
+SQUARE = f"{p_sql('p_type', 'v1', 'p1')}, p2 AS (SELECT * FROM p1), {DENSE}"
+
+
+def _square(spark: SparkSession, d: str) -> DataFrame:
+    q = stored(shares(spark, d, "p_type").withColumnRenamed("tag", "cat"), "shares")
+    return stored(rounded(stats.spearman_block(q, q), "corr"), "correlation")
+
+
+def _power_sql(name: str, matrix: str) -> str:
+    unit = "list_transform(y, lambda x: coalesce(x / nullif(sqrt(list_dot_product(y, y)), 0), 0))"
+    return f"""{name}0(r, v) AS (SELECT 0, list_transform(range(0, n), lambda i: 1 + i / n) FROM {matrix} UNION ALL SELECT r + 1, {unit} FROM (SELECT r, list_transform(m, lambda z: list_dot_product(z, v)) AS y FROM {name}0, {matrix} WHERE r < {compare.ROUNDS}) w),
+{name} AS (SELECT {unit} AS v FROM (SELECT v AS y FROM {name}0 WHERE r = {compare.ROUNDS}) w)"""
+
+
+_SIGNED = "list_transform({v}, lambda x: x * coalesce(sign(list_filter({v}, lambda y: abs(y) >= list_max(list_transform({v}, lambda w: abs(w))) - 1e-9)[1]), 1))"
+
+
+@query(f"""WITH RECURSIVE {SQUARE}, rw AS (SELECT a, list(coalesce(corr, 0) ORDER BY b) AS r FROM x GROUP BY a), mt AS MATERIALIZED (SELECT list(a ORDER BY a) AS names, list(r ORDER BY a) AS m, len(list(a)) AS n FROM rw),
+{_power_sql("f", "mt")}, la AS (SELECT f.v, list_dot_product(f.v, list_transform(m, lambda z: list_dot_product(z, f.v))) AS l FROM f, mt),
+mu AS MATERIALIZED (SELECT names, n, list_transform(range(1, n + 1), lambda i: list_transform(range(1, n + 1), lambda j: m[i][j] - l * v[i] * v[j])) AS m FROM mt, la), {_power_sql("g2", "mu")},
+bo AS (SELECT names, {_SIGNED.replace("{v}", "f.v")} AS e1, {_SIGNED.replace("{v}", "g2.v")} AS e2 FROM mt, f, g2), ea AS (SELECT unnest(names) AS cat, unnest(e1) AS e1, unnest(e2) AS e2 FROM bo),
+an AS (SELECT *, CASE WHEN e1 = 0 THEN sign(e2) * pi() / 2 ELSE atan(e2 / e1) END + CASE WHEN e1 > 0 THEN 0 ELSE pi() END AS angle FROM ea)
+SELECT cat, round(e1, 5) + 0.0 AS e1, round(e2, 5) + 0.0 AS e2, round(angle, 5) AS angle, CAST(row_number() OVER (ORDER BY round(angle, 9), cat) AS INT) AS place FROM an""")
+def eigen_order(spark, d):
+    return compare.eigen_order(_square(spark, d)).select("cat", *((F.round(c, 5) + 0.0).alias(c) for c in ("e1", "e2", "angle")), "place")
+
+
+def _ward_sql(items: int) -> str:
+    parts = ["wc0 AS MATERIALIZED (SELECT a AS id, 1 AS size, a AS leaf, 0 AS born FROM x GROUP BY a)", "wd0 AS MATERIALIZED (SELECT a, b, (1 - corr) * (1 - corr) AS d FROM x WHERE a <> b)"]
+    for i in range(items - 1):
+        parts.append(f"""wm{i} AS MATERIALIZED (SELECT p.id AS a, q.id AS b, d, p.size AS na, q.size AS nb, CASE WHEN (p.born, p.id) < (q.born, q.id) THEN p.leaf || ';' || q.leaf ELSE q.leaf || ';' || p.leaf END AS leaf FROM wd{i} e JOIN wc{i} p ON p.id = e.a JOIN wc{i} q ON q.id = e.b WHERE e.a < e.b ORDER BY d, e.a, e.b LIMIT 1),
+wc{i + 1} AS MATERIALIZED (SELECT * FROM wc{i} WHERE id NOT IN (SELECT a FROM wm{i} UNION ALL SELECT b FROM wm{i}) UNION ALL SELECT a, na + nb, leaf, {i + 1} FROM wm{i}),
+wn{i} AS MATERIALIZED (SELECT k.id AS k, wm{i}.a AS z, ((na + k.size) * da.d + (nb + k.size) * db.d - k.size * wm{i}.d) / (na + nb + k.size) AS d FROM wm{i} JOIN wc{i} k ON k.id <> wm{i}.a AND k.id <> wm{i}.b JOIN wd{i} da ON da.a = wm{i}.a AND da.b = k.id JOIN wd{i} db ON db.a = wm{i}.b AND db.b = k.id),
+wd{i + 1} AS MATERIALIZED (SELECT e.* FROM wd{i} e, wm{i} WHERE e.a NOT IN (wm{i}.a, wm{i}.b) AND e.b NOT IN (wm{i}.a, wm{i}.b) UNION ALL SELECT k, z, d FROM wn{i} UNION ALL SELECT z, k, d FROM wn{i})""")
+    merges = " UNION ALL ".join(f"SELECT 'merge' AS part, {i + 1} AS place, array_to_string(list_sort(string_split(leaf, ';')), ';') AS name, round(sqrt(d), 6) AS height FROM wm{i}" for i in range(items - 1))
+    return f"{', '.join(parts)}, lf AS (SELECT string_split(leaf, ';') AS l FROM wc{items - 1}) {merges} UNION ALL SELECT 'leaf', CAST(generate_subscripts(l, 1) AS INT), unnest(l), NULL FROM lf"
+
+
+@query(f"WITH {SQUARE}, {_ward_sql(6)}")
+def cluster_order(spark, d):
+    return rounded(compare.clustered(_square(spark, d)), "height")
+
+
+@query(f"""WITH {TWO}, {DENSE}, l1 AS (SELECT tag, count(*) AS n FROM (SELECT tag FROM p1 QUALIFY row_number() OVER (PARTITION BY track ORDER BY round(p, 12) DESC, tag) = 1) y GROUP BY 1),
+l2 AS (SELECT tag, count(*) AS n FROM (SELECT tag FROM p2 QUALIFY row_number() OVER (PARTITION BY track ORDER BY round(p, 12) DESC, tag) = 1) y GROUP BY 1),
+b AS (SELECT 'a' AS side, coalesce(n, 0) AS n FROM (SELECT DISTINCT tag FROM p1) t LEFT JOIN l1 USING (tag) UNION ALL SELECT 'b', coalesce(n, 0) FROM (SELECT DISTINCT tag FROM p2) t LEFT JOIN l2 USING (tag)),
+o AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY n) AS i FROM b)
+SELECT side, round((2 * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1.0) / count(*)) * count(*) / (count(*) - 1), 6) AS gini FROM o GROUP BY side""")
+def correlation_ginis(spark, d):
+    first, second = (stored(shares(spark, d, t).withColumnRenamed("tag", "cat"), "shares") for t in ("p_type", "p_brand"))
+    return rounded(compare.correlation_table(first, second)["ginis"], "gini")
+
+
 @query(f"""WITH {TWO}, {DENSE},
 l1 AS (SELECT tag, count(*) AS n FROM (SELECT tag FROM p1 QUALIFY row_number() OVER (PARTITION BY track ORDER BY round(p, 12) DESC, tag) = 1) y GROUP BY 1),
 l2 AS (SELECT tag, count(*) AS n FROM (SELECT tag FROM p2 QUALIFY row_number() OVER (PARTITION BY track ORDER BY round(p, 12) DESC, tag) = 1) y GROUP BY 1)
@@ -514,11 +567,18 @@ def jsd_columns(spark, d):
     return rounded(stats.jensen_shannon(types.mapping(), types.mapping((0, 1, 3))), "jsd")
 
 
-@query(f"WITH RECURSIVE {PAIR}, {CELLS} SELECT round(avg(x - y), 6) + 0.0 AS mean, round(avg(x - y) / (stddev_samp(x - y) / sqrt(count(*))), 4) + 0.0 AS t, count(*) - 1 AS df FROM c")
+T_TEST = "s0 AS (SELECT avg(x - y) AS mean, avg(x - y) / (stddev_samp(x - y) / sqrt(count(*))) AS t, count(*) - 1 AS df FROM c), s AS (SELECT *, atan(abs(t) / sqrt(df)) AS th FROM s0)"
+#: Student's distribution in closed form for whole degrees of freedom: a sum of powers of the cosine.
+STUDENT = """CASE WHEN df % 2 = 1 THEN 2 / pi() * (th + sin(th) * coalesce(list_sum(list_transform(range(0, (df - 1) // 2), lambda k: power(cos(th), 2 * k + 1) * coalesce(list_product(list_transform(range(1, k + 1), lambda i: 2.0 * i / (2 * i + 1))), 1))), 0))
+ELSE sin(th) * list_sum(list_transform(range(0, df // 2), lambda k: power(cos(th), 2 * k) * coalesce(list_product(list_transform(range(1, k + 1), lambda i: (2.0 * i - 1) / (2 * i))), 1))) END"""
+
+
+@query(f"WITH RECURSIVE {PAIR}, {CELLS}, {T_TEST} SELECT round(mean, 6) + 0.0 AS mean, round(t, 4) + 0.0 AS t, df, round(1 - {STUDENT}, 6) AS p FROM s")
 def flatdiff_ttest_stat(spark, d):
     types = _Types(spark, d)
     found = stats.t_statistic(compare.mapping_differences(types.mapping(), types.mapping((0, 1, 3))), "d")
-    return found.select((F.round("mean", 6) + 0.0).alias("mean"), (F.round("t", 4) + 0.0).alias("t"), "df")
+    found = found.withColumn("p", stats.t_p_value("t", "df"))
+    return found.select((F.round("mean", 6) + 0.0).alias("mean"), (F.round("t", 4) + 0.0).alias("t"), "df", F.round("p", 6).alias("p"))
 
 
 F1 = """l1 AS (SELECT track, cat FROM (SELECT track, cat, sum(p * w) AS p FROM p JOIN m1 USING (tag) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY track ORDER BY round(p, 12) DESC, cat) = 1),
@@ -698,6 +758,40 @@ def tag_hierarchy(spark, d):
     return graphs.hierarchies(tree, nodes)
 
 
+BAD = """ends AS (SELECT min_n, min(tag) AS first, arg_max(cat, tag) AS other FROM z GROUP BY 1), zz AS (SELECT z.*, first, other FROM z JOIN ends USING (min_n)),
+bad AS (SELECT 'good' AS "case", min_n, tag, cat FROM z UNION ALL SELECT 'lost', min_n, tag, cat FROM zz WHERE tag <> first UNION ALL SELECT 'twice', min_n, tag, cat FROM zz UNION ALL SELECT 'twice', min_n, tag, cat FROM zz WHERE tag = first
+ UNION ALL SELECT 'moved', min_n, tag, CASE WHEN tag = first THEN other ELSE cat END FROM zz UNION ALL SELECT 'unfolded', min_n, tag, tag FROM zz),
+held AS (SELECT "case", min_n, cat, sum(k.m) AS n FROM bad JOIN k USING (tag) GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH RECURSIVE {LEVELS}, {_deep_sql()}, {BAD}
+SELECT "case", c.min_n, 'lost' AS rule, k.tag FROM (SELECT DISTINCT "case", min_n FROM bad) c, k WHERE NOT EXISTS (SELECT * FROM bad b WHERE b."case" = c."case" AND b.min_n = c.min_n AND b.tag = k.tag)
+UNION ALL SELECT "case", min_n, 'twice', tag FROM bad GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT DISTINCT "case", min_n, 'stray', b.tag FROM bad b WHERE NOT EXISTS (SELECT * FROM up WHERE up.tag = b.tag AND up.anc = b.cat)
+UNION ALL SELECT "case", min_n, 'parent', h.cat FROM held h JOIN x ON x.tag = h.cat JOIN k ON k.tag = x.parent WHERE k.m > 0 AND NOT EXISTS (SELECT * FROM held p WHERE p."case" = h."case" AND p.min_n = h.min_n AND p.cat = x.parent)
+UNION ALL SELECT "case", min_n, 'small', h.cat FROM held h JOIN x ON x.tag = h.cat WHERE x.parent IS NOT NULL AND h.n > 0 AND h.n < min_n""")
+def fold_violations(spark, d):
+    """What the checkers find in the tree folds (nothing) and in failing cases made of them."""
+    tree = _tree(spark, d)
+    places = tree_fold.tour(tree, graphs.root_of(tree))
+    sizes = stored(tag_votes(spark, d, "p_type").groupBy("tag").agg(F.countDistinct("track").alias("n")), "tag-sizes")
+    good = stored(_tuned(spark, d, "solutions"), "solutions")
+    cases = splits.broken_folds(good).unionByName(good.select(F.lit("good").alias("case"), "min_n", "tag", "cat"))
+    return splits.fold_violations(cases, places, sizes, ("case", "min_n")).select("case", "min_n", "rule", "tag")
+
+
+@query("WITH t AS (SELECT DISTINCT p_type AS tag FROM part) SELECT x.tag AS a, y.tag AS b, CAST(0 AS DOUBLE) AS w FROM t x CROSS JOIN t y")
+def empty_adjacency(spark, d):
+    return graphs.empty_pairs(table(spark, d, "part").select(F.col("p_type").alias("tag")))
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders")
+def factor_cleaning(spark, d):
+    """Factors with a single level go; others stay."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.lit("only").alias("level"), (F.col("o_totalprice") < 0).alias("free"))
+    return splits.without_constants(rows, ["o_orderstatus", "o_orderpriority", "level", "free"])
+
+
 ROUNDS = 16  # more than the edges beyond a spanning tree of six vertices in both directions could make necessary
 #: Steps from one type to the next within an order, by priority: five graphs with several cycles each; an edge is what one direction has more.
 STEPS = """n0 AS (SELECT o_orderpriority || ':' || p_type AS tag, lead(o_orderpriority || ':' || p_type) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, p_type) AS then_tag FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey),
@@ -819,6 +913,21 @@ def csv_round_trip(spark, d):
     return files.read_csv(spark, path, files.LONG)
 
 
+@query(f"WITH {w_sql('p_type')} SELECT from_tag, to_tag, round(weight, 6) AS weight FROM e")
+def gexf_round_trip(spark, d):
+    p = stored(shares(spark, d, "p_type"), "shares")
+    path = gexf.write_gexf(p.select("tag"), dag.edges(p), "types", fresh_path(spark, "gexf-folder"))
+    return rounded(gexf.read_gexf(spark, path)[1], "weight")
+
+
+@query(f"WITH {NESTED} SELECT track, tags_source, unnest(tags).tag_name AS tag_name, unnest(tags).tag_count AS tag_count FROM c")
+def arrow_round_trip(spark, d):
+    path = fresh_path(spark, "arrow")
+    arrow_files.write_arrow(ingest.choose_tag_set(nested(spark, d)).select("track", "tags_source", F.col("tags").alias("list of.tags")), path)
+    back = arrow_files.read_arrow(spark, path)
+    return back.select("track", "tags_source", F.explode("`list of.tags`").alias("x")).select("track", "tags_source", "x.tag_name", "x.tag_count")
+
+
 @query("SELECT DISTINCT p_type AS intern, lower(p_type) AS print FROM part")
 def lookup_round_trip(spark, d):
     path = fresh_path(spark, "lookup")

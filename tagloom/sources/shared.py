@@ -24,7 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir(spark.sparkContext.applicationId)
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The file system that holds a path, and the path as it names it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
 
@@ -33,7 +34,7 @@ def _file_system(spark: SparkSession, path: str):
 def _folder(app: str, shared: str) -> str:
     """This application's folder, which goes when the application ends."""
     path, spark = f"{shared}/tagloom-{app}", SparkSession.active()
-    fs, at = _file_system(spark, path)
+    fs, at = file_system(spark, path)
     fs.mkdirs(at)
     fs.deleteOnExit(at)
     return path
@@ -56,5 +57,5 @@ def stored(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Remove what stored() wrote, once nothing reads it any more."""
     for df in tables:
-        fs, at = _file_system(df.sparkSession, df.stored_at)
+        fs, at = file_system(df.sparkSession, df.stored_at)
         fs.delete(at, True)
