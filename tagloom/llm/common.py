@@ -106,11 +106,6 @@ def numbered(docs: DataFrame, most_files: int = MOST_FILES) -> tuple[DataFrame,
     return numbered(stored(docs.coalesce(max(1, most_files // 2)) if is_scan(docs) else docs, "rows"), most_files)
 
 
-def only_rows(docs: DataFrame, name: str, rows: DataFrame) -> DataFrame:
-    """docs, numbered in the column `name`, less that column and all rows whose number isn't in rows(row)."""
-    return docs.join(rows.select(F.col("row").alias(name)), name, "left_semi").drop(name)
-
-
 #: Bytes of the largest filter that is broadcast.
 MOST_FILTER_BYTES = 64 << 20
 #: Bits that one row of a filter holds (fixed by bitmap_construct_agg).
@@ -150,6 +145,16 @@ def parted(rows: DataFrame, key: str, keys: DataFrame, n: int) -> tuple[DataFram
     return both.where(F.col(flag)).drop(flag), both.where(~F.col(flag)).drop(flag)
 
 
+def only_rows(docs: DataFrame, name: str, rows: DataFrame) -> DataFrame:
+    """docs, numbered in the column `name`, less that column and all rows whose number isn't in rows(row).
+
+    Texts that stay aren't shuffled: a filter of the numbers that go tells nearly all of them, and only what it lets through meets those numbers."""
+    dropped = stored(docs.select(name).join(rows.select(F.col("row").alias(name)), name, "left_anti"), "dropped-rows")
+    passing, others = parted(docs, name, dropped, dropped.count())
+    out = passing.join(dropped, name, "left_anti")
+    return (out if others is None else out.unionByName(others)).drop(name)
+
+
 def join_classes(rows: DataFrame, classes: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """rows joined with their class (one row per key; n: rows of that key). Keys with over a thousandth of all rows, of which
     there are fewer than 1,000, are met by broadcast and never shuffled; the others by a shuffled join."""
