@@ -27,6 +27,8 @@ from tagloom.sources.shared import discard, stored
 
 #: Groups of tags of the index, each a folder, and rows of a tag in one file.
 GROUPS, FILE_ROWS = 512, 1_000_000
+#: Tags whose names and places are broadcast; more are met by shuffled joins.
+MOST_BROADCAST = 100_000
 
 
 @dataclass
@@ -106,7 +108,9 @@ def start(p: DataFrame, graph: DataFrame) -> Folding:
 def profile_index(p: DataFrame, tags: list[str], rare: dict[str, int], groups: int = GROUPS) -> DataFrame:
     """grp, t, v, n: for each tag (its place in tags) of each different vote vector v (t, p) the vector and the number of its tracks."""
     spark = p.sparkSession
-    places = spark.createDataFrame([(i, t, 1 + rare.get(t, 0) // FILE_ROWS) for i, t in enumerate(tags)], "t int, tag string, files int").coalesce(1)
+    places = spark.createDataFrame([(i, t, 1 + rare.get(t, 0) // FILE_ROWS) for i, t in enumerate(tags)], "t int, tag string, files int")
+    if len(tags) <= MOST_BROADCAST:
+        places = F.broadcast(places)
     vector = F.array_sort(F.collect_list(F.struct("t", "p")))
     profiles = p.where("p > 0").join(places, "tag").groupBy("track").agg(vector.alias("v")).groupBy("v").agg(F.count("*").alias("n"))
     rows = profiles.select(F.explode("v.t").alias("t"), "v", "n").join(places.select("t", "files"), "t")
