@@ -10,7 +10,8 @@ A copyright line begins with the word or sign and goes on with the sign or a yea
 group; "all rights reserved" is one too.
 
 Defined cases: null and empty texts, and texts without letters or digits, match nothing; repeated rows each get their own
-result; a catalogue with two ids for one canonical text gives the smaller id.
+result; a catalogue with two ids for one canonical text gives the smaller id. A text of any length is
+one row, of which one task holds a few copies as it is respelled.
 """
 
 from __future__ import annotations

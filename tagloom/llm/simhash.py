@@ -14,7 +14,7 @@ What is still larger is cut into slices, and each pair of slices is a task of it
 
 Defined cases: null and blank texts have fingerprint zero and link like any other; fewer words than a shingle form one
 shingle; null doc_ids count as greater than all others when a component is named (a component of null doc_ids only has a
-null id); repeated rows share a component.
+null id); repeated rows share a component. A text of any length is hashed whole, with 8 bytes a word held beside it.
 """
 
 from __future__ import annotations

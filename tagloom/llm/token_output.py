@@ -9,7 +9,8 @@ and sorted before they are encoded, so no id is ever shuffled. There is a shard
 many as the session has shuffle partitions; a doc_id (or null) with more than a shard's rows is dealt over several.
 
 Defined cases: null and empty texts hold the end id only; null doc_ids come first; rows with equal doc_id are repeated and
-keep one order in the files; an empty table gives an empty dataset. Further columns of the input are ignored.
+keep one order in the files; an empty table gives an empty dataset. Further columns of the input are ignored. A text of any
+length is encoded by itself, with its ids in one list of one row.
 """
 
 from __future__ import annotations

@@ -162,6 +162,23 @@ def test_every_fence_follows_its_group(spark):
         assert not lower or met.where(F.col(m) < F.col(f"low_{m}")).count() > 0
 
 
+def test_very_long_texts(spark):
+    """A quarter of a million words: rules, licences, fingerprints and ids of the whole text."""
+    from tagloom.llm import token_output, tokens
+
+    text = " ".join(f"word{k * 7919 % 100_003}" for k in range(250_000)) + "\nReleased under the MIT License.\n"
+    docs = spark.createDataFrame([(1, text, "en", "s"), (2, text + " end", "en", "s")], "doc_id long, text string, lang string, source string")
+    row = {r.doc_id: r for r in quality_rules.adaptive_rules(docs).collect()}[1]
+    assert tuple(row[c] for c in METRICS) == plain_metrics(text)
+    found = {r.doc_id: r for r in license_scan.scan(docs, license_scan.catalogue(spark)).collect()}
+    assert found[1].notice_ids == "MIT" and found[1].license_id is None
+    assert simhash.near_duplicates(docs).select("component_id").distinct().count() == 1
+    path = tokens.tokenizer_path("word_bpe_49k.json")
+    token_output.write_tokens(docs, at := common.fresh_path(spark, "long-tokens"), path)
+    ids = {r.doc_id: list(r.tokens) for r in token_output.read_tokens(spark, at).select("doc_id", "tokens").collect()}
+    assert ids[1] == [*tokens.load(path).encode(text, add_special_tokens=False).ids, token_output.END_ID]
+
+
 def kept_rows(spark, texts):
     rows = [(k, t, "en", "s") for k, t in enumerate(texts)]
     return {r.doc_id for r in quality_rules.adaptive_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("kept").collect()}
