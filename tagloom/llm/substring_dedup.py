@@ -17,7 +17,7 @@ Only texts with hits move to meet them, once for the windows and once for the re
 and nothing is removed by its hash alone: two different windows of one hash, of which there are under 1e-9 in 10**10, end
 the job with an error that asks for another seed.
 
-Ranges are as many as the words need (WORDS_PER_RANGE, of which a task holds about 12 bytes each), up to one for every 32 words of
+Ranges are as many as the words need (WORDS_PER_RANGE, of which a task holds about 12 bytes each), up to one for every 16 words of
 a chunk; beyond about 10**11 words larger chunks (4 GB of memory for each worker at 100 TB) keep messages that long.
 
 Defined cases: null and blank texts have no words; a document shorter than WINDOW words keeps all; a repeated row is another
@@ -42,9 +42,9 @@ WINDOW = 35
 #: The longest block of which one lies whole in any window, wherever that starts.
 ANCHOR = (WINDOW + 1) // 2
 #: Words whose windows a task packs at once.
-CHUNK_WORDS = 1_500_000
+CHUNK_WORDS = 750_000
 #: Different words that a task remembers.
-WORDS_HELD = 400_000
+WORDS_HELD = 250_000
 #: Hash ranges: at least so many, and one for so many words.
 RANGES, WORDS_PER_RANGE = 64, 4_000_000
 #: Stretches that ask for the words of one document in one task.
@@ -408,7 +408,7 @@ def repeats(docs: DataFrame, row: str, chunk_words: int = CHUNK_WORDS, seed: int
     spark = docs.sparkSession
     texts = docs.select(F.col(quoted(row)).alias("row"), "text")
     words = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
-    ranges = max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")), min(words // WORDS_PER_RANGE, chunk_words // 32))
+    ranges = max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")), min(words // WORDS_PER_RANGE, chunk_words // 16))
     anchors = texts.mapInArrow(releasing(send_anchors(ranges, chunk_words, seed)), ANCHORS)
     hits = anchors.repartitionById(ranges, "bucket").mapInArrow(releasing(hit_blocks), HITS).groupBy("row").agg(F.collect_list("block").alias("hits"))
     hits = stored(hits, "repeat-hits")
