@@ -27,6 +27,8 @@ from tagloom.sources.shared import discard, stored
 
 #: Groups of tags of the index, each a folder, and rows of a tag in one file.
 GROUPS, FILE_ROWS = 512, 1_000_000
+#: Cells (rows by categories) of a block whose masses are formed in one dense array; larger blocks are sorted.
+MOST_CELLS = 4_000_000
 #: Tags whose names and places are broadcast; more are met by shuffled joins.
 MOST_BROADCAST = 100_000
 
@@ -123,19 +125,18 @@ def touched_rows(index: DataFrame, touched: list[int], groups: int = GROUPS) ->
     return index.where(F.col("grp").isin(sorted({t % groups for t in touched})) & F.col("t").isin(touched)).select("t", "v", "n")
 
 
-def _arrays(batch, touched: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Tag, share and row of every entry of the rows that stand at their first touched tag, and their counts."""
-    at, v = batch.column(0).to_numpy(), batch.column(1)
+def first_rows(index: DataFrame, touched: list[int], groups: int = GROUPS) -> DataFrame:
+    """Of touched_rows, each profile once: at the first of its touched tags."""
+    first = F.array_min(F.array_intersect(F.col("v.t"), F.array(*(F.lit(t).cast("int") for t in touched))))
+    return touched_rows(index, touched, groups).where(F.col("t") == first)
+
+
+def _arrays(batch) -> tuple[np.ndarray, ...]:
+    """Tag, share and row of every entry of a block (t, v, n), and the rows' counts."""
+    v = batch.column(1)
     size = np.diff(v.offsets.to_numpy())
     flat = v.flatten()
-    tag, p = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-    row = np.repeat(np.arange(len(size)), size)
-    place = np.flatnonzero(touched[tag])
-    rows, first = np.unique(row[place], return_index=True)
-    own = np.zeros(len(size), bool)
-    own[rows[tag[place[first]] == at[rows]]] = True
-    mine = own[row]
-    return tag[mine], p[mine], np.cumsum(own)[row[mine]] - 1, batch.column(2).to_numpy()[own]
+    return flat.field(0).to_numpy(), flat.field(1).to_numpy(), np.repeat(np.arange(len(size)), size), batch.column(2).to_numpy()
 
 
 class Mapping:
@@ -152,7 +153,13 @@ def winners(tag: np.ndarray, p: np.ndarray, row: np.ndarray, mapping: Mapping, r
     n = mapping.length[tag]
     entry = np.repeat(np.arange(len(tag)), n)
     at = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n) + mapping.start[tag][entry]
-    key, inverse = np.unique(row[entry] * len(rank) + mapping.cats[at], return_inverse=True)
+    key = row[entry] * len(rank) + mapping.cats[at]
+    cells = (int(row[-1]) + 1) * len(rank) if len(row) else 0
+    if cells <= MOST_CELLS:  # all categories of every row side by side, those of least rank first
+        mass = np.bincount(key, p[entry] * mapping.shares[at], cells).reshape(-1, len(rank))
+        by_rank = np.argsort(rank)
+        return by_rank[np.round(mass[:, by_rank], assign.DIGITS).argmax(1)] if cells else np.empty(0, np.int64)
+    key, inverse = np.unique(key, return_inverse=True)
     mass = np.bincount(inverse, p[entry] * mapping.shares[at])
     row, cat = key // len(rank), key % len(rank)
     order = np.lexsort((rank[cat], -np.round(mass, assign.DIGITS), row))
@@ -176,11 +183,11 @@ def change(index: DataFrame, touched: np.ndarray, before: Mapping | None, after:
         delta = np.zeros(len(rank), np.int64)
         for batch in batches:
             if batch.num_rows:
-                delta += moved(_arrays(batch, touched), before, after, rank)
+                delta += moved(_arrays(batch), before, after, rank)
         cats = np.flatnonzero(delta)
         yield pa.RecordBatch.from_arrays([pa.array(cats, pa.int64()), pa.array(delta[cats], pa.int64())], names=["cat", "n"])
 
-    rows = touched_rows(index, np.flatnonzero(touched).tolist(), groups)
+    rows = first_rows(index, np.flatnonzero(touched).tolist(), groups)
     out = np.zeros(len(rank), np.int64)
     for r in rows.mapInArrow(run, "cat long, n long").groupBy("cat").agg(F.sum("n").alias("n")).collect():
         out[r.cat] = r.n

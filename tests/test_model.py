@@ -113,6 +113,15 @@ def test_the_index_may_be_cut_in_any_way(spark, monkeypatch):
     monkeypatch.setattr(fold, "FILE_ROWS", 3)
     two = fold.fold(p, graph, groups=2)
     assert (one.order, one.sizes) == (two.order, two.sizes)
+    # dense and sorted blocks have one winner
+    pick = np.random.default_rng(1)
+    row = np.repeat(np.arange(50), 3)
+    tag, share = pick.integers(0, 6, 150), pick.choice([0.25, 0.5, 1 / 3], 150)
+    mapping = fold.Mapping([(np.array([i, (i + 1) % 6]), np.array([0.5, 0.5])) for i in range(6)])
+    rank = pick.permutation(6)
+    dense = fold.winners(tag, share, row, mapping, rank)
+    monkeypatch.setattr(fold, "MOST_CELLS", -1)
+    assert dense.tolist() == fold.winners(tag, share, row, mapping, rank).tolist()
     given = fold.fold(p, graph, one.order[::-1])
     assert given.order == one.order[::-1]
 
@@ -132,6 +141,8 @@ def test_a_step_reads_the_touched_tags_only(spark):
         # a row for each of the touched tags that a profile holds, and no other
         assert sum(r.n for r in found) == len([g for _, g, _ in rows if tags.index(g) in some])
         assert all(r.t in some for r in found) and len(found) <= len(vectors) * len(some)
+        once = fold.first_rows(index, some, groups=16).collect()
+        assert len({(r.t, str(r.v)) for r in once}) == len({str(r.v) for r in once}) == len({str(r.v) for r in found})
 
 
 def test_tags_by_the_hundred(spark):
