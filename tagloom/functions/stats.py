@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tagloom.sources.shared import stored
+from tagloom.sources.sizes import dealt, partitions_for
+
 
 def gini_of(values: list[float]) -> float:
     """Unbiased Gini coefficient; not a number for fewer than two values or a zero sum."""
@@ -26,15 +29,33 @@ def gini(rows: DataFrame, value: str) -> DataFrame:
     return x.agg((F.try_divide(2 * F.sum(F.col("i") * F.col("x")), n * total) - F.try_divide(n + 1, n)).alias("g"), n.alias("n")).select((F.col("g") * F.try_divide(F.col("n"), F.col("n") - 1)).alias("gini"))
 
 
-def average_ranks(long: DataFrame, keys: list[str], value: str, width: float = 1 / 256) -> DataFrame:
-    """long with `rank`, the average rank of value within keys. Ranks come from counts of different values, so ties cost nothing;
-    counts are summed up in two levels, over steps of `width` and within each, so no category's values meet in one task."""
-    distinct = long.groupBy(*keys, value).agg(F.count("*").alias("n")).withColumn("__step", F.floor(F.col(value) / width))
+def ranks_of_values(counts: DataFrame, keys: list[str], value: str, width: float = 1 / 256) -> DataFrame:
+    """keys, value, n, rank: the average rank of each different value within keys, of counts(keys, value, n). Counts are summed up in
+    two levels, over steps of `width` and within each, so no category's values meet in one task."""
+    distinct = counts.withColumn("__step", F.floor(F.col(value) / width))
     steps = distinct.groupBy(*keys, "__step").agg(F.sum("n").alias("__of_step"))
     before = steps.select(*keys, "__step", (F.sum("__of_step").over(W.partitionBy(*keys).orderBy("__step")) - F.col("__of_step")).alias("__before"))
     upto = F.sum("n").over(W.partitionBy(*keys, "__step").orderBy(value))
     ranked = distinct.withColumn("__upto", upto).join(before, [*keys, "__step"])
-    return long.join(ranked.select(*keys, value, (F.col("__before") + F.col("__upto") - (F.col("n") - 1) / 2.0).alias("rank")), [*keys, value])
+    return ranked.select(*keys, value, "n", (F.col("__before") + F.col("__upto") - (F.col("n") - 1) / 2.0).alias("rank"))
+
+
+def average_ranks(long: DataFrame, keys: list[str], value: str, width: float = 1 / 256) -> DataFrame:
+    """long with `rank`, the average rank of value within keys. Ranks come from counts of different values, so ties cost nothing."""
+    counts = long.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    return long.join(ranks_of_values(counts, keys, value, width).drop("n"), [*keys, value])
+
+
+#: Different values of all categories of one side whose ranks are broadcast; more are met by shuffled joins.
+MOST_VALUES = 1_000_000
+
+
+def side_by_side(first: DataFrame, second: DataFrame) -> DataFrame:
+    """track, a, b of the tracks of both long tables: their (cat, p) as arrays. Stored, so that what follows shuffles no rows.
+
+    Tables in equal partitions by track are met as they are."""
+    lists = lambda df, to: df.groupBy("track").agg(F.collect_list(F.struct("cat", "p")).alias(to))
+    return stored(lists(first, "a").join(lists(second, "b"), "track"), "sides")
 
 
 def spearman_block(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -42,18 +63,35 @@ def spearman_block(first: DataFrame, second: DataFrame) -> DataFrame:
 
     Only tracks in both count. Ranks are of the dense columns: absent values share the average rank of zero, and
     the correlation follows from sums over what is there, so nothing is filled in."""
-    tracks = first.select("track").distinct().join(second.select("track").distinct(), "track", "left_semi")
-    n = tracks.agg(F.count("*").alias("tracks"))  # one row
+    return spearman_cells(side_by_side(first, second))
 
-    def ranked(df: DataFrame, name: str) -> DataFrame:
-        some = df.join(tracks, "track", "left_semi").where("p > 0").select("track", F.col("cat").alias(name), "p")
-        absent = some.groupBy(name).agg(F.count("*").alias("present")).join(F.broadcast(n)).select(name, (F.col("tracks") - F.col("present")).alias("absent"))
-        # rank among all = zeros + rank among those present; less the rank of a zero, so that zeros weigh nothing
-        return average_ranks(some, [name], "p").join(absent, name).select("track", name, (F.col("rank") + F.col("absent") - (F.col("absent") + 1) / 2.0 * F.when(F.col("absent") > 0, 1).otherwise(0)).alias("r"))
 
-    a, b = ranked(first, "a"), ranked(second, "b")
-    sums = lambda df, k: df.groupBy(k).agg(F.sum("r").alias(f"s_{k}"), F.sum(F.col("r") * F.col("r")).alias(f"q_{k}"))
-    cross = a.join(b.withColumnRenamed("r", "r2"), "track").groupBy("a", "b").agg(F.sum(F.col("r") * F.col("r2")).alias("x"))
+def spearman_cells(sides: DataFrame) -> DataFrame:
+    """spearman_block of side_by_side's table. The different values are counted and ranked first; few enough are broadcast, and a
+    track's values meet their ranks, and each other, within its row."""
+    n = sides.agg(F.count("*").alias("tracks"))  # one row
+    entries = lambda name, *keep: sides.select(*keep, F.explode(name).alias("e")).where("e.p > 0")
+
+    def ranked(name: str) -> tuple[DataFrame, int, int]:
+        """name, p, n, r of the different values, how many these are and how many there are in all."""
+        counts = stored(entries(name).groupBy(F.col("e.cat").alias(name), F.col("e.p").alias("p")).agg(F.count("*").alias("n")), "values")
+        absent = counts.groupBy(name).agg(F.sum("n").alias("present")).join(F.broadcast(n)).select(name, (F.col("tracks") - F.col("present")).alias("absent"))
+        # rank among all = zeros + rank among those present; less the rank of a zero, so that zeros weigh nothing
+        r = F.col("rank") + F.col("absent") - (F.col("absent") + 1) / 2.0 * F.when(F.col("absent") > 0, 1).otherwise(0)
+        ranks = ranks_of_values(counts, [name], "p").join(F.broadcast(absent), name).select(name, "p", "n", r.alias("r"))  # one row per category
+        return stored(ranks, "ranks"), *counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+    (a, values_a, rows_a), (b, values_b, rows_b) = ranked("a"), ranked("b")
+    rank = lambda ranks, name: ranks.select(F.col(name).alias("cat"), "p", F.col("r").alias(f"r_{name}"))
+    if max(values_a, values_b) <= MOST_VALUES:
+        one = entries("a", "b").select("e.*", "b").join(F.broadcast(rank(a, "a")), ["cat", "p"]).select(F.col("cat").alias("a"), "r_a", F.explode("b").alias("e"))
+        both = one.select("a", "r_a", "e.*").join(F.broadcast(rank(b, "b")), ["cat", "p"]).withColumnRenamed("cat", "b")
+    else:
+        parts = partitions_for(max(rows_a, rows_b))
+        met = lambda ranks, name: dealt(dealt(entries(name, "track").select("track", "e.*"), parts, "cat", "p").join(rank(ranks, name), ["cat", "p"]).select("track", F.col("cat").alias(name), f"r_{name}"), parts, "track")
+        both = met(a, "a").join(met(b, "b"), "track")
+    cross = both.groupBy("a", "b").agg(F.sum(F.col("r_a") * F.col("r_b")).alias("x"))
+    sums = lambda ranks, k: ranks.groupBy(k).agg(F.sum(F.col("n") * F.col("r")).alias(f"s_{k}"), F.sum(F.col("n") * F.col("r") * F.col("r")).alias(f"q_{k}"))
     cells = sums(a, "a").crossJoin(sums(b, "b")).join(F.broadcast(n)).join(cross, ["a", "b"], "left")  # one row per pair of categories
     t = F.col("tracks")
     cov = F.coalesce("x", F.lit(0.0)) - F.col("s_a") * F.col("s_b") / t

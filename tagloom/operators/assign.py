@@ -34,7 +34,7 @@ def rarity(p: DataFrame) -> DataFrame:
 
 def hard_sizes(q: DataFrame, rarities: DataFrame, cats: DataFrame, cat: str = "cat") -> DataFrame:
     """cat, n: tracks whose most probable category it is, of ties the rarest as a tag, then the first by name. Zero if none."""
-    ranked = q.join(rarities.select(F.col("tag").alias(cat), "n_tracks"), cat)
+    ranked = q.join(F.broadcast(rarities.select(F.col("tag").alias(cat), "n_tracks")), cat)  # one row per tag
     least = F.min(F.struct((-tied("p")).alias("less"), "n_tracks", F.col(cat).alias("cat"))).alias("x")
     counts = ranked.groupBy("track").agg(least).groupBy("x.cat").agg(F.count("*").alias("n"))
     return cats.join(counts, "cat", "left").select("cat", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

@@ -20,12 +20,13 @@ def shared_tracks(*frames: DataFrame) -> DataFrame:
 def correlation_table(first: DataFrame, second: DataFrame) -> dict[str, DataFrame]:
     """Of two long memberships (track, cat, p) over their common tracks: cells(a, b, corr, prev_a, prev_b) by rank correlation,
     and the Gini of each one's label counts."""
-    tracks = shared_tracks(first, second)
-    a, b = (df.join(tracks, "track", "left_semi") for df in (first, second))
+    sides = stats.side_by_side(first, second)
     prevalence = {}
-    for name, df in (("a", a), ("b", b)):
-        prevalence[name] = assign.prevalences(assign.labels(df), df.select("cat").distinct())
-    cells = stats.spearman_block(a, b)
+    for name in ("a", "b"):
+        # a track's categories are in its row: the most probable, of ties the first by name, as in assign.labels
+        label = F.array_min(F.transform(name, lambda e: F.struct((-F.round(e.p, assign.DIGITS)).alias("less"), e.cat.alias("cat")))).getField("cat")
+        prevalence[name] = assign.prevalences(sides.select(label.alias("cat")), sides.select(F.explode(F.array_distinct(F.transform(name, lambda e: e.cat))).alias("cat")).distinct())
+    cells = stats.spearman_cells(sides)
     for name, df in prevalence.items():
         cells = cells.join(df.select(F.col("cat").alias(name), F.col("share").alias(f"prev_{name}")), name)
     ginis = stats.gini(prevalence["a"], "n").select(F.lit("a").alias("side"), "gini").unionByName(stats.gini(prevalence["b"], "n").select(F.lit("b").alias("side"), "gini"))
@@ -35,7 +36,7 @@ def correlation_table(first: DataFrame, second: DataFrame) -> dict[str, DataFram
 def rarest_category(external: DataFrame) -> DataFrame:
     """track, cat: of a track's external tags (track, tag) the one with the fewest rows, of ties the first by name."""
     counts = external.groupBy("tag").agg(F.count("*").alias("n"))
-    return external.join(counts, "tag").groupBy("track").agg(F.min(F.struct("n", "tag")).alias("x")).select("track", F.col("x.tag").alias("cat"))
+    return external.join(F.broadcast(counts), "tag").groupBy("track").agg(F.min(F.struct("n", "tag")).alias("x")).select("track", F.col("x.tag").alias("cat"))
 
 
 def mean_probabilities(external: DataFrame, q: DataFrame, cats: DataFrame) -> DataFrame:

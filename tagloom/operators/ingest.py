@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tagloom.sources import sizes
+
 SET_COLUMNS = ("track_tags", "album_tags", "artist_tags")
 
 
@@ -40,16 +42,21 @@ def combine_sets(df: DataFrame) -> DataFrame:
     return with_tags(choose_tag_set(df))
 
 
-def combine_artist_tags(tracks: DataFrame, artists: DataFrame) -> DataFrame:
+def combine_artist_tags(tracks: DataFrame, artists: DataFrame, partitions: int | None = None) -> DataFrame:
     """Union of the genres of all artists of a track, as a tag set.
 
     tracks: track, artists array<struct<id>>; artists: artist_id, genres array<struct<genre>> (of repeated ids the first by
     genres counts). One artist: the genres in their order, each 1. Several (known or not): counted, in alphabetical order.
+    Tracks in partitions by track stay there; partitions: of the shuffles, if there are too many artists to broadcast.
     """
     known = artists.groupBy("artist_id").agg(F.min("genres").alias("genres"))
     single = F.size("artists") == 1
-    members = tracks.select("track", single.alias("single"), F.posexplode("artists").alias("a", "artist"))
-    genres = members.join(known, F.col("artist.id") == F.col("artist_id")).select("track", "single", F.posexplode("genres").alias("pos", "g"))
+    members = tracks.select("track", single.alias("single"), F.posexplode("artists").alias("a", "artist")).select("track", "single", F.col("artist.id").alias("id"))
+    size = known.count()
+    met = sizes.looked_up(members, "id", known, "artist_id", partitions, size)
+    if partitions is not None and size > sizes.MOST_LOOKUP:
+        met = met.repartition(partitions, "track")
+    genres = met.select("track", "single", F.posexplode("genres").alias("pos", "g"))
     counted = genres.groupBy("track", "single", F.col("g.genre").alias("tag_name"), F.when(F.col("single"), F.col("pos")).alias("pos")).agg(F.count("*").cast("double").alias("tag_count"))
     ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("pos", F.lit(0)).alias("pos"), "tag_name", "tag_count")))
     return counted.groupBy("track").agg(F.transform(ordered, lambda x: F.struct(x.tag_name.alias("tag_name"), x.tag_count.alias("tag_count"))).alias("tags"))

@@ -8,23 +8,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tagloom.sources.sizes import dealt
+
 FLOOR = 1e-12
 #: Decimals at which generalities are compared.
 DIGITS = 9
 
 
-def normalized(long: DataFrame) -> DataFrame:
+def normalized(long: DataFrame, partitions: int | None = None) -> DataFrame:
     """track, tag, p: each tag's share of a track's votes. Repeated (track, tag) rows are summed; tracks without votes go.
 
-    One shuffle, by track; the sums by (track, tag) and the totals use it as it is."""
-    summed = long.repartition("track").groupBy("track", "tag").agg(F.sum("votes").alias("votes"))
+    One shuffle, by track; the sums by (track, tag) and the totals use it as it is. partitions: of that shuffle, if the session's
+    own number would make tasks too large."""
+    summed = dealt(long, partitions, "track").groupBy("track", "tag").agg(F.sum("votes").alias("votes"))
     total = F.sum("votes").over(W.partitionBy("track"))
     return summed.withColumn("total", total).where("total > 0").select("track", "tag", (F.col("votes") / F.col("total")).alias("p"))
 
 
 def wide(p: DataFrame, tags: list[str]) -> DataFrame:
     """One column per tag, zero where a track lacks it."""
-    return p.groupBy("track").pivot("tag", tags).agg(F.sum("p")).na.fill(0.0, tags)
+    return p.groupBy("track").agg(*(F.coalesce(F.sum(F.when(F.col("tag") == t, F.col("p"))), F.lit(0.0)).alias(t) for t in tags))
 
 
 def marginals(p: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from tagloom.operators import assign, compare, dag, fold, graphs, ingest, inspec
 from tagloom.plans.inputs import LEAST, OTHER, fold_sql, fold_states, long_named, map_sql, nested, p_sql, shares, table, tag_votes, tracks, v_sql, votes_long, w_sql
 from tagloom.sources import arrow_files, files, gexf
 from tagloom.sources.shared import fresh_path, stored
+from tagloom.sources.sizes import dealt, partitions_for
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -116,12 +117,13 @@ SELECT track, g AS tag_name, CAST(count(*) AS DOUBLE) AS tag_count FROM s JOIN a
 """)
 def nested_artist_union(spark, d):
     """Suppliers in debt are the unknown artists."""
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("track"), "l_suppkey").distinct()
-    tracks_ = lines.groupBy("track").agg(F.collect_list(F.struct(F.col("l_suppkey").alias("id"))).alias("artists"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("track"), "l_suppkey")
+    n = partitions_for(lines.count())
+    tracks_ = dealt(lines, n, "track").distinct().groupBy("track").agg(F.collect_list(F.struct(F.col("l_suppkey").alias("id"))).alias("artists"))
     genre = lambda x: F.struct(x.alias("genre"))
     level = F.when(F.col("s_acctbal") < 5000, "low").otherwise("high")
     artists = table(spark, d, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("artist_id"), F.array(genre(level), genre(F.concat(F.lit("nation "), "s_nationkey"))).alias("genres"))
-    return ingest.unpack_tags(ingest.combine_artist_tags(tracks_, artists)).select("track", "tag_name", "tag_count")
+    return ingest.unpack_tags(ingest.combine_artist_tags(tracks_, artists, n)).select("track", "tag_name", "tag_count")
 
 
 @query("""
@@ -514,7 +516,7 @@ b AS (SELECT 'a' AS side, coalesce(n, 0) AS n FROM (SELECT DISTINCT tag FROM p1)
 o AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY n) AS i FROM b)
 SELECT side, round((2 * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1.0) / count(*)) * count(*) / (count(*) - 1), 6) AS gini FROM o GROUP BY side""")
 def correlation_ginis(spark, d):
-    first, second = (stored(shares(spark, d, t).withColumnRenamed("tag", "cat"), "shares") for t in ("p_type", "p_brand"))
+    first, second = (shares(spark, d, t).withColumnRenamed("tag", "cat") for t in ("p_type", "p_brand"))
     return rounded(compare.correlation_table(first, second)["ginis"], "gini")
 
 
@@ -524,7 +526,7 @@ l2 AS (SELECT tag, count(*) AS n FROM (SELECT tag FROM p2 QUALIFY row_number() O
 SELECT a, b, corr, round(coalesce(l1.n, 0) / (SELECT sum(n) FROM l1), 6) AS prev_a, round(coalesce(l2.n, 0) / (SELECT sum(n) FROM l2), 6) AS prev_b
 FROM x LEFT JOIN l1 ON l1.tag = a LEFT JOIN l2 ON l2.tag = b""")
 def correlation_table(spark, d):
-    first, second = (stored(shares(spark, d, t).withColumnRenamed("tag", "cat"), "shares") for t in ("p_type", "p_brand"))
+    first, second = (shares(spark, d, t).withColumnRenamed("tag", "cat") for t in ("p_type", "p_brand"))
     return rounded(compare.correlation_table(first, second)["cells"], "corr", "prev_a", "prev_b")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.operators import votes
+from tagloom.sources.sizes import dealt, looked_up, partitions_for
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -15,25 +16,38 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def votes_long(spark: SparkSession, d: str, tag: str = "p_brand") -> DataFrame:
-    """track, artist, tag, votes."""
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-    parts = table(spark, d, "part").select("p_partkey", F.col(tag).alias("tag"))
+    """track, artist, tag, votes, in partitions by track."""
+    lines, n = tagged_lines(spark, d, tag)
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     # summed by order first: the join with orders then meets one row per (order, tag)
-    summed = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey", "tag").agg(F.sum("l_quantity").alias("votes"))
+    summed = dealt(lines, n, "l_orderkey").groupBy("l_orderkey", "tag").agg(F.sum("l_quantity").alias("votes"))
+    if n is not None:
+        orders = orders.repartition(n, "o_orderkey").hint("shuffle_hash")
     return summed.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("track"), F.col("o_custkey").alias("artist"), "tag", "votes")
 
 
-def tag_votes(spark: SparkSession, d: str, tag: str = "p_brand") -> DataFrame:
-    """track, tag, votes; orders aren't needed."""
+def tagged_lines(spark: SparkSession, d: str, tag: str = "p_brand") -> tuple[DataFrame, int | None]:
+    """l_orderkey, tag, l_quantity, and the partitions for a shuffle of them. Rows are counted in the files' footers."""
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     parts = table(spark, d, "part").select("p_partkey", F.col(tag).alias("tag"))
-    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("track"), "tag", F.col("l_quantity").alias("votes"))
+    rows, size = lines.count(), parts.count()
+    joined = looked_up(lines, "l_partkey", parts, "p_partkey", partitions_for(max(rows, size)), size)
+    return joined.select("l_orderkey", "tag", "l_quantity"), partitions_for(rows)
+
+
+def tag_votes(spark: SparkSession, d: str, tag: str = "p_brand") -> DataFrame:
+    """track, tag, votes; orders aren't needed."""
+    return _tag_votes(tagged_lines(spark, d, tag)[0])
+
+
+def _tag_votes(lines: DataFrame) -> DataFrame:
+    return lines.select(F.col("l_orderkey").alias("track"), "tag", F.col("l_quantity").alias("votes"))
 
 
 def shares(spark: SparkSession, d: str, tag: str = "p_brand") -> DataFrame:
-    """track, tag, p."""
-    return votes.normalized(tag_votes(spark, d, tag))
+    """track, tag, p, in partitions by track."""
+    lines, n = tagged_lines(spark, d, tag)
+    return votes.normalized(_tag_votes(lines), n)
 
 
 def long_named(spark: SparkSession, d: str) -> DataFrame:
