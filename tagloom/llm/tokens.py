@@ -126,13 +126,15 @@ def sliced(texts: pa.Array, most: int = SLICE_BYTES):
 
 def word_parts(words: pa.Array, rule: str) -> tuple[list[str], np.ndarray]:
     """Different parts of words, and the three of each word (3 x words). A word of letters and marks is taken apart, so that its
-    other forms find its letters."""
-    split = pc.extract_regex(words, SPLIT)
+    other forms find its letters; one of ASCII letters alone is them."""
+    plain = pc.ascii_is_alpha(words)
+    split = pc.extract_regex(pc.if_else(plain, pa.scalar(None, words.type), words), SPLIT)
     lead, letters, marks = (split.field(k) for k in range(3))
+    letters = pc.if_else(plain, words, letters)
     if rule == "words":
         letters = pc.utf8_lower(letters)
-    found = split.is_valid()
-    parts = pa.concat_arrays([pc.if_else(found, lead, ""), pc.if_else(found, letters, words), pc.if_else(found, marks, "")]).dictionary_encode()
+    split_up = split.is_valid()
+    parts = pa.concat_arrays([pc.if_else(split_up, lead, ""), pc.if_else(pc.or_(plain, split_up), letters, words), pc.if_else(split_up, marks, "")]).dictionary_encode()
     return parts.dictionary.to_pylist(), parts.indices.to_numpy().reshape(3, -1)
 
 
@@ -171,9 +173,9 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _part(self, part: str) -> bytes:
-        if not LATIN.fullmatch(part):
-            return self._whole(part)
-        if part[0] == " " or not part.isascii():
+        if not (part.isascii() and part.isalpha()):
+            if not LATIN.fullmatch(part):
+                return self._whole(part)
             part = part.translate(self.names)
         return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
 
