@@ -99,22 +99,23 @@ class WordHashes:
         return np.frombuffer(self.hashes[k], np.uint64)[numbers] if len(numbers) else np.empty(0, np.uint64)
 
 
-def rolled(words: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
-    """Polynomial hash of each n consecutive words, mixed so that all bits count."""
-
-    def power(k: int) -> np.uint64:
-        return np.uint64(pow(int(base), k, 1 << 64))
+def _summed(words: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
+    """Polynomial in base of each n consecutive words. No closure: one that calls itself would hold words until a collection of cycles."""
+    if n == 1:
+        return words
+    half = n // 2
+    left = _summed(words, half, base)
+    right = left if n == 2 * half else _summed(words, n - half, base)
+    m = max(0, len(words) - n + 1)
+    out = left[:m] * np.uint64(pow(int(base), n - half, 1 << 64))
+    out += right[half : half + m]
+    return out
 
-    def of(k: int) -> np.ndarray:
-        if k == 1:
-            return words
-        half = k // 2
-        left = of(half)
-        right = left if k == 2 * half else of(k - half)
-        m = max(0, len(words) - k + 1)
-        return left[:m] * power(k - half) + right[half : half + m]
 
-    x = of(n).copy()
+def rolled(words: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
+    """Polynomial hash of each n consecutive words, mixed so that all bits count."""
+    x = _summed(words, n, base)
+    x = x.copy() if x is words else x
     x ^= x >> np.uint64(32)
     x *= np.uint64(0x9FB21C651E98DF25)
     x ^= x >> np.uint64(29)

@@ -1,4 +1,6 @@
+import gc
 import random
+import weakref
 from collections import Counter
 
 import numpy as np
@@ -110,3 +112,22 @@ def test_packed_arrays_round_trip():
         x = np.array([0, 1, 5, 2**31, 7], dtype)
         assert (sd.unsqueezed(sd.squeezed(x), dtype) == x).all()
     assert len(sd.unsqueezed(sd.squeezed(np.empty(0, np.uint32)), np.uint32)) == 0
+
+
+@pytest.mark.parametrize("n", [1, 18, 35])
+def test_rolled_hashes_hold_nothing_after_the_call(n):
+    """Workers live on after a task: what only a collection of cycles would free adds up from task to task."""
+    words = np.random.default_rng(0).integers(0, 1 << 63, 100, np.uint64)
+    want, base, kept = [], int(sd.base(0, 0)), weakref.ref(words)
+    for i in range(len(words) - n + 1):
+        x = sum(int(w) * pow(base, n - 1 - j, 1 << 64) for j, w in enumerate(words[i : i + n])) % (1 << 64)
+        x ^= x >> 32
+        x = x * 0x9FB21C651E98DF25 % (1 << 64)
+        want.append(x ^ x >> 29)
+    gc.disable()
+    try:
+        assert sd.rolled(words, n, sd.base(0, 0)).tolist() == want
+        del words
+        assert kept() is None
+    finally:
+        gc.enable()
