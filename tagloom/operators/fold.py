@@ -6,9 +6,11 @@ fold leads to depends only on the set of folded tags, so a state is rebuilt from
 
 Tracks with equal votes behave alike, so they are compressed once to profiles with a count, and no state of the tracks is ever
 written: a step derives the masses of the profiles it touches from their votes and the mapping, before and after, and the
-sizes change by the difference. The profiles lie in an inverted index: one row for each tag of a profile, stored by groups of tags, the rows of
-a frequent tag dealt over several files. A step reads the groups of the touched tags only, counts a profile at the first of its
-touched tags, and sends the changes of the sizes to the driver. The driver holds what belongs to tags: edges and mapping.
+sizes change by the difference. A profile is stored as the bytes of its entries, which a task reads as numpy arrays without a step for each row.
+The profiles lie in one table, which a step reads once if its tags are frequent, and else in an inverted index, which is made when the first
+step asks for it: one row for each tag of a profile, stored by groups of tags, the rows of a frequent tag dealt over several files. Of it a
+step reads the groups of the touched tags only, and counts a profile at the first of its touched tags. The changes of the sizes
+go to the driver, which holds what belongs to tags: edges and mapping.
 """
 
 from __future__ import annotations
@@ -17,20 +19,24 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tagloom.functions.stats import gini_of
-from tagloom.operators import assign, dag
+from tagloom.operators import assign, dag, votes
 from tagloom.sources.shared import discard, stored
+from tagloom.sources.sizes import dealt, partitions_for
 
 #: Groups of tags of the index, each a folder, and rows of a tag in one file.
 GROUPS, FILE_ROWS = 512, 1_000_000
 #: Cells (rows by categories) of a block whose masses are formed in one dense array; larger blocks are sorted.
 MOST_CELLS = 4_000_000
-#: Tags whose names and places are broadcast; more are met by shuffled joins.
-MOST_BROADCAST = 100_000
+#: A row of the index costs about as much as so many of the table: it is met once for each touched tag.
+INDEX_COST = 8
+#: An entry of a profile: the tag's place and the share.
+ENTRY = np.dtype([("t", "<i4"), ("p", "<f8")])
 
 
 @dataclass
@@ -107,36 +113,71 @@ def start(p: DataFrame, graph: DataFrame) -> Folding:
     return Folding(tags, [t for t in tags if t not in weights], weights)
 
 
-def profile_index(p: DataFrame, tags: list[str], rare: dict[str, int], groups: int = GROUPS) -> DataFrame:
-    """grp, t, v, n: for each tag (its place in tags) of each different vote vector v (t, p) the vector and the number of its tracks."""
-    spark = p.sparkSession
-    places = spark.createDataFrame([(i, t, 1 + rare.get(t, 0) // FILE_ROWS) for i, t in enumerate(tags)], "t int, tag string, files int")
-    if len(tags) <= MOST_BROADCAST:
-        places = F.broadcast(places)
-    vector = F.array_sort(F.collect_list(F.struct("t", "p")))
-    profiles = p.where("p > 0").join(places, "tag").groupBy("track").agg(vector.alias("v")).groupBy("v").agg(F.count("*").alias("n"))
-    rows = profiles.select(F.explode("v.t").alias("t"), "v", "n").join(places.select("t", "files"), "t")
-    dealt = rows.withColumn("file", F.pmod(F.xxhash64("v"), F.col("files"))).repartition("t", "file")
-    return stored(dealt.select((F.col("t") % groups).alias("grp"), "t", "v", "n"), "fold-index", by=("grp",))
+def _vectors(tags: list[str]):
+    """For mapInArrow over rows of v (tag, p): the bytes of each row's entries of mass, by place in tags, and how often a batch has them."""
+
+    def run(batches):
+        places = pa.array(tags, pa.string())
+        for batch in batches:
+            v = batch.column(0)
+            flat = v.flatten()
+            t, p = pc.index_in(flat.field(0), places), flat.field(1).to_numpy(zero_copy_only=False)
+            held = t.is_valid().to_numpy(zero_copy_only=False) & (p > 0)
+            size = np.diff(np.concatenate(([0], np.cumsum(held)))[v.offsets.to_numpy() - v.offsets[0].as_py()])
+            entries = np.empty(int(held.sum()), ENTRY)
+            entries["t"], entries["p"] = t.fill_null(-1).to_numpy()[held], p[held]
+            ends = (np.cumsum(size[size > 0]) * ENTRY.itemsize).astype(np.int32)
+            offsets = pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32).tobytes())
+            counts = pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(entries.tobytes())]).value_counts()
+            yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], names=["v", "n"])
+
+    return run
+
+
+def profiles(rows: DataFrame, tags: list[str], rare: dict[str, int]) -> DataFrame:
+    """v, n: each different vote vector, as the bytes of its entries, and the number of its tracks; rows: votes.by_track()."""
+    vectors = rows.select("v").mapInArrow(_vectors(tags), "v binary, n long")
+    return dealt(vectors, partitions_for(sum(rare.values())), "v").groupBy("v").agg(F.sum("n").alias("n"))
+
+
+def _by_tag(batches):
+    """Of v and n, a row for each tag: t, ts (all tags of the profile), v, n."""
+    for batch in batches:
+        tag, _, row, n = _arrays(batch)
+        size = np.bincount(row, minlength=batch.num_rows)
+        ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+        every = pa.array(row)
+        ts = pa.ListArray.from_arrays(pa.array(ends), pa.array(tag))
+        yield pa.RecordBatch.from_arrays([pa.array(tag), ts.take(every), batch.column(0).take(every), pa.array(n[row])], names=["t", "ts", "v", "n"])
+
+
+def profile_index(p: DataFrame, tags: list[str], rare: dict[str, int], groups: int = GROUPS, rows: DataFrame | None = None) -> DataFrame:
+    """grp, t, ts, v, n: for each tag (its place in tags) of each profile all its tags, its vote vector and the number of its tracks."""
+    files = p.sparkSession.createDataFrame([(i, 1 + rare.get(t, 0) // FILE_ROWS) for i, t in enumerate(tags)], "t int, files int")
+    each = profiles(votes.by_track(p) if rows is None else rows, tags, rare).mapInArrow(_by_tag, "t int, ts array<int>, v binary, n long")
+    filed = each.join(F.broadcast(files), "t").withColumn("file", F.pmod(F.xxhash64("v"), F.col("files")))
+    out = dealt(filed, partitions_for(sum(rare.values())), "t", "file")
+    return stored(out.select((F.col("t") % groups).alias("grp"), "t", "ts", "v", "n"), "fold-index", by=("grp",))
 
 
 def touched_rows(index: DataFrame, touched: list[int], groups: int = GROUPS) -> DataFrame:
     """Rows of the index for the touched tags; of other groups of tags nothing is read."""
-    return index.where(F.col("grp").isin(sorted({t % groups for t in touched})) & F.col("t").isin(touched)).select("t", "v", "n")
+    return index.where(F.col("grp").isin(sorted({t % groups for t in touched})) & F.col("t").isin(touched)).select("t", "ts", "v", "n")
 
 
 def first_rows(index: DataFrame, touched: list[int], groups: int = GROUPS) -> DataFrame:
     """Of touched_rows, each profile once: at the first of its touched tags."""
-    first = F.array_min(F.array_intersect(F.col("v.t"), F.array(*(F.lit(t).cast("int") for t in touched))))
+    first = F.array_min(F.array_intersect("ts", F.array(*(F.lit(t).cast("int") for t in touched))))
     return touched_rows(index, touched, groups).where(F.col("t") == first)
 
 
 def _arrays(batch) -> tuple[np.ndarray, ...]:
-    """Tag, share and row of every entry of a block (t, v, n), and the rows' counts."""
-    v = batch.column(1)
-    size = np.diff(v.offsets.to_numpy())
-    flat = v.flatten()
-    return flat.field(0).to_numpy(), flat.field(1).to_numpy(), np.repeat(np.arange(len(size)), size), batch.column(2).to_numpy()
+    """Tag, share and row of every entry of a block (v, n), and the rows' counts."""
+    v = batch.column(0)
+    ends = np.frombuffer(v.buffers()[1], np.int32, len(v) + 1, v.offset * 4)
+    entries = np.frombuffer(v.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(ENTRY)
+    size = np.diff(ends) // ENTRY.itemsize
+    return np.ascontiguousarray(entries["t"]), np.ascontiguousarray(entries["p"]), np.repeat(np.arange(len(size)), size), batch.column(1).to_numpy()
 
 
 class Mapping:
@@ -147,49 +188,69 @@ class Mapping:
         self.start = np.cumsum(self.length) - self.length
         self.cats, self.shares = (np.concatenate([x[k] for x in of]) for k in (0, 1))
 
+    def table(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The categories that get anything, those of least rank first, and every tag's share of each."""
+        cats = np.unique(self.cats)
+        cats = cats[np.argsort(rank[cats])]
+        place = np.zeros(len(rank), np.int64)
+        place[cats] = np.arange(len(cats))
+        out = np.zeros((len(self.length), len(cats)))
+        out[np.repeat(np.arange(len(self.length)), self.length), place[self.cats]] = self.shares
+        return cats, out
+
 
 def winners(tag: np.ndarray, p: np.ndarray, row: np.ndarray, mapping: Mapping, rank: np.ndarray) -> np.ndarray:
-    """The category of most mass of each row (they ascend), of ties the one of least rank."""
+    """The category of most mass of each row (they ascend, none is empty), of ties the one of least rank."""
+    if not len(row):
+        return np.empty(0, np.int64)
+    if max(int(row[-1]) + 1, len(rank)) * len(rank) <= MOST_CELLS:  # all categories of every row side by side, those of least rank first
+        cats, share = mapping.table(rank)
+        size = np.bincount(row)
+        first = np.cumsum(size) - size
+        mass = share[tag[first]] * p[first, None]
+        for k in range(1, int(size.max())):  # the entries of a row one after the other
+            more = np.flatnonzero(size > k)
+            at = first[more] + k
+            mass[more] += share[tag[at]] * p[at, None]
+        mass *= 10.0**assign.DIGITS
+        return cats[np.rint(mass, out=mass).argmax(1)]
     n = mapping.length[tag]
     entry = np.repeat(np.arange(len(tag)), n)
     at = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n) + mapping.start[tag][entry]
-    key = row[entry] * len(rank) + mapping.cats[at]
-    cells = (int(row[-1]) + 1) * len(rank) if len(row) else 0
-    if cells <= MOST_CELLS:  # all categories of every row side by side, those of least rank first
-        mass = np.bincount(key, p[entry] * mapping.shares[at], cells).reshape(-1, len(rank))
-        by_rank = np.argsort(rank)
-        return by_rank[np.round(mass[:, by_rank], assign.DIGITS).argmax(1)] if cells else np.empty(0, np.int64)
-    key, inverse = np.unique(key, return_inverse=True)
+    key, inverse = np.unique(row[entry] * len(rank) + mapping.cats[at], return_inverse=True)
     mass = np.bincount(inverse, p[entry] * mapping.shares[at])
     row, cat = key // len(rank), key % len(rank)
     order = np.lexsort((rank[cat], -np.round(mass, assign.DIGITS), row))
-    return cat[order][np.concatenate(([True], row[order][1:] != row[order][:-1]))] if len(order) else cat
+    return cat[order][np.concatenate(([True], row[order][1:] != row[order][:-1]))]
 
 
-def moved(block: tuple[np.ndarray, ...], before: Mapping | None, after: Mapping, rank: np.ndarray) -> np.ndarray:
-    """How the sizes change over the rows of a block; before: None if nothing was counted yet."""
+def moved(block: tuple[np.ndarray, ...], touched: np.ndarray, before: Mapping | None, after: Mapping, rank: np.ndarray) -> np.ndarray:
+    """How the sizes change over the rows of a block that hold a touched tag; before: None if nothing was counted yet."""
     tag, p, row, n = block
-    out = np.zeros(len(rank), np.int64)
-    np.add.at(out, winners(tag, p, row, after, rank), n)
+    held = np.zeros(len(n), bool)
+    held[row[touched[tag]]] = True
+    if not held.all():
+        of = held[row]
+        tag, p, row, n = tag[of], p[of], (np.cumsum(held) - 1)[row[of]], n[held]
+    out = np.bincount(winners(tag, p, row, after, rank), n, len(rank))
     if before is not None:
-        np.subtract.at(out, winners(tag, p, row, before, rank), n)
-    return out
+        out -= np.bincount(winners(tag, p, row, before, rank), n, len(rank))
+    return out.astype(np.int64)
 
 
-def change(index: DataFrame, touched: np.ndarray, before: Mapping | None, after: Mapping, rank: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    """How the sizes change over all profiles that hold a touched tag."""
+def change(rows: DataFrame, touched: np.ndarray, before: Mapping | None, after: Mapping, rank: np.ndarray) -> np.ndarray:
+    """How the sizes change over all profiles (v, n) that hold a touched tag; each of them is a row."""
 
     def run(batches):
         delta = np.zeros(len(rank), np.int64)
         for batch in batches:
             if batch.num_rows:
-                delta += moved(_arrays(batch), before, after, rank)
+                delta += moved(_arrays(batch), touched, before, after, rank)
         cats = np.flatnonzero(delta)
         yield pa.RecordBatch.from_arrays([pa.array(cats, pa.int64()), pa.array(delta[cats], pa.int64())], names=["cat", "n"])
 
-    rows = first_rows(index, np.flatnonzero(touched).tolist(), groups)
     out = np.zeros(len(rank), np.int64)
-    for r in rows.mapInArrow(run, "cat long, n long").groupBy("cat").agg(F.sum("n").alias("n")).collect():
+    for r in rows.select("v", "n").mapInArrow(run, "cat long, n long").groupBy("cat").agg(F.sum("n").alias("n")).collect():
         out[r.cat] = r.n
     return out
 
@@ -235,17 +296,28 @@ def _greedy(state: Folding, order: list[str] | None, rare: dict[str, int], step)
     return state
 
 
-def fold(p: DataFrame, graph: DataFrame, order: list[str] | None = None, groups: int = GROUPS) -> Folding:
-    """The fold of votes p along a graph, in the order given or the smallest first."""
+def fold(p: DataFrame, graph: DataFrame, order: list[str] | None = None, groups: int = GROUPS, rows: DataFrame | None = None) -> Folding:
+    """The fold of votes p along a graph, in the order given or the smallest first. rows: votes.by_track(p), where it is at hand."""
     state = start(p, graph)
     if not state.tags:
         return _greedy(state, order, {}, None)
     rare = {r.tag: r.n for r in p.where("p > 0").groupBy("tag").agg(F.count("*").alias("n")).collect()}
-    index = profile_index(p, state.tags, rare, groups)
+    rows = votes.by_track(p) if rows is None else rows
+    table = stored(profiles(rows, state.tags, rare), "fold-profiles")
+    used, tracks = [table], table.agg(F.sum("n")).first()[0] or 0
+
+    def step(touched, *states):
+        some = np.flatnonzero(touched).tolist()
+        if sum(rare.get(state.tags[t], 0) for t in some) * INDEX_COST >= tracks:
+            return change(table, touched, *states)
+        if len(used) == 1:
+            used.append(profile_index(p, state.tags, rare, groups, rows))
+        return change(first_rows(used[1], some, groups), touched, *states)
+
     try:
-        return _greedy(state, order, rare, lambda *step: change(index, *step, groups))
+        return _greedy(state, order, rare, step)
     finally:
-        discard(index)
+        discard(*used)
 
 
 def tables(spark: SparkSession, state: Folding) -> dict[str, DataFrame]:

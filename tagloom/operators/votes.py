@@ -37,9 +37,16 @@ def marginals(p: DataFrame) -> DataFrame:
     return sums.withColumn("marginal", F.greatest(F.col("total") / tracks, F.lit(FLOOR)))
 
 
-def co_occurrence(p: DataFrame) -> DataFrame:
-    """a, b, s: sum over tracks of p_a * p_b, for a <> b. A track's tags are paired within its own row and summed before any shuffle."""
-    track = p.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("tag", "p"))).alias("v"))
+def by_track(p: DataFrame) -> DataFrame:
+    """track, v: one row for each track, with its tags and shares (tag, p) by tag."""
+    return p.groupBy("track").agg(F.sort_array(F.collect_list(F.struct("tag", "p"))).alias("v"))
+
+
+def co_occurrence(p: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """a, b, s: sum over tracks of p_a * p_b, for a <> b. A track's tags are paired within its own row and summed before any shuffle.
+
+    rows: by_track(p), where it is at hand."""
+    track = by_track(p) if rows is None else rows
     first = track.select("v", F.posexplode("v").alias("i", "x"))
     pair = first.select("x", F.explode(F.slice("v", F.col("i") + 2, F.size("v"))).alias("y"))
     half = pair.groupBy(F.col("x.tag").alias("a"), F.col("y.tag").alias("b")).agg(F.sum(F.col("x.p") * F.col("y.p")).alias("s"))
@@ -53,10 +60,10 @@ def joint(p: DataFrame) -> DataFrame:
     return co_occurrence(p).join(F.broadcast(tracks)).select("a", "b", (F.col("s") / F.col("n")).alias("joint"))
 
 
-def conditional(p: DataFrame) -> DataFrame:
-    """a, b, w: P(b given a)."""
+def conditional(p: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """a, b, w: P(b given a). rows: by_track(p), where it is at hand."""
     total = marginals(p).select(F.col("tag").alias("a"), "total")
-    return co_occurrence(p).join(total, "a").select("a", "b", (F.col("s") / F.col("total")).alias("w"))
+    return co_occurrence(p, rows).join(total, "a").select("a", "b", (F.col("s") / F.col("total")).alias("w"))
 
 
 def generality(p: DataFrame, w: DataFrame | None = None) -> DataFrame:

@@ -318,11 +318,13 @@ def always_alone_tags(spark, d):
 
 
 class _Types:
-    """Votes on types, their pairs and their graph, each stored once."""
+    """Votes on types, their pairs and their graph, each stored once; the votes with a row for each track, so that neither the pairs nor
+    the fold shuffle them by track again."""
 
     def __init__(self, spark: SparkSession, d: str, tag: str = "p_type"):
-        self.p = stored(shares(spark, d, tag), "shares")
-        w = stored(votes.conditional(self.p), "pairs")
+        self.rows = stored(votes.by_track(shares(spark, d, tag)), "shares")
+        self.p = self.rows.select("track", F.explode("v").alias("x")).select("track", "x.tag", "x.p")
+        w = stored(votes.conditional(self.p, self.rows), "pairs")
         self.edges = stored(dag.edges(self.p, w), "edges")
         self.generality = votes.generality(self.p, w)
         self.tags = stored(self.p.select("tag").distinct(), "tags")
@@ -341,7 +343,7 @@ class _Types:
         return assign.probabilities(self.p, self.mapping(places))
 
     def state(self) -> fold.Folding:
-        return fold.fold(self.p, self.edges)
+        return fold.fold(self.p, self.edges, rows=self.rows)
 
 
 def _fold(spark: SparkSession, d: str, part: str, tag: str = "p_type") -> DataFrame:

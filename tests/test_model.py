@@ -145,6 +145,32 @@ def test_a_step_reads_the_touched_tags_only(spark):
         assert len({(r.t, str(r.v)) for r in once}) == len({str(r.v) for r in once}) == len({str(r.v) for r in found})
 
 
+def test_a_step_reads_a_profile_once(spark, monkeypatch):
+    """Frequent tags are met in the table of profiles, rare ones in the index; both ways give one fold."""
+    p = votes.normalized(table(spark, random_votes(random.Random(9), 6, 80))).where("p > 0").cache()
+    graph = dag.edges(p)
+    vectors = {}
+    for r in p.collect():
+        vectors.setdefault(r.track, set()).add((r.tag, r.p))
+    different = len({frozenset(v) for v in vectors.values()})
+    made, read, change, stored = [], [], fold.change, fold.stored
+    monkeypatch.setattr(fold, "stored", lambda df, name, **by: made.append(name) or stored(df, name, **by))
+    monkeypatch.setattr(fold, "change", lambda rows, *state: read.append(rows.count()) or change(rows, *state))
+    one = fold.fold(p, graph)
+    assert made == ["fold-profiles"] and {*read} == {different} and len(read) == len(one.order) + 1
+    made.clear()
+    monkeypatch.setattr(fold, "INDEX_COST", 0)
+    two = fold.fold(p, graph, rows=votes.by_track(p))
+    assert made == ["fold-profiles", "fold-index"] and (one.order, one.sizes) == (two.order, two.sizes)
+
+
+def test_a_frequent_profile_is_counted_before_it_is_dealt(spark):
+    p = spark.range(1000).select(F.col("id").alias("track"), F.lit("g").alias("tag"), F.lit(1.0).alias("p")).repartition(2)
+    rows = p.unionByName(p.select("track", F.lit("absent").alias("tag"), F.lit(0.0).alias("p"))).groupBy("track").agg(F.collect_list(F.struct("tag", "p")).alias("v")).coalesce(1)
+    counted = rows.select("v").mapInArrow(fold._vectors(["absent", "g"]), "v binary, n long").collect()
+    assert [(np.frombuffer(r.v, fold.ENTRY).tolist(), r.n) for r in counted] == [([(1, 1.0)], 1000)]
+
+
 def test_tags_by_the_hundred(spark):
     """150 tags that meet, more pairs than any small table."""
     import shutil

@@ -1,11 +1,13 @@
 """What a task of a shuffle holds is bounded: partitions follow the rows of the input."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from tagloom.functions import stats
-from tagloom.operators import metagenres
-from tagloom.plans import inputs, registry
+from tagloom.operators import fold, metagenres, votes
+from tagloom.plans import catalog, inputs, registry
 from tagloom.sources import sizes
 
 D = "/root/testdata/sf0.001"  # 6,000 lines
@@ -44,6 +46,28 @@ def test_queries_by_track_keep_their_partitions(spark, small_tasks, name):
     assert parts == 20 and most < 200
 
 
+def by_track(df):
+    """Partitions of a plan's shuffles by track."""
+    return re.findall(r"hashpartitioning\(track#\d+L?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+@pytest.mark.parametrize("name", ["gini_sizes", "hard_sizes", "tag_marginals", "tag_rarity", "conditional", "dag_edges", "generality", "joint", "parent_weights"])
+def test_queries_on_shares_shuffle_tracks_by_their_rows(spark, small_tasks, name):
+    assert {*by_track(registry.queries()[name](spark, D))} == {"20"}
+
+
+def test_stored_votes_are_not_shuffled_by_track_again(spark, small_tasks):
+    types = catalog._Types(spark, D)
+    assert by_track(votes.conditional(types.p, types.rows)) == []
+    plain = lambda df: sorted((r.a, r.b, round(r.w, 12)) for r in df.collect())
+    assert plain(votes.conditional(types.p, types.rows)) == plain(votes.conditional(inputs.shares(spark, D, "p_type")))
+    tags = sorted(r.tag for r in types.tags.collect())
+    rare = {r.tag: r["count"] for r in types.p.groupBy("tag").count().collect()}
+    found = fold.profiles(types.rows, tags, rare)
+    parts = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 10 and max(r["count"] for r in parts) < 300
+
+
 def test_artists_beyond_the_broadcast_bound(spark, small_tasks, monkeypatch):
     want = sorted(map(tuple, registry.queries()["nested_artist_union"](spark, D).collect()))
     monkeypatch.setattr(sizes, "MOST_LOOKUP", 2)
